@@ -150,10 +150,15 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
         for i, t in enumerate(short):
             a, b = words.first[t], words.first[t + 1]
             mult = np.array([pow(_BASE, 3 * k + 1, 1 << 64) for k in range(b - a)], np.uint64)
-            extra[i] = (h[a:b] * mult).sum(dtype=np.uint64) + np.uint64((b - a) * 0x632BE59BD9B4E019 & _MASK)
+            extra[i] = (int((h[a:b] * mult).sum(dtype=np.uint64)) + int(b - a) * 0x632BE59BD9B4E019) & _MASK
         keys, texts = np.concatenate((keys, mix(extra))), np.concatenate((texts, short))
-    order = np.lexsort((keys, texts))
-    keys, texts = keys[order], texts[order]
+    if len(short):
+        order = np.argsort(texts, kind="stable")
+        keys, texts = keys[order], texts[order]
+    bounds = np.searchsorted(texts, np.arange(words.n_texts + 1))
+    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if j - i > 1:
+            keys[i:j].sort()
     if len(keys):
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
@@ -161,6 +166,18 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, texts
 
 
+def chunks(texts: list, limit: int = 4 << 20):
+    """(from, to) ranges of texts that hold about limit bytes each, so that the arrays made from a chunk stay small."""
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t) if t is not None else 0
+        if held >= limit or i - at >= 20_000:
+            yield at, i + 1
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def text_bytes(column) -> list[bytes | None]:
     """An Arrow string column as byte strings."""
     import pyarrow as pa
