@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, quality
+from . import ngram_join, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+    "op5_simhash_fingerprints": simhash.op5_simhash_fingerprints,
     "op7_quality_rules": quality.op7_quality_rules,
 }
 

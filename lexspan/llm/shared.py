@@ -130,7 +130,11 @@ class Words:
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's distinct width-word shingles, sorted within the text, and the text of each.
+    return counted_shingles(words, width)[:2]
+
+
+def counted_shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct width-word shingles, sorted within the text, the text of each, and how often it has it.
 
     A text with fewer words has its whole sequence as its one shingle, one without words has none.
     """
@@ -162,8 +166,9 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     if len(keys):
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
-        keys, texts = keys[new], texts[new]
-    return keys, texts
+        at = np.flatnonzero(new)
+        return keys[new], texts[new], np.diff(np.r_[at, len(keys)])
+    return keys, texts, np.zeros(0, np.int64)
 
 
 def chunks(texts: list, limit: int = 4 << 20):
@@ -178,6 +183,27 @@ def chunks(texts: list, limit: int = 4 << 20):
         yield at, len(texts)
 
 
+LEAST_ID = -(1 << 63)
+
+
+def range_parts(df: DataFrame, key: str, n: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """df with _k (key, null as the least long) and _part, a number that ascends with _k; and (part, least _k) of the parts that have rows.
+
+    The bounds are n - 1 quantiles, so the parts are about equal; equal keys share a part. The driver gets 2n numbers.
+    """
+    k = df.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(LEAST_ID)))
+    cuts = k.agg(F.percentile_approx("_k", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] if n > 1 else None
+    cuts = sorted(set(cuts or []))
+    part = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("_k"))) if cuts else F.lit(0)
+    out = k.withColumn("_part", part.cast("int"))
+    found = out.groupBy("_part").agg(F.min("_k")).collect()
+    return out, sorted((r[0], r[1]) for r in found)
+
+
+def n_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def text_bytes(column) -> list[bytes | None]:
     """An Arrow string column as byte strings."""
     import pyarrow as pa
