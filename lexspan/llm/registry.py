@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, quality, simhash
+from . import ngram_join, quality, simhash, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+    "op4_token_files": token_files.op4_token_files,
     "op5_simhash_fingerprints": simhash.op5_simhash_fingerprints,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
