@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Words, checkpoint, chunks, mix, shingles, table, text_bytes
+from .shared import Words, checkpoint, chunks, mix, shingles, small_batches, table, text_bytes
 
 WIDTH, P, Q = 5, 80, 100
 #: Pairs of key and set for one group of the block join; the number of groups follows the input.
-GROUP = 1_500_000
+GROUP = 500_000
 #: A block with more sets than this within one task becomes a star there.
 LOCAL_STAR = 16
 #: Up to so many ids are sent to all executors (8 bytes each); more are joined by a shuffle.
@@ -172,7 +172,7 @@ def _dealer(n_groups: int):
                 out, owner = block_keys(keys[pick], of[pick], j - i)
                 held.append((out, h[owner].view(np.int64)))
                 n_held += len(out)
-                if n_held > 2_000_000:
+                if n_held > 1_000_000:
                     yield flush()
                     seen.clear()
         if n_held:
@@ -215,7 +215,7 @@ def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ta, tb = text_bytes(batch.column(2)), text_bytes(batch.column(3))
-        for i, j in chunks([x + y for x, y in zip(ta, tb, strict=True)]):
+        for i, j in chunks([max(x, y, key=len) for x, y in zip(ta, tb, strict=True)]):
             n = j - i
             keys, of = shingles(Words(ta[i:j] + tb[i:j], lower=True), WIDTH)
             size = np.bincount(of, minlength=2 * n)
@@ -231,6 +231,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with doc_id and text: (doc_id, n_shingles, component_id) for each row."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     prof = checkpoint(docs.mapInArrow(profile, "doc_id long, n long, h long, s0 long, s1 long, s2 long, s3 long"))
     linked = prof.where("n > 0 and doc_id is not null")

@@ -14,10 +14,22 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch: long texts must not fill a Python worker.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches at BATCH_ROWS rows, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -171,7 +183,7 @@ def counted_shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray,
     return keys, texts, np.zeros(0, np.int64)
 
 
-def chunks(texts: list, limit: int = 4 << 20):
+def chunks(texts: list, limit: int = 1 << 20):
     """(from, to) ranges of texts that hold about limit bytes each, so that the arrays made from a chunk stay small."""
     at, held = 0, 0
     for i, t in enumerate(texts):

@@ -106,7 +106,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
         held.append(row)
         size += len(row[1])
-        if size > 4 << 20:
+        if size > 2 << 20:
             yield flush()
             size = 0
     if held:
