@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, quality, simhash, token_files, warc
+from . import ngram_join, quality, simhash, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op4_token_files": token_files.op4_token_files,
     "op5_simhash_fingerprints": simhash.op5_simhash_fingerprints,
