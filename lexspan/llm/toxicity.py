@@ -34,6 +34,8 @@ BLOCK = 64
 #: How fast a vote fades with cosine distance, and the weight of the prior among the votes.
 FADE, PRIOR_WEIGHT = 0.1, 0.5
 GRAMS = (4, 6)
+#: A term is kept only if so large a share of the sampled texts that have it are toxic.
+LEAST_SHARE = 0.3
 FOLDS = 5
 
 
@@ -134,7 +136,7 @@ def choose_terms(examples: DataFrame, n: int, n_toxic: int) -> np.ndarray:
     b, c, d = m - a, F.lit(float(n_toxic)) - a, F.lit(float(n - n_toxic)) - (m - a)
     p = n_toxic / n
     ratio = 2 * (part(a, m * p) + part(b, m * (1 - p)) + part(c, (n - m) * p) + part(d, (n - m) * (1 - p)))
-    best = both.where(a > m * p).select("term", ratio.alias("g")).orderBy(F.desc("g"), "term").limit(TERMS)
+    best = both.where(a > m * max(p, LEAST_SHARE)).select("term", ratio.alias("g")).orderBy(F.desc("g"), "term").limit(TERMS)
     bar = 2 * np.log(max(2, n)) + 20
     return np.array([r["term"] for r in best.where(F.col("g") > bar).collect()], np.int64).view(np.uint64)
 
