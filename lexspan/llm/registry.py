@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, quality, simhash, token_files, toxicity, warc
+from . import chat, ngram_join, packing, quality, simhash, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+    "op3_chat_format": chat.op3_chat_format,
     "op4_token_files": token_files.op4_token_files,
     "op5_simhash_fingerprints": simhash.op5_simhash_fingerprints,
+    "op6_length_buckets": packing.op6_length_buckets,
     "op7_quality_rules": quality.op7_quality_rules,
     "op10_warc": warc.op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE}
