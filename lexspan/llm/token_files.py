@@ -18,12 +18,14 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,7 @@ from .shared import LEAST_ID, empty_text, fresh_dir, mix, n_parts, range_parts,
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Distinct words that a task keeps encoded.
-CACHE = 400_000
+CACHE = 600_000
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -43,16 +45,63 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Texts to ids of a tokenizer that drops white space, word by word."""
+    """Texts to ids of a tokenizer that drops white space, word by word.
+
+    New words are encoded many at a time: each piece that the tokenizer's own rule cuts from a word ends in one token that
+    carries the end-of-word mark, so the ids of a run of words fall apart again by counting pieces.
+    """
+
+    _opened: dict[str, Encoder] = {}
+
+    @classmethod
+    def open(cls, path: str) -> Encoder:
+        """One for each Python worker; what it knows serves the worker's later tasks."""
+        if path not in cls._opened:
+            cls._opened[path] = cls(path)
+        return cls._opened[path]
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
+        with open(path, encoding="utf-8") as f:
+            rule = json.load(f)
+        self.special = [t["content"] for t in rule["added_tokens"]]
+        mark = rule["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(size, bool)
+        self.piece = None
+        if mark:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(mark)]] = True
+            found = [p["pattern"]["Regex"] for p in rule["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"]
+            self.piece = regex.compile(found[0]) if len(found) == 1 else None
+
+    def _pieces(self, word: str) -> int:
+        return len(self.piece.findall(unicodedata.normalize("NFC", word).lower()))
+
+    def _learn(self, words: list[str]) -> None:
+        alone = words
+        if self.piece is not None:
+            alone = [w for w in words if any(s in w for s in self.special)]
+            words = [w for w in words if not alone or not any(s in w for s in self.special)]
+            runs = [words[i : i + 500] for i in range(0, len(words), 500)]
+            for run, e in zip(runs, self.tokenizer.encode_batch([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.kind)
+                last = np.flatnonzero(self.ends[ids])
+                pieces = np.cumsum([self._pieces(w) for w in run])
+                if not len(last) or pieces[-1] != len(last):
+                    alone.extend(run)
+                    continue
+                cut = [0, *np.where(pieces > 0, last[np.maximum(pieces, 1) - 1] + 1, 0).tolist()]
+                raw = ids.tobytes()
+                for w, i, j in zip(run, cut[:-1], cut[1:], strict=True):
+                    self.known[w] = raw[i * self.width : j * self.width]
+        for w, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
@@ -60,10 +109,8 @@ class Encoder:
         if len(self.known) + len(new) > CACHE:
             self.known = {"": b""}
             new = list({w for ws in words for w in ws if w})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
+        if new:
+            self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
@@ -163,7 +210,7 @@ def _writer(uri: str, path: str, end: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(_part, doc_id, text) sorted by part and key; each part to a shard, one row of the manifest for it."""
         at, root = fs.FileSystem.from_uri(uri)
-        encoder = Encoder(path)
+        encoder = Encoder.open(path)
         tail = np.array([end], encoder.kind).tobytes()
         part, out, temp = None, None, ""
         keys: list[int | None] = []
