@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ngram_join, packing, quality, simhash, token_files, toxicity, warc
+from . import chat, html_text, ngram_join, packing, quality, simhash, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_fingerprints": simhash.op5_simhash_fingerprints,
     "op6_length_buckets": packing.op6_length_buckets,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_html_text": html_text.op8_html_text,
     "op10_warc": warc.op10_warc,
 }
 
