@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, ngram_join, packing, quality, simhash, token_files, toxicity, warc
+from . import chat, html_text, ngram_join, packing, quality, sampling, simhash, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_length_buckets": packing.op6_length_buckets,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_html_text": html_text.op8_html_text,
+    "op9_sampled_segmentations": sampling.op9_sampled_segmentations,
     "op10_warc": warc.op10_warc,
 }
 
