@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .operators import bookkeeping, conversation, crossrefs, entities, evaluation, graph, parsing, relationships, retrieval, stores  # noqa: F401  they register themselves
+from .registry import ORACLES, QUERIES  # noqa: F401
+from .sources import loaders  # noqa: F401
+from .streaming import progress  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "ret_20_cited_context"
