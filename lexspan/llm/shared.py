@@ -153,7 +153,7 @@ def counted_shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray,
     h, counts = words.hashes(), words.counts
     total = np.zeros(len(h), np.uint64)
     if len(h):
-        for k in range(width):  # order matters: each place has its own multiplier
+        for k in range(min(width, len(h))):  # order matters: each place has its own multiplier
             inside = h[k:] * np.uint64(pow(_BASE, 3 * k + 1, 1 << 64))
             total[: len(h) - k] += inside
     whole = counts >= width
