@@ -20,7 +20,7 @@ def events_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def progress(events: DataFrame, late: str = "10 minutes", window: str = "1 day") -> DataFrame:
     """Events by day and type; a watermark closes windows and drops state. Runs alike on a stream and a table."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def follow(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
