@@ -83,6 +83,6 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
 
     spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3).write.parquet(str(tmp_path / "in"))
     got = {}
-    q = S.follow(S.progress(S.events_stream(spark, str(tmp_path / "in"))), lambda d, _: got.update({(r["start"], r["event_type"]): r["n"] for r in d.collect()}), str(tmp_path / "check"))
+    q = S.follow(S.progress(S.events_stream(spark, str(tmp_path / "in")), late="60 days"), lambda d, _: got.update({(r["start"], r["event_type"]): r["n"] for r in d.collect()}), str(tmp_path / "check"))
     assert q.awaitTermination(120)
     assert got == {(r["start"], r["event_type"]): r["n"] for r in S.progress(spark.read.parquet(str(tmp_path / "in"))).collect()}
