@@ -3,14 +3,15 @@
 A text's segmentations into a model's pieces are the paths of a lattice; a path's probability is proportional to the product
 of its pieces' weights, 1 / (rank + 3) ** theta with the rank that the model's scores give (byte pieces: the last rank). Pieces never cross
 from one word to the next, so the lattice is a chain of word lattices, whose edges get conditional log-probabilities
-from a backward pass once for each distinct word.
+from a backward pass once for each distinct word of a batch; pieces are looked up by 64-bit hashes.
 
-Sampling is an A-star search over prefixes ordered by perturbed log-probability. The root's value is a Gumbel variate; the
-children's values are Gumbel variates conditioned on the greatest being the parent's. So the best child keeps the parent's value
-and the search runs straight down to a full segmentation; along that path all siblings join the frontier, and the next sample
-starts at the frontier's best. Paths are drawn for all words of a batch of texts at a time. The k best leaves are a sample of k
-distinct segmentations without replacement; an inclusion score is the chance that a segmentation's value exceeds the
-frontier's best after the last draw.
+Sampling is an A-star search over prefixes ordered by perturbed log-probability. The root's value is a Gumbel variate. A child
+has its parent's value with the child's own probability; the siblings' greatest value is then a Gumbel variate cut off at the
+parent's. So the search runs straight down a drawn path to a full segmentation; at each step the siblings join the frontier as
+one node with that greatest value, and the next sample starts at the frontier's best. A node of siblings that is opened gives one
+child its value and goes back with the rest. Paths are drawn for all words of a batch of texts at a time. The k best leaves are a
+sample of k distinct segmentations without replacement; an inclusion score is the chance that a segmentation's value exceeds
+the frontier's best after the last draw.
 
 Noise is a hash of the row's key and the place in the lattice, so results don't depend on batches or partitions.
 
@@ -24,7 +25,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,9 @@ from .shared import chunks, mix, table
 MODEL = "piece_bpe_32k.model"
 SAMPLES = 2
 BLANK = "▁"
-#: Distinct words whose lattices a worker keeps.
-CACHE = 250_000
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _U = np.uint64
+_STEP = 0x9E3779B97F4A7C15
 
 
 def model_path(name: str = MODEL) -> str:
@@ -77,39 +76,74 @@ class Pieces:
             worst = min(worst, self.weight[piece])
         self.byte_weight = worst
         self.longest = max(map(len, self.ids))
+        self.by_length = {}
+        for n in range(1, self.longest + 1):
+            own = [p for p in self.ids if len(p) == n]
+            if own:
+                h = np.zeros(len(own), _U)
+                points = np.array([[ord(c) for c in p] for p in own], np.int64)
+                for k in range(n):
+                    h = h * _U(_STEP) + points[:, k].astype(_U) + _U(1)
+                keys = mix(h)
+                order = np.argsort(keys)
+                may = np.zeros(1 << 18, bool)
+                may[(keys >> _U(46)).astype(np.int64)] = True
+                self.by_length[n] = (keys[order], np.array([self.ids[own[x]] for x in order], np.int64), np.array([self.weight[own[x]] for x in order]), may)
         self.text = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.byte_id.items()}
-        self.known: dict[str, tuple[bytes, bytes, bytes, bytes, int]] = {}
-
-    def lattice(self, word: str) -> tuple[bytes, bytes, bytes, bytes, int]:
-        """Of a word: (out-degrees by node, and by edge: to-node, piece id or -1 - code point, conditional log-probability; nodes)."""
-        n = len(word)
-        back = [0.0] * (n + 1)
-        degree, to, ids, logs = [], [], [], []
-        get, longest, weight = self.ids.get, self.longest, self.weight
-        for i in range(n - 1, -1, -1):
-            e_to, e_id, e_w = [], [], []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                k = get(word[i:j])
-                if k is not None:
-                    e_to.append(j)
-                    e_id.append(k)
-                    e_w.append(weight[word[i:j]] + back[j])
-            if not e_to or e_to[0] != i + 1:  # a character that isn't a piece goes as its bytes
-                e_to.insert(0, i + 1)
-                e_id.insert(0, -1 - ord(word[i]))
-                e_w.insert(0, self.byte_weight * len(word[i].encode("utf-8", "surrogatepass")) + back[i + 1])
-            if len(e_w) == 1:
-                back[i] = e_w[0]
-                logs.append([0.0])
-            else:
-                top = max(e_w)
-                back[i] = top + log(sum([exp(w - top) for w in e_w]))
-                logs.append([w - back[i] for w in e_w])
-            degree.append(len(e_to))
-            to.append(e_to)
-            ids.append(e_id)
-        flat = lambda parts, kind: np.array([x for p in reversed(parts) for x in p], kind).tobytes()
-        return np.array(degree[::-1] + [0], np.int32).tobytes(), flat(to, np.int32), flat(ids, np.int32), flat(logs, np.float64), n + 1
+
+    def lattices(self, words: list[str]):
+        """The lattices of distinct words: (nodes of each word, out-degree of each node, and by edge the to-node, the piece id or -1 - code point, the conditional
+        log-probability). A word of n characters has n + 1 nodes, one after another; a node's edges stand together, the shortest first."""
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        length = np.array([len(w) for w in words], np.int64)
+        number = np.repeat(np.arange(len(words)), length)
+        place = np.arange(len(points))
+        ahead = np.cumsum(length)[number] - place  # characters from here to the word's end
+        h = np.zeros(len(points), _U)
+        found = []
+        for n in range(1, self.longest + 1):
+            at = np.flatnonzero(ahead >= n)
+            if not len(at):
+                break
+            h[at] = h[at] * _U(_STEP) + points[at + n - 1].astype(_U) + _U(1)
+            if n in self.by_length:
+                keys, ids, weights, may = self.by_length[n]
+                mixed = mix(h[at])
+                maybe = np.flatnonzero(may[(mixed >> _U(46)).astype(np.int64)])
+                spot = np.minimum(np.searchsorted(keys, mixed[maybe]), len(keys) - 1)
+                ok = keys[spot] == mixed[maybe]
+                found.append((at[maybe[ok]], n, ids[spot[ok]], weights[spot[ok]]))
+            if n == 1:  # a character that isn't a piece goes as its bytes
+                lone = np.ones(len(points), bool)
+                if found:
+                    lone[found[0][0]] = False
+                lone = np.flatnonzero(lone)
+                c = points[lone]
+                found.append((lone, 1, -1 - c, self.byte_weight * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))))
+        node = place + number
+        n_nodes = len(points) + len(words)
+        degree = np.bincount(np.concatenate([node[at] for at, *_ in found]) if found else np.zeros(0, np.int64), minlength=n_nodes)
+        first = np.cumsum(degree) - degree
+        filled = first.copy()
+        to, ids, weight = np.zeros(int(degree.sum()), np.int64), np.zeros(int(degree.sum()), np.int64), np.zeros(int(degree.sum()))
+        for at, n, i, w in found:
+            spot = filled[node[at]]
+            to[spot], ids[spot], weight[spot] = node[at] + n, i, w
+            filled[node[at]] += 1
+        back, logs = np.zeros(n_nodes), np.zeros(len(to))
+        order = np.argsort(ahead, kind="stable")
+        cut = np.searchsorted(ahead[order], np.arange(1, int(length.max(initial=0)) + 2))
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            own = node[order[i:j]]
+            d = degree[own]
+            begin = np.cumsum(d) - d
+            of = np.repeat(np.arange(len(own)), d)
+            edge = np.arange(len(of)) - begin[of] + first[own][of]
+            value = weight[edge] + back[to[edge]]
+            top = np.maximum.reduceat(value, begin)
+            back[own] = top + np.log(np.add.reduceat(np.exp(value - top[of]), begin))
+            logs[edge] = value - back[own][of]
+        return length + 1, degree, to, ids, np.minimum(logs, 0.0)
 
     def expand(self, ids: np.ndarray) -> np.ndarray:
         """Real ids: each -1 - code point gives way to its bytes' ids."""
@@ -138,11 +172,10 @@ def _gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(u))
 
 
-def _held(value: np.ndarray, g: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Gumbel variates g with greatest z, conditioned on the greatest being value."""
-    with np.errstate(divide="ignore"):
-        v = value - g + np.log1p(-np.exp(np.minimum(g - z, 0)))
-    return value - np.maximum(0, v) - np.log1p(np.exp(-np.abs(v)))
+def _cut_off(phi: np.ndarray, value: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Gumbel variates at phi (from exponential variates e), conditioned to be below value."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(np.isneginf(phi), -np.inf, phi - np.log(np.exp(phi - value) + e))
 
 
 class Batch:
@@ -153,21 +186,15 @@ class Batch:
         words = [_WORD.findall(BLANK + t.replace(" ", BLANK)) for t in texts]
         number: dict[str, int] = {}
         flat = [number.setdefault(w, len(number)) for ws in words for w in ws]
-        known = pieces.known
-        if len(known) + len(number) > CACHE:
-            known.clear()
-        found = []
-        for w in number:
-            x = known.get(w)
-            if x is None:
-                x = known[w] = pieces.lattice(w)
-            found.append(x)
-        degree, to, ids, logs = (np.frombuffer(b"".join([x[k] for x in found]), kind) for k, kind in enumerate((np.int32, np.int32, np.int32, np.float64)))
-        base = np.cumsum([0, *[x[4] for x in found]])[:-1]
+        size, degree, self.to, self.ids, self.logs = pieces.lattices(list(number))
+        base = np.cumsum(size) - size
         self.first_edge = np.concatenate(([0], np.cumsum(degree)))
-        node_base = np.repeat(base, [x[4] for x in found])
-        self.to = to + np.repeat(node_base, degree)
-        self.ids, self.logs = ids, logs
+        self.p = np.exp(self.logs)
+        with np.errstate(divide="ignore"):
+            self.log_rest = np.log(-np.expm1(self.logs))  # of a node's other edges together
+        node = np.repeat(np.arange(len(degree)), degree)
+        run = np.cumsum(self.p)
+        self.ladder = node + (run - (run - self.p)[self.first_edge[node]] if len(run) else run)  # ascends from node to node + 1
         self.word = np.array(flat, np.int64)
         self.start = base[self.word]
         self.count = np.array([len(w) for w in words])
@@ -178,114 +205,110 @@ class Batch:
         self.word_seed = mix(self.seed[self.doc] + place.astype(_U) * _U(0xA0761D6478BD642F))
 
     def run(self, draw: int, words: np.ndarray, node: np.ndarray, step0: np.ndarray):
-        """Draws paths for the given words from the given nodes. Returns what each step saw: chosen (word, step, edge) and siblings (word, step, edge, prefix in the word, g, z)."""
-        chosen, siblings = [], []
+        """Draws a path for each of the words (ascending) from its node on. Returns, in the order of words and steps, arrays (word, step, edge, log-probability within
+        the word before the edge, exponential variate for the other edges)."""
+        parts = []
         ahead = np.zeros(len(words))
-        at = np.arange(len(words))
-        step = step0.copy()
+        at, step = np.arange(len(words)), step0.copy()
+        steps = np.zeros(len(words), np.int64)
+        node = node.copy()
         while True:
             lo, hi = self.first_edge[node[at]], self.first_edge[node[at] + 1]
             live = hi > lo
-            at, lo, hi = at[live], lo[live], hi[live]
+            at, hi = at[live], hi[live]
             if not len(at):
                 break
-            n = hi - lo
-            begin = np.concatenate(([0], np.cumsum(n)[:-1]))
-            of = np.repeat(np.arange(len(at)), n)
-            edge = np.arange(len(of)) - begin[of] + lo[of]
-            u = _uniform(self.word_seed[words[at]][of], step[at][of] + 1, edge - lo[of] + 1, draw + 1)
-            g = self.logs[edge] + _gumbel(u)
-            z = np.maximum.reduceat(g, begin)
-            best = g == z[of]
-            pick = np.flatnonzero(best)
-            pick = pick[np.concatenate(([True], of[pick][1:] != of[pick][:-1]))] if len(pick) > len(at) else pick
-            rest = np.ones(len(of), bool)
-            rest[pick] = False
-            r = np.flatnonzero(rest)
-            chosen.append((words[at], step[at].copy(), edge[pick]))
-            siblings.append((words[at][of[r]], step[at][of[r]], edge[r], ahead[at][of[r]], g[r], z[of[r]]))
-            ahead[at] += self.logs[edge[pick]]
+            seed, here = self.word_seed[words[at]], step[at]
+            u = _uniform(seed, here + 1, draw + 1, 1)
+            edge = np.minimum(np.searchsorted(self.ladder, node[at] + u, "right"), hi - 1)
+            parts.append((at, here, edge, ahead[at], -np.log(_uniform(seed, here + 1, draw + 1, 2))))
+            ahead[at] += self.logs[edge]
+            node[at] = self.to[edge]
             step[at] += 1
-            node[at] = self.to[edge[pick]]
-        join = lambda parts, width: [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(width)]
-        return join(chosen, 3), join(siblings, 6), ahead
+            steps[at] += 1
+        begin = np.cumsum(steps) - steps
+        out = [np.zeros(int(steps.sum()), k) for k in (np.int64, np.int64, np.int64, np.float64, np.float64)]
+        for at, here, *rest in parts:
+            spot = begin[at] + here - step0[at]
+            for o, x in zip(out, (words[at], here, *rest), strict=True):
+                o[spot] = x
+        return (*out, ahead)
 
     def samples(self, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k samples (ids, log-probability, perturbed value, inclusion), best first."""
         n = self.n
         value = _gumbel(_uniform(self.seed, 1, 2, 3))  # of each text's root
-        paths: list[list[np.ndarray]] = [[] for _ in range(n)]  # rows (word, step, edge) of each sample
-        values: list[list[float]] = [[] for _ in range(n)]
-        frontier: list[list[tuple[float, int, int, int, int]]] = [[] for _ in range(n)]  # (value, sample, word, step, edge)
-        docs = np.arange(n)
-        words, node, step0 = np.arange(len(self.word)), self.start.copy(), np.zeros(len(self.word), np.int64)
-        prefix = [np.zeros((0, 3), np.int64)] * n
+        paths: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(n)]  # (word, step, edge) arrays of each sample
+        told: list[list[tuple[float, float]]] = [[] for _ in range(n)]  # (log-probability, value)
+        frontier: list[list[tuple]] = [[] for _ in range(n)]  # (value, sample, word, step, edges taken, log-probability before)
+        docs, words, node, step0 = np.arange(n), np.arange(len(self.word)), self.start, np.zeros(len(self.word), np.int64)
+        before = np.zeros(n)  # log-probability of each text's fixed prefix
+        prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for draw in range(k):
-            chosen, sib, _ = self.run(draw, words, node.copy(), step0)
-            order = np.lexsort((chosen[1], chosen[0]))
-            rows = np.stack([c[order] for c in chosen], axis=1) if len(order) else np.zeros((0, 3), np.int64)
-            cut = np.searchsorted(rows[:, 0], self.first_word)
-            # log-probability of what lies before each word: the drawn paths, and for a text's branch word its prefix
+            w, step, edge, inside, e, whole = self.run(draw, words, node, step0)
+            d_word = self.doc[words]
+            total = np.cumsum(whole) - whole
+            new = np.flatnonzero(np.r_[True, d_word[1:] != d_word[:-1]]) if len(words) else np.zeros(0, np.int64)
             spent = np.zeros(len(self.word))
-            for d in docs.tolist():
-                mine = np.concatenate((prefix[d], rows[cut[d] : cut[d + 1]]))
-                paths[d].append(mine)
-                values[d].append(float(value[d]))
-                if len(mine):
-                    a, b = self.first_word[d], self.first_word[d + 1]
-                    total = np.bincount(mine[:, 0] - a, weights=self.logs[mine[:, 2]], minlength=b - a)
-                    spent[a:b] = np.cumsum(total) - total
-            if len(sib[0]):
-                w, step, edge, ahead, g, z = sib
-                b = spent[w] + ahead + self.branch_ahead(prefix, w)
-                up = value[self.doc[w]]
-                got = _held(up, b + g, b + z)
-                d = self.doc[w]
-                order = np.lexsort((-got, d))
-                d_sorted = d[order]
-                rank = np.arange(len(order)) - np.searchsorted(d_sorted, d_sorted)
-                for i in order[rank < k + 1 - draw].tolist():
-                    frontier[d[i]].append((float(got[i]), draw, int(w[i]), int(step[i]), int(edge[i])))
+            spent[words] = total - np.repeat(total[new], np.diff(np.r_[new, len(words)])) + before[d_word]
+            cut = np.searchsorted(w, np.stack([self.first_word[docs], self.first_word[docs + 1]]))
+            drawn = np.bincount(self.doc[w], weights=self.logs[edge], minlength=n)
+            for d, i, j in zip(docs.tolist(), *cut.tolist(), strict=True):
+                mine = (w[i:j], step[i:j], edge[i:j])
+                paths[d].append(tuple(np.concatenate(x) for x in zip(prefix[d], mine, strict=True)) if d in prefix else mine)
+                told[d].append((float(before[d] + drawn[d]), float(value[d])))
+            ahead = spent[w] + inside
+            d = self.doc[w]
+            left = _cut_off(ahead + self.log_rest[edge], value[d], e)
+            for _ in range(k - draw):  # of a path's frontier no more than these can be opened or be the bar
+                best = np.full(n, -np.inf)
+                np.maximum.at(best, d, left)
+                top = np.flatnonzero((left == best[d]) & (left > -np.inf))
+                for i in top[np.unique(d[top], return_index=True)[1]].tolist():
+                    frontier[d[i]].append((float(left[i]), draw, int(w[i]), int(step[i]), (int(edge[i]),), float(ahead[i])))
+                    left[i] = -np.inf
             if draw == k - 1:
                 break
-            go = []
+            go, parts = [], []
+            value, before = value.copy(), before.copy()
             for d in docs.tolist():
                 if frontier[d]:
                     best = max(range(len(frontier[d])), key=lambda i: frontier[d][i][0])
-                    go.append((d, frontier[d].pop(best)))
-            docs = np.array([d for d, _ in go], np.int64)
-            if not len(docs):
+                    go.append(d)
+                    parts.append(self._open(d, frontier[d].pop(best), draw, paths, frontier, prefix, value, before))
+            if not go:
                 break
-            value = value.copy()
-            parts_w, parts_n, parts_s = [], [], []
-            for d, (v, s, w, step, edge) in go:
-                value[d] = v
-                old = paths[d][s]
-                stay = (old[:, 0] < w) | (old[:, 0] == w) & (old[:, 1] < step)
-                prefix[d] = np.concatenate((old[stay], [[w, step, edge]]))
-                tail = np.arange(w, self.first_word[d + 1])
-                parts_w.append(tail)
-                parts_n.append(np.concatenate(([self.to[edge]], self.start[tail[1:]])))
-                parts_s.append(np.concatenate(([step + 1], np.zeros(len(tail) - 1, np.int64))))
-            words, node, step0 = np.concatenate(parts_w), np.concatenate(parts_n), np.concatenate(parts_s)
+            docs = np.array(go, np.int64)
+            words, node, step0 = (np.concatenate(x) for x in zip(*parts, strict=True))
         out = []
         for d in range(n):
             bar = max((f[0] for f in frontier[d]), default=-np.inf)
-            mine = []
-            for rows, v in zip(paths[d], values[d], strict=True):
-                log_p = float(self.logs[rows[:, 2]].sum()) if len(rows) else 0.0
-                mine.append((self.pieces.expand(self.ids[rows[:, 2]]), log_p, v, float(-np.expm1(-np.exp(log_p - bar))) if bar > -np.inf else 1.0))
-            out.append(mine)
+            out.append([(self.pieces.expand(self.ids[path[2]]), log_p, v, float(-np.expm1(-np.exp(log_p - bar))) if bar > -np.inf else 1.0) for path, (log_p, v) in zip(paths[d], told[d], strict=True)])
         return out
 
-    def branch_ahead(self, prefix: list[np.ndarray], w: np.ndarray) -> np.ndarray:
-        """For siblings in a text's branch word: the log-probability of the word's prefix."""
-        extra = np.zeros(len(self.word))
-        for p in prefix:
-            if len(p):
-                last = p[-1, 0]
-                extra[last] = self.logs[p[p[:, 0] == last, 2]].sum()
-        return extra[w]
+    def _open(self, d: int, best: tuple, draw: int, paths, frontier, prefix, value, before):
+        """Opens a node of siblings: one of them gets its value and becomes the text's prefix, the rest goes back. Returns the words, nodes and steps to go on from."""
+        v, sample, w, step, taken, ahead = best
+        word, steps, edges = paths[d][sample]
+        at = int(np.searchsorted(word, w)) + step - int(steps[np.searchsorted(word, w)])
+        lo, hi = (int(x) for x in self._edges_beside(taken[0]))
+        free = [x for x in range(lo, hi) if x not in taken]
+        weight = self.p[free]
+        u = _uniform(self.seed[d : d + 1], w - self.first_word[d] + 1, step + 1, draw + 1)
+        pick = free[min(int(np.searchsorted(np.cumsum(weight), u[0] * weight.sum(), "right")), len(free) - 1)]
+        value[d], before[d] = v, ahead + self.logs[pick]
+        if len(free) > 1:
+            rest = ahead + np.log(sum(self.p[x] for x in free if x != pick))
+            e = -np.log(_uniform(self.seed[d : d + 1], w - self.first_word[d] + 1, step + 1, draw + 1 + 7919))
+            frontier[d].append((float(_cut_off(np.array([rest]), np.array([v]), e)[0]), sample, w, step, (*taken, pick), ahead))
+        prefix[d] = tuple(np.append(x[:at], y) for x, y in zip((word, steps, edges), (w, step, pick), strict=True))
+        tail = np.arange(w, self.first_word[d + 1])
+        return tail, np.concatenate(([self.to[pick]], self.start[tail[1:]])), np.concatenate(([step + 1], np.zeros(len(tail) - 1, np.int64)))
+
+    def _edges_beside(self, edge: int) -> tuple[int, int]:
+        """The edges of the node that an edge leaves."""
+        node = int(np.searchsorted(self.first_edge, edge, "right")) - 1
+        return self.first_edge[node], self.first_edge[node + 1]
 
 
 _SCHEMA = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_probability double, perturbed double, inclusion double"
