@@ -57,9 +57,9 @@ _CTES = {
         FROM (SELECT *, row_number() OVER (PARTITION BY file_id, section_id ORDER BY length(content) DESC, pos) AS n, min(pos) OVER (PARTITION BY file_id, section_id) AS first_pos FROM raw_sections) WHERE n = 1""",
     "files": f"""
         SELECT source AS conv, 'f' || doc_id AS file_id, doc_id,
-               ['Framework Agreement ', 'Work Order ', 'Addendum ', 'Termination Notice ', 'Policy '][doc_id % 5 + 1] || doc_id AS file_name,
-               ['master_agreement', 'transaction', 'modification', 'termination', 'standalone'][doc_id % 5 + 1] AS role,
-               {role_rank("['master_agreement', 'transaction', 'modification', 'termination', 'standalone'][doc_id % 5 + 1]")} AS role_rank,
+               ['Framework Agreement ', 'Work Order ', 'Addendum ', 'Termination Notice ', 'Policy '][doc_id // 20 % 5 + 1] || doc_id AS file_name,
+               ['master_agreement', 'transaction', 'modification', 'termination', 'standalone'][doc_id // 20 % 5 + 1] AS role,
+               {role_rank("['master_agreement', 'transaction', 'modification', 'termination', 'standalone'][doc_id // 20 % 5 + 1]")} AS role_rank,
                CASE WHEN doc_id % 11 <> 0 THEN strftime(DATE '2020-01-01' + CAST(doc_id % 1500 AS INTEGER), '%Y-%m-%d') END AS effective_date,
                'person ' || (doc_id % 40) AS person, 'The ' || upper(lang) || ' Holdings Ltd' AS org FROM documents""",
     "crossrefs": f"""
