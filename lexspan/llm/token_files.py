@@ -34,7 +34,7 @@ from .shared import LEAST_ID, empty_text, fresh_dir, mix, n_parts, range_parts,
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Distinct words that a task keeps encoded.
-CACHE = 600_000
+CACHE = 900_000
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -89,7 +89,7 @@ class Encoder:
             alone = [w for w in words if any(s in w for s in self.special)]
             words = [w for w in words if not alone or not any(s in w for s in self.special)]
             runs = [words[i : i + 500] for i in range(0, len(words), 500)]
-            for run, e in zip(runs, self.tokenizer.encode_batch([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, self.kind)
                 last = np.flatnonzero(self.ends[ids])
                 pieces = np.cumsum([self._pieces(w) for w in run])

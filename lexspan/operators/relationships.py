@@ -45,16 +45,16 @@ def best_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 MASTER_CHILD = """
     SELECT f.conv, f.file_id AS from_file, f.role AS from_role, m.file_id AS to_file, m.file_id IS NOT NULL AS resolved FROM files f
     JOIN (SELECT DISTINCT conv FROM files WHERE role = 'master_agreement') c USING (conv)
-    LEFT JOIN (SELECT conv, file_id, doc_id % 4 AS ident, row_number() OVER (PARTITION BY conv, doc_id % 4 ORDER BY doc_id) AS n FROM files WHERE role = 'master_agreement') m ON m.conv = f.conv AND m.ident = f.doc_id % 4 AND m.n = 1
+    LEFT JOIN (SELECT conv, file_id, doc_id % 13 AS ident, row_number() OVER (PARTITION BY conv, doc_id % 13 ORDER BY doc_id) AS n FROM files WHERE role = 'master_agreement') m ON m.conv = f.conv AND m.ident = f.doc_id % 13 AND m.n = 1
     WHERE f.role IN ('transaction', 'modification')"""
 
 
 def master_child(files: DataFrame) -> DataFrame:
     """Each transaction and modification with the first master that has the identifier it names; unresolved without one (REL-06)."""
     masters = files.where("role = 'master_agreement'")
-    first = masters.groupBy("conv", F.expr("doc_id % 4").alias("ident")).agg(F.min_by("file_id", "doc_id").alias("to_file"))
+    first = masters.groupBy("conv", F.expr("doc_id % 13").alias("ident")).agg(F.min_by("file_id", "doc_id").alias("to_file"))
     some = masters.select("conv").distinct()
-    kids = files.where("role in ('transaction', 'modification')").join(some, "conv", "left_semi").withColumn("ident", F.expr("doc_id % 4"))
+    kids = files.where("role in ('transaction', 'modification')").join(some, "conv", "left_semi").withColumn("ident", F.expr("doc_id % 13"))
     return kids.join(first, ["conv", "ident"], "left").select("conv", F.col("file_id").alias("from_file"), F.col("role").alias("from_role"), "to_file", F.col("to_file").isNotNull().alias("resolved"))
 
 
