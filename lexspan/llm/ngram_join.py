@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Words, checkpoint, chunks, mix, shingles, small_batches, table, text_bytes
+from .shared import Words, checkpoint, chunks, mix, shingles, small_batches, swept, table, text_bytes
 
 WIDTH, P, Q = 5, 80, 100
 #: Pairs of key and set for one group of the block join; the number of groups follows the input.
@@ -233,8 +233,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    prof = checkpoint(docs.mapInArrow(profile, "doc_id long, n long, h long, s0 long, s1 long, s2 long, s3 long"))
-    linked = prof.where("n > 0 and doc_id is not null")
+    with swept(spark):
+        prof = checkpoint(docs.mapInArrow(profile, "doc_id long, n long, h long, s0 long, s1 long, s2 long, s3 long"))
+        named = checkpoint(_named(docs, prof.where("n > 0 and doc_id is not null")))
+    out = prof.where("n > 0 and doc_id is not null").select("doc_id", "n", "h").join(named, "h").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rest = prof.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.union(rest)
+
+
+def _named(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """docs (doc_id, text) and the profiles of those that may link: (h, component_id) for each set."""
+    spark = docs.sparkSession
     classes = checkpoint(linked.groupBy("h").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")]))
     total = classes.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-int(total * 0.34) // GROUP))
@@ -273,10 +282,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     named = classes.select("h", "doc_id").join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("h", "component_id")
-    out = linked.select("doc_id", "n", "h").join(named, "h").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    rest = prof.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.union(rest)
+    return named.join(least, "root").select("h", "component_id")
 
 
 def _close(x: str, y: str):

@@ -54,6 +54,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def swept(spark: SparkSession):
+    """Within, the shuffle files of a job go when it ends; else loops of many jobs keep all until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove_dir(uri: str) -> None:
     """Deletes a folder made by fresh_dir; one that is gone already is no error."""
     from pyarrow import fs
