@@ -1,14 +1,15 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host come from a few templates. A token is an open tag with its path (tag names and classes from the body down) or,
-on pages without an article element, a text piece at a path. Its occurrence vector says how often it is on each
-distinct page of the host; tokens with equal vectors are an equivalence class. Classes of two tokens or more on at least half of the
-host's distinct pages are the template's; a path nests in the template if all its prefixes do. What varies between them
-are slots. A slot's words, link words and place decide once for the host whether it holds article text; text pieces that the
+Pages of one host come from a few templates; its pages of equal landmarks are a cluster, for one template. A token is an open tag with its
+path (tag names and classes from the body down) or a text piece at a path. Its occurrence vector says how often it is on each
+distinct page of the cluster; tokens with equal vectors are an equivalence class. Classes of two tokens or more on at least half of the
+cluster's distinct pages are the template's; a path nests in the template if all its prefixes do. What varies between them
+are slots. A slot's words, link words and place decide once for the cluster whether it holds article text; text pieces that the
 classes hold are the template's own and go. Pages and paths without such evidence are decided alone, by the same rules.
 
-Where a page has an article or main element, only slots inside it count, and all text there does but for menus, forms, adverts,
-notices, comments and the like.
+Where a page has an article or main element, only slots inside it count. The element is evidence that they hold text: short ones do too, but not those
+that are mostly links, nor menus, forms, adverts, notices, comments and the like. Repeated text inside is the template's only
+while it is less than half of the words there: pages that share more are copies of one article, and are kept whole.
 
 Defined results: null or empty html gives an empty text; pages without host are a host together; repeated rows are extracted alike and
 count once as evidence; a page cut off in the middle of a tag or comment loses that tag or comment; an empty table gives an empty
@@ -54,6 +55,8 @@ OUT_ABOVE = frozenset("header masthead topbar hero".split())
 INSIDE = ("article", "main")
 INSIDE_WORDS = frozenset({"articlebody", "postbody", "postcontent", "entrycontent", "articlecontent", "maincontent", "storybody"})
 _CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
+_LANDMARKS = frozenset("article aside footer header main nav".split())
+_SECTIONS = frozenset("center div form section table".split())
 #: Tags that end an open paragraph.
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -179,17 +182,23 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
     return pieces, tags
 
 
-def article(pieces: list[Piece], keep: frozenset[int] = frozenset(), drop: frozenset[int] = frozenset(), fixed: frozenset[int] = frozenset()) -> str:
-    """The main text, given the host's slots that hold article text, those that don't, and the template's own text."""
-    if any(p.inside and not p.out for p in pieces):
-        return " ".join(p.text for p in pieces if p.inside and not p.out)
+def landmarks(tags: dict[str, int]) -> int:
+    """What a page's cluster is known by: the sections right below its body, and its landmarks at any depth."""
+    own = {p for p in tags if (last := p.rpartition(">")[2].partition(".")[0]) in _LANDMARKS or last in _SECTIONS and p.count(">") == 1}
+    return key("\n".join(sorted(own)))
+
+
+def article(pieces: list[Piece], keep: frozenset[int] = frozenset(), drop: frozenset[int] = frozenset(), fixed: frozenset[int] = frozenset(), cluster: int = 0) -> str:
+    """The main text, given the slots of the host's clusters that hold article text, those that don't, and the templates' own text."""
+    whole = any(p.inside and not p.out for p in pieces)
     out = []
     for p in pieces:
-        k = key(p.path)
-        if p.out or k in drop or key(f"{p.path}\0{p.text}") in fixed:
+        if p.out or whole and not p.inside:
             continue
-        n = len(p.text.split())
-        if k in keep or _is_text(n, p.linked, 1, p.path):
+        k = key(p.path) ^ cluster
+        if k in drop or fixed and key(f"{p.path}\0{p.text}") ^ cluster in fixed:
+            continue
+        if whole or k in keep or _is_text(len(p.text.split()), p.linked, 1, p.path):
             out.append(p.text)
     return " ".join(out)
 
@@ -204,55 +213,74 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-_TOKENS = "host string, token long, page long, n int, path string, up long, words long, linked long, pieces long, out boolean, text boolean"
+_TOKENS = "host string, token long, page long, cluster long, n int, path string, up long, words long, linked long, pieces long, around long, out boolean, inside boolean, text boolean"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) to the tokens of each page; page is a hash of its html, so that copies are one."""
+    """(host, html) to the tokens of each page; page is a hash of its html, so that copies are one; around: the words inside its article."""
     names = [c.split()[0] for c in _TOKENS.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+    kinds = [pa.string(), *[pa.int64()] * 3, pa.int32(), pa.string(), *[pa.int64()] * 5, *[pa.bool_()] * 3]
     for batch in batches:
         rows = []
         for where, source in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True):
             page = key(source)
             pieces, tags = parse(source)
-            held: dict[str, list] = {p: [0, 0, 0, False] for p in tags}
+            cluster = landmarks(tags)
+            whole = any(p.inside and not p.out for p in pieces)
+            held: dict[str, list] = {p: [0, 0, 0, False, False] for p in tags}
+            texts: dict[tuple[str, str], list[int]] = {}
+            around = 0
             for p in pieces:
-                h = held.setdefault(p.path, [0, 0, 0, False])
-                h[0] += len(p.text.split())
-                h[1] += p.linked
-                h[2] += 1
-                h[3] |= p.out
-            rows += [(where, key(p), page, tags.get(p, 0), p, key(p.rpartition(">")[0]), h[0], h[1], h[2], h[3], False) for p, h in held.items()]
-            if not any(p.inside and not p.out for p in pieces):
-                count: dict[tuple[str, str], int] = {}
-                for p in pieces:
-                    count[p.path, p.text] = count.get((p.path, p.text), 0) + 1
-                rows += [(where, key(f"{a}\0{t}"), page, n, None, key(a), 0, 0, 0, False, True) for (a, t), n in count.items()]
+                h = held.setdefault(p.path, [0, 0, 0, False, False])
+                words = len(p.text.split())
+                if not (whole and p.inside and p.out):
+                    h[0] += words
+                    h[1] += p.linked
+                    h[2] += 1
+                    h[3] |= p.out
+                h[4] |= whole and p.inside
+                if not whole or p.inside and not p.out:
+                    t = texts.setdefault((p.path, p.text), [0, 0])
+                    t[0] += 1
+                    t[1] += words
+                    around += words
+            rows += [(where, key(p) ^ cluster, page, cluster, tags.get(p, 0), p, key(p.rpartition(">")[0]) ^ cluster, *h[:3], 0, *h[3:], False) for p, h in held.items()]
+            rows += [(where, key(f"{a}\0{t}") ^ cluster, page, cluster, n, None, key(a) ^ cluster, words, 0, 0, around, False, whole, True) for (a, t), (n, words) in texts.items()]
         cols = list(zip(*rows, strict=True)) or [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """pages (host, html): (host, keep, drop, fixed) for hosts with a template: slots with and without article text, and its own text."""
+    """pages (host, html): (host, keep, drop, fixed) for hosts with a template: slots with and without article text, and its own text, of all clusters."""
     tokens = pages.mapInArrow(_tokens, _TOKENS)
-    first = ("path", "up", "words", "linked", "pieces", "out", "text")
-    each = tokens.groupBy("host", "token", "page").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in first])
+    first = ("path", "up", "words", "linked", "pieces", "around", "out", "inside", "text")
+    one = ["host", "cluster"]
+    each = tokens.groupBy(*one, "token", "page").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in first])
     vector = F.bit_xor(F.xxhash64("page", "n"))
-    by = each.groupBy("host", "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("pages"), F.first("path").alias("path"), F.first("up").alias("up"), *[F.sum(c).alias(c) for c in ("words", "linked", "pieces")], F.bool_or("out").alias("out"), F.bool_or("text").alias("text"))
+    sums, flags = ("words", "linked", "pieces", "around"), ("out", "inside", "text")
+    by = each.groupBy(*one, "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("pages"), F.first("path").alias("path"), F.first("up").alias("up"), *[F.sum(c).alias(c) for c in sums], *[F.bool_or(c).alias(c) for c in flags])
     by = checkpoint(by)
-    size = by.groupBy("host").agg(F.max("pages").alias("n_pages"))  # every page has a root
-    classes = by.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("members"))
-    valid = classes.join(size, "host").where((F.col("n_pages") >= 3) & (2 * F.col("pages") >= F.col("n_pages")) & (F.col("members") >= 2))
-    inside = by.join(valid.select("host", "vector", "pages"), ["host", "vector", "pages"])
+    size = by.groupBy(*one).agg(F.max("pages").alias("n_pages"))  # every page has a root
+    of_class = [*one, "vector", "pages"]
+    classes = by.groupBy(*of_class).agg(F.count(F.lit(1)).alias("members"))
+    valid = classes.join(size, one).where((F.col("n_pages") >= 3) & (2 * F.col("pages") >= F.col("n_pages")) & (F.col("members") >= 2))
+    held = by.join(valid.select(*of_class), of_class)
     # a class is nested if the paths above its tokens are on at least as many pages
-    above = by.where("not text").select("host", F.col("token").alias("up"), F.col("pages").alias("above"))
-    nested = inside.join(above, ["host", "up"], "left").where(F.coalesce(F.col("above") >= F.col("pages"), ~F.col("text")))
+    above = by.where("not text").select(*one, F.col("token").alias("up"), F.col("pages").alias("above"))
+    nested = held.join(above, [*one, "up"], "left").where(F.coalesce(F.col("above") >= F.col("pages"), ~F.col("text")))
     last = F.element_at(F.split(F.element_at(F.split("path", ">"), -1), "\\."), 1)
-    is_text = (2 * F.col("linked") < F.col("words")) & ((F.col("words") >= 5 * F.col("pieces")) | last.isin("p", "h1", "h2", "h3", "h4", "blockquote", "pre"))
+    prose = 2 * F.col("linked") < F.col("words")
+    is_text = prose & (F.col("inside") | (F.col("words") >= 5 * F.col("pieces")) | last.isin("p", "h1", "h2", "h3", "h4", "blockquote", "pre"))
     slot = ~F.col("text") & (F.col("pieces") > 0)
     kind = F.when(F.col("text"), "fixed").when(slot & ~F.col("out") & is_text, "keep").when(slot, "drop")
-    return nested.withColumn("_kind", kind).groupBy("host").agg(*[F.collect_set(F.when(F.col("_kind") == k, F.col("token"))).alias(k) for k in ("keep", "drop", "fixed")])
+    nested = checkpoint(nested.select(*of_class, "token", "words", "around", "inside", kind.alias("kind")).where("kind is not null"))
+    # text inside articles is the template's while it is the lesser part of the words there, in each class and in all of them
+    less = 2 * F.col("words") < F.col("around")
+    own = nested.where("kind = 'fixed' and inside").groupBy(*of_class).agg(F.sum("words").alias("words"), F.max("around").alias("around")).where(less)
+    total = own.groupBy(*one).agg(F.sum("words").alias("words"), F.max("around").alias("around")).where(less)
+    fixed = nested.where("kind = 'fixed' and inside").join(own.join(total, one, "left_semi"), of_class, "left_semi")
+    sure = nested.where("not (kind = 'fixed' and inside)").select("host", "token", "kind").union(fixed.select("host", "token", "kind"))
+    return sure.groupBy("host").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("token"))).alias(k) for k in ("keep", "drop", "fixed")])
 
 
 _SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -263,8 +291,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         none = frozenset()
         for source, *known in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-            pieces, _ = parse(source)
-            texts.append(article(pieces, *(frozenset(x) if x else none for x in known)))
+            pieces, tags = parse(source)
+            texts.append(article(pieces, *(frozenset(x) if x else none for x in known), landmarks(tags)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 

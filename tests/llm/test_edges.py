@@ -208,6 +208,22 @@ def test_html_templates(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _texts(spark, sources, url="http://h.example/x"):
+    rows = [(i, url, s) for i, s in enumerate(sources)]
+    return [r["text"] for r in sorted(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
+
+
+def test_html_templates_inside_articles(spark):
+    """Inside an article, what the pages of a template repeat goes, by cluster of the host; copies of an article stay whole."""
+    said = [f"story {i} is told here at length in so many words, and {i} times over" for i in range(12)]
+    page = "<nav><a>x</a></nav><article><h1>Head {0}</h1><p>{1}</p><ul><li>{0}</li></ul><div><a>see {0}</a></div><p>Read our paper every day</p></article>"
+    other = "<main><p>{1}</p><div>Printed in town</div></main>"
+    sources = [page.format(i, said[i]) for i in range(9)] + [other.format(i, said[i]) for i in range(9, 12)]
+    assert _texts(spark, sources) == [f"Head {i} {said[i]} {i}" for i in range(9)] + said[9:]
+    copies = [f"<nav>{i}</nav><article><h1>Same</h1><p>{said[0]}</p><p>{said[1]}</p></article>" for i in range(4)]
+    assert _texts(spark, copies) == [f"Same {said[0]} {said[1]}"] * 4
+
+
 def test_warc(spark):
     rows = [(1, "http://a/%0A\n", "same", 0), (2, None, "same", 0), (3, "u", None, 0), (4, "u", "", 0), (None, "u", "lone", 0), (5, "u", "WARC/1.1 \r\n\r\n <|" * 9000, 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to long")
