@@ -1,7 +1,7 @@
 """Retrieval: vector seeds, rule-based injection, first-writer-wins, conflicts, precedence and citations (RET, PLB).
 
-A question is a literal: guards on it are plain Python. Candidates of all injectors are one tagged union; the least tag keeps
-each section, and caps count what lower tags have not brought.
+A question is a literal: guards on it are plain Python. Candidates of all injectors are one tagged union; the least tag that takes
+a section keeps it, and caps count what lower tags have not taken.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def injectors(spark: SparkSession, sf_dir: str, question: str = QUESTION) -> Dat
     """All candidates (conv, file_id, doc_id, section_id, pos, injector, immune) before the first-writer rule.
 
     0 seeds; 1 order of precedence; 2 governing law; 3 disputes; 4 service levels if asked; 6 qualifiers of seed files; 7, 8 references out of and into seeds;
-    9 schedules named; 10 term clauses of transactions among the candidates; 11 money if asked; 14 addresses if asked; 15 kept liability if a date is asked.
+    9 schedules named; 10 term clauses of transactions (`first_wins` asks for those in the pool); 11 money if asked; 14 addresses if asked; 15 kept liability if a date is asked.
     """
     s = C.sections(spark, sf_dir)
     f = C.files(spark, sf_dir).select("file_id", "role", "role_rank")
@@ -126,20 +126,28 @@ def injectors(spark: SparkSession, sf_dir: str, question: str = QUESTION) -> Dat
     for x in out[1:]:
         every = every.unionByName(x)
     deals = f.where("role = 'transaction'").select("file_id")
-    sofar = every.where("injector <= 9").select("file_id").distinct().join(deals, "file_id", "left_semi")
-    term = s.where(F.col("section_id").rlike("^(6|10)(\\.[0-9]+)?$")).join(sofar, "file_id", "left_semi")
+    term = s.where(F.col("section_id").rlike("^(6|10)(\\.[0-9]+)?$")).join(deals, "file_id", "left_semi")
     return every.unionByName(tag(term, 10, True))
 
 
 def first_wins(candidates: DataFrame) -> DataFrame:
-    """One row for each section, of the least injector; then the caps, which count what lower injectors left over.
+    """One row for each section, of the first injector in order of tags that takes it.
 
-    A section that a capped injector loses to its cap stays open to later ones only in the order of tags, so caps apply per conversation after the least tag.
+    A capped injector ranks, in each conversation, the sections that lower tags haven't taken, and takes as many as its cap; the rest
+    stay open to the later injectors that bring them too. Term clauses (10) count for files of which a tag up to 9 has kept a section.
     """
-    least = candidates.groupBy("conv", "file_id", "doc_id", "section_id", "pos").agg(F.min("injector").alias("injector"), F.min_by("immune", "injector").alias("immune"))
-    n = F.row_number().over(Window.partitionBy("conv", "injector").orderBy("doc_id", "pos"))
-    cap = X.any_of([(F.col("injector") == k, F.lit(v)) for k, v in CAP.items()], F.lit(1 << 30))
-    return least.withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")
+    key = ["conv", "file_id", "doc_id", "section_id", "pos"]
+    brought = F.sort_array(F.collect_set(F.struct("injector", "immune")))
+    left = candidates.groupBy(*key).agg(brought.alias("_by"))
+    for k, cap in sorted(CAP.items()):
+        now = F.get("_by", F.lit(0))["injector"] == k
+        n = F.row_number().over(Window.partitionBy("conv", now, F.when(~now, F.col("file_id"))).orderBy("doc_id", "pos"))  # other sections stay spread
+        left = left.withColumn("_n", F.when(now, n)).withColumn("_by", F.when(F.col("_n") > cap, F.filter("_by", lambda x: x["injector"] != k)).otherwise(F.col("_by"))).drop("_n").where(F.size("_by") > 0)
+        if k == 9:
+            have = F.max(F.get("_by", F.lit(0))["injector"] <= k).over(Window.partitionBy("conv", "file_id"))
+            left = left.withColumn("_have", have).withColumn("_by", F.when(F.col("_have"), F.col("_by")).otherwise(F.filter("_by", lambda x: x["injector"] != 10))).drop("_have").where(F.size("_by") > 0)
+    first = F.get("_by", F.lit(0))
+    return left.select(*key, first["injector"].alias("injector"), first["immune"].alias("immune"))
 
 
 _SEED_SQL = "SELECT * FROM sections WHERE clause_type IN ('payment_terms', 'confidentiality') AND risk >= 4"

@@ -86,3 +86,13 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q = S.follow(S.progress(S.events_stream(spark, str(tmp_path / "in")), late="60 days"), lambda d, _: got.update({(r["start"], r["event_type"]): r["n"] for r in d.collect()}), str(tmp_path / "check"))
     assert q.awaitTermination(120)
     assert got == {(r["start"], r["event_type"]): r["n"] for r in S.progress(spark.read.parquet(str(tmp_path / "in"))).collect()}
+
+
+def test_sections_beyond_a_cap_stay_open(spark):
+    """What qualifiers (6) lose to their cap goes to the later injectors that bring it too; term clauses (10) need their file in the pool."""
+    rows = [("c", f"f{i}", i, "1", 1, 6, False) for i in range(8)]
+    rows += [("c", "f6", 6, "1", 1, 11, True), ("c", "f5", 5, "1", 1, 8, False), ("c", "f0", 0, "1", 1, 11, True)]
+    rows += [("c", "f1", 1, "6", 2, 10, True), ("c", "f7", 7, "6", 2, 10, True), ("d", "g", 9, "1", 1, 6, False)]
+    got = retrieval.first_wins(spark.createDataFrame(rows, "conv string, file_id string, doc_id long, section_id string, pos int, injector int, immune boolean")).collect()
+    want = [("c", f"f{i}", "1", 6, False) for i in range(5)] + [("c", "f5", "1", 8, False), ("c", "f6", "1", 11, True), ("c", "f1", "6", 10, True), ("d", "g", "1", 6, False)]
+    assert sorted((r["conv"], r["file_id"], r["section_id"], r["injector"], r["immune"]) for r in got) == sorted(want)
