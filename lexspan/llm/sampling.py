@@ -28,7 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import chunks, mix, table
 
@@ -160,6 +163,11 @@ class Pieces:
         """The text of ids, without the blank that encoding puts first."""
         return b"".join(self.text[int(i)] for i in ids).decode("utf-8", "surrogatepass").replace(BLANK, " ")[1:]
 
+    def spelled(self) -> pa.Array:
+        """The bytes of each id: nothing for control pieces."""
+        n = self.model.get_piece_size()
+        return pa.array([" \u2047 ".encode() if self.model.is_unknown(i) else self.text.get(i, b"") for i in range(n)], pa.large_binary())
+
 
 def _uniform(seed: np.ndarray, *at) -> np.ndarray:
     x = seed.copy()
@@ -311,29 +319,74 @@ class Batch:
         return self.first_edge[node], self.first_edge[node + 1]
 
 
-_SCHEMA = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_probability double, perturbed double, inclusion double"
+_SCHEMA = "doc_id long, sample int, ids array<int>, log_probability double, perturbed double, inclusion double"
 
 
 def _sampler(path: str, k: int, theta: float):
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.open(path, theta)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            keys = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in chunks(texts, 256 << 10):
-                got = Batch(pieces, texts[i:j], np.array([x or 0 for x in ids[i:j]], np.int64)).samples(k)
-                rows = [(ids[i + d], s + 1, len(x[0]), zlib.crc32(x[0].astype("<u4").tobytes()), *x[1:]) for d, mine in enumerate(got) for s, x in enumerate(mine)]
+                got = Batch(pieces, texts[i:j], np.array([x or 0 for x in keys[i:j]], np.int64)).samples(k)
+                rows = [(keys[i + d], s + 1, *x) for d, mine in enumerate(got) for s, x in enumerate(mine)]
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in _SCHEMA.split(", ")])
+                ends = np.cumsum([0, *map(len, cols[2])])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cols[2]).astype(np.int32)))
+                kinds = [pa.int64(), pa.int32(), None, pa.float64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([ids if t is None else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
     return sample
 
 
 def sample_segmentations(docs: DataFrame, k: int = SAMPLES, theta: float = 1.0, path: str | None = None) -> DataFrame:
-    """docs (doc_id, text): k rows for each, best first."""
+    """docs (doc_id, text): k rows for each, best first, with the ids of the segmentation."""
     return docs.select("doc_id", "text").mapInArrow(_sampler(path or model_path(), k, theta), _SCHEMA)
 
 
+def _ends(lists: pa.Array) -> np.ndarray:
+    """Where each row's values end in the flat array, after a 0."""
+    return np.concatenate(([0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+
+def _decoder(path: str):
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelled = Pieces.open(path, 1.0).spelled()
+        for batch in batches:
+            ids = batch.column(batch.num_columns - 1)
+            _, place, data = spelled.take(ids.flatten()).buffers()
+            ends = np.frombuffer(place, np.int64)[_ends(ids)].tolist() if place and place.size else [0] * (len(ids) + 1)
+            data = data.to_pybytes() if data else b""
+            texts = [data[a:b].decode("utf-8", "replace").replace(BLANK, " ").removeprefix(" ") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            said = pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], said], names=[*batch.schema.names[:-1], "text"])
+
+    return decoded
+
+
+def decode(samples: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """Adds text, which the column of ids spells. Bytes that aren't UTF-8 become U+FFFD, control pieces nothing, unknown ones " \u2047 "; null
+    ids a null text; ids that the model doesn't have are an error."""
+    given = samples.select("*", F.col(ids).cast("array<int>").alias("_ids"))
+    schema = T.StructType([*samples.schema.fields, T.StructField("text", T.StringType())])
+    return given.mapInArrow(_decoder(path or model_path()), schema)
+
+
+def checksum(ids: Column) -> Column:
+    """The CRC-32 of each row's ids as little-endian 32-bit numbers."""
+
+    @F.arrow_udf("long")
+    def crc(column: pa.Array) -> pa.Array:
+        ends = _ends(column).tolist()
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
+
+    return crc(ids)
+
+
 def op9_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_segmentations(table(spark, sf_dir, "documents"))
+    read = decode(sample_segmentations(table(spark, sf_dir, "documents")))
+    return read.select(
+        "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), checksum(F.col("ids")).alias("ids_crc32"), "log_probability", "perturbed", "inclusion", F.sha2("text", 256).alias("text_sha256")
+    )

@@ -1,10 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import itertools
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexspan.llm import chat, components, html_text, ngram_join, packing, quality, sampling, shared, simhash, token_files, toxicity, warc
 
@@ -267,6 +269,21 @@ def test_sampling_edges(spark, docs, none):
             assert pieces.decode(x[0]) == t
 
 
+def test_decode(spark, docs, none):
+    """Samples carry their ids, and decoding them gives the texts back."""
+    texts = {1: "", 2: "  two  blanks ", 3: "naïve\n日本語 😀 x\t", 4: None}
+    made = sampling.sample_segmentations(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3)
+    rows = sampling.decode(made).withColumn("crc", sampling.checksum(F.col("ids"))).collect()
+    assert {r["doc_id"] for r in rows} == set(texts) and len({(r["doc_id"], *r["ids"]) for r in rows}) == len(rows) > 6
+    for r in rows:
+        assert r["text"] == (texts[r["doc_id"]] or "") and r["crc"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+    pieces = sampling.Pieces.open(sampling.model_path(), 1.0)
+    given = [([pieces.byte_id[0xFF], pieces.ids["a"]],), ([pieces.model.unk_id(), pieces.model.bos_id()],), ([],), (None,)]
+    got = sampling.decode(spark.createDataFrame(given, "mine array<int>").coalesce(1), "mine").collect()
+    assert [r["text"] for r in got] == ["\ufffda", "\u2047 ", "", None] and [r["mine"] for r in got] == [x for x, in given]
+    assert sampling.decode(sampling.sample_segmentations(none)).count() == 0
+
+
 def test_registered_names():
     from lexspan.llm import registry
 
