@@ -8,7 +8,8 @@ are slots. A slot's words, link words and place decide once for the cluster whet
 classes hold are the template's own and go. Pages and paths without such evidence are decided alone, by the same rules.
 
 Where a page has an article or main element, only slots inside it count. The element is evidence that they hold text: short ones do too, but not those
-that are mostly links, nor menus, forms, adverts, notices, comments and the like. Repeated text inside is the template's only
+that are mostly links, nor menus, forms, adverts, notices, comments and the like. There only classes and roles of block elements tell these, and a few
+whole ids. A form around an article, or around most of a page's words, doesn't count as one. Repeated text inside is the template's only
 while it is less than half of the words there: pages that share more are copies of one article, and are kept whole.
 
 Defined results: null or empty html gives an empty text; pages without host are a host together; repeated rows are extracted alike and
@@ -44,12 +45,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template noframes xmp svg math object select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr nobr".split())
 #: Elements and words of class, id and role that mark what isn't article text.
-OUT_TAGS = frozenset("nav footer aside form button dialog menu fieldset".split())
+OUT_TAGS = frozenset("nav footer aside button dialog menu".split())
+FORMS = ("form", "fieldset")
 OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer comment comments reply replies discussion disqus respond "
     "related recommended recommendations share sharing social widget widgets pagination pager search login toolbar skip complementary contentinfo".split()
 )
+#: Whole ids that do so inside an article element, where ids otherwise name its parts.
+OUT_IDS = frozenset("ad ads advert advertisement comments disqus respond newsletter sidebar breadcrumb breadcrumbs pagination navbar cookie-banner cookie-notice".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Only outside an article element.
 OUT_ABOVE = frozenset("header masthead topbar hero".split())
 INSIDE = ("article", "main")
@@ -74,6 +79,7 @@ class Piece:
     inside: bool
     out: bool
     linked: int
+    form: bool = False  # out for a form around it alone
 
 
 @dataclass
@@ -81,26 +87,32 @@ class _Open:
     tag: str
     path: str
     inside: bool
-    out: bool
+    barred: bool
+    form: bool
+
+    @property
+    def out(self) -> bool:
+        return self.barred or self.form
 
 
-def _marks(rest: str) -> tuple[list[str], bool]:
-    """Class, id and role values of an element's attributes, and whether it is hidden."""
-    names, hidden = [], False
+def _marks(rest: str) -> tuple[list[str], list[str], bool]:
+    """Class, id and role values of an element's attributes, the ids alone, and whether it is hidden."""
+    names, ids, hidden = [], [], False
     for m in _ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             hidden = True
         elif name in ("class", "id", "role"):
             names += value.split()
-    return names, hidden
+            ids += value.split() if name == "id" else []
+    return names, ids, hidden
 
 
 def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
     """Text pieces in page order, and how often each open tag's path occurs."""
     pieces: list[Piece] = []
     tags: dict[str, int] = {}
-    stack = [_Open("", "", False, False)]
+    stack = [_Open("", "", False, False, False)]
     text: list[str] = []
     linked = in_link = 0
     pos, end = 0, len(source)
@@ -112,7 +124,7 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
             text.clear()
             if said:
                 top = next((x for x in reversed(stack) if x.tag not in INLINE), stack[0])
-                pieces.append(Piece(top.path, said, top.inside, stack[-1].out, linked))
+                pieces.append(Piece(top.path, said, top.inside, stack[-1].out, linked, not stack[-1].barred and stack[-1].form))
         linked = 0
 
     while pos < end:
@@ -151,7 +163,7 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
             if tag == "hr":
                 flush()
             continue
-        names, hidden = _marks(m["rest"]) if m["rest"] else ([], False)
+        names, ids, hidden = _marks(m["rest"]) if m["rest"] else ([], [], False)
         words = {w.lower() for n in names for w in _NAME.findall(n)}
         if tag not in INLINE:
             flush()
@@ -162,11 +174,17 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
         top = stack[-1]
         squeezed = {re.sub("[^a-z]", "", n.lower()) for n in names}
         inside = top.inside or tag in INSIDE or bool(words & {"main", "article"} and "role" in m["rest"].lower()) or bool(squeezed & INSIDE_WORDS)
-        out = top.out or hidden or tag in OUT_TAGS or bool(words & OUT_WORDS) and tag not in ("html", "body", "article", "main")
-        out = out or not top.inside and (tag == "header" or bool(words & OUT_ABOVE) and tag not in ("html", "body", "article", "main"))
+        if not top.inside:
+            said = bool(words & (OUT_WORDS | OUT_ABOVE)) or tag == "header"
+        elif tag in INLINE or tag in HEADINGS:
+            said = False
+        else:
+            said = any(w.lower() in OUT_WORDS for n in names if n not in ids for w in _NAME.findall(n)) or any(n.lower() in OUT_IDS for n in ids)
+        out = top.barred or hidden or tag in OUT_TAGS or said and tag not in ("html", "body", "article", "main")
         if tag in ("article", "main") and words & OUT_WORDS & {"comment", "comments", "reply", "related", "ad", "sponsored"}:
             out = True
-        if out != top.out and tag in INLINE:
+        form = tag in FORMS or top.form and (top.inside or not inside)  # a form around an article is none
+        if (out or form) != top.out and tag in INLINE:
             flush()
         label = ".".join([tag, *sorted(n for n in names if not any(c.isdigit() for c in n))[:3]])
         path = f"{top.path}>{label}" if tag not in ("html", "body") else tag
@@ -174,11 +192,15 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
             tags[path] = tags.get(path, 0) + 1
         if m["rest"].rstrip().endswith("/") and tag in INLINE:
             continue
-        stack.append(_Open(tag, path if tag not in INLINE else top.path, inside, out))
+        stack.append(_Open(tag, path if tag not in INLINE else top.path, inside, out, form))
         in_link += tag == "a"
         if len(stack) > 400:  # unclosed inline tags without end
             stack[1:-1] = [x for x in stack[1:-1] if x.tag not in INLINE][:200]
     flush()
+    words = [len(p.text.split()) if p.form or not p.out else 0 for p in pieces]
+    if 2 * sum(n for n, p in zip(words, pieces, strict=True) if p.form) > sum(words):  # a form that holds most of the page's words is none
+        for p in pieces:
+            p.out = p.out and not p.form
     return pieces, tags
 
 

@@ -200,6 +200,17 @@ def test_html():
     assert take("") == "" and take("<p>cut <b") == "cut" and take("<article>" + "<b>" * 3000 + "deep") == "deep"
 
 
+def test_html_names_inside_articles():
+    """Ids, headings and inline elements of an article are no menus or notices; a form around the page isn't one either."""
+    take = lambda source: html_text.article(html_text.parse(source)[0])
+    parts = '<h2 id="search-history">Search</h2><section id="discussion"><p>We <span class="notice">note</span> that</p></section><h3 class="related">Work</h3>'
+    gone = '<div id="comments"><p>lol</p></div><section class="comments"><p>lol</p></section><p class="advert">buy</p><form>go</form><p hidden>no</p>'
+    assert take(f"<body><nav>x</nav><article>{parts}{gone}</article></body>") == "Search We note that Work"
+    assert take(f'<body><form id="aspnetForm"><nav>x</nav><main>{parts}<form>go</form></main><footer>f</footer></form></body>') == "Search We note that Work"
+    assert take('<body><form id="aspnetForm"><div class="menu">x</div><div><p>The whole body of this page.</p></div></form></body>') == "The whole body of this page."
+    assert take("<body><p>Some words to be read here.</p><form><p>Your name</p></form></body>") == "Some words to be read here."
+
+
 def test_html_templates(spark):
     """On a host without article elements, what all pages say is the template's and goes."""
     body = '<div id="top"><p>Welcome to this very fine site of ours</p></div><div class="text"><p>{}</p><p>{}</p></div>'
