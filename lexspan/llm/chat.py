@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprints. DataFrame functions only.
 
 A row's nested field paths that hold a value, sorted and hashed, are its fingerprint. Declared mappings say, by fingerprint,
-where turns lie; `canonical` turns rows of mixed layouts into turns (role, text). `render` writes them with a template:
+where turns lie; `canonical` turns rows of mixed layouts into turns (role, text). Only paths that some layout names count; a row that lacks some of a layout's
+paths has the layout of fewest paths that has all of its own, of equals the first. `render` writes them with a template:
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -9,7 +10,7 @@ Inside roles and texts every run `<`, any number of `%`, `|` gets one more `%`,
 takes that `%` away again. A line end in a role is written `<|nl|>`. The loss mask is a list of spans (segment, start,
 length): code points of a segment of the output, which end markers divide.
 
-Defined results: a null role or text is empty; rows without a declared layout keep null turns, layout and output; turns are
+Defined results: a null role or text is empty; an array without values, in a row that has no others, is a conversation of as many empty turns; rows without a declared layout keep null turns, layout and output; turns are
 ordered by number, nulls first, then role and text, so repeated rows give repeated turns; a null conv_id is a conversation of
 its own; an empty table gives the added conversation only; further columns are ignored.
 """
@@ -17,6 +18,8 @@ its own; an empty table gives the added conversation only; further columns are i
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +47,7 @@ class Layout:
 
     @property
     def fingerprint(self) -> str:
-        return hashlib.md5("\n".join(sorted(self.paths)).encode()).hexdigest()
+        return _hash(self.paths)
 
 
 _PAIR = (("prompt", "completion"), ("prompt", "response"), ("question", "answer"), ("input", "output"))
@@ -64,23 +67,42 @@ def _field(name: str):
     return lambda x: x[name]
 
 
-def _present(kind: T.DataType, path: str, at: Column) -> list[Column]:
-    """For each leaf path of a column: its name where it holds a value, else null."""
+def _present(kind: T.DataType, path: str, at: Column) -> list[tuple[str, Column]]:
+    """For each leaf path of a column: the path, and its name where it holds a value, else null."""
     if isinstance(kind, T.StructType):
         return [x for f in kind.fields for x in _present(f.dataType, f"{path}.{f.name}" if path else f.name, at[f.name])]
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
         out = []
         for f in kind.elementType.fields:
             here = F.exists(F.transform(at, _field(f.name)), lambda x: x.isNotNull())
-            out.append(F.when(here, F.lit(f"{path}[].{f.name}")))
+            out.append((f"{path}[].{f.name}", F.when(here, F.lit(f"{path}[].{f.name}"))))
         return out
-    return [F.when(at.isNotNull(), F.lit(path))]
+    return [(path, F.when(at.isNotNull(), F.lit(path)))]
 
 
-def fingerprint(schema: T.StructType, skip: tuple[str, ...] = ()) -> Column:
-    """The fingerprint of each row; skip: columns that don't count, such as keys."""
-    found = [x for f in schema.fields if f.name not in skip for x in _present(f.dataType, f.name, F.col(f"`{f.name}`"))]
-    return F.md5(F.array_join(F.sort_array(F.array_compact(F.array(*found))), "\n"))
+def _paths(schema: T.StructType, skip: tuple[str, ...] = ()) -> list[tuple[str, Column]]:
+    return [x for f in schema.fields if f.name not in skip for x in _present(f.dataType, f.name, F.col(f"`{f.name}`"))]
+
+
+def _hash(paths: Iterable[str]) -> str:
+    return hashlib.md5("\n".join(sorted(paths)).encode()).hexdigest()
+
+
+def fingerprint(schema: T.StructType, skip: tuple[str, ...] = (), only: frozenset[str] | None = None) -> Column:
+    """The fingerprint of each row; skip: columns that don't count, such as keys; only: the paths that count, else all."""
+    found = [c for p, c in _paths(schema, skip) if only is None or p in only]
+    return F.md5(F.array_join(F.sort_array(F.array_compact(F.array(*found or [F.lit(None).cast("string")]))), "\n"))
+
+
+def _choices(layouts: list[Layout]) -> dict[str, list[str]]:
+    """The fingerprints by which each layout is chosen: of all sets of its paths that no layout of fewer paths, or declared before, has."""
+    chosen: dict[str, list[str]] = {}
+    taken: set[str] = set()
+    for x in sorted(layouts, key=lambda x: len(x.paths)):
+        own = {_hash(some) for n in range(1, len(x.paths) + 1) for some in itertools.combinations(x.paths, n)} - taken
+        chosen[x.name] = sorted(own)
+        taken |= own
+    return chosen
 
 
 def _turn(role, r: str, t: str):
@@ -89,21 +111,24 @@ def _turn(role, r: str, t: str):
 
 def canonical(rows: DataFrame, key: str, layouts: list[Layout] = LAYOUTS) -> DataFrame:
     """rows of any mix of layouts to (key, layout, turns)."""
-    have = set(rows.columns)
-    marked = rows.withColumn("_fp", fingerprint(rows.schema, (key,)))
+    have = {p for p, _ in _paths(rows.schema, (key,))}
+    named = frozenset(p for x in layouts for p in x.paths)
+    layouts = [x for x in layouts if set(x.paths) <= have]
+    chosen = _choices(layouts)
+    marked = rows.withColumn("_fp", fingerprint(rows.schema, (key,), named))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     plain = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     role = lambda r: F.coalesce(plain[r], r, F.lit(""))
     for x in layouts:
-        if not {p.split("[")[0].split(".")[0] for p in x.paths} <= have:
-            continue
         if x.many:
             array, r, t = x.many
             got = F.transform(F.col(array), _turn(role, r, t))
         else:
             part = lambda fs: F.array_join(F.filter(F.array(*[F.col(f) for f in fs]), lambda v: v != ""), "\n\n")
             got = F.array(*[F.struct(F.lit(r).alias("role"), part(fs).alias("text")) for r, fs in x.one])
-        here = F.col("_fp") == x.fingerprint
+        here = F.col("_fp").isin(chosen[x.name])
+        if x.many:  # an empty array is a conversation without turns
+            here = here | (F.col("_fp") == _hash(())) & F.col(x.many[0]).isNotNull()
         name, turns = F.when(here, F.lit(x.name)).otherwise(name), F.when(here, got).otherwise(turns)
     return marked.select(key, name.alias("layout"), turns.cast(_TURNS).alias("turns"))
 

@@ -133,6 +133,20 @@ def test_chat(spark):
     assert {r["conv_id"]: len(r["messages"]) for r in chat.as_messages(clash).collect()} == {1: 2, None: 1}
 
 
+def test_chat_layouts_with_further_columns(spark):
+    """Columns and leaves that no layout names don't count, alone or in mixed tables; null ends and empty arrays keep their layout."""
+    for x in chat.LAYOUTS:
+        kind = f"{x.many[0]} array<struct<{x.many[1]}:string,{x.many[2]}:string,name:string>>" if x.many else ", ".join(f"{p} string" for p in x.paths)
+        body = ([("user", "a", "n"), ("assistant", None, None)],) if x.many else tuple("abc"[: len(x.paths)])
+        got = chat.canonical(spark.createDataFrame([(1, *body, "web", 0.5)], f"id long, {kind}, source string, score double"), "id").first()
+        assert got["layout"] == x.name and len(got["turns"]) == (2 if x.many else len(x.one))
+    rows = [(1, [("user", "a")], None, None, "s"), (2, None, "p", "q", "s"), (3, None, "p", None, "s"), (4, [], None, None, "s"), (5, [], "p", "q", "s"), (6, None, None, None, "s")]
+    got = chat.canonical(spark.createDataFrame(rows, "id long, messages array<struct<role:string,content:string>>, prompt string, completion string, source string"), "id")
+    said = {r["id"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in got.collect()}
+    pair = ("prompt/completion", [("user", "p"), ("assistant", "q")])
+    assert said == {1: ("messages", [("user", "a")]), 2: pair, 3: (pair[0], [("user", "p"), ("assistant", "")]), 4: ("messages", []), 5: pair, 6: (None, None)}
+
+
 def test_token_files(spark, docs, none):
     uri = shared.fresh_dir(spark, "t")
     manifest = token_files.write_shards(docs, uri)
