@@ -5,13 +5,14 @@ sparse parity sketch. A shingle that only one of two sets holds changes one bloc
 lower bound of the symmetric difference. At the threshold p/q two sets of sizes a and b may differ in
 (q - p)(a + b)/(q + p) shingles at most, so at least B minus that many of the B blocks agree. Of all orders of the blocks
 that depend on a block's content alone, any makes the first (difference + 1) blocks of both sets share one (the prefix
-principle); we take full blocks first, since blocks that hold several shingles seldom agree by chance. Sizes go in bands of
-a factor two, each with a number of blocks of its own; a set that may match smaller ones of the band below appears in both.
+principle); we take blocks that few sets have first, counted over all sets. A set with more blocks of its own alone than it may
+differ in links with nothing, and that is most sets. Sizes go in bands of a factor two, each with a number of blocks of its own; a set that may
+match smaller ones of the band below appears in both.
 
-A block shared by k sets yields k - 1 candidate pairs (a star around the least set), never all pairs. Blocks that are common
-within one task become stars there, before the shuffle. Verified links join sets to components; only blocks whose sets
-are still in different components are looked at pair by pair, with a 256-bit parity sketch tested first.
-Exact copies of a set are one node throughout. Links are always decided on whole texts.
+Sets that share a block of their prefixes are first joined as stars: each set with the centre it shares most blocks with. Verified
+links join sets to components. Blocks whose sets are still in different components are then compared in tiles of bounded size, by
+dense parity sketches whose Hamming distance bounds the difference too, and only what these allow is verified. No row is made for
+a pair before that. Exact copies of a set are one node throughout. Links are decided on the whole sets of shingle hashes.
 
 Defined results: null or wordless texts have no shingles, link with nothing and are their own component; a null doc_id
 links with nothing and has a null component; repeated rows give repeated rows; an empty table gives an empty result;
@@ -24,20 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Words, checkpoint, chunks, mix, shingles, small_batches, swept, table, text_bytes
+from .shared import Words, checkpoint, chunks, fresh_dir, mix, shingles, small_batches, swept, table, text_bytes
 
 WIDTH, P, Q = 5, 80, 100
-#: Pairs of key and set for one group of the block join; the number of groups follows the input.
+#: Pairs of key and set for one group of the block count; the number of groups follows the input.
 GROUP = 500_000
-#: A block with more sets than this within one task becomes a star there.
-LOCAL_STAR = 16
-#: Up to so many ids are sent to all executors (8 bytes each); more are joined by a shuffle.
+#: Blocks that so many sets have count as equally common, so a task that sees so many need not ask the others.
+COMMON = 64
+#: Sets of a block that are compared in one tile, and pairs of them in memory at a time.
+TILE, PAIRS = 2048, 1 << 20
+#: Members of a star that are compared with one copy of its centre.
+ARM = 64
+#: Up to so many ids are sent to all executors (16 bytes each); more are joined by a shuffle.
 SEND = 200_000
-SPARE = 1.3
+#: Blocks for each block of the prefix, and the least bits of a dense sketch.
+SPARE, BITS = 1.5, 1024
 
 
 def most_apart(a, b, p: int = P, q: int = Q):
@@ -45,118 +51,133 @@ def most_apart(a, b, p: int = P, q: int = Q):
     return (q - p) * (a + b) // (q + p)
 
 
+_EVEN = np.uint64((1 << 64) - 2)
+
+
 def _set_hash(keys: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
+    """An even hash of each text's set, 0 for none; the odd number after it stands for the set in the band below."""
     out = np.zeros(n, np.uint64)
     if len(keys):
         first = np.flatnonzero(np.r_[True, texts[1:] != texts[:-1]])
         sums = np.add.reduceat(mix(keys ^ np.uint64(0xA5A5A5A55A5A5A5A)), first)
-        out[texts[first]] = mix(sums + mix(np.diff(np.r_[first, len(keys)]).astype(np.uint64)))
+        out[texts[first]] = mix(sums + mix(np.diff(np.r_[first, len(keys)]).astype(np.uint64))) & _EVEN | np.uint64(2)
     return out
 
 
-def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n, h, s0..s3): the size, a hash and a 256-bit parity sketch of each set."""
-    for batch in batches:
-        ids, texts = batch.column(0), text_bytes(batch.column(1))
-        for i, j in chunks(texts):
-            n = j - i
-            keys, of = shingles(Words(texts[i:j], lower=True), WIDTH)
-            bits = np.bincount(of * 256 + (keys >> np.uint64(56)).astype(np.int64), minlength=n * 256) & 1
-            sketch = np.packbits(bits.astype(np.uint8).reshape(n, 256), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, n), pa.array(np.bincount(of, minlength=n)), pa.array(_set_hash(keys, of, n).view(np.int64)), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)]],
-                names=["doc_id", "n", "h", "s0", "s1", "s2", "s3"],
-            )
+class Bands:
+    """The bands that sets of shingles play in: their own, and the one below for those that may match smaller sets there."""
 
+    def __init__(self, size: np.ndarray, p: int = P, q: int = Q):
+        some = np.flatnonzero(size)
+        band = np.floor(np.log2(size[some])).astype(np.int64)
+        low = (np.int64(1) << band) - 1  # the largest size of the band below
+        under = (-(-size[some] * p // q) <= low) & (low > 0)
+        below = some[under]
+        self.sets = np.concatenate((some, below))
+        self.is_below = np.arange(len(self.sets)) >= len(some)
+        self.band = np.concatenate((band, band[under] - 1))
+        #: Of a set's blocks so many are its prefix: one more than it may differ in from any set of the band.
+        self.length = np.concatenate((most_apart(size[some], size[some] * q // p, p, q), most_apart(low[under], size[below], p, q))) + 1
+        top = (np.int64(2) << self.band) - 1
+        self.blocks = np.maximum(np.ceil(SPARE * (most_apart(top, top * q // p, p, q) + 1)).astype(np.int64), self.length)
 
-def block_keys(keys: np.ndarray, of: np.ndarray, n: int, p: int = P, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
-    """Block keys of n sets (sorted shingles, the set of each) and the set of each key."""
+
+def _filled(keys: np.ndarray, of: np.ndarray, n: int, p: int = P, q: int = Q):
+    """The bands of n sets (sorted shingles, the set of each); each shingle and its place among the bands' sets; where each filled block begins."""
     size = np.bincount(of, minlength=n)
+    bands = Bands(size, p, q)
     first = np.searchsorted(of, np.arange(n + 1))
-    some = np.flatnonzero(size)
-    band = np.zeros(n, np.int64)
-    band[some] = np.floor(np.log2(size[some])).astype(np.int64)
-    low = (np.int64(1) << band) - 1  # the largest size of the band below
-    own_len = most_apart(size, size * q // p, p, q) + 1
-    below = some[(-(-size[some] * p // q) <= low[some]) & (low[some] > 0)]
-    sets = np.concatenate((some, below))
-    bands = np.concatenate((band[some], band[below] - 1))
-    length = np.concatenate((own_len[some], most_apart(low[below], size[below], p, q) + 1))
-    top = (np.int64(2) << bands) - 1
-    blocks = np.ceil(SPARE * (most_apart(top, top * q // p, p, q) + 1)).astype(np.int64)
-    blocks = np.maximum(blocks, length)
-    if not len(sets):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    many = size[bands.sets]
+    owner = np.repeat(np.arange(len(many)), many)
     # the shingles of each (set, band), still sorted, so that a block's shingles stand together
-    take = np.repeat(first[sets] - np.r_[0, np.cumsum(size[sets])[:-1]], size[sets]) + np.arange(size[sets].sum())
-    owner = np.repeat(np.arange(len(sets)), size[sets])
-    t = keys[take]
-    block = ((t >> np.uint64(32)) * blocks[owner].astype(np.uint64)) >> np.uint64(32)
-    new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (owner[1:] != owner[:-1])])
+    t = keys[np.repeat(first[bands.sets] - (np.cumsum(many) - many), many) + np.arange(len(owner))]
+    block = ((t >> np.uint64(32)) * bands.blocks[owner].astype(np.uint64)) >> np.uint64(32)
+    new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (owner[1:] != owner[:-1])]) if len(t) else np.zeros(0, np.int64)
+    return bands, t, block, owner, new
+
+
+def block_keys(keys: np.ndarray, of: np.ndarray, n: int, p: int = P, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A key for each filled block of n sets, the set of each, and whether it is of the band below."""
+    bands, t, block, owner, new = _filled(keys, of, n, p, q)
+    if not len(t):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     xor = np.bitwise_xor.reduceat(mix(t ^ np.uint64(0x3C6EF372FE94F82B)), new)
     count, who = np.diff(np.r_[new, len(t)]), owner[new]
-    item = mix(xor + mix(block[new] * np.uint64(64) + bands[who].astype(np.uint64)) + mix(count.astype(np.uint64)))
-    order = np.lexsort((item, -count, who))
-    item, who = item[order], who[order]
-    begin = np.searchsorted(who, np.arange(len(sets) + 1))
-    keep = np.arange(len(who)) - begin[who] < length[who]
-    out, out_of = item[keep], sets[who[keep]]
+    out = mix(xor + mix(block[new] * np.uint64(64) + bands.band[who].astype(np.uint64)) + mix(count.astype(np.uint64)))
     # A set whose filled blocks are fewer than its prefix would go on with empty blocks, which many share. Two sets that agree
     # in an empty block only are both of this kind, so among these the least shingles (a plain prefix) stand for empty blocks.
-    bare = np.flatnonzero(np.diff(begin) < length)
-    for x in bare:
-        s = sets[x]
-        m = int(size[s])
-        own = keys[first[s] : first[s] + m - (-(-m * p // q)) + 1]
+    bare = np.flatnonzero(np.bincount(who, minlength=len(bands.sets)) < bands.length)
+    begin, size = np.searchsorted(owner, bare), np.bincount(owner, minlength=len(bands.sets))
+    for x, i in zip(bare.tolist(), begin.tolist(), strict=True):
+        own = t[i : i + int(size[x]) - (-(-int(size[x]) * p // q)) + 1]
         out = np.concatenate((out, mix(own + np.uint64(0x9E6D))))
-        out_of = np.concatenate((out_of, np.full(len(own), s)))
-    return out, out_of
+        who = np.concatenate((who, np.full(len(own), x)))
+    return out, bands.sets[who], bands.is_below[who]
+
+
+_PROFILE = "doc_id long, n long, h long, room long, room_below long"
+
+
+def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to the size and a hash of each set, and its prefix less its filled blocks in both bands (null for a band it isn't in)."""
+    for batch in batches:
+        ids, texts = batch.column(0), text_bytes(batch.column(1))
+        for i, j in chunks(texts):
+            n = j - i
+            keys, of = shingles(Words(texts[i:j], lower=True), WIDTH)
+            bands, _, _, owner, new = _filled(keys, of, n)
+            room = bands.length - np.bincount(owner[new], minlength=len(bands.sets))
+            rooms = []
+            for side in (False, True):
+                held, mine = np.zeros(n, np.int64), bands.is_below == side
+                held[bands.sets[mine]] = room[mine]
+                none = np.ones(n, bool)
+                none[bands.sets[mine]] = False
+                rooms.append(pa.array(held, mask=none))
+            yield pa.RecordBatch.from_arrays([ids.slice(i, n), pa.array(np.bincount(of, minlength=n)), pa.array(_set_hash(keys, of, n).view(np.int64)), *rooms], names=[c.split()[0] for c in _PROFILE.split(", ")])
 
 
 def _groups(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray, over: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, centre, member) for each key of more than over ids, and the (key, id) that go on: the centres, and all of the other keys."""
-    order = np.argsort(keys)
+def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs, sorted by key, and how many pairs the key of each has."""
+    order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
-    first = _groups(keys)
-    if not len(first):
-        return keys, ids, ids, keys, ids
-    count = np.diff(np.r_[first, len(keys)])
-    centre = np.minimum.reduceat(ids, first)
-    hot = np.repeat(count > over, count)
-    least = np.repeat(centre, count)
-    edge = hot & (ids != least)
-    go = ~hot
-    go[first[count > over]] = True
-    return keys[edge], least[edge], ids[edge], keys[go], np.where(hot, least, ids)[go]
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])] if len(keys) else np.zeros(0, bool)
+    keys, ids = keys[new], ids[new]
+    count = np.diff(np.r_[_groups(keys), len(keys)])
+    return keys, ids, np.repeat(count, count)
 
 
 def _dealer(n_groups: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts to packed (key, set) pairs for each group, and stars of what is common here."""
+        """Texts to packed (key, set) pairs: for the group of the key those that are rare here, with the common keys named (kind 1);
+        the pairs of common keys go to any group (kind 2)."""
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n_held, turn = 0, 0
 
         def flush():
             nonlocal n_held, turn
-            keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, ids, count = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
             n_held = 0
-            ek, ec, em, keys, ids = _stars(keys, ids, LOCAL_STAR)
-            to = (keys % np.uint64(n_groups)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            keys, ids, to = keys[order], ids[order], to[order]
-            cut = np.searchsorted(to, np.arange(n_groups + 1))
-            rows = [(g, keys[a:b].tobytes(), ids[a:b].tobytes(), None) for g, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if a < b]
-            for a in range(0, len(ek), 100_000):
+            common = count >= COMMON
+            rows = []
+            named = keys[common]
+            for kind, k, v in ((0, keys[~common], ids[~common]), (1, named[_groups(named)], None)):
+                to = (k % np.uint64(n_groups)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                k, v = k[order], None if v is None else v[order]
+                cut = np.searchsorted(to[order], np.arange(n_groups + 1)).tolist()
+                rows += [(g, kind, k[a:b].tobytes(), None if v is None else v[a:b].tobytes()) for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+            for a in range(0, len(named), 100_000):
                 turn += 1
-                rows.append((n_groups + (int(ek[a] % np.uint64(n_groups)) + turn) % n_groups, ek[a : a + 100_000].tobytes(), em[a : a + 100_000].tobytes(), ec[a : a + 100_000].tobytes()))
+                rows.append(((int(named[a] >> np.uint64(40)) + turn) % n_groups, 2, named[a : a + 100_000].tobytes(), ids[common][a : a + 100_000].tobytes()))
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["g", "keys", "ids", "centres"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["g", "kind", "keys", "ids"])
 
         for batch in batches:
             texts = text_bytes(batch.column(0))
@@ -169,8 +190,8 @@ def _dealer(n_groups: int):
                         seen.add(v)
                         fresh[x] = True
                 pick = fresh[of]
-                out, owner = block_keys(keys[pick], of[pick], j - i)
-                held.append((out, h[owner].view(np.int64)))
+                out, owner, below = block_keys(keys[pick], of[pick], j - i)
+                held.append((out, h[owner] + below.astype(np.uint64)))
                 n_held += len(out)
                 if n_held > 1_000_000:
                     yield flush()
@@ -181,51 +202,148 @@ def _dealer(n_groups: int):
     return deal
 
 
-def _meet(group: pa.Table) -> pa.Table:
-    """The packed pairs of one group to (key, centre, member)."""
-    get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in group.column(name).to_pylist()])
-    keys, ids = get("keys", np.uint64), get("ids", np.int64)
-    if group.column("centres").null_count == 0:
-        centres = get("centres", np.int64)
-    else:
-        keys, centres, ids, _, _ = _stars(keys, ids, 1)
-    return pa.table({"key": keys.view(np.int64), "centre": centres, "member": ids})
+def _count(group: pa.Table) -> pa.Table:
+    """The packed pairs of one group to (key, id, held): the pairs whose key two sets have at least, and how many have it, COMMON at most."""
+    kind = group.column("kind").to_numpy()
+
+    def get(name: str, k: int) -> np.ndarray:
+        return np.frombuffer(b"".join(x for x, y in zip(group.column(name).to_pylist(), kind, strict=True) if y == k), np.uint64)
+
+    keys, ids, count = _distinct(get("keys", 0), get("ids", 0))
+    named = np.isin(keys, get("keys", 1))
+    count = np.where(named, COMMON, np.minimum(count, COMMON))
+    some = count > 1
+    far = get("keys", 2)
+    columns = [np.concatenate((keys[some], far)).view(np.int64), np.concatenate((ids[some], get("ids", 2))).view(np.int64), np.concatenate((count[some], np.full(len(far), COMMON)))]
+    return pa.table(dict(zip(("key", "id", "held"), columns, strict=True)))
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) of set hashes, distinct; the pairs that link, decided on the whole texts."""
-    need = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    ids = checkpoint(need.join(classes, "h").select("doc_id"))
-    few = ids.count() <= SEND  # a proven bound before anything is sent to all
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
-    hashed = texts.mapInArrow(_with_hash, "h long, text string")
-    left = pairs.join(hashed.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(hashed.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_compare, "a long, b long").distinct()
+_SETS = "h long, n long, shingles binary, sketch binary"
 
 
-def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, h) to the sets whose hash is h: sorted shingle hashes, and a dense parity sketch of at least BITS bits and twice as many as shingles."""
     for batch in batches:
-        texts = text_bytes(batch.column(0))
+        texts, wanted = text_bytes(batch.column(0)), batch.column(1).to_numpy()
         for i, j in chunks(texts):
             keys, of = shingles(Words(texts[i:j], lower=True), WIDTH)
-            yield pa.RecordBatch.from_arrays([pa.array(_set_hash(keys, of, j - i).view(np.int64)), batch.column(0).slice(i, j - i)], names=["h", "text"])
+            h = _set_hash(keys, of, j - i).view(np.int64)
+            cut = np.searchsorted(of, np.arange(j - i + 1))
+            rows = []
+            for x in np.flatnonzero((h == wanted[i:j]) & (np.diff(cut) > 0)).tolist():
+                own = keys[cut[x] : cut[x + 1]]
+                rows.append((int(h[x]), len(own), own.tobytes(), _dense(own).tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=[c.split()[0] for c in _SETS.split(", ")])
+
+
+def _dense(keys: np.ndarray) -> np.ndarray:
+    bits = max(BITS, 2 << len(keys).bit_length())
+    odd = np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def _rows_of(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _fold(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as those of width words: parities of places that are equal modulo the smaller size."""
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, i, j, side, h, root, n, sketch), the rows of a tile together, to the pairs (a, b) of its sets that sizes and sketches allow to link, of
+    different components. Of a tile with two sides a pair has one set of each."""
+    held: list[tuple] = []
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: (r[0], r[4]))  # by tile and size
+        tile = np.cumsum([0] + [x[0] != y[0] for x, y in zip(rows, rows[1:], strict=False)])
+        one, side, h, root, n = (np.array([r[k] for r in rows], np.int64) for k in (5, 1, 2, 3, 4))
+        words = np.array([len(r[6]) // 8 for r in rows])
+        by_width = {int(w): (np.flatnonzero(words == w)) for w in np.unique(words)}
+        matrix = {w: np.frombuffer(b"".join(rows[x][6] for x in at.tolist()), np.uint64).reshape(len(at), w) for w, at in by_width.items()}
+        place = np.zeros(len(rows), np.int64)
+        for at in by_width.values():
+            place[at] = np.arange(len(at))
+        scale = np.int64(1) << 32
+        last = np.searchsorted(tile * scale + np.minimum(n, scale - 1), tile * scale + np.minimum(n * Q // P, scale - 1), "right")
+        after = last - np.arange(len(rows)) - 1
+        total = np.cumsum(after)
+        found, at = [], 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+            k = after[at:to]
+            x = np.repeat(np.arange(at, to), k)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + x + 1
+            ok = (root[x] != root[y]) & ((one[x] == 1) | (side[x] != side[y]))
+            x, y = x[ok], y[ok]
+            wx, wy = words[x], words[y]
+            code = wx << 32 | wy
+            for v in np.unique(code).tolist():
+                own = np.flatnonzero(code == v)
+                w = (v >> 32, v & 0xFFFFFFFF)
+                width = min(w)
+                left, right = (_fold(matrix[k], width) for k in w)
+                for c in range(0, len(own), max(1, PAIRS // width)):
+                    part = own[c : c + max(1, PAIRS // width)]
+                    flips = np.bitwise_count(left[place[x[part]]] ^ right[place[y[part]]]).sum(axis=1)
+                    good = part[flips <= most_apart(n[x[part]], n[y[part]])]
+                    found.append(np.stack((np.minimum(h[x[good]], h[y[good]]), np.maximum(h[x[good]], h[y[good]]))))
+            at = to
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ta, tb = text_bytes(batch.column(2)), text_bytes(batch.column(3))
-        for i, j in chunks([max(x, y, key=len) for x, y in zip(ta, tb, strict=True)]):
-            n = j - i
-            keys, of = shingles(Words(ta[i:j] + tb[i:j], lower=True), WIDTH)
-            size = np.bincount(of, minlength=2 * n)
-            pair = of % n
-            order = np.lexsort((keys, pair))
-            k, w = keys[order], pair[order]
-            both = np.bincount(w[1:][(k[1:] == k[:-1]) & (w[1:] == w[:-1])], minlength=n)
-            total = size[:n] + size[n:] - both
-            ok = pa.array(Q * both >= P * total)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).filter(ok), batch.column(1).slice(i, n).filter(ok)], names=["a", "b"])
+        cols = [batch.column(k).to_pylist() for k in range(8)]
+        for key, i, j, side, h, root, n, sketch in zip(*cols, strict=True):
+            if len(held) > 2 * TILE and held[-1][0] != (key, i, j):
+                yield flush(held)
+                held = []
+            held.append(((key, i, j), side, h, root, n, int(i == j), sketch))
+    if held:
+        yield flush(held)
+
+
+def _arms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, salt, b, shingles), sorted, the centre's own row (b null) first: the pairs (a, b) that link."""
+    centre, of = np.zeros(0, np.uint64), None
+    for batch in batches:
+        a, salt, b = (batch.column(k).to_pylist() for k in range(3))
+        rows = _rows_of(batch.column(3))
+        out = []
+        at = 0
+        while at < len(rows):
+            if b[at] is None:
+                centre, of, at = rows[at], (a[at], salt[at]), at + 1
+                continue
+            to = at
+            while to < len(rows) and b[to] is not None and (a[to], salt[to]) == of:
+                to += 1
+            size = np.array([len(r) for r in rows[at:to]])
+            all_of = np.concatenate(rows[at:to])
+            spot = np.minimum(np.searchsorted(centre, all_of), len(centre) - 1)
+            both = np.bincount(np.repeat(np.arange(to - at), size), weights=centre[spot] == all_of, minlength=to - at).astype(np.int64)
+            out += [(a[at], b[at + x]) for x in np.flatnonzero(Q * both >= P * (size + len(centre) - both)).tolist()]
+            at = to
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) of set hashes, distinct; the pairs that link, decided on the whole sets. A centre with many members is copied to its arms."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arms = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / ARM).alias("arms"))
+    salted = pairs.join(arms, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("arms")).alias("salt"))
+    own = arms.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("arms") - 1)).alias("salt"))
+    held = sets.select(F.col("h"), "shingles")
+    members = salted.join(held.withColumnRenamed("h", "b"), "b").select("a", "salt", "b", "shingles")
+    centres = own.join(held.withColumnRenamed("h", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
+    together = members.union(centres).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return together.mapInArrow(_arms, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -234,7 +352,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     with swept(spark):
-        prof = checkpoint(docs.mapInArrow(profile, "doc_id long, n long, h long, s0 long, s1 long, s2 long, s3 long"))
+        prof = checkpoint(docs.mapInArrow(profile, _PROFILE))
         named = checkpoint(_named(docs, prof.where("n > 0 and doc_id is not null")))
     out = prof.where("n > 0 and doc_id is not null").select("doc_id", "n", "h").join(named, "h").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = prof.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -243,67 +361,72 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _named(docs: DataFrame, linked: DataFrame) -> DataFrame:
     """docs (doc_id, text) and the profiles of those that may link: (h, component_id) for each set."""
-    spark = docs.sparkSession
-    classes = checkpoint(linked.groupBy("h").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")]))
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    groups = max(1, -(-int(total * 0.34) // GROUP))
-    dealt = docs.where("doc_id is not null").select("text").mapInArrow(_dealer(groups), "g long, keys binary, ids binary, centres binary")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * groups)
-    met = dealt.repartition(parts, "g").groupBy("g").applyInArrow(_meet, "key long, centre long, member long")
-    stars = checkpoint(met.distinct())
-
-    # 1: each set with the centre it shares most blocks with
-    shared = stars.groupBy(F.col("centre").alias("a"), F.col("member").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    best = checkpoint(_possible(best, classes))
-    links = checkpoint(verify(best, classes, docs))
+    classes = checkpoint(linked.groupBy("h").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "room", "room_below")]))
+    stars = checkpoint(_stars(_prefixes(docs, classes)))
+    sets = _written_sets(docs, stars.select("h").distinct().join(classes, "h").select("doc_id", "h"))
+    links = checkpoint(verify(checkpoint(_best(stars, classes)), sets))
     found = checkpoint(components(links))
-    # 2: other pairs of centre and member in different components
-    cross = _possible(_across(shared.select("a", "b"), found).join(best, ["a", "b"], "left_anti"), classes)
-    cross = checkpoint(cross)
-    if not cross.isEmpty():
-        links = checkpoint(links.union(verify(cross, classes, docs)))
-        found = checkpoint(components(links))
-    # 3: the sets of blocks that still hold several components, pair by pair
-    apart = _across(stars.select(F.col("centre").alias("a"), F.col("member").alias("b"), "key"), found).select("key").distinct()
-    mixed = stars.join(apart, "key", "left_semi")
-    inside = mixed.select("key", F.col("centre").alias("h")).union(mixed.select("key", F.col("member").alias("h"))).distinct()
-    inside = checkpoint(inside.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")).join(classes.drop("doc_id"), "h"))
-    if not inside.isEmpty():
-        x, y = inside.alias("x"), inside.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & _close("x", "y"))
-        pairs = pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
-        for done in (best, cross):
-            pairs = pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        if not pairs.isEmpty():
-            links = checkpoint(links.union(verify(pairs, classes, docs)))
-            found = checkpoint(components(links))
-
-    named = classes.select("h", "doc_id").join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("h", "component_id")
-
-
-def _close(x: str, y: str):
-    """Sizes and 256-bit sketches of x and y allow a link."""
-    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    flips = sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
-    return (a * Q >= b * P) & (b * Q >= a * P) & (flips * (P + Q) <= (a + b) * (Q - P))
-
-
-def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches allow."""
-    c = classes.drop("doc_id")
-    x = pairs.join(c.withColumnRenamed("h", "a"), "a").select("a", "b", F.struct("n", "s0", "s1", "s2", "s3").alias("x"))
-    y = x.join(c.withColumnRenamed("h", "b"), "b").select("a", "b", "x", F.struct("n", "s0", "s1", "s2", "s3").alias("y"))
-    return y.where(_close("x", "y")).select("a", "b")
-
-
-def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows whose a and b are in different components."""
-    out = pairs.join(found.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return out.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
+    further = checkpoint(_further(stars, found, sets))
+    if not further.isEmpty():
+        more = checkpoint(verify(further, sets))
+        if not more.isEmpty():
+            found = checkpoint(components(links.union(more)))
+    roots = found.join(classes.select(F.col("h").alias("node"), "doc_id"), "node")
+    least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    joined = roots.select("node", "root").join(least, "root").select(F.col("node").alias("h"), "component_id")
+    return classes.select("h", "doc_id").join(joined, "h", "left").select("h", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _prefixes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, h): the blocks of each set's prefixes that other sets have too."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    groups = max(1, -(-int(total * 0.55) // GROUP))
+    dealt = docs.where("doc_id is not null").select("text").mapInArrow(_dealer(groups), "g long, kind int, keys binary, ids binary")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * groups)
+    held = dealt.repartition(parts, "g").groupBy("g").applyInArrow(_count, "key long, id long, held long")
+    both = held.select("key", "held", F.col("id").bitwiseAND(F.lit(-2)).alias("h"), (F.col("id").bitwiseAND(F.lit(1)) == 1).alias("below")).join(classes.drop("doc_id", "n"), "h")
+    of = Window.partitionBy("h", "below")
+    # ranks of equal rows are equal, for copies of a set may have come from several tasks
+    ranked = both.withColumn("rank", F.dense_rank().over(of.orderBy("held", "key")))
+    ranked = ranked.withColumn("shared", F.max("rank").over(of))  # of the filled blocks the others are the set's own
+    return ranked.where(F.col("rank") <= F.col("shared") + F.when(F.col("below"), F.col("room_below")).otherwise(F.col("room"))).select("key", "h").distinct()
+
+
+def _stars(kept: DataFrame) -> DataFrame:
+    """(key, h, a, m) of the keys that m > 1 sets have, a being the least of them."""
+    kept = checkpoint(kept)
+    return kept.join(kept.groupBy("key").agg(F.min("h").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1"), "key")
+
+
+def _written_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of wanted (doc_id, h), in a table of the shared folder; a set may be there more than once."""
+    spark = docs.sparkSession
+    wanted = checkpoint(wanted)
+    few = wanted.count() <= SEND  # a proven bound before anything is sent to all
+    path = fresh_dir(spark, "sets")
+    docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "h").mapInArrow(_sets, _SETS).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _best(stars: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): each set b with the centre a that it shares most blocks with, of those whose size allows a link."""
+    size = classes.select("h", "n")
+    pairs = stars.where("h != a").groupBy("a", F.col("h").alias("b")).agg(F.count(F.lit(1)).alias("blocks"))
+    sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where((F.col("na") * Q >= F.col("nb") * P) & (F.col("nb") * Q >= F.col("na") * P))
+    return sized.groupBy("b").agg(F.max_by("a", F.struct("blocks", "a")).alias("a")).select("a", "b")
+
+
+def _further(stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets of different components that share a block, as far as sizes and dense sketches allow a link."""
+    rooted = stars.join(found.withColumnRenamed("node", "h"), "h", "left").select("key", "h", "m", F.coalesce("root", "h").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
+    rows = rooted.join(mixed, "key").join(sets.select("h", "n", "sketch"), "h")
+    count = F.ceil(F.col("m") / TILE)
+    mine, other = F.pmod(F.xxhash64("h"), count), F.col("other")
+    tiled = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    tiled = tiled.select("key", F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j"), (F.col("mine") > other).cast("long").alias("side"), "h", "root", "n", "sketch")
+    n = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiled.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles, "a long, b long").distinct()
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

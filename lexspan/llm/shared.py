@@ -15,7 +15,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 
 #: Rows of an Arrow batch: long texts must not fill a Python worker.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the session's Arrow batches at BATCH_ROWS rows, unless they are smaller already."""
+    """Keeps the session's Arrow batches at BATCH_ROWS rows and BATCH_BYTES bytes, unless they are smaller already."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -63,8 +63,21 @@ def test_near_duplicate_chains_and_thresholds(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
-def test_block_keys_meet():
-    """Any two sets within the threshold share a block key, also across bands and where blocks are empty."""
+def prefixes(keys, of, held):
+    """What of each of two sets' prefixes is known after keys of one set alone are gone, as the join finds it."""
+    k, o, below = ngram_join.block_keys(keys, of, 2)
+    bands, _, _, owner, new = ngram_join._filled(keys, of, 2)
+    filled = np.bincount(owner[new], minlength=len(bands.sets))
+    shared = set(k[o == 0].tolist()) & set(k[o == 1].tolist())
+    out = [set(), set()]
+    for s, under, room in zip(bands.sets.tolist(), bands.is_below.tolist(), (bands.length - filled).tolist(), strict=True):
+        own = sorted(shared & set(k[(o == s) & (below == under)].tolist()), key=lambda x: (held(x), x))
+        out[s] |= set(own[: max(0, room + len(own))])
+    return out
+
+
+def test_prefixes_meet():
+    """Any two sets within the threshold share a key of their prefixes, whatever the order of keys, also across bands and where blocks are empty."""
     rng = np.random.default_rng(0)
     for n in [*range(2, 40), 63, 64, 65, 127, 128, 300]:
         for _ in range(6):
@@ -75,8 +88,9 @@ def test_block_keys_meet():
             if len(b) and 100 * (n - drop) >= 80 * (n + len(b) - (n - drop)):
                 keys = np.concatenate((np.sort(a), np.sort(b)))
                 of = np.repeat([0, 1], [len(a), len(b)])
-                k, o = ngram_join.block_keys(keys, of, 2)
-                assert set(k[o == 0].tolist()) & set(k[o == 1].tolist())
+                for held in (lambda x: 0, lambda x: x % 3, lambda x: -x):
+                    left, right = prefixes(keys, of, held)
+                    assert left & right
 
 
 def test_components(spark):
