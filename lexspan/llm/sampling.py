@@ -3,15 +3,15 @@
 A text's segmentations into a model's pieces are the paths of a lattice; a path's probability is proportional to the product
 of its pieces' weights, 1 / (rank + 3) ** theta with the rank that the model's scores give (byte pieces: the last rank). Pieces never cross
 from one word to the next, so the lattice is a chain of word lattices, whose edges get conditional log-probabilities
-from a backward pass once for each distinct word of a batch; pieces are looked up by 64-bit hashes.
+from a backward pass once for each distinct word that a task has met lately; words and pieces are looked up by 64-bit hashes.
 
-Sampling is an A-star search over prefixes ordered by perturbed log-probability. The root's value is a Gumbel variate. A child
+Sampling is an A-star search over prefixes of whole words, ordered by perturbed log-probability. The root's value is a Gumbel variate. A child
 has its parent's value with the child's own probability; the siblings' greatest value is then a Gumbel variate cut off at the
-parent's. So the search runs straight down a drawn path to a full segmentation; at each step the siblings join the frontier as
+parent's. So the search runs straight down a drawn path to a full segmentation; at each word its other segmentations join the frontier as
 one node with that greatest value, and the next sample starts at the frontier's best. A node of siblings that is opened gives one
-child its value and goes back with the rest. Paths are drawn for all words of a batch of texts at a time. The k best leaves are a
-sample of k distinct segmentations without replacement; an inclusion score is the chance that a segmentation's value exceeds
-the frontier's best after the last draw.
+segmentation of its word the value, drawn through the word's lattice past those taken, and goes back with the rest. Paths are drawn for all words of
+a batch of texts at a time. The k best leaves are a sample of k distinct segmentations without replacement; an inclusion score is the
+chance that a segmentation's value exceeds the frontier's best after the last draw.
 
 Noise is a hash of the row's key and the place in the lattice, so results don't depend on batches or partitions.
 
@@ -22,25 +22,27 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import re
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import chunks, mix, table
+from .shared import Words, chunks, mix, table
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES = 2
 BLANK = "▁"
-_WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
+_ALL = (1 << 64) - 1
+#: Words whose lattices a task keeps; with more it starts anew.
+KEPT = 200_000
 
 
 def model_path(name: str = MODEL) -> str:
@@ -80,6 +82,7 @@ class Pieces:
         self.byte_weight = worst
         self.longest = max(map(len, self.ids))
         self.by_length = {}
+        self.opens = {n: np.zeros(1 << 18, bool) for n in range(1, self.longest + 1)}
         for n in range(1, self.longest + 1):
             own = [p for p in self.ids if len(p) == n]
             if own:
@@ -92,7 +95,13 @@ class Pieces:
                 may = np.zeros(1 << 18, bool)
                 may[(keys >> _U(46)).astype(np.int64)] = True
                 self.by_length[n] = (keys[order], np.array([self.ids[own[x]] for x in order], np.int64), np.array([self.weight[own[x]] for x in order]), may)
+                for k in range(1, n):  # what may be the start of a longer piece
+                    h = np.zeros(len(own), _U)
+                    for c in range(k):
+                        h = h * _U(_STEP) + points[:, c].astype(_U) + _U(1)
+                    self.opens[k][(mix(h) >> _U(46)).astype(np.int64)] = True
         self.text = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.byte_id.items()}
+        self.held = Lattices(self)
 
     def lattices(self, words: list[str]):
         """The lattices of distinct words: (nodes of each word, out-degree of each node, and by edge the to-node, the piece id or -1 - code point, the conditional
@@ -102,17 +111,22 @@ class Pieces:
         number = np.repeat(np.arange(len(words)), length)
         place = np.arange(len(points))
         ahead = np.cumsum(length)[number] - place  # characters from here to the word's end
-        h = np.zeros(len(points), _U)
+        signs = points.astype(_U) + _U(1)
         found = []
+        at, h = place, np.zeros(len(points), _U)
         for n in range(1, self.longest + 1):
-            at = np.flatnonzero(ahead >= n)
+            if n > 1:
+                long = np.flatnonzero(self.opens[n - 1][code])
+                long = long[ahead[at[long]] >= n]
+                at, h = at[long], h[long]
             if not len(at):
                 break
-            h[at] = h[at] * _U(_STEP) + points[at + n - 1].astype(_U) + _U(1)
+            h = h * _U(_STEP) + signs[at + n - 1]
+            mixed = mix(h)
+            code = (mixed >> _U(46)).view(np.int64)
             if n in self.by_length:
                 keys, ids, weights, may = self.by_length[n]
-                mixed = mix(h[at])
-                maybe = np.flatnonzero(may[(mixed >> _U(46)).astype(np.int64)])
+                maybe = np.flatnonzero(may[code])
                 spot = np.minimum(np.searchsorted(keys, mixed[maybe]), len(keys) - 1)
                 ok = keys[spot] == mixed[maybe]
                 found.append((at[maybe[ok]], n, ids[spot[ok]], weights[spot[ok]]))
@@ -130,9 +144,10 @@ class Pieces:
         filled = first.copy()
         to, ids, weight = np.zeros(int(degree.sum()), np.int64), np.zeros(int(degree.sum()), np.int64), np.zeros(int(degree.sum()))
         for at, n, i, w in found:
-            spot = filled[node[at]]
-            to[spot], ids[spot], weight[spot] = node[at] + n, i, w
-            filled[node[at]] += 1
+            here = node[at]
+            spot = filled[here]
+            to[spot], ids[spot], weight[spot] = here + n, i, w
+            filled[here] += 1
         back, logs = np.zeros(n_nodes), np.zeros(len(to))
         order = np.argsort(ahead, kind="stable")
         cut = np.searchsorted(ahead[order], np.arange(1, int(length.max(initial=0)) + 2))
@@ -148,16 +163,17 @@ class Pieces:
             logs[edge] = value - back[own][of]
         return length + 1, degree, to, ids, np.minimum(logs, 0.0)
 
-    def expand(self, ids: np.ndarray) -> np.ndarray:
-        """Real ids: each -1 - code point gives way to its bytes' ids."""
+    def expand(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Real ids, and where the cuts are then: each -1 - code point gives way to its bytes' ids."""
         odd = np.flatnonzero(ids < 0)
         if not len(odd):
-            return ids
-        out, at = [], 0
-        for i in odd.tolist():
-            out += [ids[at:i], np.array([self.byte_id[b] for b in chr(-1 - int(ids[i])).encode("utf-8", "surrogatepass")], ids.dtype)]
-            at = i + 1
-        return np.concatenate([*out, ids[at:]])
+            return ids, cuts
+        spelled = [[self.byte_id[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")] for c in ids[odd].tolist()]
+        many = np.ones(len(ids), np.int64)
+        many[odd] = [len(x) for x in spelled]
+        out = np.repeat(ids, many)
+        out[np.repeat(ids < 0, many)] = np.concatenate(spelled)
+        return out, np.concatenate(([0], np.cumsum(many)))[cuts]
 
     def decode(self, ids) -> str:
         """The text of ids, without the blank that encoding puts first."""
@@ -176,6 +192,13 @@ def _uniform(seed: np.ndarray, *at) -> np.ndarray:
     return ((mix(x) >> _U(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
+def _mixed(x: int) -> int:
+    """As shared.mix, for one number."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _ALL
+    return x ^ x >> 31
+
+
 def _gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(u))
 
@@ -186,137 +209,234 @@ def _cut_off(phi: np.ndarray, value: np.ndarray, e: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(phi), -np.inf, phi - np.log(np.exp(phi - value) + e))
 
 
+class Lattices:
+    """The lattices of the words met so far, one after another."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.number = np.zeros(0, _U), np.zeros(0, np.int64)
+        self.start = np.zeros(0, np.int64)
+        self.first_edge = np.zeros(1, np.int64)
+        self.to, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.logs, self.ladder = np.zeros(0), np.zeros(0)
+
+    def find(self, hashes: np.ndarray, spell) -> np.ndarray:
+        """The number of each distinct word; spell gives the texts of the words at some places among them."""
+        if len(self.hashes) > KEPT:
+            self.clear()
+        spot = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = spot < len(self.hashes)
+        known[inside] = self.hashes[spot[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            self._add(hashes[new], spell(new))
+        return self.number[np.searchsorted(self.hashes, hashes)]
+
+    def _add(self, hashes: np.ndarray, words: list[str]) -> None:
+        size, degree, to, ids, logs = self.pieces.lattices(words)
+        nodes, n = len(self.first_edge) - 1, len(self.start)
+        owner = np.repeat(np.arange(len(degree)), degree)
+        run = np.cumsum(np.exp(logs))
+        first = np.cumsum(degree) - degree
+        ladder = run - np.concatenate(([0.0], run))[first][owner]
+        ladder[(first + degree - 1)[degree > 0]] = 2.0  # above any draw
+        self.start = np.concatenate((self.start, nodes + np.cumsum(size) - size))
+        self.first_edge = np.concatenate((self.first_edge, self.first_edge[-1] + np.cumsum(degree)))
+        self.to = np.concatenate((self.to, to + nodes))
+        self.ids, self.logs, self.ladder = (np.concatenate(x) for x in ((self.ids, ids), (self.logs, logs), (self.ladder, ladder)))
+        keys, number = np.concatenate((self.hashes, hashes)), np.concatenate((self.number, np.arange(n, n + len(hashes))))
+        order = np.argsort(keys)
+        self.hashes, self.number = keys[order], number[order]
+
+    def word(self, start: int) -> tuple[list[int], list[int], list[float], list[int]]:
+        """The lattice of the word whose first node is start, in plain numbers from 0: each node's first edge (and an end), the edges' nodes and
+        log-probabilities, and how many paths lead from each node to the end."""
+        end = start
+        while self.first_edge[end] < self.first_edge[end + 1]:
+            end += 1
+        a, b = int(self.first_edge[start]), int(self.first_edge[end])
+        first, to = (self.first_edge[start : end + 2] - a).tolist(), (self.to[a:b] - start).tolist()
+        paths = [1] * (end - start + 1)
+        for x in range(end - start - 1, -1, -1):
+            paths[x] = sum(paths[to[e]] for e in range(first[x], first[x + 1]))
+        return first, to, self.logs[a:b].tolist(), paths
+
+
+def _words(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts with a blank before each, their words' starts and ends, and each text's first word. A word is a run of blanks with the
+    run of others after it."""
+    words = Words([b" " + t.replace(BLANK, " ").encode("utf-8", "surrogatepass") for t in texts])
+    blank = words.raw == 32
+    begin = blank.copy()
+    begin[1:] &= ~blank[:-1]
+    closing = words.bounds[1:] - 1  # the blank that Words puts after a text, but for the last
+    begin[words.bounds[:-1]] = True
+    begin[closing[:-1]] = False
+    starts = np.flatnonzero(begin)
+    first = np.searchsorted(starts, words.bounds[:-1])
+    ends = np.append(starts[1:], len(words.raw))
+    ends[np.append(first[1:], len(starts)) - 1] = np.minimum(closing, len(words.raw))
+    return words, starts, ends, np.append(first, len(starts))
+
+
 class Batch:
-    """The chain of word lattices of some texts, and draws from it."""
+    """The chain of word lattices of some texts, and draws from it, until the next batch of the same model is made."""
 
     def __init__(self, pieces: Pieces, texts: list[str], keys: np.ndarray):
-        self.pieces, self.n = pieces, len(texts)
-        words = [_WORD.findall(BLANK + t.replace(" ", BLANK)) for t in texts]
-        number: dict[str, int] = {}
-        flat = [number.setdefault(w, len(number)) for ws in words for w in ws]
-        size, degree, self.to, self.ids, self.logs = pieces.lattices(list(number))
-        base = np.cumsum(size) - size
-        self.first_edge = np.concatenate(([0], np.cumsum(degree)))
-        self.p = np.exp(self.logs)
-        with np.errstate(divide="ignore"):
-            self.log_rest = np.log(-np.expm1(self.logs))  # of a node's other edges together
-        node = np.repeat(np.arange(len(degree)), degree)
-        run = np.cumsum(self.p)
-        self.ladder = node + (run - (run - self.p)[self.first_edge[node]] if len(run) else run)  # ascends from node to node + 1
-        self.word = np.array(flat, np.int64)
-        self.start = base[self.word]
-        self.count = np.array([len(w) for w in words])
-        self.doc = np.repeat(np.arange(self.n), self.count)
-        self.first_word = np.concatenate(([0], np.cumsum(self.count)))
-        place = np.arange(len(self.word)) - self.first_word[self.doc]
+        self.pieces, self.n, self.lattices = pieces, len(texts), pieces.held
+        words, starts, ends, self.first_word = _words(texts)
+        distinct, at, number = np.unique(words.span_hash(starts, ends), return_index=True, return_inverse=True)
+        data = words.raw.tobytes()
+
+        def spell(which: np.ndarray) -> list[str]:
+            spans = zip(starts[at[which]].tolist(), ends[at[which]].tolist(), strict=True)
+            return [data[i:j].decode("utf-8", "surrogatepass").replace(" ", BLANK) for i, j in spans]
+
+        found = self.lattices.find(distinct, spell)[number]
+        self.start = self.lattices.start[found]
+        self.doc = np.repeat(np.arange(self.n), np.diff(self.first_word))
         self.seed = mix(keys.view(_U) + _U(0x5851F42D4C957F2D))
+        place = np.arange(len(starts)) - self.first_word[self.doc]
         self.word_seed = mix(self.seed[self.doc] + place.astype(_U) * _U(0xA0761D6478BD642F))
 
-    def run(self, draw: int, words: np.ndarray, node: np.ndarray, step0: np.ndarray):
-        """Draws a path for each of the words (ascending) from its node on. Returns, in the order of words and steps, arrays (word, step, edge, log-probability within
-        the word before the edge, exponential variate for the other edges)."""
-        parts = []
-        ahead = np.zeros(len(words))
-        at, step = np.arange(len(words)), step0.copy()
-        steps = np.zeros(len(words), np.int64)
-        node = node.copy()
-        while True:
-            lo, hi = self.first_edge[node[at]], self.first_edge[node[at] + 1]
-            live = hi > lo
-            at, hi = at[live], hi[live]
-            if not len(at):
-                break
-            seed, here = self.word_seed[words[at]], step[at]
-            u = _uniform(seed, here + 1, draw + 1, 1)
-            edge = np.minimum(np.searchsorted(self.ladder, node[at] + u, "right"), hi - 1)
-            parts.append((at, here, edge, ahead[at], -np.log(_uniform(seed, here + 1, draw + 1, 2))))
-            ahead[at] += self.logs[edge]
-            node[at] = self.to[edge]
-            step[at] += 1
-            steps[at] += 1
-        begin = np.cumsum(steps) - steps
-        out = [np.zeros(int(steps.sum()), k) for k in (np.int64, np.int64, np.int64, np.float64, np.float64)]
-        for at, here, *rest in parts:
-            spot = begin[at] + here - step0[at]
-            for o, x in zip(out, (words[at], here, *rest), strict=True):
-                o[spot] = x
-        return (*out, ahead)
+    def run(self, draw: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Draws a path for each of the words. Returns the edges of all, where each word's begin (and an end), and each word's log-probability."""
+        held = self.lattices
+        first, parts = held.first_edge, []
+        logs, steps = np.zeros(len(words)), np.zeros(len(words), np.int64)
+        at, node, seed = np.arange(len(words)), self.start[words], self.word_seed[words] + _U(0xC2B2AE3D27D4EB4F * (draw + 1) & _ALL)
+        step = 0
+        while len(at):
+            seed = seed + _U(_STEP)
+            u = (mix(seed) >> _U(11)).astype(np.float64) * 2.0**-53
+            edge = first[node]
+            climb = np.flatnonzero(u >= held.ladder[edge])
+            while len(climb):
+                edge[climb] += 1
+                climb = climb[u[climb] >= held.ladder[edge[climb]]]
+            parts.append((at, edge))
+            logs[at] += held.logs[edge]
+            node = held.to[edge]
+            step += 1
+            steps[at] = step
+            live = np.flatnonzero(first[node + 1] > first[node])
+            at, node, seed = at[live], node[live], seed[live]
+        begin = np.concatenate(([0], np.cumsum(steps)))
+        out = np.zeros(int(begin[-1]), np.int64)
+        for k, (at, edge) in enumerate(parts):
+            out[begin[at] + k] = edge
+        return out, begin, logs
 
     def samples(self, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k samples (ids, log-probability, perturbed value, inclusion), best first."""
-        n = self.n
+        n, first = self.n, self.first_word
         value = _gumbel(_uniform(self.seed, 1, 2, 3))  # of each text's root
-        paths: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(n)]  # (word, step, edge) arrays of each sample
-        told: list[list[tuple[float, float]]] = [[] for _ in range(n)]  # (log-probability, value)
-        frontier: list[list[tuple]] = [[] for _ in range(n)]  # (value, sample, word, step, edges taken, log-probability before)
-        docs, words, node, step0 = np.arange(n), np.arange(len(self.word)), self.start, np.zeros(len(self.word), np.int64)
         before = np.zeros(n)  # log-probability of each text's fixed prefix
-        prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        told: list[list[tuple[float, float]]] = [[] for _ in range(n)]  # (log-probability, value)
+        frontier: list[list[tuple]] = [[] for _ in range(n)]  # (value, sample, word, paths taken, log-probability before the word)
+        pool: list[np.ndarray] = []  # edges of all draws; a sample has for each word where its edges are
+        pooled = 0
+        spans: list[tuple[np.ndarray, np.ndarray]] = []
+        docs, tail = np.arange(n), first[:-1].copy()
         for draw in range(k):
-            w, step, edge, inside, e, whole = self.run(draw, words, node, step0)
-            d_word = self.doc[words]
-            total = np.cumsum(whole) - whole
-            new = np.flatnonzero(np.r_[True, d_word[1:] != d_word[:-1]]) if len(words) else np.zeros(0, np.int64)
-            spent = np.zeros(len(self.word))
-            spent[words] = total - np.repeat(total[new], np.diff(np.r_[new, len(words)])) + before[d_word]
-            cut = np.searchsorted(w, np.stack([self.first_word[docs], self.first_word[docs + 1]]))
-            drawn = np.bincount(self.doc[w], weights=self.logs[edge], minlength=n)
-            for d, i, j in zip(docs.tolist(), *cut.tolist(), strict=True):
-                mine = (w[i:j], step[i:j], edge[i:j])
-                paths[d].append(tuple(np.concatenate(x) for x in zip(prefix[d], mine, strict=True)) if d in prefix else mine)
-                told[d].append((float(before[d] + drawn[d]), float(value[d])))
-            ahead = spent[w] + inside
-            d = self.doc[w]
-            left = _cut_off(ahead + self.log_rest[edge], value[d], e)
-            for _ in range(k - draw):  # of a path's frontier no more than these can be opened or be the bar
-                best = np.full(n, -np.inf)
-                np.maximum.at(best, d, left)
-                top = np.flatnonzero((left == best[d]) & (left > -np.inf))
-                for i in top[np.unique(d[top], return_index=True)[1]].tolist():
-                    frontier[d[i]].append((float(left[i]), draw, int(w[i]), int(step[i]), (int(edge[i]),), float(ahead[i])))
+            left_words = first[docs + 1] - tail[docs]
+            begin = np.cumsum(left_words) - left_words
+            words = np.repeat(tail[docs] - begin, left_words) + np.arange(int(left_words.sum()))
+            edges, cut, logs = self.run(draw, words)
+            if not draw:
+                spans.append((np.zeros(len(self.start), np.int64), np.zeros(len(self.start), np.int64)))
+            spans[draw][0][words], spans[draw][1][words] = cut[:-1] + pooled, cut[1:] + pooled
+            pool.append(edges)
+            pooled += len(edges)
+            of = np.repeat(np.arange(len(docs)), left_words)
+            ahead = np.cumsum(logs) - logs
+            ahead += (before[docs] - np.append(ahead, 0.0)[begin])[of] if len(words) else 0.0
+            total = before[docs] + np.bincount(of, weights=logs, minlength=len(docs))
+            for d, t in zip(docs.tolist(), total.tolist(), strict=True):
+                told[d].append((t, float(value[d])))
+            with np.errstate(divide="ignore"):
+                beside = np.log(-np.expm1(logs))  # of a word's other segmentations together
+            e = -np.log(_uniform(self.word_seed[words], draw + 1, 7))
+            left = _cut_off(ahead + beside, value[docs][of], e)
+            some = np.flatnonzero(left_words)
+            for _ in range(k - draw if len(words) else 0):  # of a path's frontier no more than these can be opened or be the bar
+                best = np.maximum.reduceat(left, begin[some])
+                top = np.flatnonzero((left == np.repeat(best, left_words[some])) & (left > -np.inf))
+                for i in top[np.unique(of[top], return_index=True)[1]].tolist():
+                    w = int(words[i])
+                    frontier[docs[of[i]]].append((float(left[i]), draw, w, (tuple(edges[cut[i] : cut[i + 1]].tolist()),), float(ahead[i])))
                     left[i] = -np.inf
             if draw == k - 1:
                 break
-            go, parts = [], []
+            spans.append(tuple(x.copy() for x in spans[draw]))
+            go, own = [], []
             value, before = value.copy(), before.copy()
             for d in docs.tolist():
                 if frontier[d]:
                     best = max(range(len(frontier[d])), key=lambda i: frontier[d][i][0])
+                    v, sample, w, taken, ahead_w = frontier[d].pop(best)
+                    path, log_p, rest = self._another(w, taken, draw)
+                    if rest is not None:
+                        e = -np.log(_uniform(self.word_seed[w : w + 1], draw + 1, 11))
+                        frontier[d].append((float(_cut_off(np.array([ahead_w + rest]), np.array([v]), e)[0]), sample, w, (*taken, path), ahead_w))
+                    for x, y in zip(spans[-1], spans[sample], strict=True):
+                        x[first[d] : w] = y[first[d] : w]
+                    spans[-1][0][w], spans[-1][1][w] = pooled, pooled + len(path)
+                    own += path
+                    pooled += len(path)
                     go.append(d)
-                    parts.append(self._open(d, frontier[d].pop(best), draw, paths, frontier, prefix, value, before))
+                    value[d], before[d], tail[d] = v, ahead_w + log_p, w + 1
+            pool.append(np.array(own, np.int64))
             if not go:
                 break
             docs = np.array(go, np.int64)
-            words, node, step0 = (np.concatenate(x) for x in zip(*parts, strict=True))
-        out = []
-        for d in range(n):
-            bar = max((f[0] for f in frontier[d]), default=-np.inf)
-            out.append([(self.pieces.expand(self.ids[path[2]]), log_p, v, float(-np.expm1(-np.exp(log_p - bar))) if bar > -np.inf else 1.0) for path, (log_p, v) in zip(paths[d], told[d], strict=True)])
+        ids = self.lattices.ids[np.concatenate(pool)] if pooled else np.zeros(0, np.int64)
+        out: list[list] = [[] for _ in range(n)]
+        for draw in range(max(map(len, told), default=0)):
+            a, z = spans[draw]
+            have = np.array([len(t) > draw for t in told])[self.doc]
+            size = np.where(have, z - a, 0)
+            ends = np.cumsum(size)
+            flat = ids[np.repeat(a - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            flat, cuts = self.pieces.expand(flat, np.concatenate(([0], ends))[first])
+            for d in range(n):
+                if len(told[d]) > draw:
+                    log_p, v = told[d][draw]
+                    bar = max((f[0] for f in frontier[d]), default=-np.inf)
+                    out[d].append((flat[cuts[d] : cuts[d + 1]], log_p, v, float(-np.expm1(-np.exp(log_p - bar))) if bar > -np.inf else 1.0))
         return out
 
-    def _open(self, d: int, best: tuple, draw: int, paths, frontier, prefix, value, before):
-        """Opens a node of siblings: one of them gets its value and becomes the text's prefix, the rest goes back. Returns the words, nodes and steps to go on from."""
-        v, sample, w, step, taken, ahead = best
-        word, steps, edges = paths[d][sample]
-        at = int(np.searchsorted(word, w)) + step - int(steps[np.searchsorted(word, w)])
-        lo, hi = (int(x) for x in self._edges_beside(taken[0]))
-        free = [x for x in range(lo, hi) if x not in taken]
-        weight = self.p[free]
-        u = _uniform(self.seed[d : d + 1], w - self.first_word[d] + 1, step + 1, draw + 1)
-        pick = free[min(int(np.searchsorted(np.cumsum(weight), u[0] * weight.sum(), "right")), len(free) - 1)]
-        value[d], before[d] = v, ahead + self.logs[pick]
-        if len(free) > 1:
-            rest = ahead + np.log(sum(self.p[x] for x in free if x != pick))
-            e = -np.log(_uniform(self.seed[d : d + 1], w - self.first_word[d] + 1, step + 1, draw + 1 + 7919))
-            frontier[d].append((float(_cut_off(np.array([rest]), np.array([v]), e)[0]), sample, w, step, (*taken, pick), ahead))
-        prefix[d] = tuple(np.append(x[:at], y) for x, y in zip((word, steps, edges), (w, step, pick), strict=True))
-        tail = np.arange(w, self.first_word[d + 1])
-        return tail, np.concatenate(([self.to[pick]], self.start[tail[1:]])), np.concatenate(([step + 1], np.zeros(len(tail) - 1, np.int64)))
-
-    def _edges_beside(self, edge: int) -> tuple[int, int]:
-        """The edges of the node that an edge leaves."""
-        node = int(np.searchsorted(self.first_edge, edge, "right")) - 1
-        return self.first_edge[node], self.first_edge[node + 1]
+    def _another(self, w: int, taken: tuple[tuple[int, ...], ...], draw: int) -> tuple[tuple[int, ...], float, float | None]:
+        """A segmentation of a word by its probability among those not taken: its edges and log-probability, and that of what is left then (None: nothing)."""
+        first, to, logs, paths = self.lattices.word(int(self.start[w]))
+        base = int(self.lattices.first_edge[self.start[w]])
+        seed = int(self.word_seed[w]) + 0x9FB21C651E98DF25 * (draw + 1) + 0x165667B19E3779F9 * len(taken)
+        on = [tuple(x - base for x in t) for t in taken]
+        mass = {t: math.exp(sum(logs[x] for x in t)) for t in on}
+        spent = sum(mass.values())
+        path, log_p, node = [], 0.0, 0
+        while first[node] < first[node + 1]:
+            seed = seed + _STEP & _ALL
+            free = []
+            for x in range(first[node], first[node + 1]):
+                through = [t for t in on if t[len(path)] == x]
+                if len(through) < paths[to[x]]:
+                    free.append((x, max(math.exp(log_p + logs[x]) - sum(mass[t] for t in through), 1e-300)))
+            bar = (_mixed(seed) >> 11) * 2.0**-53 * sum(m for _, m in free)
+            for x, m in free:
+                bar -= m
+                if bar < 0:
+                    break
+            on = [t for t in on if t[len(path)] == x]
+            path.append(x)
+            log_p += logs[x]
+            node = to[x]
+        rest = None if len(taken) + 1 >= paths[0] else math.log(max(1.0 - spent - math.exp(log_p), 1e-300))
+        return tuple(x + base for x in path), log_p, rest
 
 
 _SCHEMA = "doc_id long, sample int, ids array<int>, log_probability double, perturbed double, inclusion double"
@@ -328,7 +448,7 @@ def _sampler(path: str, k: int, theta: float):
         for batch in batches:
             keys = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in chunks(texts, 256 << 10):
+            for i, j in chunks(texts):
                 got = Batch(pieces, texts[i:j], np.array([x or 0 for x in keys[i:j]], np.int64)).samples(k)
                 rows = [(keys[i + d], s + 1, *x) for d, mine in enumerate(got) for s, x in enumerate(mine)]
                 cols = list(zip(*rows, strict=True))
@@ -350,43 +470,36 @@ def _ends(lists: pa.Array) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
 
 
-def _decoder(path: str):
+def _decoder(path: str, keep: bool):
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled = Pieces.open(path, 1.0).spelled()
         for batch in batches:
             ids = batch.column(batch.num_columns - 1)
             _, place, data = spelled.take(ids.flatten()).buffers()
-            ends = np.frombuffer(place, np.int64)[_ends(ids)].tolist() if place and place.size else [0] * (len(ids) + 1)
+            ends = _ends(ids)
+            bounds = np.frombuffer(place, np.int64)[ends].tolist() if place and place.size else [0] * (len(ids) + 1)
             data = data.to_pybytes() if data else b""
-            texts = [data[a:b].decode("utf-8", "replace").replace(BLANK, " ").removeprefix(" ") for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            said = pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], said], names=[*batch.schema.names[:-1], "text"])
+            none = ids.is_null().to_numpy(zero_copy_only=False)
+            texts = [data[a:b].decode("utf-8", "replace").replace(BLANK, " ").removeprefix(" ") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            numbers = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+            sums = [zlib.crc32(numbers[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            columns = [*batch.columns[:-1], *([ids] if keep else []), pa.array(texts, pa.string(), mask=none), pa.array(sums, pa.int64(), mask=none)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *([batch.schema.names[-1]] if keep else []), "text", "ids_crc32"])
 
     return decoded
 
 
-def decode(samples: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
-    """Adds text, which the column of ids spells. Bytes that aren't UTF-8 become U+FFFD, control pieces nothing, unknown ones " \u2047 "; null
-    ids a null text; ids that the model doesn't have are an error."""
-    given = samples.select("*", F.col(ids).cast("array<int>").alias("_ids"))
-    schema = T.StructType([*samples.schema.fields, T.StructField("text", T.StringType())])
-    return given.mapInArrow(_decoder(path or model_path()), schema)
-
-
-def checksum(ids: Column) -> Column:
-    """The CRC-32 of each row's ids as little-endian 32-bit numbers."""
-
-    @F.arrow_udf("long")
-    def crc(column: pa.Array) -> pa.Array:
-        ends = _ends(column).tolist()
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
-
-    return crc(ids)
+def decode(samples: DataFrame, ids: str = "ids", path: str | None = None, keep: bool = True) -> DataFrame:
+    """Adds text, which the column of ids spells, and ids_crc32, the CRC-32 of the ids as little-endian 32-bit numbers; without keep the ids
+    themselves go. Bytes that aren't UTF-8 become U+FFFD, control pieces nothing, unknown ones " \u2047 "; null ids a null text and checksum; ids that
+    the model doesn't have are an error; columns named text or ids_crc32 give way."""
+    others = [c for c in samples.columns if c not in (ids, "text", "ids_crc32")]
+    given = samples.select(*others, F.col(ids).cast("array<int>").alias(ids))
+    own = [T.StructField("text", T.StringType()), T.StructField("ids_crc32", T.LongType())]
+    schema = T.StructType([f for f in given.schema.fields if keep or f.name != ids] + own)
+    return given.mapInArrow(_decoder(path or model_path(), keep), schema)
 
 
 def op9_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = decode(sample_segmentations(table(spark, sf_dir, "documents")))
-    return read.select(
-        "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), checksum(F.col("ids")).alias("ids_crc32"), "log_probability", "perturbed", "inclusion", F.sha2("text", 256).alias("text_sha256")
-    )
+    drawn = sample_segmentations(table(spark, sf_dir, "documents")).withColumn("n_pieces", F.size("ids").cast("long"))
+    return decode(drawn, keep=False).select("doc_id", "sample", "n_pieces", "ids_crc32", "log_probability", "perturbed", "inclusion", F.sha2("text", 256).alias("text_sha256"))

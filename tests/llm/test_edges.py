@@ -297,25 +297,75 @@ def test_sampling_is_without_replacement():
         assert first[a] / n == pytest.approx(p[a], abs=0.012)
 
 
+def test_inclusion_scores():
+    """Over many draws each segmentation counts with its probability when weighed by probability over inclusion."""
+    pieces = sampling.Pieces.open(sampling.model_path(), 1.0)
+    n = 20_000
+    for k in (1, 2, 4):
+        weighed, p = Counter(), {}
+        for mine in sampling.Batch(pieces, ["the cat"] * n, np.arange(n) + 7).samples(k):
+            for x in mine:
+                s = tuple(x[0].tolist())
+                p[s] = float(np.exp(x[1]))
+                weighed[s] += p[s] / x[3]
+        assert sum(weighed.values()) / n == pytest.approx(1, abs=0.02)
+        for s in sorted(p, key=p.get)[-3:]:
+            assert weighed[s] / n == pytest.approx(p[s], abs=0.02)
+
+
+def test_all_segmentations_of_a_short_text():
+    """With enough samples each path comes once, as brute force over the vocabulary finds them, with inclusion 1."""
+    pieces = sampling.Pieces.open(sampling.model_path(), 1.0)
+    said = sampling.BLANK + "ab" + sampling.BLANK + "cd"
+
+    def paths(rest):
+        if not rest:
+            return [()]
+        return [(pieces.ids[rest[:n]], *t) for n in range(1, len(rest) + 1) if rest[:n] in pieces.ids and (n == 1 or sampling.BLANK not in rest[1:n]) for t in paths(rest[n:])]
+
+    want = paths(said)
+    got = sampling.Batch(pieces, ["ab cd"], np.array([1])).samples(len(want) + 5)[0]
+    assert sorted(tuple(x[0].tolist()) for x in got) == sorted(want) and {x[3] for x in got} == {1.0}
+    assert sum(np.exp(x[1]) for x in got) == pytest.approx(1)
+    assert [x[2] for x in got] == sorted((x[2] for x in got), reverse=True)
+
+
+def test_sampling_does_not_depend_on_batches():
+    pieces = sampling.Pieces.open(sampling.model_path(), 1.0)
+    texts = ["the cat sat", "", "x", "on the  mat\n"]
+    together = sampling.Batch(pieces, texts, np.arange(4)).samples(3)
+    for i, t in enumerate(texts):
+        alone = sampling.Batch(pieces, [t], np.array([i])).samples(3)[0]
+        assert [(x[0].tolist(), *x[1:]) for x in alone] == [(x[0].tolist(), *x[1:]) for x in together[i]]
+
+
+def test_decoding_as_the_library():
+    pieces = sampling.Pieces.open(sampling.model_path(), 1.0)
+    for t in ["the cat", "naïve 日本語 😀", "a  b"]:
+        own = pieces.model.encode(t)
+        assert pieces.decode(own) == pieces.model.decode(own)
+
+
 def test_sampling_edges(spark, docs, none):
-    rows = sampling.sample_segmentations(docs.where("doc_id is null or doc_id < 6 or doc_id > 7")).collect()
+    rows = sampling.decode(sampling.sample_segmentations(docs)).collect()
     by = Counter(r["doc_id"] for r in rows)
-    assert by[1] == by[2] == 1 and by[5] == 4
+    assert by[1] == by[2] == 1 and by[5] == 4 and by[6] == by[7] == 2
+    assert all(r["text"] == (dict(ROWS)[r["doc_id"]] or "") for r in rows)
     assert sampling.sample_segmentations(none).count() == 0
     pieces = sampling.Pieces.open(sampling.model_path(), 1.0)
-    for t in ["", "a", "  two  blanks ", "naïve\n日本語 😀 x\t", "z" * 300]:
+    for t in ["", "a", "  two  blanks ", "naïve\n日本語 😀 x\t", "z" * 300, "▁ ▁x", "end "]:
         for x in sampling.Batch(pieces, [t], np.array([5])).samples(3)[0]:
-            assert pieces.decode(x[0]) == t
+            assert pieces.decode(x[0]) == t.replace(sampling.BLANK, " ")
 
 
 def test_decode(spark, docs, none):
     """Samples carry their ids, and decoding them gives the texts back."""
     texts = {1: "", 2: "  two  blanks ", 3: "naïve\n日本語 😀 x\t", 4: None}
     made = sampling.sample_segmentations(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3)
-    rows = sampling.decode(made).withColumn("crc", sampling.checksum(F.col("ids"))).collect()
+    rows = sampling.decode(made).collect()
     assert {r["doc_id"] for r in rows} == set(texts) and len({(r["doc_id"], *r["ids"]) for r in rows}) == len(rows) > 6
     for r in rows:
-        assert r["text"] == (texts[r["doc_id"]] or "") and r["crc"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        assert r["text"] == (texts[r["doc_id"]] or "") and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
     pieces = sampling.Pieces.open(sampling.model_path(), 1.0)
     given = [([pieces.byte_id[0xFF], pieces.ids["a"]],), ([pieces.model.unk_id(), pieces.model.bos_id()],), ([],), (None,)]
     got = sampling.decode(spark.createDataFrame(given, "mine array<int>").coalesce(1), "mine").collect()
