@@ -364,7 +364,7 @@ def _named(docs: DataFrame, linked: DataFrame) -> DataFrame:
     classes = checkpoint(linked.groupBy("h").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "room", "room_below")]))
     stars = checkpoint(_stars(_prefixes(docs, classes)))
     sets = _written_sets(docs, stars.select("h").distinct().join(classes, "h").select("doc_id", "h"))
-    links = checkpoint(verify(checkpoint(_best(stars, classes)), sets))
+    links = checkpoint(verify(checkpoint(_best(stars)), sets))
     found = checkpoint(components(links))
     further = checkpoint(_further(stars, found, sets))
     if not further.isEmpty():
@@ -378,24 +378,25 @@ def _named(docs: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, h): the blocks of each set's prefixes that other sets have too."""
+    """(key, h, n): the blocks of each set's prefixes that other sets have too."""
     total = classes.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-int(total * 0.55) // GROUP))
     dealt = docs.where("doc_id is not null").select("text").mapInArrow(_dealer(groups), "g long, kind int, keys binary, ids binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * groups)
     held = dealt.repartition(parts, "g").groupBy("g").applyInArrow(_count, "key long, id long, held long")
-    both = held.select("key", "held", F.col("id").bitwiseAND(F.lit(-2)).alias("h"), (F.col("id").bitwiseAND(F.lit(1)) == 1).alias("below")).join(classes.drop("doc_id", "n"), "h")
+    both = held.select("key", "held", F.col("id").bitwiseAND(F.lit(-2)).alias("h"), (F.col("id").bitwiseAND(F.lit(1)) == 1).alias("below")).join(classes.drop("doc_id"), "h")
     of = Window.partitionBy("h", "below")
     # ranks of equal rows are equal, for copies of a set may have come from several tasks
     ranked = both.withColumn("rank", F.dense_rank().over(of.orderBy("held", "key")))
     ranked = ranked.withColumn("shared", F.max("rank").over(of))  # of the filled blocks the others are the set's own
-    return ranked.where(F.col("rank") <= F.col("shared") + F.when(F.col("below"), F.col("room_below")).otherwise(F.col("room"))).select("key", "h").distinct()
+    return ranked.where(F.col("rank") <= F.col("shared") + F.when(F.col("below"), F.col("room_below")).otherwise(F.col("room"))).select("key", "h", "n").distinct()
 
 
 def _stars(kept: DataFrame) -> DataFrame:
-    """(key, h, a, m) of the keys that m > 1 sets have, a being the least of them."""
+    """(key, h, n, a, na, m) of the keys that m > 1 sets have, a being the least of them, of size na."""
     kept = checkpoint(kept)
-    return kept.join(kept.groupBy("key").agg(F.min("h").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1"), "key")
+    centres = kept.groupBy("key").agg(F.min(F.struct("h", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    return kept.join(centres.select("key", F.col("c.h").alias("a"), F.col("c.n").alias("na"), "m"), "key")
 
 
 def _written_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -408,19 +409,18 @@ def _written_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _best(stars: DataFrame, classes: DataFrame) -> DataFrame:
+def _best(stars: DataFrame) -> DataFrame:
     """(a, b): each set b with the centre a that it shares most blocks with, of those whose size allows a link."""
-    size = classes.select("h", "n")
-    pairs = stars.where("h != a").groupBy("a", F.col("h").alias("b")).agg(F.count(F.lit(1)).alias("blocks"))
-    sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where((F.col("na") * Q >= F.col("nb") * P) & (F.col("nb") * Q >= F.col("na") * P))
-    return sized.groupBy("b").agg(F.max_by("a", F.struct("blocks", "a")).alias("a")).select("a", "b")
+    sized = stars.where((F.col("h") != F.col("a")) & (F.col("na") * Q >= F.col("n") * P) & (F.col("n") * Q >= F.col("na") * P))
+    shared = sized.groupBy("a", F.col("h").alias("b")).agg(F.count(F.lit(1)).alias("blocks"))
+    return shared.groupBy("b").agg(F.max_by("a", F.struct("blocks", "a")).alias("a")).select("a", "b")
 
 
 def _further(stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets of different components that share a block, as far as sizes and dense sketches allow a link."""
-    rooted = stars.join(found.withColumnRenamed("node", "h"), "h", "left").select("key", "h", "m", F.coalesce("root", "h").alias("root"))
+    rooted = stars.join(found.withColumnRenamed("node", "h"), "h", "left").select("key", "h", "n", "m", F.coalesce("root", "h").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    rows = rooted.join(mixed, "key").join(sets.select("h", "n", "sketch"), "h")
+    rows = rooted.join(mixed, "key").join(sets.select("h", "sketch"), "h")
     count = F.ceil(F.col("m") / TILE)
     mine, other = F.pmod(F.xxhash64("h"), count), F.col("other")
     tiled = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
