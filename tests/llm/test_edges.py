@@ -133,6 +133,47 @@ def test_quality(spark, docs, none):
     assert quality.keep_good(docs).columns == docs.columns and quality.keep_good(none).count() == 0
     loop = spark.createDataFrame([(1, "a b c d e " * 4000)], "doc_id long, text string")
     assert quality.with_stats(loop).first()["n_repeat_words"] == 20_000
+    stats = quality.with_stats(docs.select("doc_id", "text"))
+    judged = quality.judge(stats.withColumn("kept", F.lit("clash")), quality.fit(stats))
+    kept = sorted(r["doc_id"] or 0 for r in judged.collect() if r["kept"])
+    assert sorted(r["doc_id"] or 0 for r in quality.keep_good(docs).collect()) == kept and 6 in kept
+
+
+def test_repeats_of_a_very_long_text_are_exact(spark):
+    """The only repeat is that of the first five words at the end."""
+    long = spark.range(1).select(F.lit(1).alias("doc_id"), F.expr("concat(array_join(transform(sequence(1, 3000000), x -> concat('w', x)), ' '), ' w1 w2 w3 w4 w5')").alias("text"))
+    r = quality.with_stats(long).first()
+    assert (r["n_words"], r["n_repeat_words"]) == (3_000_005, 10)
+
+
+def test_expectation_maximisation_against_arrays():
+    """The loop over vote patterns gives what the same steps over one row a document give, and finds rates that votes were drawn with."""
+    rng = np.random.default_rng(5)
+    names = [k for own in quality.FAMILIES.values() for k in own]
+    kind = rng.choice(4, 4000, p=[0.8, 0.1, 0.06, 0.04])
+    true = np.full((4, len(names)), 0.03)
+    for c, own in enumerate(quality.FAMILIES.values(), 1):
+        true[c, [names.index(k) for k in own]] = 0.85
+    votes = np.where(rng.random((4000, len(names))) < true[kind], -1, 1) * (rng.random((4000, len(names))) < 0.9)
+    found = sorted((list(p), n) for p, n in Counter(map(tuple, votes.tolist())).items())
+    model = quality.expectation_maximisation(found, names, rounds=30)
+    first = np.full((4, len(names)), quality.OTHER)
+    first[0] = quality.FALSE
+    first[true > 0.5] = quality.HIT
+    guess = np.array([quality.GOOD] + [(1 - quality.GOOD) / 3] * 3)
+    share, rate = guess, first
+    for _ in range(30):
+        like = share * np.exp((votes < 0) @ np.log(rate).T + (votes > 0) @ np.log(1 - rate).T)
+        post = like / like.sum(axis=1, keepdims=True)
+        share = (post.sum(axis=0) + quality.WEIGHT * guess) / (len(votes) + quality.WEIGHT)
+        rate = (post.T @ (votes < 0) + quality.WEIGHT * first) / (post.T @ (votes != 0) + quality.WEIGHT)
+    assert np.array(model["share"]) == pytest.approx(share) and np.array(model["rate"]) == pytest.approx(rate)
+    assert np.abs(rate - true).max() < 0.12
+    like = share * np.exp((votes < 0) @ np.log(rate).T + (votes > 0) @ np.log(1 - rate).T)
+    good = like[:, 0] / like.sum(axis=1) >= 0.5
+    assert np.mean(good == (kind == 0)) > 0.97
+    alone = (votes < 0).sum(axis=1) == 1
+    assert good[alone].mean() > 0.5  # one vote against a document seldom decides
 
 
 def test_chat(spark):

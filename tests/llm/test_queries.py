@@ -9,9 +9,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from compare import oracle_rows, spark_rows
 
-from lexspan.llm import packing, registry, sampling, simhash, token_files
+from lexspan.llm import packing, quality, registry, sampling, simhash, token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -131,9 +132,41 @@ def test_op7(spark, sf_dir, docs):
         n, *rest = stats(docs[r["doc_id"]])
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, *rest)
         assert r["base_failed"] == (n < 10 or 100 * rest[-1] > 20 * n) and not (r["kept"] and r["base_failed"])
-    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    kept = [r["kept"] for r in rows if quality.get(r["doc_id"]) == 1 and not r["base_failed"]]
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    kept = [r["kept"] for r in rows if marks.get(r["doc_id"]) == 1 and not r["base_failed"]]
     assert np.mean(kept) > 0.95
+    assert not any(r["kept"] for r in rows if not r["base_failed"] and r["quality_probability"] < 0.5)
+
+
+def test_op7_verdicts_by_hand(spark, sf_dir, docs):
+    """kept, from votes taken with plain Python and expectation-maximisation over one row a document."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    names = list(quality.rules())
+    votes, failed = [], []
+    for t in texts.values():
+        n, chars, symbols, dup, again = stats(t)
+        w, m = WORD.findall(t), max(n, 1)
+        c, lines = max(chars, 1), sum(1 for x in t.split("\n") if WORD.search(x))
+        windows = [tuple(w[i : i + 5]) for i in range(n - 4)]
+        twice = (len(windows) - len(set(windows))) / max(n - 4, 1)
+        letters, upper, bangs = (len(regex.findall(x, t)) for x in (r"\p{L}", r"\p{Lu}", "!!"))
+        ends = len(re.findall(r"[.?!:;。](?=[\x20\x09-\x0D]|\Z)", t))
+        spread = len(set(w)) * min(n, 400) ** 0.5
+        tests = {
+            "symbols": (symbols / m > 0.25, symbols / m < 0.05), "symbol_share": (symbols / c > 0.05, symbols / c < 0.01), "letters": (letters / c < 0.8, letters / c > 0.9),
+            "word_length": (chars / m < 2 or chars / m > 15, 3 <= chars / m <= 10), "duplicate_lines": (lines >= 3 and dup / lines > 0.3, lines >= 3 and dup / lines < 0.1),
+            "repeated_words": (again / m > 0.2, n >= 20 and again / m < 0.1), "repeated_windows": (n >= 10 and twice > 0.1, n >= 20 and twice < 0.02),
+            "few_words": (n >= 20 and spread < 4 * n, n >= 20 and spread > 6 * n), "capitals": (upper / c > 0.3, upper / c < 0.1), "shouting": (bangs / m > 0.1, bangs == 0),
+            "sentences": (n >= 40 and (ends / m > 0.6 or ends == 0), n >= 10 and 0.01 <= ends / m <= 0.4),
+        }
+        votes.append([-1 if tests[k][0] else int(tests[k][1]) for k in names])
+        failed.append(n < 10 or 100 * again > 20 * n)
+    model = quality.expectation_maximisation(sorted((list(p), n) for p, n in Counter(map(tuple, votes)).items()), names)
+    share, rate, votes = np.array(model["share"]), np.array(model["rate"]), np.array(votes)
+    like = share * np.exp((votes < 0) @ np.log(rate).T + (votes > 0) @ np.log(1 - rate).T)
+    want = dict(zip(texts, (like[:, 0] / like.sum(axis=1) >= 0.5) & ~np.array(failed), strict=True))
+    assert {r["doc_id"]: r["kept"] for r in result(spark, sf, "op7_quality_rules")} == want
 
 
 def test_op8(spark, sf_dir):
