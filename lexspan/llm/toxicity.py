@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-Terms are words and runs of 4 and 6 bytes (A-Z as a-z), so inflected and compounded insults share terms. Of a bounded sample of
-labelled rows, those terms are kept whose presence depends most on the label; document frequencies are counted over all
+Terms are words and runs of 4 and 6 bytes (A-Z as a-z), so inflected and compounded insults share terms. The vocabulary comes from a bounded
+sample of labelled rows: all words that neither too few nor too many of them have, whatever their label, which give each text a vector of
+its own; and all terms whose presence depends on the label beyond chance. Document frequencies are counted over all
 documents. Every text also has a term that all texts share, so texts without any of the kept terms are alike, not undefined.
 
 The index holds the examples' distinct vectors in blocks. By term and block it knows the largest weight, which bounds the
@@ -9,7 +10,7 @@ cosine of any example in the block; a query opens blocks by falling bound until
 nearest are exact. Votes weigh by distance; leave-one-out votes of the examples calibrate them (a logistic curve).
 
 Defined results: a null text counts as empty and scores as any text without terms; rows with a null label don't teach; of
-several labels of a document the largest counts; repeated rows score alike; a null doc_id scores, isn't held out and teaches
+several labels of a document the largest counts, and of several texts the least; repeated rows score alike; a null doc_id scores, isn't held out and teaches
 nothing; without labels every score is the prior; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -23,19 +24,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, chunks, table, text_bytes
+from .shared import Words, checkpoint, chunks, table, text_bytes
 
 #: The bound of the labelled rows that teach: the rows with the least hash of their id.
 EXAMPLES = 8192
-#: Kept terms at most.
-TERMS = 1024
 NEAREST = 16
 BLOCK = 64
-#: How fast a vote fades with cosine distance, and the weight of the prior among the votes.
+#: How fast a vote fades with cosine distance from the nearest, and the weight of the prior among the votes.
 FADE, PRIOR_WEIGHT = 0.1, 0.5
 GRAMS = (4, 6)
-#: A term is kept only if so large a share of the sampled texts that have it are toxic.
+#: The least and the largest share of the sampled texts that have a word of the vocabulary.
+WORD_SHARES = (0.004, 0.05)
+#: A term tells of the label if so large a share of the sampled texts that have it are toxic, beyond chance.
 LEAST_SHARE = 0.3
+#: How much more such a term weighs than its inverse document frequency.
+TELLING = 16.0
 FOLDS = 5
 
 
@@ -93,52 +96,51 @@ def count_terms(texts: list[bytes | None], lookup: Lookup) -> tuple[np.ndarray,
 
 
 def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) to (term, toxic, n): in how many texts of the task a term is."""
-    held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    """(toxic, text) to (term, word, toxic, n): in how many texts of the task a term is."""
+    held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {(w, y): [] for w in (0, 1) for y in (0, 1)}
 
     def merged():
-        for y, parts in held.items():
+        for kind, parts in held.items():
             if parts:
                 term, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                n = np.bincount(of, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-                held[y] = [(term, n)]
+                held[kind] = [(term, np.bincount(of, weights=np.concatenate([p[1] for p in parts])).astype(np.int64))]
 
     for batch in batches:
         toxic, texts = batch.column(0).to_numpy(), text_bytes(batch.column(1))
         for i, j in chunks(texts):
             words = Words(texts[i:j], lower=True)
-            codes, owners = [], []
             for kind, (h, at) in enumerate(_terms(words)):
-                text, inside = _text_of(words, at, 1 if kind == 0 else GRAMS[kind - 1])
-                codes.append(h[inside])
-                owners.append(text[inside])
-            h, of = np.concatenate(codes), np.concatenate(owners)
-            order = np.lexsort((h, of))
-            h, of = h[order], of[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])] if len(h) else np.zeros(0, bool)
-            h, y = h[new], toxic[i:j][of[new]]
-            for k in (0, 1):
-                held[k].append(np.unique(h[y == k], return_counts=True))
+                of, inside = _text_of(words, at, 1 if kind == 0 else GRAMS[kind - 1])
+                h, of = h[inside], of[inside]
+                order = np.lexsort((h, of))
+                h, of = h[order], of[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])] if len(h) else np.zeros(0, bool)
+                h, y = h[new], toxic[i:j][of[new]]
+                for k in (0, 1):
+                    held[int(kind == 0), k].append(np.unique(h[y == k], return_counts=True))
         if sum(len(p[0]) for parts in held.values() for p in parts) > 2_000_000:
             merged()
     merged()
-    for y, parts in held.items():
+    for (word, y), parts in held.items():
         for term, n in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.full(len(term), y)), pa.array(n.astype(np.int64))], names=["term", "toxic", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.full(len(term), word)), pa.array(np.full(len(term), y)), pa.array(n.astype(np.int64))], names=["term", "word", "toxic", "n"])
 
 
-def choose_terms(examples: DataFrame, n: int, n_toxic: int) -> np.ndarray:
-    """Hashes of at most TERMS terms with the largest log-likelihood ratio against the label, beyond what chance gives among all candidates."""
-    told = examples.select("toxic", "text").mapInArrow(_tell, "term long, toxic long, n long")
-    both = told.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("all")).where("a >= 3")
+def choose_terms(examples: DataFrame, n: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words within WORD_SHARES, and of the terms whose log-likelihood ratio against the label is beyond what chance gives among
+    all candidates; and which these are. As many as EXAMPLES texts have; each word has n * WORD_SHARES[0] of them at least."""
+    told = examples.select("toxic", "text").mapInArrow(_tell, "term long, word long, toxic long, n long")
+    both = told.groupBy("term").agg(F.max("word").alias("word"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("all"))
     a, m = F.col("a").cast("double"), F.col("all").cast("double")
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     b, c, d = m - a, F.lit(float(n_toxic)) - a, F.lit(float(n - n_toxic)) - (m - a)
     p = n_toxic / n
     ratio = 2 * (part(a, m * p) + part(b, m * (1 - p)) + part(c, (n - m) * p) + part(d, (n - m) * (1 - p)))
-    best = both.where(a > m * max(p, LEAST_SHARE)).select("term", ratio.alias("g")).orderBy(F.desc("g"), "term").limit(TERMS)
-    bar = 2 * np.log(max(2, n)) + 20
-    return np.array([r["term"] for r in best.where(F.col("g") > bar).collect()], np.int64).view(np.uint64)
+    least, most = WORD_SHARES
+    ordinary = (F.col("word") == 1) & (m >= max(2, n * least)) & (m <= max(2, n * most))
+    tells = (a >= 3) & (a > m * max(p, LEAST_SHARE)) & (ratio > float(2 * np.log(max(2, n)) + 20))
+    found = sorted((r["term"], r["tells"]) for r in both.where(ordinary | tells).select("term", tells.alias("tells")).collect())
+    return np.array([t for t, _ in found], np.int64).view(np.uint64), np.array([x for _, x in found], bool)
 
 
 @dataclass
@@ -168,7 +170,7 @@ class Model:
         for t, w in self.vectors(texts):
             key = (t.tobytes(), np.round(w, 9).tobytes())
             if key not in self.cache:
-                if len(self.cache) > 50_000:
+                if len(self.cache) > 5_000:
                     self.cache.clear()
                 self.cache[key] = self._score(t, w)
             out.append(self.cache[key])
@@ -205,30 +207,34 @@ class Index:
         row = np.repeat(np.arange(len(keys)), [len(k[0]) for k in keys])
         weight = np.concatenate([np.array(k[1]) for k in keys])
         order = np.lexsort((row, term))
-        self.row, self.weight = row[order], weight[order]
+        self.row, self.weight = row[order].astype(np.int32), weight[order]
         place = term[order] * n_blocks + self.row // BLOCK
-        self.cut = np.searchsorted(place, np.arange(n_terms * n_blocks + 1)).reshape(-1)
-        self.most = np.zeros(n_terms * n_blocks)
-        np.maximum.at(self.most, place, self.weight)
-        self.most = self.most.reshape(n_terms, n_blocks)
+        self.cut = np.searchsorted(place, np.arange(n_terms * n_blocks + 1)).astype(np.int32)
+        most = np.zeros(n_terms * n_blocks)
+        np.maximum.at(most, place, self.weight)
+        self.most = np.nextafter(most.astype(np.float32), np.float32(2)).reshape(n_terms, n_blocks)  # never below
         self.n_blocks = n_blocks
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of largest cosine, ties by row, and the cosines. Exact."""
-        bound = w @ self.most[t]
+        bound = w @ self.most[t] + 1e-6
+        order = np.argsort(-bound, kind="stable")
         who, cos = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if len(cos) >= k and cos[k - 1] > bound[b] + 1e-12:
-                break
-            got = np.zeros(min(BLOCK, len(self.n) - b * BLOCK))
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                i, j = self.cut[term * self.n_blocks + b], self.cut[term * self.n_blocks + b + 1]
-                if i < j:
-                    got[self.row[i:j] - b * BLOCK] += weight * self.weight[i:j]
-            who = np.concatenate((who, np.arange(b * BLOCK, b * BLOCK + len(got))))
-            cos = np.concatenate((cos, got))
+        at, step = 0, 4
+        while at < len(order) and not (len(cos) >= k and cos[k - 1] > bound[order[at]]):
+            blocks = order[at : at + step]
+            cell = t[:, None] * self.n_blocks + blocks
+            lo = self.cut[cell].ravel()
+            many = self.cut[cell + 1].ravel() - lo
+            spot = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            here = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(t)), many) + self.row[spot] % BLOCK
+            got = np.bincount(here, weights=np.repeat(np.repeat(w, len(blocks)), many) * self.weight[spot], minlength=len(blocks) * BLOCK)
+            rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            real = rows < len(self.n)
+            who, cos = np.concatenate((who, rows[real])), np.concatenate((cos, got[real]))
             best = np.lexsort((who, -cos))[:k]
             who, cos = who[best], cos[best]
+            at, step = at + step, step * 2
         return who, cos
 
     def vote(self, who: np.ndarray, cos: np.ndarray, prior: float, less: tuple[int, int] | None = None) -> float:
@@ -237,10 +243,10 @@ class Index:
         if less is not None:
             n[who == less[0]] -= 1
             y[who == less[0]] -= less[1]
-        some = n > 0
-        weight = np.where(some, 1 + np.log(np.maximum(n, 1)), 0) * np.exp((cos - 1) / FADE)
-        share = np.divide(y, n, out=np.zeros(len(n)), where=some)
-        return float((weight @ share + PRIOR_WEIGHT * prior) / (weight.sum() + PRIOR_WEIGHT))
+        some = np.flatnonzero(n > 0)[:NEAREST]
+        n, y, cos = n[some], y[some], cos[some]
+        weight = (1 + np.log(n)) * np.exp((cos - cos.max(initial=-1)) / FADE)
+        return float((weight @ (y / n) + PRIOR_WEIGHT * prior) / (weight.sum() + PRIOR_WEIGHT))
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -275,13 +281,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """docs (doc_id, text); labels (doc_id, toxic): the rows that may teach."""
     taught = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     chosen = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
-    examples = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # EXAMPLES rows at most are sent
+    examples = checkpoint(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))  # EXAMPLES rows at most
     n, n_toxic = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (n_toxic + 1) / (n + 20)
-    terms = choose_terms(examples, n, n_toxic) if n_toxic else np.zeros(0, np.uint64)
-    counts = dict(docs.select("text").mapInArrow(_frequencies(terms), "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # TERMS + 1 rows at most
+    terms, tells = choose_terms(examples, n, n_toxic) if n_toxic else (np.zeros(0, np.uint64), np.zeros(0, bool))
+    counts = dict(docs.select("text").mapInArrow(_frequencies(terms), "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # a row a term
     n_docs = counts.pop(len(terms), 0)
-    model = Model(terms, np.array([np.log((1 + n_docs) / (1 + counts.get(k, 0))) + 1 for k in range(len(terms))]), prior)
+    idf = np.array([np.log((1 + n_docs) / (1 + counts.get(k, 0))) + 1 for k in range(len(terms))])
+    model = Model(terms, idf * np.where(tells, TELLING, 1.0), prior)
     rows = examples.select("doc_id", "toxic", F.col("text")).mapInArrow(_vectors(model), "doc_id long, toxic long, terms array<long>, weights array<double>").collect()  # EXAMPLES rows
     if not rows:
         return model
@@ -289,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     vectors = [(np.array(r["terms"]), np.array(r["weights"])) for r in rows]
     toxic = [r["toxic"] for r in rows]
     index = Index(vectors, toxic, [r["doc_id"] for r in rows], len(terms) + 1)
-    votes = [_logit(index.vote(*index.nearest(*v, NEAREST), prior, (index.of[k], toxic[k]))) for k, v in enumerate(vectors)]
+    votes = [_logit(index.vote(*index.nearest(*v, NEAREST + 1), prior, (index.of[k], toxic[k]))) for k, v in enumerate(vectors)]
     model.slope, model.shift = _calibrate(np.array(votes), np.array(toxic, float))
     model.index = index
     return model

@@ -105,7 +105,9 @@ def test_toxicity(spark, docs, none):
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
     scores = [s for s, _, _ in model.score([None, b"", b"one", LONG.encode()])]
     assert scores[0] == scores[1] and all(0 <= s <= 1 for s in scores)
-    assert toxicity.keep_harmless(docs, labels).columns == docs.columns
+    kept = toxicity.keep_harmless(docs, labels).collect()
+    assert toxicity.keep_harmless(docs, labels).columns == docs.columns and {r["doc_id"] for r in kept} >= {1, 2, 3, 8, 9}
+    assert {(r["n"], r["h"], r["score"]) for r in kept} == {(1, "h", 0.5)}
     assert toxicity.keep_harmless(none, labels.where("false")).count() == 0
 
 

@@ -12,7 +12,7 @@ import pytest
 import regex
 from compare import oracle_rows, spark_rows
 
-from lexspan.llm import packing, quality, registry, sampling, simhash, token_files
+from lexspan.llm import packing, quality, registry, sampling, simhash, token_files, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -74,6 +74,45 @@ def test_op1_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == toxic[r["doc_id"]] for r in rows]) > 0.9
 
 
+def test_op1_scores_from_dense_cosines(spark):
+    """Nearest examples, cosines and scores of the query from dense vectors over all examples, and how seldom the nearest is a tie."""
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(table, toxicity.teaching(spark, sf))
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in table.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+
+    def dense(x):
+        out = np.zeros(len(model.terms) + 1)
+        for t, w in model.vectors([x]):
+            out[t] = w
+        return out
+
+    kinds = defaultdict(list)
+    for i in sorted(toxic):
+        kinds[tuple(np.round(dense(texts[i]), 9))].append(i)
+    held = {min(own): (len(own), sum(toxic[i] for i in own)) for own in kinds.values()}
+    first = np.array(sorted(held))
+    matrix = np.array([dense(texts[i]) for i in first])
+    rows = {r["doc_id"]: r for r in result(spark, sf, "op1_toxicity")}
+    ties = 0
+    for i in sorted(texts)[:400]:
+        cos = matrix @ dense(texts[i])
+        r, best = rows[i], np.sort(cos)[::-1]
+        assert r["nearest_cosines"] == pytest.approx(best[:3].tolist(), abs=2e-6)
+        if best[0] - best[1] > 1e-6:
+            assert r["nearest_ids"][0] == first[np.argmax(cos)]
+        ties += best[0] - best[1] < 1e-6
+        if best[15] - best[16] > 1e-6:
+            near = np.argsort(-cos)[:16]
+            n, y = np.array([held[k] for k in first[near]], float).T
+            weight = (1 + np.log(n)) * np.exp((cos[near] - best[0]) / toxicity.FADE)
+            vote = (weight @ (y / n) + toxicity.PRIOR_WEIGHT * model.prior) / (weight.sum() + toxicity.PRIOR_WEIGHT)
+            vote = min(1 - 1e-6, max(1e-6, vote))
+            assert r["score"] == pytest.approx(1 / (1 + np.exp(-model.slope * np.log(vote / (1 - vote)) - model.shift)), abs=1e-5)
+    assert ties < 40
+
+
 def test_op2(spark, sf_dir, docs):
     want = components({i: shingle_set(t) for i, t in docs.items()})
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in result(spark, sf_dir, "op2_ngram_jaccard_join")} == want
