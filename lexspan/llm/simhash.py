@@ -1,8 +1,9 @@
 """Document fingerprints: SimHash, with permuted block tables for all fingerprints within a Hamming radius.
 
-Every distinct pair of neighbouring words (the whole text, if it has one word) is a term with weight 1 + ln(count). Each of
-BITS bits of a term's hash votes with the weight for or against, and the fingerprint keeps the signs. Votes are summed by
-byte: a histogram of the weight of each byte value, times the signs of that byte's bits.
+Every distinct pair of neighbouring words (the whole text, if it has one word) is a term with weight 1 + ln(count), in whole parts of 1 / SCALE.
+Each of BITS bits of a term's hash votes with the weight for or against, and the fingerprint keeps the signs. Votes are summed by
+byte: a histogram of the weight of each byte value, times the signs of that byte's bits. All sums are of whole numbers, so equal texts have equal
+fingerprints in whatever batch they are.
 
 Defined results: a null text counts as empty; a text without words has the fingerprint of no votes, all zero; a null
 doc_id sorts before all others; repeated ids are ordered by text; with one document it is its own next one; an empty table
@@ -20,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, chunks, counted_shingles, empty_text, mix, n_parts, range_parts, table
+from .shared import Words, checkpoint, chunks, counted_shingles, empty_text, mix, n_parts, range_parts, table
 
 BITS = 128
 WIDTH = 2
 RADIUS = 3
-_SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2) - 1
+SCALE = 1 << 16
+#: Up to so many queries are sent to all executors (some 1.5 kB each); more are joined by a shuffle.
+SEND = 20_000
+_SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(float) * 2) - 1
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
@@ -34,12 +38,12 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     for i, j in chunks(texts):
         keys, of, count = counted_shingles(Words(texts[i:j]), WIDTH)
         n = j - i
-        weight = 1 + np.log(np.maximum(count, 1))
+        weight = np.rint(SCALE * (1 + np.log(np.maximum(count, 1))))
         for word in range(BITS // 64):
             hashed = mix(keys ^ np.uint64(0xC2B2AE3D27D4EB4F * (word + 1) & (1 << 64) - 1)).view(np.uint8).reshape(len(keys), 8)
             for b in range(8):
-                of_bytes = np.bincount(of * 256 + hashed[:, b], weights=weight, minlength=n * 256).reshape(n, 256).astype(np.float32)
-                out[i:j, word * 8 + b] = np.packbits((of_bytes @ _SIGNS) > 1e-3, axis=1)[:, 0]
+                of_bytes = np.bincount(of * 256 + hashed[:, b], weights=weight, minlength=n * 256).reshape(n, 256)
+                out[i:j, word * 8 + b] = np.packbits(of_bytes @ _SIGNS > 0, axis=1)[:, 0]
     return out
 
 
@@ -58,7 +62,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     halo = parts.where(F.col("_k").isin(list(after)))
     to = F.create_map(*[F.lit(x) for pair in after.items() for x in pair])
     both = parts.withColumn("_halo", F.lit(False)).unionByName(halo.withColumn("_part", to[F.col("_k")].cast("int")).withColumn("_halo", F.lit(True)))
-    return both.repartition(n, "_part").sortWithinPartitions("_part", "_halo", "_k", "text")
+    return both.repartitionById(n, "_part").sortWithinPartitions("_part", "_halo", "_k", "text")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
@@ -113,11 +117,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(table(spark, sf_dir, "documents")).select("doc_id", "text", "_part", "_halo")
-    return rows.mapInArrow(_compare, _SCHEMA)
-
-
 def _blocks(fingerprint: Column, n: int) -> list[Column]:
     """n blocks of a hexadecimal fingerprint, of a whole number of digits each."""
     digits = BITS // 4
@@ -148,5 +147,15 @@ def within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataF
         keys = [F.struct(F.lit(k).alias("t"), F.concat(b[i], b[j]).alias("v")) for k, (i, j) in enumerate(combinations(range(n), 2))]
         return df.select("fingerprint").distinct().select(F.col("fingerprint").alias(name), F.explode(F.array(*keys)).alias("_key"))
 
-    met = tables(queries, "query").join(tables(prints, "found"), "_key").withColumn("distance", hamming(F.col("query"), F.col("found")))
+    asked = tables(queries, "query")
+    few = queries.limit(SEND + 1).count() <= SEND  # a proven bound before anything is sent to all
+    met = tables(prints, "found").join(F.broadcast(asked) if few else asked, "_key").withColumn("distance", hamming(F.col("query"), F.col("found")))
     return met.where(F.col("distance") <= radius).select("query", "found", "distance").distinct()
+
+
+def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of _SCHEMA, and for ids divisible by 100 n_within, the number of other fingerprints of the table at most RADIUS bits apart."""
+    rows = checkpoint(with_next(table(spark, sf_dir, "documents")).select("doc_id", "text", "_part", "_halo").mapInArrow(_compare, _SCHEMA))
+    asks = F.col("doc_id") % 100 == 0
+    near = within(rows.where(asks).select("fingerprint").distinct(), rows).groupBy(F.col("query").alias("fingerprint")).agg((F.count(F.lit(1)) - 1).alias("_near"))
+    return rows.join(near, "fingerprint", "left").select(*[c.split()[0] for c in _SCHEMA.split(", ")], F.when(asks, F.col("_near")).alias("n_within"))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import pytest
 import regex
 from compare import oracle_rows, spark_rows
 
-from lexspan.llm import packing, quality, registry, sampling, simhash, token_files, toxicity
+from lexspan.llm import packing, quality, registry, sampling, shared, simhash, token_files, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -140,6 +141,28 @@ def test_op5(spark, sf_dir, docs):
         assert (r["fingerprint"], r["edited_fingerprint"]) == (own[k].tobytes().hex(), new[k].tobytes().hex())
         assert r["near_next"] == pytest.approx(float(simhash.alike(own[k : k + 1], own[[(k + 1) % len(text)]])[0]))
     assert np.mean([r["near_edited"] - r["near_next"] for r in rows.values()]) > 0.15
+    distinct = np.unique(own, axis=0)
+    for k, i in enumerate(order):
+        apart = np.bitwise_count(distinct ^ own[k]).sum(axis=1)
+        assert rows[i]["n_within"] == (None if i % 100 else int((apart <= simhash.RADIUS).sum()) - 1)
+
+
+def test_op5_votes_one_by_one(docs):
+    """Fingerprints from a loop over terms and bits; a text alone has the same one as in a batch."""
+    texts = [docs[i].encode() for i in sorted(docs)[:12]] + [b"", b"one", b"two words", b"a b a b a b a"]
+    got = simhash.fingerprints(texts)
+    for t, f in zip(texts, got, strict=True):
+        assert (simhash.fingerprints([t])[0] == f).all()
+        keys, _, count = shared.counted_shingles(shared.Words([t]), simhash.WIDTH)
+        votes = [0] * simhash.BITS
+        for key, c in zip(keys, count.tolist(), strict=True):
+            weight = round(simhash.SCALE * (1 + math.log(c)))
+            for word in range(simhash.BITS // 64):
+                hashed = int(shared.mix(np.array([key ^ np.uint64(0xC2B2AE3D27D4EB4F * (word + 1) & (1 << 64) - 1)]))[0])
+                for byte in range(8):
+                    for bit in range(8):
+                        votes[word * 64 + byte * 8 + bit] += weight if hashed >> 8 * byte + 7 - bit & 1 else -weight
+        assert "".join(str(int(v > 0)) for v in votes) == "".join(f"{b:08b}" for b in f.tolist())
 
 
 def test_op6(spark, sf_dir, docs):
