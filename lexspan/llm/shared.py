@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -40,7 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
         found = getattr(spark, "_lexspan_dir", None)
         if not found:
             found = spark._lexspan_dir = "file://" + tempfile.mkdtemp(prefix="lexspan-")
-    return found.rstrip("/") if "://" in found else "file://" + found.rstrip("/")
+    if "://" not in found:  # as Spark reads it: a path of the default file system
+        jvm = spark._jvm.org.apache.hadoop.fs
+        found = jvm.FileSystem.get(spark._jsc.hadoopConfiguration()).makeQualified(jvm.Path(found)).toString()
+        found = re.sub("^file:/(?!/)", "file:///", found)
+    return found.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:

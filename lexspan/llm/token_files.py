@@ -267,7 +267,7 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str | None = None, end: i
     at.create_dir(root)
     n = n_parts(spark)
     parts, found = range_parts(docs.select("doc_id", empty_text().alias("text")), "doc_id", n)
-    dealt = parts.repartition(n, "_part").sortWithinPartitions("_part", "_k", "text").select("_part", "doc_id", "text")
+    dealt = parts.repartitionById(n, "_part").sortWithinPartitions("_part", "_k", "text").select("_part", "doc_id", "text")
     made = {r["part"]: r for r in dealt.mapInArrow(_writer(uri, tokenizer or tokenizer_path(), end), "part int, docs long, ids long").collect()}
     manifest, before = [], 0
     for part, least in found:
