@@ -11,8 +11,8 @@ match smaller ones of the band below appears in both.
 
 Sets that share a block of their prefixes are first joined as stars: each set with the centre it shares most blocks with. Verified
 links join sets to components. Blocks whose sets are still in different components are then compared in tiles of bounded size, by
-dense parity sketches whose Hamming distance bounds the difference too, and only what these allow is verified. No row is made for
-a pair before that. Exact copies of a set are one node throughout. Links are decided on the whole sets of shingle hashes.
+dense parity sketches whose Hamming distance bounds the difference too, and only what these allow is verified: first the nearest of each set,
+then, with the components that gives, all the rest. No row is made for a pair before that. Exact copies of a set are one node throughout. Links are decided on the whole sets of shingle hashes.
 
 Defined results: null or wordless texts have no shingles, link with nothing and are their own component; a null doc_id
 links with nothing and has a null component; repeated rows give repeated rows; an empty table gives an empty result;
@@ -255,58 +255,75 @@ def _fold(sketches: np.ndarray, width: int) -> np.ndarray:
     return sketches
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, i, j, side, h, root, n, sketch), the rows of a tile together, to the pairs (a, b) of its sets that sizes and sketches allow to link, of
-    different components. Of a tile with two sides a pair has one set of each."""
-    held: list[tuple] = []
-
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[0], r[4]))  # by tile and size
-        tile = np.cumsum([0] + [x[0] != y[0] for x, y in zip(rows, rows[1:], strict=False)])
-        one, side, h, root, n = (np.array([r[k] for r in rows], np.int64) for k in (5, 1, 2, 3, 4))
-        words = np.array([len(r[6]) // 8 for r in rows])
-        by_width = {int(w): (np.flatnonzero(words == w)) for w in np.unique(words)}
-        matrix = {w: np.frombuffer(b"".join(rows[x][6] for x in at.tolist()), np.uint64).reshape(len(at), w) for w, at in by_width.items()}
-        place = np.zeros(len(rows), np.int64)
-        for at in by_width.values():
-            place[at] = np.arange(len(at))
-        scale = np.int64(1) << 32
-        last = np.searchsorted(tile * scale + np.minimum(n, scale - 1), tile * scale + np.minimum(n * Q // P, scale - 1), "right")
-        after = last - np.arange(len(rows)) - 1
-        total = np.cumsum(after)
-        found, at = [], 0
-        while at < len(rows):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
-            k = after[at:to]
-            x = np.repeat(np.arange(at, to), k)
-            y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + x + 1
-            ok = (root[x] != root[y]) & ((one[x] == 1) | (side[x] != side[y]))
-            x, y = x[ok], y[ok]
-            wx, wy = words[x], words[y]
-            code = wx << 32 | wy
-            for v in np.unique(code).tolist():
-                own = np.flatnonzero(code == v)
-                w = (v >> 32, v & 0xFFFFFFFF)
-                width = min(w)
-                left, right = (_fold(matrix[k], width) for k in w)
-                for c in range(0, len(own), max(1, PAIRS // width)):
-                    part = own[c : c + max(1, PAIRS // width)]
-                    flips = np.bitwise_count(left[place[x[part]]] ^ right[place[y[part]]]).sum(axis=1)
-                    good = part[flips <= most_apart(n[x[part]], n[y[part]])]
-                    found.append(np.stack((np.minimum(h[x[good]], h[y[good]]), np.maximum(h[x[good]], h[y[good]]))))
-            at = to
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in range(8)]
-        for key, i, j, side, h, root, n, sketch in zip(*cols, strict=True):
-            if len(held) > 2 * TILE and held[-1][0] != (key, i, j):
-                yield flush(held)
-                held = []
-            held.append(((key, i, j), side, h, root, n, int(i == j), sketch))
-    if held:
-        yield flush(held)
+def _tiler(nearest: bool):
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, i, j, side, h, root, n, sketch), the rows of a tile together, to the pairs (a, b) of its sets that sizes and sketches allow to link, of
+        different components; with nearest only the pair with the least distance of each set. Of a tile with two sides a pair has one set of each."""
+        held: list[tuple] = []
+        for batch in batches:
+            for key, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if len(held) > 2 * TILE and held[-1][0] != (key, i, j):
+                    yield _allowed(held, nearest)
+                    held = []
+                held.append(((key, i, j), int(i == j), *row))
+        if held:
+            yield _allowed(held, nearest)
+
+    return tiles
+
+
+def _allowed(rows: list[tuple], nearest: bool) -> pa.RecordBatch:
+    """The pairs of rows (tile, whether it has one side, side, h, root, n, sketch), of the same tile, as _tiler says."""
+    rows.sort(key=lambda r: (r[0], r[5]))  # by tile and size
+    tile = np.cumsum([0] + [x[0] != y[0] for x, y in zip(rows, rows[1:], strict=False)])
+    one, side, h, root, n = (np.array([r[k] for r in rows], np.int64) for k in range(1, 6))
+    words = np.array([len(r[6]) // 8 for r in rows])
+    place, matrix = np.zeros(len(rows), np.int64), {}
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        place[at] = np.arange(len(at))
+        matrix[w] = np.frombuffer(b"".join(rows[x][6] for x in at.tolist()), np.uint64).reshape(len(at), w)
+    scale = np.int64(1) << 32
+    last = np.searchsorted(tile * scale + np.minimum(n, scale - 1), tile * scale + np.minimum(n * Q // P, scale - 1), "right")
+    after = last - np.arange(len(rows)) - 1
+    total = np.cumsum(after)
+    found = []
+    least, partner = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), -1)
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        k = after[at:to]
+        x = np.repeat(np.arange(at, to), k)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + x + 1
+        ok = (root[x] != root[y]) & ((one[x] == 1) | (side[x] != side[y]))
+        x, y = x[ok], y[ok]
+        code = words[x] << 32 | words[y]
+        for v in np.unique(code).tolist():
+            own = np.flatnonzero(code == v)
+            w = (v >> 32, v & 0xFFFFFFFF)
+            width = min(w)
+            left, right = (_fold(matrix[k], width) for k in w)
+            step = max(1, PAIRS // width)
+            for c in range(0, len(own), step):
+                part = own[c : c + step]
+                flips = np.bitwise_count(left[place[x[part]]] ^ right[place[y[part]]]).sum(axis=1).astype(np.int64)
+                good = flips <= most_apart(n[x[part]], n[y[part]])
+                u, v2, flips = x[part[good]], y[part[good]], flips[good]
+                if not nearest:
+                    found.append(np.stack((u, v2)))
+                    continue
+                u, v2, flips = np.concatenate((u, v2)), np.concatenate((v2, u)), np.concatenate((flips, flips))
+                order = np.lexsort((flips, u))
+                first = order[_groups(u[order])]
+                first = first[flips[first] < least[u[first]]]
+                least[u[first]], partner[u[first]] = flips[first], v2[first]
+        at = to
+    if nearest:
+        some = np.flatnonzero(partner >= 0)
+        found = [np.stack((some, partner[some]))]
+    pairs = np.sort(h[np.concatenate(found, axis=1)], axis=0) if found else np.zeros((2, 0), np.int64)
+    pairs = np.unique(pairs, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[0])), pa.array(np.ascontiguousarray(pairs[1]))], names=["a", "b"])
 
 
 def _arms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,11 +383,12 @@ def _named(docs: DataFrame, linked: DataFrame) -> DataFrame:
     sets = _written_sets(docs, stars.select("h").distinct().join(classes, "h").select("doc_id", "h"))
     links = checkpoint(verify(checkpoint(_best(stars)), sets))
     found = checkpoint(components(links))
-    further = checkpoint(_further(stars, found, sets))
-    if not further.isEmpty():
-        more = checkpoint(verify(further, sets))
+    for nearest in (True, False):  # first what is nearest, so that most links are known before all pairs of components are named
+        further = checkpoint(_further(stars, found, sets, nearest))
+        more = checkpoint(verify(further, sets)) if not further.isEmpty() else further
         if not more.isEmpty():
-            found = checkpoint(components(links.union(more)))
+            links = checkpoint(links.union(more))
+            found = checkpoint(components(links))
     roots = found.join(classes.select(F.col("h").alias("node"), "doc_id"), "node")
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = roots.select("node", "root").join(least, "root").select(F.col("node").alias("h"), "component_id")
@@ -416,7 +434,7 @@ def _best(stars: DataFrame) -> DataFrame:
     return shared.groupBy("b").agg(F.max_by("a", F.struct("blocks", "a")).alias("a")).select("a", "b")
 
 
-def _further(stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+def _further(stars: DataFrame, found: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
     """The pairs (a, b) of sets of different components that share a block, as far as sizes and dense sketches allow a link."""
     rooted = stars.join(found.withColumnRenamed("node", "h"), "h", "left").select("key", "h", "n", "m", F.coalesce("root", "h").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
@@ -426,7 +444,7 @@ def _further(stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     tiled = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
     tiled = tiled.select("key", F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j"), (F.col("mine") > other).cast("long").alias("side"), "h", "root", "n", "sketch")
     n = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiled.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles, "a long, b long").distinct()
+    return tiled.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiler(nearest), "a long, b long").distinct()
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
