@@ -74,17 +74,21 @@ RESOLVED = f"""
 
 
 @query("xrf_07_resolved", oracle("SELECT * FROM resolved", resolved=RESOLVED))
+@C.parse_once
+@C.once
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference with its target section, if any (XRF-06, XRF-07)."""
     return resolve(C.crossrefs(spark, sf_dir).drop("doc_id"), C.sections(spark, sf_dir))
 
 
 @query("xrf_07_unresolved_summary", oracle("SELECT ref, count(*) AS n FROM resolved WHERE to_file IS NULL GROUP BY ref", resolved=RESOLVED))
+@C.parse_once
 def unresolved_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(spark, sf_dir).where("to_file is null").groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("xrf_08_resolved_sections", oracle("SELECT s.file_id, s.section_id, s.clause_type FROM sections s SEMI JOIN resolved r ON s.file_id = r.to_file AND s.section_id = r.to_section", resolved=RESOLVED))
+@C.parse_once
 def resolved_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sections that others point to (XRF-08, XRF-09)."""
     t = resolved(spark, sf_dir).select(F.col("to_file").alias("file_id"), F.col("to_section").alias("section_id"))

@@ -1,11 +1,18 @@
 """Contract frames over the driver's tables: lines, sections, file facts, references, entities.
 
 The tables hold prose without clauses, so fixed arithmetic on (doc_id, line) puts headers, schedules and cue phrases in. Every frame
-is lazy; windows and groups are by file, so a file is the unit of work.
+is lazy; windows and groups are by file, so a file is the unit of work. A query that needs sections or references in several places
+parses once: within `parse_once` these frames are written tables of the shared folder, of which each use reads the columns it needs.
 """
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +23,54 @@ MIN_CONTENT = 15
 SUFFIXES = {1: " subject to clause 2.1 of the Framework Agreement", 2: " a fee of $1,200 is payable", 3: " at 5% per annum", 4: " see Schedule 2", 5: " notwithstanding clause 3.1"}
 
 
+Frame = Callable[[SparkSession, str], DataFrame]
+_written: ContextVar[dict[tuple[str, str], DataFrame] | None] = ContextVar("_written", default=None)
+
+
+def parse_once(query: Frame) -> Frame:
+    """query, with each frame of `once` that it uses written to a table the first time."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if _written.get() is not None:
+            return query(spark, sf_dir)
+        token = _written.set({})
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _written.reset(token)
+
+    return run
+
+
+def once(frame: Frame) -> Frame:
+    """frame, which within parse_once is made once and then read."""
+
+    @functools.wraps(frame)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        held = _written.get()
+        if held is None:
+            return frame(spark, sf_dir)
+        key = (frame.__name__, sf_dir)
+        if key not in held:
+            path = f"{_folder(spark)}/{frame.__name__}-{uuid.uuid4().hex}"
+            frame(spark, sf_dir).write.parquet(path)
+            held[key] = spark.read.parquet(path)
+        return held[key]
+
+    return get
+
+
+def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where that is unset, as in tests, a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not hasattr(spark, "_lexspan_tables"):
+        spark._lexspan_tables = tempfile.TemporaryDirectory(prefix="lexspan-")
+    return "file://" + spark._lexspan_tables.name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,6 +106,7 @@ def raw_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where(F.length("content") >= MIN_CONTENT).withColumn("parent_id", X.parent_id(F.col("section_id")))
 
 
+@once
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One section for each id of a file: the longest, of equals the first, at the place of the first."""
     same = Window.partitionBy("file_id", "section_id")
@@ -79,6 +135,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once
 def crossrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv, file_id, section_id, ref): references of each section but to itself."""
     return sections(spark, sf_dir).select("conv", "file_id", "doc_id", "section_id", F.explode(X.refs(F.col("content"))).alias("ref")).where("ref <> section_id")

@@ -14,6 +14,12 @@ def cases(pairs: list[tuple[str, str]], default: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + f" ELSE {default} END"
 
 
+#: Written out here again, so that a slip in the lists of the Spark side shows.
+_TYPES = (
+    "'definitions', 'order_of_precedence', 'term_and_termination', 'limitation_of_liability', 'confidentiality', 'intellectual_property', 'governing_law', 'dispute_resolution', 'payment_terms', 'data_protection', "
+    "'warranties', 'indemnification', 'force_majeure', 'notices', 'schedule_or_appendix', 'business_continuity', 'audit_rights', 'subcontracting', 'general', 'other'"
+)
+_RANKS = {"master_agreement": 0, "standalone": 0, "modification": 1, "transaction": 2, "termination": 3}
 _HEADERS = (P.SCHEDULE, P.ARTICLE, P.SECTION, P.DOTTED, P.BARE)
 _got = lambda p, k: f"regexp_extract(trim(line), {lit(p)}, {k})"
 
@@ -32,7 +38,7 @@ def ref(x: str) -> str:
 
 
 def role_rank(x: str) -> str:
-    return cases([(f"{x} = {lit(k)}", str(v)) for k, v in P.ROLE_RANK.items()], "1")
+    return cases([(f"{x} = {lit(k)}", str(v)) for k, v in _RANKS.items()], "1")
 
 
 _CTES = {
@@ -53,7 +59,7 @@ _CTES = {
                    trim(string_agg(trim(line), chr(10) ORDER BY p), chr(10) || ' ') AS content
             FROM headed WHERE pos > 0 GROUP BY ALL) WHERE length(content) >= {MIN_CONTENT}""",
     "sections": f"""
-        SELECT * EXCLUDE (n), list_value({", ".join(map(lit, P.CLAUSE_TYPES))})[(doc_id * 7 + pos * 3) % 20 + 1] AS clause_type, (doc_id + pos) % 5 + 1 AS risk, regexp_matches(content, {lit(P.QUALIFIER)}) AS qualifier
+        SELECT * EXCLUDE (n), list_value({_TYPES})[(doc_id * 7 + pos * 3) % 20 + 1] AS clause_type, (doc_id + pos) % 5 + 1 AS risk, regexp_matches(content, {lit(P.QUALIFIER)}) AS qualifier
         FROM (SELECT *, row_number() OVER (PARTITION BY file_id, section_id ORDER BY length(content) DESC, pos) AS n, min(pos) OVER (PARTITION BY file_id, section_id) AS first_pos FROM raw_sections) WHERE n = 1""",
     "files": f"""
         SELECT source AS conv, 'f' || doc_id AS file_id, doc_id,
