@@ -20,7 +20,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 
 MIN_CONTENT = 15
-SUFFIXES = {1: " subject to clause 2.1 of the Framework Agreement", 2: " a fee of $1,200 is payable", 3: " at 5% per annum", 4: " see Schedule 2", 5: " notwithstanding clause 3.1"}
+SUFFIXES = {1: " subject to clause 2.1 of the Framework Agreement", 2: " a fee of $1,200 is payable", 3: " at 5% per annum", 4: " see Schedule 2", 5: " notwithstanding clause 3.1", 6: " located at 12 High street", 7: " for acts or omissions before the effective date"}
 
 
 Frame = Callable[[SparkSession, str], DataFrame]
