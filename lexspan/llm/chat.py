@@ -44,6 +44,8 @@ class Layout:
     paths: tuple[str, ...]
     many: tuple[str, str, str] | None = None
     one: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    #: Roles have other names here, those of ROLES.
+    renames: bool = False
 
     @property
     def fingerprint(self) -> str:
@@ -53,13 +55,13 @@ class Layout:
 _PAIR = (("prompt", "completion"), ("prompt", "response"), ("question", "answer"), ("input", "output"))
 LAYOUTS = [
     Layout("messages", ("messages[].content", "messages[].role"), many=("messages", "role", "content")),
-    Layout("conversations", ("conversations[].from", "conversations[].value"), many=("conversations", "from", "value")),
+    Layout("conversations", ("conversations[].from", "conversations[].value"), many=("conversations", "from", "value"), renames=True),
     Layout("instruction", ("instruction", "output"), one=(("user", ("instruction",)), ("assistant", ("output",)))),
     Layout("instruction+input", ("instruction", "input", "output"), one=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     *[Layout(f"{a}/{b}", (a, b), one=(("user", (a,)), ("assistant", (b,)))) for a, b in _PAIR],
     *[Layout(f"system+{a}/{b}", ("system", a, b), one=(("system", ("system",)), ("user", (a,)), ("assistant", (b,)))) for a, b in _PAIR],
 ]
-#: Other names of roles.
+#: Other names of roles, in layouts that say so; elsewhere a role stays as it is.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -118,11 +120,12 @@ def canonical(rows: DataFrame, key: str, layouts: list[Layout] = LAYOUTS) -> Dat
     marked = rows.withColumn("_fp", fingerprint(rows.schema, (key,), named))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     plain = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    role = lambda r: F.coalesce(plain[r], r, F.lit(""))
+    renamed = lambda r: F.coalesce(plain[r], r, F.lit(""))
+    same = lambda r: F.coalesce(r, F.lit(""))
     for x in layouts:
         if x.many:
             array, r, t = x.many
-            got = F.transform(F.col(array), _turn(role, r, t))
+            got = F.transform(F.col(array), _turn(renamed if x.renames else same, r, t))
         else:
             part = lambda fs: F.array_join(F.filter(F.array(*[F.col(f) for f in fs]), lambda v: v != ""), "\n\n")
             got = F.array(*[F.struct(F.lit(r).alias("role"), part(fs).alias("text")) for r, fs in x.one])
