@@ -34,6 +34,9 @@ from .shared import checkpoint, table
 #: Templates are sent to all executors up to this many bytes; larger ones are joined by a shuffle.
 SEND_BYTES = 32 << 20
 
+#: Characters of a path that is kept as it is, and open elements that are kept before inline ones are dropped.
+LONG_PATH, OPEN = 2000, 400
+
 _MARKUP = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[a-zA-Z/][^>]*(?:>|\Z)",
@@ -115,7 +118,7 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
     stack = [_Open("", "", False, False, False)]
     text: list[str] = []
     linked = in_link = 0
-    pos, end = 0, len(source)
+    pos, end, limit = 0, len(source), OPEN
 
     def flush():
         nonlocal linked
@@ -168,8 +171,13 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
         if tag not in INLINE:
             flush()
             ends = _CLOSES.get(tag, set()) | ({"p"} if tag in _BLOCKS else set())
-            while len(stack) > 1 and (stack[-1].tag in ends or stack[-1].tag in INLINE and any(x.tag in ends for x in stack[-4:])):
-                stack.pop()
+            while True:  # ends the nearest block, with the inline elements in it
+                k = len(stack) - 1
+                while k > 0 and stack[k].tag in INLINE:
+                    k -= 1
+                if not k or stack[k].tag not in ends:
+                    break
+                del stack[k:]
             in_link = sum(x.tag == "a" for x in stack)
         top = stack[-1]
         squeezed = {re.sub("[^a-z]", "", n.lower()) for n in names}
@@ -186,16 +194,19 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
         form = tag in FORMS or top.form and (top.inside or not inside)  # a form around an article is none
         if (out or form) != top.out and tag in INLINE:
             flush()
-        label = ".".join([tag, *sorted(n for n in names if not any(c.isdigit() for c in n))[:3]])
-        path = f"{top.path}>{label}" if tag not in ("html", "body") else tag
+        label = ".".join([tag, *sorted(n for n in names if not any(c.isdigit() for c in n))])
+        above = top.path if len(top.path) <= LONG_PATH else f"#{key(top.path)}>"  # deep paths are told by a hash
+        path = f"{above}>{label}" if tag not in ("html", "body") else tag
         if tag not in INLINE:
             tags[path] = tags.get(path, 0) + 1
         if m["rest"].rstrip().endswith("/") and tag in INLINE:
             continue
         stack.append(_Open(tag, path if tag not in INLINE else top.path, inside, out, form))
         in_link += tag == "a"
-        if len(stack) > 400:  # unclosed inline tags without end
-            stack[1:-1] = [x for x in stack[1:-1] if x.tag not in INLINE][:200]
+        if len(stack) > limit:  # unclosed inline tags without end; blocks stay, however deep
+            stack[1:-1] = [x for x in stack[1:-1] if x.tag not in INLINE]
+            in_link = sum(x.tag == "a" for x in stack)
+            limit = max(OPEN, 2 * len(stack))
     flush()
     words = [len(p.text.split()) if p.form or not p.out else 0 for p in pieces]
     if 2 * sum(n for n, p in zip(words, pieces, strict=True) if p.form) > sum(words):  # a form that holds most of the page's words is none

@@ -184,6 +184,7 @@ def test_chat(spark):
     out = {r["id"]: r for r in chat.read(chat.render(chat.canonical(rows, "id"))).collect()}
     assert out[1]["turns_read"] == out[1]["turns"] and out[1]["loss_text"] == "<%|<|nl|><|im_end|>\n"
     assert out[2]["layout"] is None and out[2]["formatted"] is None
+    assert [t["role"] for t in out[1]["turns_read"]][-1] == "gpt"
     mixed = spark.createDataFrame([(1, "do", "with", "done", None), (2, "do", None, "done", None), (3, None, None, "r", "p")], "id long, instruction string, input string, output string, prompt string")
     assert [r["layout"] for r in chat.canonical(mixed, "id").orderBy("id").collect()] == ["instruction+input", "instruction", None]
     clash = spark.createDataFrame([(1, 0, "user", "hi", "x"), (1, 0, "user", "hi", "x"), (None, None, None, None, "x")], "conv_id long, turn long, role string, text string, layout string")
@@ -308,6 +309,19 @@ def test_html_templates_inside_articles(spark):
     assert _texts(spark, copies) == [f"Same {said[0]} {said[1]}"] * 4
 
 
+def test_deep_and_open_elements_lose_no_text():
+    """Blocks nest as deep as they like, many inline elements stay open, and a paragraph ends whatever is open in it."""
+    words = "last words of it that are long enough"
+    for deep in (50, 450, 1500):
+        page = "<body><article>" + "<div>" * deep + f"<p>first words here</p><p>{words}</p>" + "</div>" * deep + f"<p>after {deep}</p></article>"
+        pieces, _ = html_text.parse(page)
+        assert html_text.article(pieces) == f"first words here {words} after {deep}"
+    page = "<body><article><p>" + "<b><i><u><s><em><q>" * 100 + f"one<p>{words}<p>three</article><footer>no</footer>"
+    assert html_text.article(html_text.parse(page)[0]) == f"one {words} three"
+    a, b = (html_text.parse(f'<body><div class="a b c {x}"><p>t</p></div>')[1] for x in "de")
+    assert set(a) != set(b)
+
+
 def test_warc(spark):
     rows = [(1, "http://a/%0A\n", "same", 0), (2, None, "same", 0), (3, "u", None, 0), (4, "u", "", 0), (None, "u", "lone", 0), (5, "u", "WARC/1.1 \r\n\r\n <|" * 9000, 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to long")
