@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Words, checkpoint, chunks, fresh_dir, mix, shingles, small_batches, swept, table, text_bytes
+from .shared import Words, checkpoint, chunks, fresh_dir, mix, remove_dir, shingles, small_batches, swept, table, text_bytes
 
 WIDTH, P, Q = 5, 80, 100
 #: Pairs of key and set for one group of the block count; the number of groups follows the input.
@@ -378,9 +378,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _named(docs: DataFrame, linked: DataFrame) -> DataFrame:
     """docs (doc_id, text) and the profiles of those that may link: (h, component_id) for each set."""
+    spark = docs.sparkSession
     classes = checkpoint(linked.groupBy("h").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "room", "room_below")]))
     stars = checkpoint(_stars(_prefixes(docs, classes)))
-    sets = _written_sets(docs, stars.select("h").distinct().join(classes, "h").select("doc_id", "h"))
+    path = _written_sets(docs, stars.select("h").distinct().join(classes, "h").select("doc_id", "h"))
+    sets = spark.read.parquet(path)
     links = checkpoint(verify(checkpoint(_best(stars)), sets))
     found = checkpoint(components(links))
     for nearest in (True, False):  # first what is nearest, so that most links are known before all pairs of components are named
@@ -389,6 +391,7 @@ def _named(docs: DataFrame, linked: DataFrame) -> DataFrame:
         if not more.isEmpty():
             links = checkpoint(links.union(more))
             found = checkpoint(components(links))
+    remove_dir(spark, path)
     roots = found.join(classes.select(F.col("h").alias("node"), "doc_id"), "node")
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = roots.select("node", "root").join(least, "root").select(F.col("node").alias("h"), "component_id")
@@ -417,14 +420,14 @@ def _stars(kept: DataFrame) -> DataFrame:
     return kept.join(centres.select("key", F.col("c.h").alias("a"), F.col("c.n").alias("na"), "m"), "key")
 
 
-def _written_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of wanted (doc_id, h), in a table of the shared folder; a set may be there more than once."""
+def _written_sets(docs: DataFrame, wanted: DataFrame) -> str:
+    """Where the sets of wanted (doc_id, h) are written, in the shared folder; a set may be there more than once."""
     spark = docs.sparkSession
     wanted = checkpoint(wanted)
     few = wanted.count() <= SEND  # a proven bound before anything is sent to all
     path = fresh_dir(spark, "sets")
     docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "h").mapInArrow(_sets, _SETS).write.parquet(path)
-    return spark.read.parquet(path)
+    return path
 
 
 def _best(stars: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ The global histogram of document lengths is small; dynamic programming over it c
 least padding. Inside each bucket, documents in doc_id order fill batches of at most a token budget, padded to the boundary.
 
 Lengths up to EXACT are told apart one by one, longer ones in cells of 1/EXACT of their power of two, so the histogram has
-O(EXACT * log2(longest)) cells whatever the input; a cell counts as its longest document, so nothing is cut.
+O(EXACT * log2(longest)) cells whatever the input; a cell counts as its longest document, so nothing is cut. Boundaries are the best among the ends of
+cells; against boundaries at any length they cost less than 1/EXACT of a document's tokens more, and nothing where all lengths are up to EXACT.
 
 Defined results: a null or empty text has length 1 (its end token); a document longer than the budget is a batch of its own;
 a null doc_id comes first; repeated rows take a slot each; an empty table gives no batches; further columns are ignored.

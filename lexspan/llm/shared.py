@@ -74,13 +74,10 @@ def swept(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def remove_dir(uri: str) -> None:
+def remove_dir(spark: SparkSession, uri: str) -> None:
     """Deletes a folder made by fresh_dir; one that is gone already is no error."""
-    from pyarrow import fs
-
-    at, path = fs.FileSystem.from_uri(uri)
-    with contextlib.suppress(FileNotFoundError):
-        at.delete_dir(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
