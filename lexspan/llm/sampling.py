@@ -22,6 +22,7 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 #: Words whose lattices a task keeps; with more it starts anew.
-KEPT = 200_000
+KEPT = 120_000
 
 
 def model_path(name: str = MODEL) -> str:
@@ -179,11 +180,6 @@ class Pieces:
         """The text of ids, without the blank that encoding puts first."""
         return b"".join(self.text[int(i)] for i in ids).decode("utf-8", "surrogatepass").replace(BLANK, " ")[1:]
 
-    def spelled(self) -> pa.Array:
-        """The bytes of each id: nothing for control pieces."""
-        n = self.model.get_piece_size()
-        return pa.array([" \u2047 ".encode() if self.model.is_unknown(i) else self.text.get(i, b"") for i in range(n)], pa.large_binary())
-
 
 def _uniform(seed: np.ndarray, *at) -> np.ndarray:
     x = seed.copy()
@@ -220,7 +216,7 @@ class Lattices:
         self.hashes, self.number = np.zeros(0, _U), np.zeros(0, np.int64)
         self.start = np.zeros(0, np.int64)
         self.first_edge = np.zeros(1, np.int64)
-        self.to, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.to, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.logs, self.ladder = np.zeros(0), np.zeros(0)
 
     def find(self, hashes: np.ndarray, spell) -> np.ndarray:
@@ -246,8 +242,8 @@ class Lattices:
         ladder[(first + degree - 1)[degree > 0]] = 2.0  # above any draw
         self.start = np.concatenate((self.start, nodes + np.cumsum(size) - size))
         self.first_edge = np.concatenate((self.first_edge, self.first_edge[-1] + np.cumsum(degree)))
-        self.to = np.concatenate((self.to, to + nodes))
-        self.ids, self.logs, self.ladder = (np.concatenate(x) for x in ((self.ids, ids), (self.logs, logs), (self.ladder, ladder)))
+        self.to = np.concatenate((self.to, (to + nodes).astype(np.int32)))
+        self.ids, self.logs, self.ladder = (np.concatenate(x) for x in ((self.ids, ids.astype(np.int32)), (self.logs, logs), (self.ladder, ladder)))
         keys, number = np.concatenate((self.hashes, hashes)), np.concatenate((self.number, np.arange(n, n + len(hashes))))
         order = np.argsort(keys)
         self.hashes, self.number = keys[order], number[order]
@@ -448,7 +444,7 @@ def _sampler(path: str, k: int, theta: float):
         for batch in batches:
             keys = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in chunks(texts):
+            for i, j in chunks(texts, 512 << 10):
                 got = Batch(pieces, texts[i:j], np.array([x or 0 for x in keys[i:j]], np.int64)).samples(k)
                 rows = [(keys[i + d], s + 1, *x) for d, mine in enumerate(got) for s, x in enumerate(mine)]
                 cols = list(zip(*rows, strict=True))
@@ -470,9 +466,21 @@ def _ends(lists: pa.Array) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
 
 
+@functools.cache
+def _spelled(path: str) -> pa.Array:
+    """The bytes of each id of a model: nothing for control pieces."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    said = [b"" if m.is_control(i) else " \u2047 ".encode() if m.is_unknown(i) else m.id_to_piece(i).encode() for i in range(m.get_piece_size())]
+    for b in range(256):
+        said[m.piece_to_id(f"<0x{b:02X}>")] = bytes([b])
+    return pa.array(said, pa.large_binary())
+
+
 def _decoder(path: str, keep: bool):
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = Pieces.open(path, 1.0).spelled()
+        spelled = _spelled(path)
         for batch in batches:
             ids = batch.column(batch.num_columns - 1)
             _, place, data = spelled.take(ids.flatten()).buffers()
