@@ -25,8 +25,12 @@ def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(*[F.try_to_date(d, f) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy")]).alias("parsed"))
 
 
+def sim(a: str, b: str) -> str:
+    return f"len(list_intersect({name_tokens(a)}, {name_tokens(b)})) / len(list_distinct(list_concat({name_tokens(a)}, {name_tokens(b)})))"
+
+
 _WANTED = "Framework Agreement 10"
-_SIM = f"len(list_intersect({name_tokens('file_name')}, {name_tokens(chr(39) + _WANTED + chr(39)) })) / len(list_distinct(list_concat({name_tokens('file_name')}, {name_tokens(chr(39) + _WANTED + chr(39))})))"
+_SIM = sim("file_name", f"'{_WANTED}'")
 
 
 @query("rel_03_name_similarity", oracle(f"SELECT file_id, round({_SIM}, 6) AS similarity FROM files"))
@@ -42,50 +46,101 @@ def best_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.where("s >= 0.25").select("conv", "file_id")
 
 
-MASTER_CHILD = """
-    SELECT f.conv, f.file_id AS from_file, f.role AS from_role, m.file_id AS to_file, m.file_id IS NOT NULL AS resolved FROM files f
-    JOIN (SELECT DISTINCT conv FROM files WHERE role = 'master_agreement') c USING (conv)
-    LEFT JOIN (SELECT conv, file_id, doc_id % 13 AS ident, row_number() OVER (PARTITION BY conv, doc_id % 13 ORDER BY doc_id) AS n FROM files WHERE role = 'master_agreement') m ON m.conv = f.conv AND m.ident = f.doc_id % 13 AND m.n = 1
-    WHERE f.role IN ('transaction', 'modification')"""
+#: Another agreement by name in a clause, and how like a file's name it must be.
+NAMED, LEAST_LIKE = r"of the ((?:[A-Z][a-z]+ )+Agreement)", 0.25
+_BEST = "SELECT conv, ref, to_file FROM (SELECT r.conv, r.ref, f.file_id AS to_file, {sim} AS s, row_number() OVER (PARTITION BY r.conv, r.ref ORDER BY {sim} DESC, f.doc_id) AS n FROM (SELECT DISTINCT conv, ref FROM refs) r JOIN files f ON f.conv = r.conv{only}) WHERE n = 1 AND s >= " + str(LEAST_LIKE)
+LAYERS = {
+    "refs": f"SELECT DISTINCT conv, file_id, unnest(regexp_extract_all(content, '{NAMED}', 1)) AS ref FROM sections",
+    "named": _BEST.format(sim=sim("f.file_name", "r.ref"), only=""),
+    "named_master": _BEST.format(sim=sim("f.file_name", "r.ref"), only=" AND f.role = 'master_agreement'"),
+    "by_person": "SELECT f.conv, f.file_id AS from_file, f.role, t.file_id AS to_file FROM files f JOIN files t ON t.conv = f.conv AND t.person = f.person AND t.role = 'transaction' WHERE f.role IN ('modification', 'termination')",
+    "by_name": "SELECT DISTINCT f.conv, f.file_id AS from_file, f.role, n.to_file FROM files f JOIN refs r ON r.file_id = f.file_id JOIN named n ON n.conv = r.conv AND n.ref = r.ref WHERE n.to_file <> f.file_id AND f.role IN ('modification', 'termination')",
+    "master_child": """
+        SELECT f.conv, f.file_id AS from_file, f.role AS from_role, coalesce(l.to_file, m.file_id, o.only_one) AS to_file, coalesce(l.to_file, m.file_id, o.only_one) IS NOT NULL AS resolved FROM files f
+        JOIN (SELECT conv, CASE WHEN count(*) = 1 THEN min(file_id) END AS only_one FROM files WHERE role = 'master_agreement' GROUP BY conv) o ON o.conv = f.conv
+        LEFT JOIN (SELECT r.file_id, arg_min(n.to_file, r.ref) AS to_file FROM refs r JOIN named_master n ON n.conv = r.conv AND n.ref = r.ref GROUP BY r.file_id) l ON l.file_id = f.file_id
+        LEFT JOIN (SELECT conv, file_id, doc_id % 13 AS ident, row_number() OVER (PARTITION BY conv, doc_id % 13 ORDER BY doc_id) AS n FROM files WHERE role = 'master_agreement') m ON m.conv = f.conv AND m.ident = f.doc_id % 13 AND m.n = 1
+        WHERE f.role IN ('transaction', 'modification')""",
+    "novation": """
+        SELECT f.conv, f.file_id AS from_file, l.to_file FROM files f LEFT JOIN (SELECT from_file, to_file FROM by_name UNION SELECT from_file, to_file FROM by_person) l ON l.from_file = f.file_id
+        WHERE f.role = 'modification' AND f.file_id NOT IN (SELECT from_file FROM master_child WHERE resolved)""",
+    "termination": """
+        SELECT f.conv, f.file_id AS from_file, l.to_file FROM files f
+        LEFT JOIN (SELECT from_file, to_file FROM by_person UNION ALL SELECT from_file, to_file FROM by_name WHERE from_file NOT IN (SELECT from_file FROM by_person)) l ON l.from_file = f.file_id WHERE f.role = 'termination'""",
+}
+
+
+@C.once
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv, file_id, ref): the agreements that a file's clauses name."""
+    found = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(NAMED), F.lit(1))))
+    return C.sections(spark, sf_dir).select("conv", "file_id", found.alias("ref")).distinct()
+
+
+def named(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """(conv, ref, to_file): for each name the file whose name is most like it, if like enough; an argmax over the conversation's files for each different name."""
+    like = X.jaccard(F.col("file_name"), F.col("ref"))
+    best = refs.select("conv", "ref").distinct().join(files.select("conv", "doc_id", F.col("file_id").alias("to_file"), "file_name"), "conv").withColumn("s", like)
+    return best.groupBy("conv", "ref").agg(F.max_by("to_file", F.struct("s", -F.col("doc_id"))).alias("to_file"), F.max("s").alias("s")).where(F.col("s") >= LEAST_LIKE).drop("s")
+
+
+def by_name(files: DataFrame, refs: DataFrame) -> DataFrame:
+    """(from_file, to_file): each file with the others that its clauses name."""
+    found = refs.join(named(refs, files), ["conv", "ref"]).select(F.col("file_id").alias("from_file"), "to_file")
+    return found.where("from_file <> to_file").distinct()
+
+
+def by_person(files: DataFrame) -> DataFrame:
+    """(from_file, to_file): each file with the transactions of its person."""
+    deals = files.where("role = 'transaction'").select("conv", "person", F.col("file_id").alias("to_file"))
+    return files.select("conv", "person", F.col("file_id").alias("from_file")).join(deals, ["conv", "person"]).select("from_file", "to_file")
 
 
-def master_child(files: DataFrame) -> DataFrame:
-    """Each transaction and modification with the first master that has the identifier it names; unresolved without one (REL-06)."""
+def master_child(files: DataFrame, refs: DataFrame) -> DataFrame:
+    """Each transaction and modification with its master: the one that its clauses name, else the first with the identifier it has, else the
+    conversation's only one; unresolved without any (REL-06)."""
     masters = files.where("role = 'master_agreement'")
-    first = masters.groupBy("conv", F.expr("doc_id % 13").alias("ident")).agg(F.min_by("file_id", "doc_id").alias("to_file"))
-    some = masters.select("conv").distinct()
-    kids = files.where("role in ('transaction', 'modification')").join(some, "conv", "left_semi").withColumn("ident", F.expr("doc_id % 13"))
-    return kids.join(first, ["conv", "ident"], "left").select("conv", F.col("file_id").alias("from_file"), F.col("role").alias("from_role"), "to_file", F.col("to_file").isNotNull().alias("resolved"))
+    said = refs.join(named(refs, masters), ["conv", "ref"]).groupBy("file_id").agg(F.min_by("to_file", "ref").alias("_named"))
+    first = masters.groupBy("conv", F.expr("doc_id % 13").alias("ident")).agg(F.min_by("file_id", "doc_id").alias("_first"))
+    only = masters.groupBy("conv").agg(F.when(F.count(F.lit(1)) == 1, F.min("file_id")).alias("_only"))
+    kids = files.where("role in ('transaction', 'modification')").join(only, "conv").withColumn("ident", F.expr("doc_id % 13"))
+    to = F.coalesce("_named", "_first", "_only")
+    found = kids.join(said, "file_id", "left").join(first, ["conv", "ident"], "left")
+    return found.select("conv", F.col("file_id").alias("from_file"), F.col("role").alias("from_role"), to.alias("to_file"), to.isNotNull().alias("resolved"))
 
 
-@query("rel_06_master_child", oracle("SELECT * FROM master_child", master_child=MASTER_CHILD))
+@query("rel_06_master_child", oracle("SELECT * FROM master_child", **LAYERS))
+@C.parse_once
 def master_child_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return master_child(C.files(spark, sf_dir))
+    return master_child(C.files(spark, sf_dir), references(spark, sf_dir))
 
 
-NOVATION = """
-    SELECT f.conv, f.file_id AS from_file, t.file_id AS to_file FROM files f JOIN files t ON t.conv = f.conv AND t.person = f.person AND t.role = 'transaction'
-    WHERE f.role = 'modification' AND f.file_id NOT IN (SELECT from_file FROM master_child WHERE resolved)"""
+def novations(files: DataFrame, children: DataFrame, refs: DataFrame) -> DataFrame:
+    """Modifications without a master, with what their clauses name and the transactions of the same person; unresolved without any (REL-07)."""
+    free = files.where("role = 'modification'").select("conv", F.col("file_id").alias("from_file")).join(children.where("resolved").select("from_file"), "from_file", "left_anti")
+    links = by_name(files, refs).union(by_person(files)).distinct()
+    return free.join(links, "from_file", "left").select("conv", "from_file", "to_file")
 
 
-def novations(files: DataFrame, children: DataFrame) -> DataFrame:
-    """Modifications without a master, with the transactions of the same person; unresolved without any (REL-07)."""
-    free = files.where("role = 'modification'").join(children.where("resolved").select(F.col("from_file").alias("file_id")), "file_id", "left_anti")
-    deals = files.where("role = 'transaction'").select("conv", "person", F.col("file_id").alias("to_file"))
-    return free.join(deals, ["conv", "person"], "left").select("conv", F.col("file_id").alias("from_file"), "to_file")
+@query("rel_07_novations", oracle("SELECT * FROM novation", **LAYERS))
+@C.parse_once
+def novation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, refs = C.files(spark, sf_dir), references(spark, sf_dir)
+    return novations(f, master_child(f, refs), refs)
 
 
-@query("rel_07_novations", oracle("SELECT f.conv, f.file_id AS from_file, n.to_file FROM files f LEFT JOIN novation n ON n.from_file = f.file_id WHERE f.role = 'modification' AND f.file_id NOT IN (SELECT from_file FROM master_child WHERE resolved)", master_child=MASTER_CHILD, novation=NOVATION))
-def novation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = C.files(spark, sf_dir)
-    return novations(f, master_child(f))
+def terminations(files: DataFrame, refs: DataFrame) -> DataFrame:
+    """Terminations with the transactions of the same person, else with what their clauses name; unresolved without any (REL-08)."""
+    ends = files.where("role = 'termination'").select("conv", F.col("file_id").alias("from_file"))
+    people = by_person(files)
+    links = people.union(by_name(files, refs).join(people, "from_file", "left_anti"))
+    return ends.join(links, "from_file", "left").select("conv", "from_file", "to_file")
 
 
-@query("rel_08_terminations", oracle("SELECT f.conv, f.file_id AS from_file, t.file_id AS to_file FROM files f LEFT JOIN files t ON t.conv = f.conv AND t.person = f.person AND t.role = 'transaction' WHERE f.role = 'termination'"))
-def terminations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = C.files(spark, sf_dir)
-    deals = f.where("role = 'transaction'").select("conv", "person", F.col("file_id").alias("to_file"))
-    return f.where("role = 'termination'").join(deals, ["conv", "person"], "left").select("conv", F.col("file_id").alias("from_file"), "to_file")
+@query("rel_08_terminations", oracle("SELECT * FROM termination", **LAYERS))
+@C.parse_once
+def termination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terminations(C.files(spark, sf_dir), references(spark, sf_dir))
 
 
 RENEWALS = f"SELECT conv, person, file_id AS from_file, prev AS to_file FROM (SELECT *, lag(file_id) OVER (PARTITION BY conv, person ORDER BY {_UNDATED}) AS prev FROM files WHERE role = 'transaction') WHERE prev IS NOT NULL"
@@ -104,25 +159,27 @@ def renewal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = {
-    "master_child": MASTER_CHILD, "novation": NOVATION, "renewals": RENEWALS,
+    **LAYERS, "renewals": RENEWALS,
     "relations": """
         SELECT conv, from_file, to_file, 'master_child' AS kind FROM master_child
-        UNION ALL SELECT f.conv, f.file_id, n.to_file, 'novation' FROM files f LEFT JOIN novation n ON n.from_file = f.file_id WHERE f.role = 'modification' AND f.file_id NOT IN (SELECT from_file FROM master_child WHERE resolved)
-        UNION ALL SELECT f.conv, f.file_id, t.file_id, 'termination' FROM files f LEFT JOIN files t ON t.conv = f.conv AND t.person = f.person AND t.role = 'transaction' WHERE f.role = 'termination'
+        UNION ALL SELECT conv, from_file, to_file, 'novation' FROM novation
+        UNION ALL SELECT conv, from_file, to_file, 'termination' FROM termination
         UNION ALL SELECT conv, from_file, to_file, 'renewal' FROM renewals""",
 }
 
 
+@C.once
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All links (conv, from_file, to_file, kind), unresolved ones with a null target."""
-    f = C.files(spark, sf_dir)
-    c = master_child(f)
-    parts = [(c.select("conv", "from_file", "to_file"), "master_child"), (novations(f, c), "novation"), (terminations(spark, sf_dir), "termination"), (renewals(f).select("conv", "from_file", "to_file"), "renewal")]
-    tagged = [d.withColumn("kind", F.lit(k)) for d, k in parts]
+    f, refs = C.files(spark, sf_dir), references(spark, sf_dir)
+    c = master_child(f, refs)
+    parts = [(c, "master_child"), (novations(f, c, refs), "novation"), (terminations(f, refs), "termination"), (renewals(f), "renewal")]
+    tagged = [d.select("conv", "from_file", "to_file", F.lit(k).alias("kind")) for d, k in parts]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).unionByName(tagged[3])
 
 
 @query("rel_10_counts", oracle("SELECT c.conv, k.kind, count(r.from_file) AS n FROM (SELECT DISTINCT conv FROM files) c CROSS JOIN (VALUES ('master_child'), ('novation'), ('termination'), ('renewal')) k(kind) LEFT JOIN relations r ON r.conv = c.conv AND r.kind = k.kind GROUP BY c.conv, k.kind", **ALL))
+@C.parse_once
 def relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by conversation and kind, with zeros: the four kinds as columns, then turned to rows."""
     kinds = list(P.RELATION_EDGE)
@@ -132,15 +189,17 @@ def relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("rel_11_touching", oracle("SELECT conv, from_file, to_file, kind FROM relations WHERE from_file = 'f41' OR to_file = 'f41'", **ALL))
+@C.parse_once
 def touching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations(spark, sf_dir).where("from_file = 'f41' or to_file = 'f41'")
 
 
 @query("rel_12_order_chain", oracle(f"SELECT conv, person, file_id, n, prev, ended, NOT ended AND row_number() OVER (PARTITION BY conv, person, ended ORDER BY n DESC) = 1 AS is_current FROM (SELECT conv, person, file_id, row_number() OVER w AS n, lag(file_id) OVER w AS prev, file_id IN (SELECT to_file FROM relations WHERE kind = 'termination' AND to_file IS NOT NULL) AS ended FROM files WHERE role = 'transaction' WINDOW w AS (PARTITION BY conv, person ORDER BY {_UNDATED}))", **ALL))
+@C.parse_once
 def order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A person's transactions in order, with what came before, whether ended, and which one is in force: the last that isn't ended."""
     f = C.files(spark, sf_dir).where("role = 'transaction'")
-    ended = terminations(spark, sf_dir).where("to_file is not null").select(F.col("to_file").alias("file_id")).distinct().withColumn("ended", F.lit(True))
+    ended = terminations(C.files(spark, sf_dir), references(spark, sf_dir)).where("to_file is not null").select(F.col("to_file").alias("file_id")).distinct().withColumn("ended", F.lit(True))
     w = Window.partitionBy("conv", "person").orderBy(*_by_date())
     a = f.join(ended, "file_id", "left").withColumns({"ended": F.coalesce("ended", F.lit(False)), "n": F.row_number().over(w), "prev": F.lag("file_id").over(w)})
     last = F.max(F.when(~F.col("ended"), F.col("n"))).over(Window.partitionBy("conv", "person"))
@@ -155,6 +214,7 @@ def shared_person(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("rel_17_map_text", oracle("SELECT conv, string_agg(kind || ': ' || from_file || ' -> ' || coalesce(to_file, '?'), chr(10) ORDER BY kind, from_file, coalesce(to_file, '?')) AS map FROM relations GROUP BY conv", **ALL))
+@C.parse_once
 def map_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = F.coalesce("to_file", F.lit("?"))
     row = F.struct("kind", "from_file", to.alias("to"), F.concat("kind", F.lit(": "), "from_file", F.lit(" -> "), to).alias("line"))
