@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions import text as X
 from ..plans import contract as C
 from ..plans.sql import lit, oracle
 from ..registry import query
