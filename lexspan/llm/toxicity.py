@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ from .shared import Words, checkpoint, chunks, table, text_bytes
 #: The bound of the labelled rows that teach: the rows with the least hash of their id.
 EXAMPLES = 8192
 NEAREST = 16
-BLOCK = 64
+#: Examples of a block, and how many blocks a query opens before it looks which of the others may still hold a nearer one.
+BLOCK, FEW = 64, 8
 #: How fast a vote fades with cosine distance from the nearest, and the weight of the prior among the votes.
 FADE, PRIOR_WEIGHT = 0.1, 0.5
 GRAMS = (4, 6)
@@ -193,19 +195,22 @@ class Index:
     """Distinct example vectors in an inverted index with block maxima."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], ids: list[int], n_terms: int):
-        by: dict[tuple, list[int]] = {}
+        by: dict[tuple[bytes, bytes], list[int]] = {}
         for k, (t, w) in enumerate(vectors):
-            by.setdefault((tuple(t.tolist()), tuple(np.round(w, 9).tolist())), []).append(k)
+            by.setdefault((t.tobytes(), np.round(w, 9).tobytes()), []).append(k)
         # vectors with the same heaviest terms stand together, which makes the block maxima tight
-        keys = sorted(by, key=lambda key: [key[0][i] for i in np.argsort(-np.array(key[1]), kind="stable")])
+        first = {key: own[0] for key, own in by.items()}
+        heaviest = lambda key: vectors[first[key]][0][np.argsort(-vectors[first[key]][1], kind="stable")].astype(">i8").tobytes()
+        keys = sorted(by, key=heaviest)
         self.n = np.array([len(by[k]) for k in keys])
         self.toxic = np.array([sum(toxic[i] for i in by[k]) for k in keys])
         self.ids = np.array([min(ids[i] for i in by[k]) for k in keys])
         self.of = {i: g for g, k in enumerate(keys) for i in by[k]}
+        keys = [vectors[first[k]] for k in keys]
         n_blocks = -(-len(keys) // BLOCK)
-        term = np.concatenate([np.array(k[0]) for k in keys])
+        term = np.concatenate([t for t, _ in keys])
         row = np.repeat(np.arange(len(keys)), [len(k[0]) for k in keys])
-        weight = np.concatenate([np.array(k[1]) for k in keys])
+        weight = np.concatenate([w for _, w in keys])
         order = np.lexsort((row, term))
         self.row, self.weight = row[order].astype(np.int32), weight[order]
         place = term[order] * n_blocks + self.row // BLOCK
@@ -219,24 +224,35 @@ class Index:
         """The k rows of largest cosine, ties by row, and the cosines. Exact."""
         bound = w @ self.most[t] + 1e-6
         order = np.argsort(-bound, kind="stable")
-        who, cos = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
-        while at < len(order) and not (len(cos) >= k and cos[k - 1] > bound[order[at]]):
-            blocks = order[at : at + step]
-            cell = t[:, None] * self.n_blocks + blocks
-            lo = self.cut[cell].ravel()
-            many = self.cut[cell + 1].ravel() - lo
-            spot = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            here = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(t)), many) + self.row[spot] % BLOCK
-            got = np.bincount(here, weights=np.repeat(np.repeat(w, len(blocks)), many) * self.weight[spot], minlength=len(blocks) * BLOCK)
-            rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            real = rows < len(self.n)
-            who, cos = np.concatenate((who, rows[real])), np.concatenate((cos, got[real]))
+        who, cos = self._best(order[:FEW], t, w, k)
+        left = order[FEW:]
+        if len(cos) >= k:
+            left = left[bound[left] >= cos[k - 1]]
+        if len(left):
+            more, more_cos = self._best(left, t, w, k)
+            who, cos = np.concatenate((who, more)), np.concatenate((cos, more_cos))
             best = np.lexsort((who, -cos))[:k]
             who, cos = who[best], cos[best]
-            at, step = at + step, step * 2
         return who, cos
 
+    def _best(self, blocks: np.ndarray, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows of some blocks."""
+        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        rows = rows[rows < len(self.n)]
+        if len(blocks) <= 2 * FEW:  # the postings of each term in each block
+            cell = (t[:, None] * self.n_blocks + blocks).ravel()
+            lo, hi, weight = self.cut[cell], self.cut[cell + 1], np.repeat(w, len(blocks))
+        else:  # those of each term, which stand together
+            lo, hi, weight = self.cut[t * self.n_blocks], self.cut[(t + 1) * self.n_blocks], w
+        many = hi - lo
+        spot = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        got = np.bincount(self.row[spot], weights=np.repeat(weight, many) * self.weight[spot], minlength=len(self.n))[rows]
+        if len(got) > k:  # only what is among the best, ties included
+            some = got >= np.partition(got, -k)[-k]
+            rows, got = rows[some], got[some]
+        best = np.lexsort((rows, -got))[:k]
+        return rows[best], got[best]
+
     def vote(self, who: np.ndarray, cos: np.ndarray, prior: float, less: tuple[int, int] | None = None) -> float:
         """The weighted share of toxic examples; less: (row, label) of an example that doesn't count."""
         n, y = self.n[who].astype(float), self.toxic[who].astype(float)
@@ -289,13 +305,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n_docs = counts.pop(len(terms), 0)
     idf = np.array([np.log((1 + n_docs) / (1 + counts.get(k, 0))) + 1 for k in range(len(terms))])
     model = Model(terms, idf * np.where(tells, TELLING, 1.0), prior)
-    rows = examples.select("doc_id", "toxic", F.col("text")).mapInArrow(_vectors(model), "doc_id long, toxic long, terms array<long>, weights array<double>").collect()  # EXAMPLES rows
-    if not rows:
+    rows = examples.select("doc_id", "toxic", "text").mapInArrow(_vectors(model), "doc_id long, toxic long, terms array<long>, weights array<double>").toArrow()  # EXAMPLES rows
+    if not rows.num_rows:
         return model
-    rows.sort(key=lambda r: r["doc_id"])
-    vectors = [(np.array(r["terms"]), np.array(r["weights"])) for r in rows]
-    toxic = [r["toxic"] for r in rows]
-    index = Index(vectors, toxic, [r["doc_id"] for r in rows], len(terms) + 1)
+    rows = rows.sort_by("doc_id").combine_chunks()
+    cut = np.concatenate(([0], np.cumsum(pc.list_value_length(rows["terms"]).to_numpy())))
+    terms_of, weights_of = (pc.list_flatten(rows[c]).to_numpy() for c in ("terms", "weights"))
+    vectors = [(terms_of[i:j], weights_of[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    toxic = rows["toxic"].to_pylist()
+    index = Index(vectors, toxic, rows["doc_id"].to_pylist(), len(terms) + 1)
     votes = [_logit(index.vote(*index.nearest(*v, NEAREST + 1), prior, (index.of[k], toxic[k]))) for k, v in enumerate(vectors)]
     model.slope, model.shift = _calibrate(np.array(votes), np.array(toxic, float))
     model.index = index
