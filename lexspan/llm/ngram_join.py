@@ -151,33 +151,43 @@ def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, ids, np.repeat(count, count)
 
 
+def dealt_pairs(keys: np.ndarray, ids: np.ndarray, n_groups: int, turn: int) -> pa.RecordBatch:
+    """(key, set) pairs, packed: for the group of the key those that are rare here, with the common keys named (kind 1);
+    the pairs of common keys go to any group (kind 2), from turn on."""
+    keys, ids, count = _distinct(keys, ids)
+    common = count >= COMMON
+    rows = []
+    named = keys[common]
+    for kind, k, v in ((0, keys[~common], ids[~common]), (1, named[_groups(named)], None)):
+        to = (k % np.uint64(n_groups)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        k, v = k[order], None if v is None else v[order]
+        cut = np.searchsorted(to[order], np.arange(n_groups + 1)).tolist()
+        rows += [(g, kind, k[a:b].tobytes(), None if v is None else v[a:b].tobytes()) for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+    for a in range(0, len(named), 100_000):
+        turn += 1
+        rows.append(((int(named[a] >> np.uint64(40)) + turn) % n_groups, 2, named[a : a + 100_000].tobytes(), ids[common][a : a + 100_000].tobytes()))
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["g", "kind", "keys", "ids"])
+
+
+DEALT = "g long, kind int, keys binary, ids binary"
+
+
 def _dealer(n_groups: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts to packed (key, set) pairs: for the group of the key those that are rare here, with the common keys named (kind 1);
-        the pairs of common keys go to any group (kind 2)."""
+        """Texts to packed (key, set) pairs of the sets' blocks."""
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n_held, turn = 0, 0
 
         def flush():
             nonlocal n_held, turn
-            keys, ids, count = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
+            turn += -(-n_held // 100_000)
             n_held = 0
-            common = count >= COMMON
-            rows = []
-            named = keys[common]
-            for kind, k, v in ((0, keys[~common], ids[~common]), (1, named[_groups(named)], None)):
-                to = (k % np.uint64(n_groups)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                k, v = k[order], None if v is None else v[order]
-                cut = np.searchsorted(to[order], np.arange(n_groups + 1)).tolist()
-                rows += [(g, kind, k[a:b].tobytes(), None if v is None else v[a:b].tobytes()) for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
-            for a in range(0, len(named), 100_000):
-                turn += 1
-                rows.append(((int(named[a] >> np.uint64(40)) + turn) % n_groups, 2, named[a : a + 100_000].tobytes(), ids[common][a : a + 100_000].tobytes()))
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["g", "kind", "keys", "ids"])
+            return dealt_pairs(keys, ids, n_groups, turn)
 
         for batch in batches:
             texts = text_bytes(batch.column(0))
@@ -202,7 +212,7 @@ def _dealer(n_groups: int):
     return deal
 
 
-def _count(group: pa.Table) -> pa.Table:
+def count_pairs(group: pa.Table) -> pa.Table:
     """The packed pairs of one group to (key, id, held): the pairs whose key two sets have at least, and how many have it, COMMON at most."""
     kind = group.column("kind").to_numpy()
 
@@ -326,31 +336,34 @@ def _allowed(rows: list[tuple], nearest: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[0])), pa.array(np.ascontiguousarray(pairs[1]))], names=["a", "b"])
 
 
-def _arms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, salt, b, shingles), sorted, the centre's own row (b null) first: the pairs (a, b) that link."""
-    centre, of = np.zeros(0, np.uint64), None
-    for batch in batches:
-        a, salt, b = (batch.column(k).to_pylist() for k in range(3))
-        rows = _rows_of(batch.column(3))
-        out = []
-        at = 0
-        while at < len(rows):
-            if b[at] is None:
-                centre, of, at = rows[at], (a[at], salt[at]), at + 1
-                continue
-            to = at
-            while to < len(rows) and b[to] is not None and (a[to], salt[to]) == of:
-                to += 1
-            size = np.array([len(r) for r in rows[at:to]])
-            all_of = np.concatenate(rows[at:to])
-            spot = np.minimum(np.searchsorted(centre, all_of), len(centre) - 1)
-            both = np.bincount(np.repeat(np.arange(to - at), size), weights=centre[spot] == all_of, minlength=to - at).astype(np.int64)
-            out += [(a[at], b[at + x]) for x in np.flatnonzero(Q * both >= P * (size + len(centre) - both)).tolist()]
-            at = to
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _arms(p: int, q: int):
+    def arms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, salt, b, shingles), sorted, the centre's own row (b null) first: the pairs (a, b) that link."""
+        centre, of = np.zeros(0, np.uint64), None
+        for batch in batches:
+            a, salt, b = (batch.column(k).to_pylist() for k in range(3))
+            rows = _rows_of(batch.column(3))
+            out = []
+            at = 0
+            while at < len(rows):
+                if b[at] is None:
+                    centre, of, at = rows[at], (a[at], salt[at]), at + 1
+                    continue
+                to = at
+                while to < len(rows) and b[to] is not None and (a[to], salt[to]) == of:
+                    to += 1
+                size = np.array([len(r) for r in rows[at:to]])
+                all_of = np.concatenate(rows[at:to])
+                spot = np.minimum(np.searchsorted(centre, all_of), len(centre) - 1)
+                both = np.bincount(np.repeat(np.arange(to - at), size), weights=centre[spot] == all_of, minlength=to - at).astype(np.int64)
+                out += [(a[at], b[at + x]) for x in np.flatnonzero(q * both >= p * (size + len(centre) - both)).tolist()]
+                at = to
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+
+    return arms
+
+
+def verify(pairs: DataFrame, sets: DataFrame, p: int = P, q: int = Q) -> DataFrame:
     """pairs (a, b) of set hashes, distinct; the pairs that link, decided on the whole sets. A centre with many members is copied to its arms."""
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     arms = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / ARM).alias("arms"))
@@ -360,7 +373,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     members = salted.join(held.withColumnRenamed("h", "b"), "b").select("a", "salt", "b", "shingles")
     centres = own.join(held.withColumnRenamed("h", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
     together = members.union(centres).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return together.mapInArrow(_arms, "a long, b long").distinct()
+    return together.mapInArrow(_arms(p, q), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -380,7 +393,7 @@ def _named(docs: DataFrame, linked: DataFrame) -> DataFrame:
     """docs (doc_id, text) and the profiles of those that may link: (h, component_id) for each set."""
     spark = docs.sparkSession
     classes = checkpoint(linked.groupBy("h").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "room", "room_below")]))
-    stars = checkpoint(_stars(_prefixes(docs, classes)))
+    stars = checkpoint(stars_of(_prefixes(docs, classes)))
     path = _written_sets(docs, stars.select("h").distinct().join(classes, "h").select("doc_id", "h"))
     sets = spark.read.parquet(path)
     links = checkpoint(verify(checkpoint(_best(stars)), sets))
@@ -402,9 +415,9 @@ def _prefixes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, h, n): the blocks of each set's prefixes that other sets have too."""
     total = classes.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-int(total * 0.55) // GROUP))
-    dealt = docs.where("doc_id is not null").select("text").mapInArrow(_dealer(groups), "g long, kind int, keys binary, ids binary")
+    dealt = docs.where("doc_id is not null").select("text").mapInArrow(_dealer(groups), DEALT)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * groups)
-    held = dealt.repartition(parts, "g").groupBy("g").applyInArrow(_count, "key long, id long, held long")
+    held = dealt.repartition(parts, "g").groupBy("g").applyInArrow(count_pairs, "key long, id long, held long")
     both = held.select("key", "held", F.col("id").bitwiseAND(F.lit(-2)).alias("h"), (F.col("id").bitwiseAND(F.lit(1)) == 1).alias("below")).join(classes.drop("doc_id"), "h")
     of = Window.partitionBy("h", "below")
     # ranks of equal rows are equal, for copies of a set may have come from several tasks
@@ -413,7 +426,7 @@ def _prefixes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("shared") + F.when(F.col("below"), F.col("room_below")).otherwise(F.col("room"))).select("key", "h", "n").distinct()
 
 
-def _stars(kept: DataFrame) -> DataFrame:
+def stars_of(kept: DataFrame) -> DataFrame:
     """(key, h, n, a, na, m) of the keys that m > 1 sets have, a being the least of them, of size na."""
     kept = checkpoint(kept)
     centres = kept.groupBy("key").agg(F.min(F.struct("h", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
