@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, ngram_join, packing, quality, runs, sampling, simhash, spelling, token_files, toxicity, warc
+from . import chat, html_text, minhash, ngram_join, packing, quality, runs, sampling, simhash, spelling, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": html_text.op8_html_text,
     "op9_sampled_segmentations": sampling.op9_sampled_segmentations,
     "op10_warc": warc.op10_warc,
+    "op11_minhash": minhash.op11_minhash,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }
