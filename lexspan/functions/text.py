@@ -49,14 +49,31 @@ def parent_id(section_id: Column) -> Column:
 def normalize_ref(ref: Column) -> Column:
     """`Clause 12.1` to 12.1, `Schedule 4` to `schedule 4`, final dots gone."""
     r = F.regexp_replace(F.trim(ref), "\\.+$", "")
-    return F.when(r.rlike(P.SCHEDULE_LIKE), F.regexp_replace(F.lower(r), "[ \\t]+", " ")).otherwise(F.regexp_replace(r, "^(?i:clause|section|paragraph)[ \\t]+", ""))
+    return F.when(r.rlike(P.SCHEDULE_LIKE), F.regexp_replace(F.lower(r), "\\s+", " ")).otherwise(F.regexp_replace(r, "^(?i:clause|section|paragraph)\\s+", ""))
 
 
-def refs(content: Column) -> Column:
-    """Distinct normalised references of a text in order; bare clause 0 and those beyond the last plausible one are page numbers."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(content, F.lit(f"({P.REFERENCE})"), 0), normalize_ref))
+def hinted_refs(content: Column) -> Column:
+    """Distinct normalised references of a text in order, each with the document named within HINT_CHARS behind its first occurrence, null without one.
+
+    Bare clause 0 and those beyond the last plausible one are page numbers. What stands behind a match is a group inside a look-ahead.
+    """
+    pattern = F.lit(f"(?i)(?<![\\p{{L}}\\p{{N}}_])({P.REFERENCE})(?=([\\s\\S]{{0,{P.HINT_CHARS}}}))")
+    found = F.arrays_zip(F.regexp_extract_all(content, pattern, F.lit(1)).alias("said"), F.regexp_extract_all(content, pattern, F.lit(2)).alias("behind"))
+    hint = lambda text: F.trim(F.regexp_extract(text, P.DOCUMENT_HINT, 1), F.lit(" \t\n\r"))
+    each = F.transform(found, lambda x: F.struct(normalize_ref(x["said"]).alias("ref"), F.when(hint(x["behind"]) != "", hint(x["behind"])).alias("hint")))
     bare = lambda r: r.rlike("^[0-9]+$")
-    return F.filter(found, lambda r: ~bare(r) | F.try_to_number(r, F.lit("999999999")).between(1, P.LAST_BARE_CLAUSE))
+    real = F.filter(each, lambda x: ~bare(x["ref"]) | F.try_to_number(x["ref"], F.lit("999999999")).between(1, P.LAST_BARE_CLAUSE))
+    return F.filter(real, lambda x, k: F.array_position(F.transform(real, lambda y: y["ref"]), x["ref"]) == k + 1)
+
+
+def refs(content: Column) -> Column:
+    """The references of hinted_refs alone."""
+    return F.transform(hinted_refs(content), lambda x: x["ref"])
+
+
+def words(text: Column) -> Column:
+    """Distinct words in lower case, of letters and digits of any alphabet."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}_]+"), lambda w: w != ""))
 
 
 def normalize_name(name: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..plans import contract as C
+from ..plans import fixed as S
 from ..plans.sql import cases, lit, oracle
 from ..registry import query
 from . import entities as E
@@ -52,7 +53,7 @@ def augmented_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv", F.concat(F.lit(ASKED + " ["), quoted, F.lit("]")).alias("query"))
 
 
-@query("ret_26_table_guard", f"SELECT doc_id, regexp_matches(text, '\\|[^|\\n]+\\|') AND regexp_matches(text, {lit(P.MONEY)}) AS needs_table FROM documents")
+@query("ret_26_table_guard", f"SELECT doc_id, regexp_matches(text, '\\|[^|\\n]+\\|') AND regexp_matches(text, {lit(S.MONEY)}) AS needs_table FROM documents")
 def table_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with a piped row and a money or percent value, which a table model would rewrite."""
     t = F.col("text")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..plans import contract as C
+from ..plans import fixed as S
 from ..plans.sql import cases, lit, oracle, parent
 from ..registry import query
 
@@ -24,7 +25,7 @@ def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.raw_sections(spark, sf_dir).select("file_id", "pos", "section_id", "title", F.col("page").cast("long").alias("page"), F.md5("content").alias("content_md5"))
 
 
-_TOC = f"SELECT 'f' || doc_id AS file_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {lit(P.TOC_LINE)}))) AS dotted, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS filled FROM documents"
+_TOC = f"SELECT 'f' || doc_id AS file_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {lit(S.TOC_LINE)}))) AS dotted, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS filled FROM documents"
 
 
 @query("prs_04_contents_pages", f"SELECT file_id, dotted >= 3 AND 4 * dotted >= filled AS is_contents FROM ({_TOC})")
@@ -52,7 +53,7 @@ _LATE = "SELECT conv, file_id, CASE WHEN p < 3 THEN 'This Agreement is entered i
     "prs_05_preambles",
     oracle(
         f"""SELECT conv, file_id, any_value(open) AS page, md5(string_agg(trim(line), chr(10) ORDER BY p)) AS content_md5
-        FROM (SELECT *, min(CASE WHEN regexp_matches(line, {lit(P.OPENING)}) THEN page END) OVER (PARTITION BY file_id) AS open, max(pos) OVER (PARTITION BY file_id) AS n FROM late)
+        FROM (SELECT *, min(CASE WHEN regexp_matches(line, {lit(S.OPENING)}) THEN page END) OVER (PARTITION BY file_id) AS open, max(pos) OVER (PARTITION BY file_id) AS n FROM late)
         WHERE pos = 0 AND n > 0 AND page >= open AND trim(line) <> '' GROUP BY conv, file_id HAVING length(string_agg(trim(line), chr(10) ORDER BY p)) >= {C.MIN_CONTENT}""",
         late=_LATE,
     ),
@@ -135,9 +136,9 @@ def document_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "documents").select("doc_id", X.iso_date(t).alias("document_date"))
 
 
-_TYPES = cases([(f"regexp_matches(file_name, {lit(p)})", lit(n)) for n, _, p in P.DOCUMENT_TYPES], "'agreement'")
-_RANKS = cases([(f"regexp_matches(file_name, {lit(p)})", str(r)) for _, r, p in P.DOCUMENT_TYPES], "1")
-_ROLES = cases([(f"regexp_matches(file_name, {lit(p)})", lit(n)) for n, p in P.ROLES], "'standalone'")
+_TYPES = cases([(f"regexp_matches(file_name, {lit(p)})", lit(n)) for n, _, p in S.DOCUMENT_TYPES], "'agreement'")
+_RANKS = cases([(f"regexp_matches(file_name, {lit(p)})", str(r)) for _, r, p in S.DOCUMENT_TYPES], "1")
+_ROLES = cases([(f"regexp_matches(file_name, {lit(p)})", lit(n)) for n, p in S.ROLES], "'standalone'")
 
 
 @query("prs_15_document_type", oracle(f"SELECT file_id, {_TYPES} AS document_type, {_RANKS} AS document_rank FROM files"))
@@ -154,7 +155,7 @@ def functional_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GIVEN = "SELECT file_id, section_id, clause_type, CASE WHEN pos % 4 = 0 THEN 'nonsense' ELSE clause_type END AS said_type, CASE WHEN pos % 5 = 0 THEN 'abc' WHEN pos % 5 = 1 THEN '7' ELSE CAST(risk - 1 AS VARCHAR) END AS said_risk FROM sections WHERE pos % 3 <> 0"
 
 
-@query("prs_17_clause_risk", oracle(f"SELECT s.file_id, s.section_id, CASE WHEN g.said_type IN ({', '.join(map(lit, P.CLAUSE_TYPES))}) THEN g.said_type ELSE 'other' END AS clause_type, CASE WHEN g.file_id IS NULL THEN NULL ELSE least(greatest(coalesce(TRY_CAST(g.said_risk AS INTEGER), 2), 1), 5) END AS risk_level FROM sections s LEFT JOIN given g USING (file_id, section_id)", given=_GIVEN))
+@query("prs_17_clause_risk", oracle(f"SELECT s.file_id, s.section_id, CASE WHEN g.said_type IN ({', '.join(map(lit, S.CLAUSE_TYPES))}) THEN g.said_type ELSE 'other' END AS clause_type, CASE WHEN g.file_id IS NULL THEN NULL ELSE least(greatest(coalesce(TRY_CAST(g.said_risk AS INTEGER), 2), 1), 5) END AS risk_level FROM sections s LEFT JOIN given g USING (file_id, section_id)", given=_GIVEN))
 def clause_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a model says of a clause, held to the known labels and to 1..5 (given here by arithmetic; any scorer can take its place)."""
     s = C.sections(spark, sf_dir)

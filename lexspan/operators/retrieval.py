@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..plans import contract as C
+from ..plans import fixed as S
 from ..plans.sql import lit, oracle
 from ..registry import query
 from . import graph as G
@@ -76,8 +77,6 @@ def unindexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KEY = ["conv", "file_id", "doc_id", "section_id", "pos"]
 _S = ", ".join(KEY)
-FINANCIAL = r"(?i)(?:^|[^a-z])(?:fee|charge|rate|cost|price|amount|salary|pay|licence|license|hosting|interest|uptime|sla|service level|percentage|credit)(?:[^a-z]|$)"
-SCHEDULE_NAMED = r"(?i)((?:schedule|appendix|exhibit|annex)\s+(?:[0-9]+|[a-z]))(?:[^a-z0-9]|$)"
 QUESTIONS = [
     "what fee is due under schedule 2 after 2021-01-01",
     "which service level and uptime apply at the office address",
@@ -126,7 +125,7 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = s.join(yes(frame, name), ["file_id", "section_id"], "left")
     q = questions(s)
     said, kind, late = F.col("content"), F.col("clause_type"), F.col("role").isin("modification", "termination")
-    named = F.exists(F.regexp_extract_all(q, F.lit(SCHEDULE_NAMED), F.lit(1)), lambda x: F.lower("schedule").contains(F.lower(x)))
+    named = F.exists(F.regexp_extract_all(q, F.lit(P.SCHEDULE_NAMED), F.lit(1)), lambda x: F.lower("schedule").contains(F.lower(x)))
     rules = [
         (0, False, F.col("is_seed")),
         (1, False, kind == "order_of_precedence"),
@@ -138,7 +137,7 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
         (8, False, F.col("into")),
         (9, False, named),
         (10, True, (F.col("role") == "transaction") & F.col("section_id").rlike("^(6|10)(\\.[0-9]+)?$")),
-        (11, True, q.rlike(FINANCIAL) & said.rlike(P.MONEY)),
+        (11, True, q.rlike(P.FINANCIAL) & said.rlike(P.MONEY)),
         (14, True, q.rlike(P.LOCATION_ASKED) & F.col("in_seed_file") & said.rlike(P.ADDRESS)),
         (15, True, q.rlike(P.DATE_ASKED) & late & said.rlike(P.RETAINED)),
     ]
@@ -184,16 +183,16 @@ _BROUGHT = f"""
         SELECT {_S}, 0 AS injector FROM seeds
         UNION ALL SELECT {_S}, 1 FROM asking WHERE clause_type = 'order_of_precedence'
         UNION ALL SELECT {_S}, 2 FROM asking WHERE clause_type = 'governing_law'
-        UNION ALL SELECT {_S}, 3 FROM asking WHERE clause_type = 'dispute_resolution' OR regexp_matches(title, {lit(P.DISPUTE_TITLE)})
-        UNION ALL SELECT {_S}, 4 FROM asking WHERE regexp_matches(question, {lit(P.SERVICE_ASKED)}) AND clause_type IN ('warranties', 'payment_terms', 'service_levels')
+        UNION ALL SELECT {_S}, 3 FROM asking WHERE clause_type = 'dispute_resolution' OR regexp_matches(title, {lit(S.DISPUTE_TITLE)})
+        UNION ALL SELECT {_S}, 4 FROM asking WHERE regexp_matches(question, {lit(S.SERVICE_ASKED)}) AND clause_type IN ('warranties', 'payment_terms', 'service_levels')
         UNION ALL SELECT {_S}, 6 FROM asking WHERE qualifier AND {_IN_SEEDS}
         UNION ALL SELECT {_S}, 7 FROM asking WHERE (file_id, section_id) IN (SELECT (to_file, to_section) FROM resolved WHERE to_file IS NOT NULL AND {_IN_SEEDS} AND (conv, section_id) IN (SELECT (conv, section_id) FROM seeds))
         UNION ALL SELECT {_S}, 8 FROM asking WHERE (file_id, section_id) IN (SELECT (file_id, section_id) FROM resolved WHERE to_file IN (SELECT file_id FROM seeds) AND (conv, to_section) IN (SELECT (conv, section_id) FROM seeds))
-        UNION ALL SELECT {_S}, 9 FROM asking WHERE len(list_filter(regexp_extract_all(question, {lit(SCHEDULE_NAMED)}, 1), lambda x: contains(lower(schedule), lower(x)))) > 0
+        UNION ALL SELECT {_S}, 9 FROM asking WHERE len(list_filter(regexp_extract_all(question, {lit(S.SCHEDULE_NAMED)}, 1), lambda x: contains(lower(schedule), lower(x)))) > 0
         UNION ALL SELECT {_S}, 10 FROM asking WHERE regexp_matches(section_id, '^(6|10)(\\.[0-9]+)?$') AND file_id IN (SELECT file_id FROM files WHERE role = 'transaction')
-        UNION ALL SELECT {_S}, 11 FROM asking WHERE regexp_matches(question, {lit(FINANCIAL)}) AND regexp_matches(content, {lit(P.MONEY)})
-        UNION ALL SELECT {_S}, 14 FROM asking WHERE regexp_matches(question, {lit(P.LOCATION_ASKED)}) AND {_IN_SEEDS} AND regexp_matches(content, {lit(P.ADDRESS)})
-        UNION ALL SELECT {_S}, 15 FROM asking WHERE regexp_matches(question, {lit(P.DATE_ASKED)}) AND regexp_matches(content, {lit(P.RETAINED)}) AND file_id IN (SELECT file_id FROM files WHERE role IN ('modification', 'termination')))
+        UNION ALL SELECT {_S}, 11 FROM asking WHERE regexp_matches(question, {lit(S.FINANCIAL)}) AND regexp_matches(content, {lit(S.MONEY)})
+        UNION ALL SELECT {_S}, 14 FROM asking WHERE regexp_matches(question, {lit(S.LOCATION_ASKED)}) AND {_IN_SEEDS} AND regexp_matches(content, {lit(S.ADDRESS)})
+        UNION ALL SELECT {_S}, 15 FROM asking WHERE regexp_matches(question, {lit(S.DATE_ASKED)}) AND regexp_matches(content, {lit(S.RETAINED)}) AND file_id IN (SELECT file_id FROM files WHERE role IN ('modification', 'termination')))
     GROUP BY {_S}"""
 
 
@@ -218,7 +217,7 @@ def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool(spark, sf_dir).drop("doc_id", "pos")
 
 
-@query("ret_13_preamble_fallback", oracle(f"SELECT file_id, '__raw_page1_preamble' AS section_id, arg_min(page, (CASE WHEN hit THEN 0 ELSE 1 END) * 100000 + page) AS page FROM (SELECT file_id, page, regexp_matches(string_agg(line, chr(10) ORDER BY p), {lit(P.OPENING)}) AS hit, trim(string_agg(line, chr(10) ORDER BY p)) AS t FROM lines GROUP BY file_id, page) WHERE t <> '' GROUP BY file_id"))
+@query("ret_13_preamble_fallback", oracle(f"SELECT file_id, '__raw_page1_preamble' AS section_id, arg_min(page, (CASE WHEN hit THEN 0 ELSE 1 END) * 100000 + page) AS page FROM (SELECT file_id, page, regexp_matches(string_agg(line, chr(10) ORDER BY p), {lit(S.OPENING)}) AS hit, trim(string_agg(line, chr(10) ORDER BY p)) AS t FROM lines GROUP BY file_id, page) WHERE t <> '' GROUP BY file_id"))
 def preamble_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without parsed preambles, each file's first page with agreement language, else its first page with text."""
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n")
@@ -262,7 +261,7 @@ def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.withColumn("n", n).where("n <= 5").select("conv", "gap", "file_id", "section_id")
 
 
-_CONFLICT = ", ".join(map(lit, P.CONFLICT_TYPES))
+_CONFLICT = ", ".join(map(lit, S.CONFLICT_TYPES))
 CONFLICTS = f"SELECT conv, clause_type, arg_max(file_id, coalesce(effective_date, '0000-00-00') || '-' || lpad((999999999 - doc_id)::VARCHAR, 9, '0')) AS latest, count(DISTINCT file_id) AS n_files FROM sections JOIN (SELECT file_id, effective_date FROM files) f USING (file_id) WHERE clause_type IN ({_CONFLICT}) GROUP BY conv, clause_type HAVING count(DISTINCT file_id) > 1"
 
 

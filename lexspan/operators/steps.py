@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..plans import contract as C
+from ..plans import fixed as S
 from ..plans.sql import lit, oracle
 from ..registry import query
 from . import graph as G
@@ -62,7 +63,7 @@ def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.when(F.ltrim("sent").startswith("["), F.to_json(new)).otherwise(F.col("sent")).alias("payload"))
 
 
-@query("prs_04_contents_by_page", oracle(f"SELECT file_id, page, n AS dotted, n >= 3 AND 4 * n >= filled AS contents FROM (SELECT file_id, page, count(*) FILTER (regexp_matches(x, {lit(P.TOC_LINE)})) AS n, count(*) FILTER (trim(x) <> '') AS filled FROM (SELECT *, CASE WHEN (doc_id + page) % 5 = 0 AND p % 3 <> 0 THEN line || ' ..... ' || p ELSE line END AS x FROM lines) GROUP BY file_id, page)"))
+@query("prs_04_contents_by_page", oracle(f"SELECT file_id, page, n AS dotted, n >= 3 AND 4 * n >= filled AS contents FROM (SELECT file_id, page, count(*) FILTER (regexp_matches(x, {lit(S.TOC_LINE)})) AS n, count(*) FILTER (trim(x) <> '') AS filled FROM (SELECT *, CASE WHEN (doc_id + page) % 5 = 0 AND p % 3 <> 0 THEN line || ' ..... ' || p ELSE line END AS x FROM lines) GROUP BY file_id, page)"))
 def contents_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a table of contents: three lines or more that end in dots and a number, and a quarter of the lines with text. The tables have no such lines, so some
     pages get them by arithmetic."""

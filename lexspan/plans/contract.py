@@ -20,7 +20,12 @@ from ..functions import patterns as P
 from ..functions import text as X
 
 MIN_CONTENT = 15
-SUFFIXES = {1: " subject to clause 2.1 of the Framework Agreement", 2: " a fee of $1,200 is payable", 3: " at 5% per annum", 4: " see Schedule 2", 5: " notwithstanding clause 3.1", 6: " located at 12 High street", 7: " for acts or omissions before the effective date"}
+SUFFIXES = {
+    1: " subject to clause 2.1 of the Framework Agreement", 2: " a fee of $1,200 is payable", 3: " at 5% per annum", 4: " see Schedule 2", 5: " notwithstanding clause 3.1",
+    6: " located at 12 High street", 7: " for acts or omissions before the effective date", 8: " as in section 4.2 of the Initial Addendum", 9: " under clause 12.3(a) of the Work Order Agreement",
+    10: ' "Charges" means the sums of schedule 3', 11: " dated 3rd March 2021", 12: " Service Credit means a part of the fee", 13: " it incorporates the terms of the framework",
+    14: " effective as of 2022-05-06 under paragraph 61 and clause 2.2 of the SOW", 15: " on 7 June 2019 by a Work Order",
+}
 
 
 Frame = Callable[[SparkSession, str], DataFrame]
@@ -137,5 +142,6 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @once
 def crossrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv, file_id, section_id, ref): references of each section but to itself."""
-    return sections(spark, sf_dir).select("conv", "file_id", "doc_id", "section_id", F.explode(X.refs(F.col("content"))).alias("ref")).where("ref <> section_id")
+    """(conv, file_id, doc_id, section_id, ref, hint): references of each section but to itself, with the document named behind them."""
+    found = sections(spark, sf_dir).select("conv", "file_id", "doc_id", "section_id", F.inline(X.hinted_refs(F.col("content"))))
+    return found.where("ref <> section_id")
