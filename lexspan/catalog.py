@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import bookkeeping, conversation, crossrefs, entities, evaluation, graph, more, parsing, relationships, retrieval, steps, stores  # noqa: F401  they register themselves
+from .operators import anchors, bookkeeping, conversation, crossrefs, entities, evaluation, graph, more, parsing, relationships, retrieval, steps, stores  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES  # noqa: F401
 from .sources import loaders  # noqa: F401
 from .streaming import progress  # noqa: F401

@@ -88,7 +88,8 @@ def parse_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("file_id", "n", X.confidence(F.col("n"), F.col("pages")).alias("confidence"))
 
 
-_HEADING = r"^[0-9]|^[A-Z]{2,}|(?i)^(?:section|clause|article|schedule)"
+# What a line that may be a heading looks like.
+_HEADING = r"^\d|^[A-Z]{2,}|^(?:SCHEDULE|APPENDIX|EXHIBIT|ARTICLE|PART|SECTION)"
 _SHORT = r"^[A-Z][a-z][^.]*$"
 
 
@@ -100,58 +101,6 @@ def anchor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return may.withColumn("n", F.row_number().over(Window.partitionBy("file_id").orderBy("p"))).where("n <= 150").select("file_id", "p", t.alias("line"))
 
 
-_ANCHORS = [(0, "Schedule 1"), (1, "1.2"), (2, "1"), (3, "2")]
-_MATCH = "starts_with(lower(trim(line)), lower(anchor)) AND (length(trim(line)) = length(anchor) OR substr(trim(line), length(anchor) + 1, 1) IN (' ', '.', ':', '-', '–', '—'))"
-
-
-@query("prs_12_anchor_parse", oracle(f"SELECT file_id, p, anchor FROM (SELECT file_id, p, anchor, row_number() OVER (PARTITION BY file_id, p ORDER BY k) AS n FROM lines, (VALUES {', '.join(f'({k}, {lit(a)})' for k, a in _ANCHORS)}) AS t(k, anchor) WHERE {_MATCH}) WHERE n = 1"))
-def anchor_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section starts found by given anchors, the first in anchor order on each line. The anchors are a short literal list."""
-    anchors = F.filter(F.array(*[F.lit(a) for _, a in _ANCHORS]), lambda a: F.lower(F.trim("line")).startswith(F.lower(a)) & ((F.length(F.trim("line")) == F.length(a)) | F.trim("line").substr(F.length(a) + 1, F.lit(1)).isin(" ", ".", ":", "-", "–", "—")))
-    return C.lines(spark, sf_dir).select("file_id", "p", F.get(anchors, F.lit(0)).alias("anchor")).where("anchor is not null")
-
-
-@query("prs_13_accept_fallback", oracle("SELECT file_id, c AS first, f AS fallback, f > c AS accepted FROM (SELECT file_id, CASE WHEN n = 0 THEN 0.0 WHEN n / greatest(pages, 1) < 0.3 THEN 0.3 WHEN n / greatest(pages, 1) > 8.0 THEN 0.4 ELSE 0.9 END::DOUBLE AS c, CASE WHEN a = 0 THEN 0.0 WHEN a / greatest(pages, 1) < 0.3 THEN 0.3 WHEN a / greatest(pages, 1) > 8.0 THEN 0.4 ELSE 0.9 END::DOUBLE AS f FROM (SELECT file_id, max(page) AS pages, max(pos) AS n, count(CASE WHEN regexp_matches(trim(line), '^[A-Z][a-z]') THEN 1 END) AS a FROM headed GROUP BY file_id))"))
-def accept_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second parse (here: lines that open with a capital) replaces the first only if it is strictly more plausible."""
-    a = C.headed(spark, sf_dir).groupBy("file_id").agg(F.max("page").alias("pages"), F.max("pos").alias("n"), F.count(F.when(F.trim("line").rlike("^[A-Z][a-z]"), 1)).alias("a"))
-    b = a.select("file_id", X.confidence(F.col("n"), F.col("pages")).alias("first"), X.confidence(F.col("a"), F.col("pages")).alias("fallback"))
-    return b.withColumn("accepted", F.col("fallback") > F.col("first"))
-
-
-_DATED = [(0, "Dated 3rd March 2021 by"), (1, "effective 2022-05-06 on"), (2, "made 7/8/2020 at"), (3, "no date here"), (4, "signed 31.02.2023")]
-_DAY = "regexp_extract(t, '(?i)([0-9]{{1,2}})(?:st|nd|rd|th)?\\s+(january|february|march|april|may|june|july|august|september|october|november|december)\\s+([0-9]{{4}})', {})"
-_NUM = "regexp_extract(t, '([0-9]{{1,2}})[/.-]([0-9]{{1,2}})[/.-]([0-9]{{4}})', {})"
-_MONTH = "lpad(list_position(['january','february','march','april','may','june','july','august','september','october','november','december'], lower(" + _DAY.format(2) + "))::VARCHAR, 2, '0')"
-
-
-@query(
-    "prs_14_document_date",
-    "WITH d AS (SELECT doc_id, " + cases([(f"doc_id % 5 = {k}", lit(t)) for k, t in _DATED], "''") + " AS t FROM documents) SELECT doc_id, CASE WHEN regexp_extract(t, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) <> '' THEN regexp_extract(t, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) "
-    f"WHEN {_DAY.format(1)} <> '' THEN {_DAY.format(3)} || '-' || {_MONTH} || '-' || lpad({_DAY.format(1)}, 2, '0') WHEN {_NUM.format(1)} <> '' THEN {_NUM.format(3)} || '-' || lpad({_NUM.format(2)}, 2, '0') || '-' || lpad({_NUM.format(1)}, 2, '0') END AS document_date FROM d",
-)
-def document_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 5
-    t = X.any_of([(k == i, F.lit(s)) for i, s in _DATED], F.lit(""))
-    return C.table(spark, sf_dir, "documents").select("doc_id", X.iso_date(t).alias("document_date"))
-
-
-_TYPES = cases([(f"regexp_matches(file_name, {lit(p)})", lit(n)) for n, _, p in S.DOCUMENT_TYPES], "'agreement'")
-_RANKS = cases([(f"regexp_matches(file_name, {lit(p)})", str(r)) for _, r, p in S.DOCUMENT_TYPES], "1")
-_ROLES = cases([(f"regexp_matches(file_name, {lit(p)})", lit(n)) for n, p in S.ROLES], "'standalone'")
-
-
-@query("prs_15_document_type", oracle(f"SELECT file_id, {_TYPES} AS document_type, {_RANKS} AS document_rank FROM files"))
-def document_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("file_name")
-    return C.files(spark, sf_dir).select("file_id", X.document_type(n).alias("document_type"), X.document_rank(n).alias("document_rank"))
-
-
-@query("prs_16_functional_role", oracle(f"SELECT file_id, {_ROLES} AS functional_role FROM files"))
-def functional_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.files(spark, sf_dir).select("file_id", X.functional_role(F.col("file_name")).alias("functional_role"))
-
-
 _GIVEN = "SELECT file_id, section_id, clause_type, CASE WHEN pos % 4 = 0 THEN 'nonsense' ELSE clause_type END AS said_type, CASE WHEN pos % 5 = 0 THEN 'abc' WHEN pos % 5 = 1 THEN '7' ELSE CAST(risk - 1 AS VARCHAR) END AS said_risk FROM sections WHERE pos % 3 <> 0"
 
 

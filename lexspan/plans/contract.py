@@ -86,7 +86,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cue = (F.col("doc_id") * 31 + F.col("p") * 7) % 23
     tail = X.any_of([(cue == k, F.lit(s)) for k, s in SUFFIXES.items()], F.lit(""))
     number = F.expr("concat(p div 9 % 12 + 1, '.', p div 3 % 3 + 1, '  ')")
-    line = F.when(F.col("p") % 20 == 19, F.expr("concat('Schedule ', p div 20 + 1, ' - Terms')")).when(F.col("p") % 3 == 0, F.concat(number, "x", tail)).otherwise(F.concat("x", tail))
+    part = F.expr("concat('PART ', p div 3 + 1, ': ', left(x, 60))")  # headings of every ninth file that only a second parse finds
+    heads = F.when(F.col("p") % 20 == 19, F.expr("concat('Schedule ', p div 20 + 1, ' - Terms')")).when((F.col("p") % 3 == 0) & (F.col("doc_id") % 9 == 4), F.concat(part, tail))
+    line = heads.when(F.col("p") % 3 == 0, F.concat(number, "x", tail)).otherwise(F.concat("x", tail))
     return d.select("conv", F.concat(F.lit("f"), "doc_id").alias("file_id"), "doc_id", "lang", "p", F.expr("p div 12 + 1").alias("page"), line.alias("line"))
 
 

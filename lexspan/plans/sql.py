@@ -42,6 +42,7 @@ _CTES = {
     "lines": f"""
         SELECT conv, 'f' || doc_id AS file_id, doc_id, lang, p, p // 12 + 1 AS page,
                CASE WHEN p % 20 = 19 THEN 'Schedule ' || (p // 20 + 1) || ' - Terms'
+                    WHEN p % 3 = 0 AND doc_id % 9 = 4 THEN 'PART ' || (p // 3 + 1) || ': ' || left(x, 60) || tail
                     WHEN p % 3 = 0 THEN ((p // 9) % 12 + 1) || '.' || ((p // 3) % 3 + 1) || '  ' || x || tail ELSE x || tail END AS line
         FROM (SELECT *, {cases([(f"(doc_id * 31 + p * 7) % 23 = {k}", lit(s)) for k, s in SUFFIXES.items()], "''")} AS tail
               FROM (SELECT doc_id, lang, source AS conv, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents))""",
