@@ -8,11 +8,10 @@ the 64 coordinates agree for one pair in 400,000, so sets that agree in fewer ar
   first common one is among the first COORDINATES - MATCHES + 1 of both. Postings of one set come first, so a set that has more than that of
   its own is no candidate of any;
 * skips: lists of one component are never merged, and in the others a set is only compared with those of other components, the
-  largest component's sets not among each other. A list that would still take more than TILE * TILE comparisons is dealt anew by pairs of postings, for the
-  second common posting is among the first COORDINATES - MATCHES + 2. Collisions are counted by blocks of coordinates, and
-  sets that can't reach MATCHES any more are skipped.
+  largest component's sets not among each other. Collisions are counted on a byte of each value (which can only add some), by blocks of coordinates, and
+  sets that can't reach MATCHES any more are skipped. Lists beyond TILE sets are dealt in parts.
 
-What stays is verified on the whole sets. First each set with the one centre it shares most lists with, then the nearest of other components, then
+Pairs above MATCHES are held against parity sketches, whose Hamming distance bounds how many shingles two sets differ in, and what stays is verified on the whole sets. First each set with the one centre it shares most lists with, then the nearest of other components, then
 all the rest. Exact copies of a set are one node throughout.
 
 Defined results: null or wordless texts have no shingles, link with nothing and are their own component; a null doc_id
@@ -30,13 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .ngram_join import DEALT, GROUP, SEND, TILE, _set_hash, count_pairs, dealt_pairs, stars_of, verify
+from .ngram_join import DEALT, GROUP, SEND, _dense, _fold, _set_hash, count_pairs, dealt_pairs, most_apart, stars_of, verify
 from .shared import Words, checkpoint, chunks, fresh_dir, mix, n_parts, remove_dir, shingles, small_batches, swept, table, text_bytes
 
 WIDTH, P, Q = 3, 85, 100
 COORDINATES, MATCHES = 64, 40
 #: Coordinates counted between two looks at which sets can still reach MATCHES; probes of a long list, and pairs of short ones compared at a time.
 STRIDE, PROBES, POOLED = 16, 256, 20_000
+#: Sets of a list that one task holds while others pass by (some 300 bytes each).
+TILE = 16_384
 
 _ORDERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -94,9 +95,9 @@ def _dealer(n_groups: int):
 
 
 def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures to their lower halves, which collisions are counted on."""
+    """Signatures to a byte of each value, which collisions are counted on."""
     for batch in batches:
-        rows = [np.frombuffer(x, np.uint64).astype(np.uint32).tobytes() for x in batch.column(3).to_pylist()]
+        rows = [np.frombuffer(x, np.uint64).astype(np.uint8).tobytes() for x in batch.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.binary())], names=["h", "n", "posts", "low"])
 
 
@@ -112,16 +113,16 @@ def candidates(classes: DataFrame) -> DataFrame:
     return several.join(classes, "h").select("h", "n", keys.alias("posts"), "signature").mapInArrow(_low, "h long, n long, posts array<long>, low binary")
 
 
-def first_common(more: int = 0) -> Column:
-    """How many of a set's posts, which come after its own ones, may be the first common one of a link (with more: the one after)."""
-    return F.size("posts") - MATCHES + 1 + more
+def first_common() -> Column:
+    """How many of a set's posts, which come after its own ones, may be the first common one of a link."""
+    return F.size("posts") - MATCHES + 1
 
 
-_SETS = "h long, n long, shingles binary"
+_SETS = "h long, n long, shingles binary, sketch binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, h) to the sets whose hash is h."""
+    """(text, h) to the sets whose hash is h: sorted shingle hashes and a parity sketch."""
     for batch in batches:
         texts, wanted = text_bytes(batch.column(0)), batch.column(1).to_numpy()
         for i, j in chunks(texts):
@@ -129,8 +130,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.searchsorted(of, np.arange(j - i + 1))
             h = _set_hash(keys, of, j - i).view(np.int64)
             some = np.flatnonzero((h == wanted[i:j]) & (np.diff(cut) > 0)).tolist()
-            arrays = [pa.array(h[some]), pa.array(np.diff(cut)[some]), pa.array([keys[cut[x] : cut[x + 1]].tobytes() for x in some], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["h", "n", "shingles"])
+            own = [keys[cut[x] : cut[x + 1]] for x in some]
+            arrays = [pa.array(h[some]), pa.array(np.diff(cut)[some]), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([_dense(x).tobytes() for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _SETS.split(", ")])
 
 
 def _written_sets(docs: DataFrame, near: DataFrame, classes: DataFrame) -> str:
@@ -152,14 +154,41 @@ def _best(near: DataFrame) -> DataFrame:
 
 
 def _mixed(lists: DataFrame) -> DataFrame:
-    """lists (key, root, ...): (key, m, main, rest) of those of several components: sets, the largest component, and the sets outside it."""
+    """lists (key, root, ...): (key, m, main) of those of several components: how many sets, and the largest component."""
     by_root = lists.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held"))
     sums = by_root.groupBy("key").agg(F.sum("held").alias("m"), F.max_by("root", F.struct("held", "root")).alias("main"), F.max("held").alias("top"))
-    return sums.where("m > top").select("key", "m", "main", (F.col("m") - F.col("top")).alias("rest"))
+    return sums.where("m > top").select("key", "m", "main")
+
+
+class _Rows:
+    """Rows (h, root, n, low, sketch) as columns."""
+
+    def __init__(self, rows: list[list]):
+        self.h, self.root, self.n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        self.low = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.sketch = [r[4] for r in rows]
+        self.width = np.array([len(x) // 8 for x in self.sketch])
+
+
+def _near_enough(a: _Rows, x: np.ndarray, b: _Rows, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows x of a and y of b may differ in as few shingles as their sketches say."""
+    out = np.zeros(len(x), bool)
+    code = a.width[x].astype(np.int64) << 32 | b.width[y]
+    for v in np.unique(code).tolist():
+        at = np.flatnonzero(code == v)
+        wide = (v >> 32, v & 0xFFFFFFFF)
+        for part in np.array_split(at, max(1, len(at) * min(wide) >> 20)):
+            left, right = (_fold(np.frombuffer(b"".join(r.sketch[k] for k in z[part].tolist()), np.uint64).reshape(len(part), -1), min(wide)) for r, z in ((a, x), (b, y)))
+            out[part] = np.bitwise_count(left ^ right).sum(axis=1) <= most_apart(a.n[x[part]], b.n[y[part]], P, Q)
+    return out
+
+
+def _sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (Q * a >= P * b) & (Q * b >= P * a)
 
 
 class _Pool:
-    """Pairs of rows (h, root, n, low) of many short lists, to be compared together."""
+    """Pairs of rows of many short lists, to be compared together."""
 
     def __init__(self):
         self.rows: list[list] = []
@@ -177,64 +206,62 @@ class _Pool:
     def met(self, nearest: bool) -> np.ndarray:
         if not self.pairs:
             return np.zeros((0, 2), np.int64)
-        h, root, n, low = _columns(self.rows)
-        x, y = np.concatenate(self.x), np.concatenate(self.y)
+        r, x, y = _Rows(self.rows), np.concatenate(self.x), np.concatenate(self.y)
         self.__init__()
-        fits = (root[x] != root[y]) & (Q * n[x] >= P * n[y]) & (Q * n[y] >= P * n[x])
+        fits = (r.root[x] != r.root[y]) & _sizes_fit(r.n[x], r.n[y])
         x, y = x[fits], y[fits]
         for at in range(0, COORDINATES, STRIDE):  # those that can't reach MATCHES any more are skipped
-            count = (low[x, : at + STRIDE] == low[y, : at + STRIDE]).sum(axis=1)
+            count = (r.low[x, : at + STRIDE] == r.low[y, : at + STRIDE]).sum(axis=1)
             live = count >= MATCHES - (COORDINATES - at - STRIDE)
             x, y, count = x[live], y[live], count[live]
+        fits = _near_enough(r, x, r, y)
+        x, y, count = x[fits], y[fits], count[fits]
         if nearest:
             order = np.lexsort((-count, x))
             order = order[np.r_[True, x[order][1:] != x[order][:-1]][: len(order)]]
             x, y = x[order], y[order]
-        return _sorted_pairs(h[x], h[y])
-
-
-def _columns(rows: list) -> tuple[np.ndarray, ...]:
-    return *(np.array([r[k] for r in rows], np.int64) for k in range(3)), np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), -1)
+        return _sorted_pairs(r.h[x], r.h[y])
 
 
 def _sorted_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.sort(np.stack((a, b), axis=1), axis=1), axis=0)
 
 
-def _collisions(base: list, probes: list, nearest: bool) -> np.ndarray:
+def _collisions(base: _Rows, probes: _Rows, nearest: bool) -> np.ndarray:
     """The pairs of a long list's probes and base, a coordinate at a time."""
-    h, root, n, low = _columns(base)
-    ph, proot, pn, plow = _columns(probes)
-    low = low.T.copy()
-    fits = (root != proot[:, None]) & (Q * n >= P * pn[:, None]) & (Q * pn[:, None] >= P * n)
+    low = base.low.T.copy()
+    fits = (base.root != probes.root[:, None]) & _sizes_fit(base.n, probes.n[:, None])
     count = np.zeros(fits.shape, np.uint8)
     live = np.flatnonzero(fits.any(axis=1))
     for at in range(0, COORDINATES, STRIDE):
-        part = np.zeros((len(live), len(base)), np.uint8)
+        part = np.zeros((len(live), len(base.h)), np.uint8)
         for c in range(at, at + STRIDE):
-            part += plow[live, c][:, None] == low[c]
+            part += probes.low[live, c][:, None] == low[c]
         count[live] += part
         live = live[((count[live] >= MATCHES - (COORDINATES - at - STRIDE)) & fits[live]).any(axis=1)]
-    count[~fits | (count < MATCHES)] = 0
+    x, y = np.nonzero(fits & (count >= MATCHES))
+    some = _near_enough(probes, x, base, y)
+    x, y = x[some], y[some]
     if nearest:
-        x = np.flatnonzero(count.any(axis=1))
-        y = count[x].argmax(axis=1)
-    else:
-        x, y = np.nonzero(count)
-    return _sorted_pairs(ph[x], h[y])
+        order = np.lexsort((-count[x, y].astype(np.int64), x))
+        order = order[np.r_[True, x[order][1:] != x[order][:-1]][: len(order)]]
+        x, y = x[order], y[order]
+    return _sorted_pairs(probes.h[x], base.h[y])
 
 
 def _merger(nearest: bool):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, part, probe, h, root, n, low), sorted by the first three: of each part the pairs (a, b) of a probe and another set with MATCHES
-        collisions, sizes that allow a link and different roots; with nearest only the best of each probe."""
+        """(key, part, probe, h, root, n, low, sketch), sorted by the first three: of each part the pairs (a, b) of a probe and another set with MATCHES
+        collisions, sizes and sketches that allow a link and different roots; with nearest only the best of each probe."""
         of, base, probes, pool = None, [], [], _Pool()
+        held: list[_Rows] = []  # the base as columns, once a part
         found: list[np.ndarray] = []
 
         def merged():
             nonlocal probes
             if len(base) * len(probes) > POOLED:
-                found.append(_collisions(base, probes, nearest))
+                held[:] = held or [_Rows(base)]
+                found.append(_collisions(held[0], _Rows(probes), nearest))
             elif base and probes:
                 pool.add(base, probes)
                 if pool.pairs > POOLED:
@@ -247,11 +274,12 @@ def _merger(nearest: bool):
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for key, part, probe, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for key, part, probe, *row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if (key, part) != of or len(probes) >= PROBES:
                     merged()
                 if (key, part) != of:
                     of, base = (key, part), []
+                    held.clear()
                 (probes if probe else base).append(row)
             yield out()
         merged()
@@ -261,21 +289,16 @@ def _merger(nearest: bool):
     return merge
 
 
-def _further(near: DataFrame, found: DataFrame, nearest: bool) -> DataFrame:
-    """The pairs (a, b) of sets of different components that share a list and MATCHES postings."""
-    rooted = checkpoint(near.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")))
-    light = F.col("m") * F.col("rest") <= TILE * TILE
-    first = rooted.select("h", "root", "posts", F.posexplode(F.slice("posts", 1, first_common())).alias("at", "key"))
-    mixed = checkpoint(_mixed(first))
-    # heavy lists are dealt anew by the posting that comes next in both
-    heavy = first.join(mixed.where(~light).select("key"), "key")
-    following = F.slice("posts", F.col("at") + 2, F.greatest(first_common(1) - F.col("at") - 1, F.lit(0)))
-    second = checkpoint(heavy.select("h", "root", "key", F.explode(following).alias("other")).select("h", "root", F.xxhash64("key", "other").alias("key")))
-    members = first.select("h", "root", "key").join(mixed.where(light), "key").union(second.join(_mixed(second), "key").select("key", "h", "root", "m", "main", "rest"))
+def _further(near: DataFrame, found: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
+    """The pairs (a, b) of sets of different components that share a list and MATCHES postings, as far as sketches allow a link."""
+    rooted = near.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    lists = rooted.select("h", "root", F.explode(F.slice("posts", 1, first_common())).alias("key"))
+    members = lists.join(checkpoint(_mixed(lists)), "key")
     parts = F.ceil(F.col("m") / TILE)
-    base = members.select("key", F.pmod(F.xxhash64("h"), parts).alias("part"), F.lit(0).alias("probe"), "h", "root")
-    probes = members.where("root != main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(1).alias("probe"), "h", "root")
-    rows = base.union(probes).join(near.select("h", "n", "low"), "h").select("key", "part", "probe", "h", "root", "n", "low")
+    base = F.array(F.struct(F.pmod(F.xxhash64("h"), parts).alias("part"), F.lit(0).alias("probe")))
+    probes = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.struct(k.alias("part"), F.lit(1).alias("probe")))
+    dealt = members.select("key", "h", "root", F.inline(F.when(F.col("root") == F.col("main"), base).otherwise(F.concat(base, probes))))
+    rows = dealt.join(near.select("h", "n", "low").join(sets.select("h", "sketch"), "h"), "h").select("key", "part", "probe", "h", "root", "n", "low", "sketch")
     together = rows.repartition(n_parts(near.sparkSession), "key", "part").sortWithinPartitions("key", "part", "probe")
     return together.mapInArrow(_merger(nearest), "a long, b long").distinct()
 
@@ -290,7 +313,7 @@ def _named(docs: DataFrame, linked: DataFrame) -> DataFrame:
     links = checkpoint(verify(checkpoint(_best(near)), sets, P, Q))
     found = checkpoint(components(links))
     for nearest in (True, False):  # first what is nearest, so that most links are known before all pairs of components are named
-        further = checkpoint(_further(near, found, nearest))
+        further = checkpoint(_further(near, found, sets, nearest))
         more = checkpoint(verify(further, sets, P, Q)) if not further.isEmpty() else further
         if not more.isEmpty():
             links = checkpoint(links.union(more))

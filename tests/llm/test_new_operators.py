@@ -63,7 +63,7 @@ def test_op11(spark, sf_dir, corpus):
 
 @pytest.mark.parametrize("tile", [2048, 4])
 def test_op11_chains_and_long_lists(spark, monkeypatch, tile):
-    """Near copies just above and below the threshold, chains of them and common passages; with small tiles lists are dealt anew by pairs of postings."""
+    """Near copies just above and below the threshold, chains of them and common passages; with small tiles lists are dealt in parts."""
     monkeypatch.setattr(minhash, "TILE", tile)
     monkeypatch.setattr(minhash, "POOLED", 4 if tile < 10 else 20_000)
     rng = np.random.default_rng(5)
