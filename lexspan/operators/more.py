@@ -14,35 +14,6 @@ from ..registry import query
 from . import entities as E
 
 ASKED = "what does the work order of mainstay say about the fee"
-_ASKED = "[" + ", ".join(lit(w) for w in ASKED.split() if len(w) >= 3) + "]"
-_NAME_STOP = "dd the and for of in to a an".split()
-
-
-@query("ret_19b_name_hints", oracle(f"SELECT conv, file_id FROM (SELECT conv, file_id, len(list_filter(list_distinct(regexp_split_to_array(lower(file_name), '[^a-z0-9]+')), lambda t: length(t) >= 3 AND t NOT IN ({', '.join(map(lit, _NAME_STOP))}) AND len(list_filter({_ASKED}, lambda q: contains(q, t) OR contains(t, q))) > 0)) AS hits FROM files) WHERE hits >= 2"))
-def name_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with two name words of three letters or more that a word of the question holds or is held by. The question is a literal."""
-    asked = F.array(*[F.lit(w) for w in ASKED.split() if len(w) >= 3])
-    words = F.filter(X.tokens(F.col("file_name")), lambda t: (F.length(t) >= 3) & ~t.isin(_NAME_STOP) & F.exists(asked, lambda q: q.contains(t) | t.contains(q)))
-    return C.files(spark, sf_dir).where(F.size(words) >= 2).select("conv", "file_id")
-
-
-@query("ret_19c_organisation_sections", oracle(f"SELECT s.file_id, s.section_id FROM sections s WHERE s.file_id IN (SELECT file_id FROM entity_index WHERE kind = 'organization' AND len(list_filter(string_split(key, ' '), lambda t: length(t) >= 3 AND contains({lit(ASKED)}, t))) > 0)", **E.FRAMES))
-def organisation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sections of files whose organisations have a word in the question, as a substring."""
-    hit = E.index(spark, sf_dir).where((F.col("kind") == "organization") & F.exists(F.split("key", " "), lambda t: (F.length(t) >= 3) & F.lit(ASKED).contains(t)))
-    return C.sections(spark, sf_dir).join(hit.select("file_id").distinct(), "file_id", "left_semi").select("file_id", "section_id")
-
-
-_TERMS = ["Fee", "Framework Agreement", "Schedule"]
-
-
-@query("ret_19f_definition_slots", oracle(f"SELECT conv, term FROM (SELECT conv, term, row_number() OVER (PARTITION BY conv ORDER BY asked DESC, length(term) DESC, term) AS n FROM (SELECT s.conv, t.term, bool_or(contains(lower({lit(ASKED)}), lower(t.term))) AS asked FROM sections s, (VALUES {', '.join(f'({lit(t)})' for t in _TERMS)}) t(term) WHERE contains(lower({lit(ASKED)}), lower(t.term)) OR contains(s.content, t.term) GROUP BY s.conv, t.term)) WHERE n <= 10"))
-def definition_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defined terms that the question or a conversation's text uses; asked ones first, then the longest, ten at most."""
-    used = F.filter(F.array(*[F.lit(t) for t in _TERMS]), lambda t: F.lit(ASKED).contains(F.lower(t)) | F.col("content").contains(t))
-    a = C.sections(spark, sf_dir).select("conv", F.explode(used).alias("term")).distinct().withColumn("asked", F.lit(ASKED).contains(F.lower("term")))
-    n = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("asked"), F.desc(F.length("term")), "term"))
-    return a.withColumn("n", n).where("n <= 10").select("conv", "term")
 
 
 @query("ret_05_augmented_query", oracle(f"SELECT conv, {lit(ASKED)} || ' [' || string_agg('\"' || a || '\"', ' OR ' ORDER BY a) || ']' AS query FROM (SELECT conv, a, row_number() OVER (PARTITION BY conv ORDER BY a) AS n FROM (SELECT DISTINCT conv, unnest(aliases) AS a FROM grouped WHERE contains(alias_key, 'mainstay'))) WHERE n <= 4 GROUP BY conv", **E.FRAMES, grouped=E.GROUPS))

@@ -139,13 +139,3 @@ def inline_children(sections: DataFrame) -> DataFrame:
     new = kids.join(sections.select("file_id", "section_id"), ["file_id", "section_id"], "left_anti")
     first = F.row_number().over(Window.partitionBy("file_id", "section_id").orderBy("pos", "k"))
     return new.withColumn("_n", first).where("_n = 1").select("conv", "file_id", "section_id", "content")
-
-
-def defined_terms(sections: DataFrame) -> DataFrame:
-    """`"Term" means ...` in the definitions of each file (PRS-18): the last of equal terms, up to the next term or 400 characters."""
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n")
-    a = sections.where("clause_type = 'definitions'").groupBy("file_id").agg(text.alias("t"))
-    pieces = F.regexp_extract_all("t", F.lit('["“]([A-Z][A-Za-z -]{1,60})["”]\\s+means\\s+((?:(?!["“][A-Z][A-Za-z -]{1,60}["”]\\s+means)[\\s\\S]){0,400})'), F.lit(0))
-    each = a.select("file_id", F.posexplode(pieces).alias("k", "m"))
-    term, said = F.regexp_extract("m", '^["“]([A-Za-z -]+)["”]', 1), F.trim(F.regexp_extract("m", "means\\s+([\\s\\S]*)$", 1))
-    return each.groupBy("file_id", term.alias("term")).agg(F.max_by(said, "k").alias("definition"))

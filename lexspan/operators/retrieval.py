@@ -1,21 +1,13 @@
-"""Retrieval: vector seeds, rule-based injection, first-writer-wins, conflicts, precedence and citations (RET, PLB).
-
-Each conversation has a question, and guards on it are columns. A section is looked at once: an array holds the tags of all injectors that bring
-it. The least tag that takes a section keeps it, and caps count what lower tags have not taken.
-"""
+"""Vector search, readiness, file facts, citations of answers and the playbook (RET, PLB)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
 from ..plans import contract as C
-from ..plans import fixed as S
-from ..plans.sql import lit, oracle
+from ..plans.sql import oracle
 from ..registry import query
-from . import graph as G
-from .crossrefs import RESOLVED, resolved
 
 TOP_K, LEAST_SCORE = 20, 0.35
 
@@ -73,243 +65,6 @@ def unindexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("file_id", F.concat(F.lit("__raw_p"), "page").alias("section_id"), F.md5("t").alias("content_md5"))
 
 
-# --- injection -------------------------------------------------------------------------------------------------------------------
-
-KEY = ["conv", "file_id", "doc_id", "section_id", "pos"]
-_S = ", ".join(KEY)
-QUESTIONS = [
-    "what fee is due under schedule 2 after 2021-01-01",
-    "which service level and uptime apply at the office address",
-    "who is liable for an act on 12 March 2021 under schedule 1",
-]
-#: Vectors of a conversation's questions: the question's own and its expansions.
-ASKED = 3
-CAP = {6: 5, 9: 30, 11: 15}
-
-
-def questions(df: DataFrame) -> Column:
-    """The question asked of a conversation."""
-    return F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.ascii(F.substring("conv", -1, 1)) % len(QUESTIONS) + 1).cast("int"))
-
-
-@C.once
-def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sections that vector search finds: for each conversation the best points of several question vectors, as far as they are near
-    enough, and the first section of each point's document. Every seventh document has no section vector."""
-    d = C.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("conv")).where("doc_id % 7 <> 6")
-    points = C.table(spark, sf_dir, "embeddings").join(d, F.col("vec_id") == F.col("doc_id")).select("conv", "doc_id", "embedding")
-    asked = points.withColumn("q", F.row_number().over(Window.partitionBy("conv").orderBy("doc_id"))).where(F.col("q") <= ASKED)
-    met = points.join(asked.select("conv", "q", F.col("embedding").alias("asked")), "conv").withColumn("score", F.round(cosine(F.col("embedding"), F.col("asked")), 6))
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("conv", "q").orderBy(F.desc("score"), "doc_id"))).where((F.col("rank") <= TOP_K) & (F.col("score") >= LEAST_SCORE))
-    near = C.sections(spark, sf_dir).join(ranked.select("doc_id").distinct(), "doc_id")
-    return near.withColumn("_n", F.row_number().over(Window.partitionBy("file_id").orderBy("pos"))).where("_n = 1").select(*KEY)
-
-
-def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KEY and _by, the injectors that bring a section, in order, each with whether it is immune: every section is looked at once.
-
-    0 seeds; 1 order of precedence; 2 governing law; 3 disputes, by type or title; 4 service levels if asked; 6 qualifiers of seed files; 7, 8 references out of and
-    into seeds; 9 schedules named; 10 term clauses of transactions (`chain` asks for those in the pool); 11 money if asked; 14 addresses of seed files if asked; 15 kept
-    liability in modifications and terminations if a date is asked. A conversation without seeds gets nothing.
-    """
-    found = seeds(spark, sf_dir)
-    yes = lambda df, name: df.distinct().withColumn(name, F.lit(True))
-    ids, seed_files = found.select("conv", "section_id").distinct(), found.select("file_id").distinct()
-    refs = resolved(spark, sf_dir).where("to_file is not null")
-    # the two conditions are independent: a seed file, and an id that any seed of the conversation has
-    out = refs.join(seed_files, "file_id", "left_semi").join(ids, ["conv", "section_id"], "left_semi").select(F.col("to_file").alias("file_id"), F.col("to_section").alias("section_id"))
-    into = refs.join(seed_files.withColumnRenamed("file_id", "to_file"), "to_file", "left_semi").join(ids.withColumnRenamed("section_id", "to_section"), ["conv", "to_section"], "left_semi").select("file_id", "section_id")
-    s = C.sections(spark, sf_dir).join(found.select("conv").distinct(), "conv", "left_semi").join(C.files(spark, sf_dir).select("file_id", "role"), "file_id")
-    s = s.join(yes(seed_files, "in_seed_file"), "file_id", "left")
-    for frame, name in ((found.select("file_id", "section_id"), "is_seed"), (out, "out"), (into, "into")):
-        s = s.join(yes(frame, name), ["file_id", "section_id"], "left")
-    q = questions(s)
-    said, kind, late = F.col("content"), F.col("clause_type"), F.col("role").isin("modification", "termination")
-    named = F.exists(F.regexp_extract_all(q, F.lit(P.SCHEDULE_NAMED), F.lit(1)), lambda x: F.lower("schedule").contains(F.lower(x)))
-    rules = [
-        (0, False, F.col("is_seed")),
-        (1, False, kind == "order_of_precedence"),
-        (2, True, kind == "governing_law"),
-        (3, True, (kind == "dispute_resolution") | F.col("title").rlike(P.DISPUTE_TITLE)),
-        (4, True, q.rlike(P.SERVICE_ASKED) & kind.isin(P.SERVICE_TYPES)),
-        (6, False, F.col("qualifier") & F.col("in_seed_file")),
-        (7, False, F.col("out")),
-        (8, False, F.col("into")),
-        (9, False, named),
-        (10, True, (F.col("role") == "transaction") & F.col("section_id").rlike("^(6|10)(\\.[0-9]+)?$")),
-        (11, True, q.rlike(P.FINANCIAL) & said.rlike(P.MONEY)),
-        (14, True, q.rlike(P.LOCATION_ASKED) & F.col("in_seed_file") & said.rlike(P.ADDRESS)),
-        (15, True, q.rlike(P.DATE_ASKED) & late & said.rlike(P.RETAINED)),
-    ]
-    tags = F.array(*[F.when(when, F.struct(F.lit(n).alias("injector"), F.lit(immune).alias("immune"))) for n, immune, when in rules])
-    return s.select(*KEY, F.filter(tags, lambda x: x.isNotNull()).alias("_by")).where(F.size("_by") > 0)
-
-
-def first_wins(candidates: DataFrame) -> DataFrame:
-    """candidates (KEY, injector, immune), a row for each injector that brings a section, as `chain` settles them."""
-    return chain(candidates.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("injector", "immune"))).alias("_by")))
-
-
-def chain(left: DataFrame) -> DataFrame:
-    """One row for each section, of the first injector in order of tags that takes it.
-
-    A capped injector ranks, in each conversation, the sections that lower tags haven't taken, and takes as many as its cap; the rest
-    stay open to the later injectors that bring them too. Term clauses (10) count for files of which a tag up to 9 has kept a section.
-    """
-    for k, cap in sorted(CAP.items()):
-        now = F.get("_by", F.lit(0))["injector"] == k
-        n = F.row_number().over(Window.partitionBy("conv", now, F.when(~now, F.col("file_id"))).orderBy("doc_id", "pos"))  # other sections stay spread
-        left = left.withColumn("_n", F.when(now, n)).withColumn("_by", F.when(F.col("_n") > cap, F.filter("_by", lambda x: x["injector"] != k)).otherwise(F.col("_by"))).drop("_n").where(F.size("_by") > 0)
-        if k == 9:
-            have = F.max(F.get("_by", F.lit(0))["injector"] <= k).over(Window.partitionBy("conv", "file_id"))
-            left = left.withColumn("_have", have).withColumn("_by", F.when(F.col("_have"), F.col("_by")).otherwise(F.filter("_by", lambda x: x["injector"] != 10))).drop("_have").where(F.size("_by") > 0)
-    first = F.get("_by", F.lit(0))
-    return left.select(*KEY, first["injector"].alias("injector"), first["immune"].alias("immune"))
-
-
-@C.once
-def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chain(injected(spark, sf_dir))
-
-
-_POINTS = "SELECT d.source AS conv, d.doc_id, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.doc_id % 7 <> 6"
-_ASKED = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY doc_id) AS n FROM points) WHERE n <= {ASKED}"
-_HITS = f"SELECT DISTINCT doc_id FROM (SELECT e.doc_id, {_COS} AS s, row_number() OVER (PARTITION BY e.conv, q.n ORDER BY {_COS} DESC, e.doc_id) AS rank FROM points e JOIN asked q USING (conv)) WHERE rank <= {TOP_K} AND s >= {LEAST_SCORE}"
-_SEED_SQL = f"SELECT {_S} FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS n FROM sections WHERE doc_id IN (SELECT doc_id FROM hits)) WHERE n = 1"
-_ASKING = f"SELECT s.*, list_value({', '.join(map(lit, QUESTIONS))})[ascii(right(conv, 1)) % {len(QUESTIONS)} + 1] AS question FROM sections s WHERE conv IN (SELECT conv FROM seeds)"
-_IN_SEEDS = "file_id IN (SELECT file_id FROM seeds)"
-_BROUGHT = f"""
-    SELECT {_S}, list_sort(list_distinct(list(injector))) AS tags FROM (
-        SELECT {_S}, 0 AS injector FROM seeds
-        UNION ALL SELECT {_S}, 1 FROM asking WHERE clause_type = 'order_of_precedence'
-        UNION ALL SELECT {_S}, 2 FROM asking WHERE clause_type = 'governing_law'
-        UNION ALL SELECT {_S}, 3 FROM asking WHERE clause_type = 'dispute_resolution' OR regexp_matches(title, {lit(S.DISPUTE_TITLE)})
-        UNION ALL SELECT {_S}, 4 FROM asking WHERE regexp_matches(question, {lit(S.SERVICE_ASKED)}) AND clause_type IN ('warranties', 'payment_terms', 'service_levels')
-        UNION ALL SELECT {_S}, 6 FROM asking WHERE qualifier AND {_IN_SEEDS}
-        UNION ALL SELECT {_S}, 7 FROM asking WHERE (file_id, section_id) IN (SELECT (to_file, to_section) FROM resolved WHERE to_file IS NOT NULL AND {_IN_SEEDS} AND (conv, section_id) IN (SELECT (conv, section_id) FROM seeds))
-        UNION ALL SELECT {_S}, 8 FROM asking WHERE (file_id, section_id) IN (SELECT (file_id, section_id) FROM resolved WHERE to_file IN (SELECT file_id FROM seeds) AND (conv, to_section) IN (SELECT (conv, section_id) FROM seeds))
-        UNION ALL SELECT {_S}, 9 FROM asking WHERE len(list_filter(regexp_extract_all(question, {lit(S.SCHEDULE_NAMED)}, 1), lambda x: contains(lower(schedule), lower(x)))) > 0
-        UNION ALL SELECT {_S}, 10 FROM asking WHERE regexp_matches(section_id, '^(6|10)(\\.[0-9]+)?$') AND file_id IN (SELECT file_id FROM files WHERE role = 'transaction')
-        UNION ALL SELECT {_S}, 11 FROM asking WHERE regexp_matches(question, {lit(S.FINANCIAL)}) AND regexp_matches(content, {lit(S.MONEY)})
-        UNION ALL SELECT {_S}, 14 FROM asking WHERE regexp_matches(question, {lit(S.LOCATION_ASKED)}) AND {_IN_SEEDS} AND regexp_matches(content, {lit(S.ADDRESS)})
-        UNION ALL SELECT {_S}, 15 FROM asking WHERE regexp_matches(question, {lit(S.DATE_ASKED)}) AND regexp_matches(content, {lit(S.RETAINED)}) AND file_id IN (SELECT file_id FROM files WHERE role IN ('modification', 'termination')))
-    GROUP BY {_S}"""
-
-
-def _capped(frame: str, k: int, cap: int) -> str:
-    """frame with the tag k taken from those of its sections that the cap leaves out."""
-    rank = f"SELECT *, row_number() OVER (PARTITION BY conv, tags[1] = {k} ORDER BY doc_id, pos) AS n FROM {frame}"
-    return f"SELECT * FROM (SELECT {_S}, CASE WHEN tags[1] = {k} AND n > {cap} THEN list_filter(tags, lambda x: x <> {k}) ELSE tags END AS tags FROM ({rank})) WHERE len(tags) > 0"
-
-
-_TERM = f"SELECT * FROM (SELECT {_S}, CASE WHEN bool_or(tags[1] <= 9) OVER (PARTITION BY conv, file_id) THEN tags ELSE list_filter(tags, lambda x: x <> 10) END AS tags FROM cap9) WHERE len(tags) > 0"
-_POOL = f"SELECT {_S}, tags[1] AS injector, tags[1] IN (2, 3, 4, 10, 11, 14, 15) AS immune FROM cap11"
-FRAMES = {
-    "resolved": RESOLVED, "points": _POINTS, "asked": _ASKED, "hits": _HITS, "seeds": _SEED_SQL, "asking": _ASKING, "brought": _BROUGHT,
-    "cap6": _capped("brought", 6, CAP[6]), "cap9": _capped("cap6", 9, CAP[9]), "term": _TERM, "cap11": _capped("term", 11, CAP[11]), "pool": _POOL,
-}
-
-
-@query("ret_08_candidate_pool", oracle("SELECT conv, file_id, section_id, injector, immune FROM pool", **FRAMES))
-@C.parse_once
-def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Injectors 0 to 15 and the first-writer rule (RET-08 to RET-19, RET-27)."""
-    return pool(spark, sf_dir).drop("doc_id", "pos")
-
-
-@query("ret_13_preamble_fallback", oracle(f"SELECT file_id, '__raw_page1_preamble' AS section_id, arg_min(page, (CASE WHEN hit THEN 0 ELSE 1 END) * 100000 + page) AS page FROM (SELECT file_id, page, regexp_matches(string_agg(line, chr(10) ORDER BY p), {lit(S.OPENING)}) AS hit, trim(string_agg(line, chr(10) ORDER BY p)) AS t FROM lines GROUP BY file_id, page) WHERE t <> '' GROUP BY file_id"))
-def preamble_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without parsed preambles, each file's first page with agreement language, else its first page with text."""
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n")
-    pages = C.lines(spark, sf_dir).groupBy("file_id", "page").agg(text.alias("t")).where("trim(t) <> ''")
-    order = F.when(F.col("t").rlike(P.OPENING), 0).otherwise(1) * 100000 + F.col("page")
-    return pages.groupBy("file_id").agg(F.min_by("page", order).alias("page")).select("file_id", F.lit("__raw_page1_preamble").alias("section_id"), "page")
-
-
-@query("ret_21_graph_neighbours", oracle("SELECT n.conv, n.file_id, n.section_id FROM near n ANTI JOIN pool p ON p.file_id = n.file_id AND p.section_id = n.section_id", **(FRAMES | {"cue": G._CUE, "seeds_law": G._SEEDS, "near": G.NEIGHBOURS.replace("FROM seeds", "FROM seeds_law")})))
-@C.parse_once
-def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours in the graph that the pool doesn't have."""
-    return G.neighbours(spark, sf_dir).join(pool(spark, sf_dir).select("file_id", "section_id"), ["file_id", "section_id"], "left_anti").select("conv", "file_id", "section_id")
-
-
-_SCORE = "(doc_id * 17 + pos * 5) % 101"
-_RANKED = f"SELECT conv, file_id, section_id, doc_id, pos, injector, immune FROM (SELECT *, row_number() OVER (PARTITION BY conv, immune ORDER BY {_SCORE} DESC, doc_id, pos) AS n, count(*) OVER (PARTITION BY conv) AS total FROM pool) WHERE immune OR total <= 5 OR n <= 20"
-
-
-def rerank(pool: DataFrame, score: Column, keep: int = 20) -> DataFrame:
-    """Immune rows stay; of the others the best by score; up to five candidates pass as they are (RET-22)."""
-    n = F.row_number().over(Window.partitionBy("conv", "immune").orderBy(F.desc(score), "doc_id", "pos"))
-    total = F.count(F.lit(1)).over(Window.partitionBy("conv"))
-    return pool.withColumns({"_n": n, "_all": total}).where(F.col("immune") | (F.col("_all") <= 5) | (F.col("_n") <= keep)).drop("_n", "_all")
-
-
-@query("ret_22_rerank", oracle("SELECT conv, file_id, section_id, immune FROM ranked", **FRAMES, ranked=_RANKED))
-@C.parse_once
-def rerank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank(pool(spark, sf_dir), F.expr(_SCORE)).select("conv", "file_id", "section_id", "immune")
-
-
-@query("ret_23_gap_fill", oracle("SELECT conv, gap, file_id, section_id FROM (SELECT s.conv, g.gap, s.file_id, s.section_id, row_number() OVER (PARTITION BY s.conv, g.gap ORDER BY s.doc_id, s.pos) AS n FROM sections s JOIN (VALUES ('clause 3.1'), ('clause 1.2')) g(gap) ON s.section_id = regexp_extract(g.gap, '([0-9][0-9.]*)', 1) WHERE (s.file_id, s.section_id) NOT IN (SELECT (file_id, section_id) FROM pool)) WHERE n <= 5", **FRAMES))
-@C.parse_once
-def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections that named gaps ask for by number, up to five each, that the pool doesn't have."""
-    gaps = F.explode(F.filter(F.array(F.lit("clause 3.1"), F.lit("clause 1.2")), lambda g: F.regexp_extract(g, "([0-9][0-9.]*)", 1) == F.col("section_id")))
-    s = C.sections(spark, sf_dir).select("conv", "file_id", "doc_id", "section_id", "pos", gaps.alias("gap"))
-    hit = s.join(pool(spark, sf_dir).select("file_id", "section_id"), ["file_id", "section_id"], "left_anti")
-    n = F.row_number().over(Window.partitionBy("conv", "gap").orderBy("doc_id", "pos"))
-    return hit.withColumn("n", n).where("n <= 5").select("conv", "gap", "file_id", "section_id")
-
-
-_CONFLICT = ", ".join(map(lit, S.CONFLICT_TYPES))
-CONFLICTS = f"SELECT conv, clause_type, arg_max(file_id, coalesce(effective_date, '0000-00-00') || '-' || lpad((999999999 - doc_id)::VARCHAR, 9, '0')) AS latest, count(DISTINCT file_id) AS n_files FROM sections JOIN (SELECT file_id, effective_date FROM files) f USING (file_id) WHERE clause_type IN ({_CONFLICT}) GROUP BY conv, clause_type HAVING count(DISTINCT file_id) > 1"
-
-
-def conflicts(sections: DataFrame, files: DataFrame) -> DataFrame:
-    """Clause types on which several files speak, with the latest file; undated ones count as earliest (RET-24)."""
-    a = sections.where(F.col("clause_type").isin(P.CONFLICT_TYPES)).join(files.select("file_id", "effective_date"), "file_id")
-    when = F.struct(F.coalesce("effective_date", F.lit("0000-00-00")), -F.col("doc_id"))
-    g = a.groupBy("conv", "clause_type").agg(F.max_by("file_id", when).alias("latest"), F.count_distinct("file_id").alias("n_files"))
-    return g.where("n_files > 1")
-
-
-@query("ret_24_conflicts", oracle("SELECT * FROM conflicts", conflicts=CONFLICTS))
-@C.parse_once
-def conflict_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflicts(C.sections(spark, sf_dir), C.files(spark, sf_dir))
-
-
-def assemble(pool: DataFrame, sections: DataFrame, files: DataFrame) -> DataFrame:
-    """The context in order: schedules first, then newest, then by role, then by injector and place; numbered, with headers and tags (RET-25)."""
-    s = pool.join(sections.select("file_id", "section_id", "content", "page", "schedule", "clause_type", "risk"), ["file_id", "section_id"]).join(files.select("file_id", "file_name", "role_rank", "effective_date"), "file_id")
-    s = s.where(F.trim("content") != "")
-    c = conflicts(sections, files).select("conv", "clause_type", "latest")
-    s = s.join(c, ["conv", "clause_type"], "left")
-    order = [F.col("schedule").isNull().cast("int"), F.desc(F.coalesce("effective_date", F.lit("0000-00-00"))), F.desc("role_rank"), "injector", "doc_id", "pos"]
-    n = F.row_number().over(Window.partitionBy("conv").orderBy(*order))
-    old = F.when(F.col("latest").isNotNull() & (F.col("latest") != F.col("file_id")), " [HISTORICAL]").otherwise("")
-    risk = F.when(F.col("risk") == 5, " [HIGH RISK]").when(F.col("risk") == 4, " [ABOVE MARKET]").otherwise("")
-    head = F.concat(F.lit("[Source "), n, F.lit("] "), "file_name", F.lit(", clause "), "section_id", F.lit(", page "), "page", F.coalesce(F.concat(F.lit(", "), "effective_date"), F.lit("")), old, risk)
-    return s.select("conv", n.alias("source"), "file_id", "section_id", head.alias("header"), F.md5("content").alias("content_md5"))
-
-
-@query(
-    "ret_20_cited_context",
-    oracle(
-        """SELECT conv, n AS source, file_id, section_id, '[Source ' || n || '] ' || file_name || ', clause ' || section_id || ', page ' || page || coalesce(', ' || effective_date, '')
-            || CASE WHEN latest IS NOT NULL AND latest <> file_id THEN ' [HISTORICAL]' ELSE '' END || CASE risk WHEN 5 THEN ' [HIGH RISK]' WHEN 4 THEN ' [ABOVE MARKET]' ELSE '' END AS header, md5(content) AS content_md5
-        FROM (SELECT p.conv, p.file_id, p.section_id, s.content, s.page, s.risk, f.file_name, f.effective_date, c.latest,
-                     row_number() OVER (PARTITION BY p.conv ORDER BY CASE WHEN s.schedule IS NULL THEN 1 ELSE 0 END, coalesce(f.effective_date, '0000-00-00') DESC, f.role_rank DESC, p.injector, p.doc_id, p.pos) AS n
-              FROM ranked p JOIN sections s USING (file_id, section_id) JOIN files f USING (file_id) LEFT JOIN conflicts c ON c.conv = p.conv AND c.clause_type = s.clause_type WHERE trim(s.content) <> '')""",
-        **FRAMES, ranked=_RANKED, conflicts=CONFLICTS,
-    ),
-)
-@C.parse_once
-def cited_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question's whole way: seeds, injectors, first-writer rule, re-rank, conflicts, order and citations."""
-    return assemble(rerank(pool(spark, sf_dir), F.expr(_SCORE)), C.sections(spark, sf_dir), C.files(spark, sf_dir))
-
-
 @query("ret_29_citations", oracle("SELECT c.conv, c.n AS source, f.file_id, f.file_name FROM (SELECT source AS conv, unnest([1, 3, 99]) AS n FROM (SELECT DISTINCT source FROM documents)) c JOIN (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY doc_id) AS n FROM files) f ON f.conv = c.conv AND f.n = c.n"))
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source numbers of an answer (JSON) with what they stand for; unknown numbers go."""

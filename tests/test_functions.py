@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lexspan.functions import text as X
-from lexspan.operators import evaluation, parsing, retrieval, stores
+from lexspan.operators import context, definitions, evaluation, names, parsing, retrieval, stores
 from lexspan.sources import loaders
 
 
@@ -45,7 +45,7 @@ def test_inline_children_and_terms(spark):
     body = "1 Charges\n1.1 The fee is due each month in full\n1.2 Interest runs at five per cent a year"
     s = spark.createDataFrame([("c", "f", 1, "1", body, "payment_terms"), ("c", "f", 2, "1.2", "1.2 there already, and long enough", "other"), ("c", "f", 3, "9", '"Fee" means the sum payable. "Term" means one year. "Fee" means the final sum.', "definitions")], "conv string, file_id string, pos long, section_id string, content string, clause_type string")
     assert [(r["section_id"], r["content"]) for r in parsing.inline_children(s).collect()] == [("1.1", "1.1 The fee is due each month in full")]
-    assert {r["term"]: r["definition"] for r in parsing.defined_terms(s).collect()} == {"Fee": "the final sum.", "Term": "one year."}
+    assert {r["term"]: r["definition"] for r in definitions.defined_terms(s.withColumn("doc_id", F.lit(1))).collect()} == {"Fee": "the final sum.", "Term": "one year."}
 
 
 def test_loaders(spark, tmp_path):
@@ -93,6 +93,6 @@ def test_sections_beyond_a_cap_stay_open(spark):
     rows = [("c", f"f{i}", i, "1", 1, 6, False) for i in range(8)]
     rows += [("c", "f6", 6, "1", 1, 11, True), ("c", "f5", 5, "1", 1, 8, False), ("c", "f0", 0, "1", 1, 11, True)]
     rows += [("c", "f1", 1, "6", 2, 10, True), ("c", "f7", 7, "6", 2, 10, True), ("d", "g", 9, "1", 1, 6, False)]
-    got = retrieval.first_wins(spark.createDataFrame(rows, "conv string, file_id string, doc_id long, section_id string, pos int, injector int, immune boolean")).collect()
+    got = context.first_wins(spark.createDataFrame(rows, "conv string, file_id string, doc_id long, section_id string, pos int, injector int, immune boolean")).collect()
     want = [("c", f"f{i}", "1", 6, False) for i in range(5)] + [("c", "f5", "1", 8, False), ("c", "f6", "1", 11, True), ("c", "f1", "6", 10, True), ("d", "g", "1", 6, False)]
     assert sorted((r["conv"], r["file_id"], r["section_id"], r["injector"], r["immune"]) for r in got) == sorted(want)
