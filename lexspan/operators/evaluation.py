@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import contract as C
 from ..registry import query
-from .retrieval import _COS, cosine
+from .neighbours import asked_vectors, nearest
+from .retrieval import _COS
 
 _PREDICTED = "SELECT l.quality AS label, CASE WHEN length(d.text) - length(replace(replace(d.text, '!', ''), '*', '')) > 20 THEN 0 ELSE 1 END AS guess FROM labels l JOIN documents d USING (doc_id)"
 
@@ -28,11 +29,11 @@ def accuracy_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mle_06_ranking", f"WITH r AS (SELECT q.vec_id AS q, e.label = q.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.vec_id <> q.vec_id) SELECT q, coalesce(round(1.0 / min(CASE WHEN hit THEN rank END), 6), 0)::DOUBLE AS reciprocal, round(sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END), 6)::DOUBLE AS dcg FROM r WHERE rank <= 10 GROUP BY q")
 def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reciprocal rank and discounted gain at 10 of every hundredth vector as a question against all vectors; same label counts as relevant."""
+    """Reciprocal rank and discounted gain at 10 of every hundredth vector as a question against all vectors; same label counts as relevant. The index of cells finds the
+    nearest, exactly: its bounds say which cells may be left out."""
     e = C.table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
-    a = e.join(q, e["vec_id"] != F.col("q")).withColumn("s", F.round(cosine(F.col("embedding"), F.col("qe")), 6))
-    top = a.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where("rank <= 10")
+    labels = e.select(F.col("vec_id").alias("q"), F.col("label").alias("ql"))
+    top = nearest(e, asked_vectors(e), 10, exact=True).join(labels, "q")
     hit = F.col("label") == F.col("ql")
     return top.groupBy("q").agg(F.coalesce(F.round(1.0 / F.min(F.when(hit, F.col("rank"))), 6), F.lit(0.0)).alias("reciprocal"), F.round(F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)), 6).alias("dcg"))
 

@@ -48,28 +48,55 @@ def best_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Another agreement by name in a clause, and how like a file's name it must be.
 NAMED, LEAST_LIKE = r"of the ((?:[A-Z][a-z]+ )+Agreement)", 0.25
-_BEST = "SELECT conv, ref, to_file FROM (SELECT r.conv, r.ref, f.file_id AS to_file, {sim} AS s, row_number() OVER (PARTITION BY r.conv, r.ref ORDER BY {sim} DESC, f.doc_id) AS n FROM (SELECT DISTINCT conv, ref FROM refs) r JOIN files f ON f.conv = r.conv{only}) WHERE n = 1 AND s >= " + str(LEAST_LIKE)
+#: Values that extraction gives for a file, by name, where clauses and people don't tell.
+MASTER, NOVATED, TERMINATED, CONSULTANT = "Master Agreement Reference", "Novated Agreements", "Agreement Being Terminated", "Consultant Name"
+_BEST = "SELECT conv, ref, to_file FROM (SELECT r.conv, r.ref, f.file_id AS to_file, {sim} AS s, row_number() OVER (PARTITION BY r.conv, r.ref ORDER BY {sim} DESC, f.doc_id) AS n FROM (SELECT conv, ref FROM refs UNION SELECT conv, ref FROM fragments) r JOIN files f ON f.conv = r.conv{only}) WHERE n = 1 AND s >= " + str(LEAST_LIKE)
 LAYERS = {
+    "extracted": """
+        SELECT conv, file_id, 'Master Agreement Reference' AS name, CASE doc_id % 4 WHEN 1 THEN 'Framework Agreement ' || doc_id // 100 * 100 WHEN 2 THEN 'Not Found' END AS value FROM files
+        UNION ALL SELECT conv, file_id, 'Novated Agreements', CASE WHEN doc_id % 6 IN (1, 2) THEN 'Work Order ' || (doc_id - 20) || '; nothing like it ;' END FROM files
+        UNION ALL SELECT conv, file_id, 'Agreement Being Terminated', CASE WHEN doc_id % 5 = 2 THEN 'Work Order ' || (doc_id - 40) END FROM files
+        UNION ALL SELECT conv, file_id, 'Consultant Name', CASE doc_id % 8 WHEN 3 THEN ' Person  ' || (doc_id + 20) % 40 WHEN 4 THEN 'Not Found' END FROM files""",
+    "fragments": "SELECT conv, file_id, name, trim(unnest(string_split(value, CASE WHEN name = 'Novated Agreements' THEN ';' ELSE chr(0) END))) AS ref FROM extracted WHERE value IS NOT NULL AND value <> 'Not Found' AND name <> 'Consultant Name'",
     "refs": f"SELECT DISTINCT conv, file_id, unnest(regexp_extract_all(content, '{NAMED}', 1)) AS ref FROM sections",
     "named": _BEST.format(sim=sim("f.file_name", "r.ref"), only=""),
     "named_master": _BEST.format(sim=sim("f.file_name", "r.ref"), only=" AND f.role = 'master_agreement'"),
     "by_person": "SELECT f.conv, f.file_id AS from_file, f.role, t.file_id AS to_file FROM files f JOIN files t ON t.conv = f.conv AND t.person = f.person AND t.role = 'transaction' WHERE f.role IN ('modification', 'termination')",
     "by_name": "SELECT DISTINCT f.conv, f.file_id AS from_file, f.role, n.to_file FROM files f JOIN refs r ON r.file_id = f.file_id JOIN named n ON n.conv = r.conv AND n.ref = r.ref WHERE n.to_file <> f.file_id AND f.role IN ('modification', 'termination')",
+    "by_value": "SELECT f.file_id AS from_file, f.name, n.to_file FROM fragments f LEFT JOIN named n ON n.conv = f.conv AND n.ref = f.ref WHERE f.ref <> ''",
     "master_child": """
-        SELECT f.conv, f.file_id AS from_file, f.role AS from_role, coalesce(l.to_file, m.file_id, o.only_one) AS to_file, coalesce(l.to_file, m.file_id, o.only_one) IS NOT NULL AS resolved FROM files f
+        SELECT f.conv, f.file_id AS from_file, f.role AS from_role, coalesce(l.to_file, m.file_id, v.to_file, o.only_one) AS to_file, coalesce(l.to_file, m.file_id, v.to_file, o.only_one) IS NOT NULL AS resolved FROM files f
         JOIN (SELECT conv, CASE WHEN count(*) = 1 THEN min(file_id) END AS only_one FROM files WHERE role = 'master_agreement' GROUP BY conv) o ON o.conv = f.conv
         LEFT JOIN (SELECT r.file_id, arg_min(n.to_file, r.ref) AS to_file FROM refs r JOIN named_master n ON n.conv = r.conv AND n.ref = r.ref GROUP BY r.file_id) l ON l.file_id = f.file_id
         LEFT JOIN (SELECT conv, file_id, doc_id % 13 AS ident, row_number() OVER (PARTITION BY conv, doc_id % 13 ORDER BY doc_id) AS n FROM files WHERE role = 'master_agreement') m ON m.conv = f.conv AND m.ident = f.doc_id % 13 AND m.n = 1
+        LEFT JOIN (SELECT f.file_id, n.to_file FROM fragments f JOIN named_master n ON n.conv = f.conv AND n.ref = f.ref WHERE f.name = 'Master Agreement Reference') v ON v.file_id = f.file_id
         WHERE f.role IN ('transaction', 'modification')""",
     "novation": """
-        SELECT f.conv, f.file_id AS from_file, l.to_file FROM files f LEFT JOIN (SELECT from_file, to_file FROM by_name UNION SELECT from_file, to_file FROM by_person) l ON l.from_file = f.file_id
+        SELECT DISTINCT f.conv, f.file_id AS from_file, l.to_file FROM files f LEFT JOIN (
+            SELECT from_file, to_file FROM by_name UNION SELECT from_file, to_file FROM by_person
+            UNION SELECT from_file, to_file FROM by_value WHERE name = 'Novated Agreements' AND from_file NOT IN (SELECT from_file FROM by_name UNION SELECT from_file FROM by_person)) l ON l.from_file = f.file_id
         WHERE f.role = 'modification' AND f.file_id NOT IN (SELECT from_file FROM master_child WHERE resolved)""",
     "termination": """
-        SELECT f.conv, f.file_id AS from_file, l.to_file FROM files f
-        LEFT JOIN (SELECT from_file, to_file FROM by_person UNION ALL SELECT from_file, to_file FROM by_name WHERE from_file NOT IN (SELECT from_file FROM by_person)) l ON l.from_file = f.file_id WHERE f.role = 'termination'""",
+        SELECT f.conv, f.file_id AS from_file, l.to_file FROM files f LEFT JOIN (
+            SELECT from_file, to_file FROM by_person UNION ALL SELECT from_file, to_file FROM by_name WHERE from_file NOT IN (SELECT from_file FROM by_person)
+            UNION ALL SELECT from_file, to_file FROM by_value WHERE name = 'Agreement Being Terminated' AND from_file NOT IN (SELECT from_file FROM by_person UNION SELECT from_file FROM by_name)) l ON l.from_file = f.file_id
+        WHERE f.role = 'termination'""",
 }
 
 
+def extracted(files: DataFrame) -> DataFrame:
+    """(conv, file_id, name, value): what extraction prompts gave for each file, here by arithmetic; nulls and `Not Found` go."""
+    d = F.col("doc_id")
+    said = {
+        MASTER: F.when(d % 4 == 1, F.expr("concat('Framework Agreement ', doc_id div 100 * 100)")).when(d % 4 == 2, "Not Found"),
+        NOVATED: F.when((d % 6).isin(1, 2), F.concat(F.lit("Work Order "), d - 20, F.lit("; nothing like it ;"))),
+        TERMINATED: F.when(d % 5 == 2, F.concat(F.lit("Work Order "), d - 40)),
+        CONSULTANT: F.when(d % 8 == 3, F.concat(F.lit(" Person  "), (d + 20) % 40)).when(d % 8 == 4, "Not Found"),
+    }
+    each = F.array(*[F.struct(F.lit(k).alias("name"), v.cast("string").alias("value")) for k, v in said.items()])
+    return files.select("conv", "file_id", F.inline(each)).where("value is not null and value <> 'Not Found'")
+
+
 @C.once
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv, file_id, ref): the agreements that a file's clauses name."""
@@ -77,103 +104,168 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sections(spark, sf_dir).select("conv", "file_id", found.alias("ref")).distinct()
 
 
-def named(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """(conv, ref, to_file): for each name the file whose name is most like it, if like enough; an argmax over the conversation's files for each different name."""
-    like = X.jaccard(F.col("file_name"), F.col("ref"))
-    best = refs.select("conv", "ref").distinct().join(files.select("conv", "doc_id", F.col("file_id").alias("to_file"), "file_name"), "conv").withColumn("s", like)
-    return best.groupBy("conv", "ref").agg(F.max_by("to_file", F.struct("s", -F.col("doc_id"))).alias("to_file"), F.max("s").alias("s")).where(F.col("s") >= LEAST_LIKE).drop("s")
+@C.once
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv, file_id, name, ref): the agreements that extracted values name; a value of several names is split."""
+    v = extracted(C.files(spark, sf_dir)).where(F.col("name") != CONSULTANT)
+    parts = F.when(F.col("name") == NOVATED, F.split("value", ";")).otherwise(F.array("value"))
+    return v.select("conv", "file_id", "name", F.explode(F.transform(parts, F.trim)).alias("ref")).where("ref <> ''")
 
 
-def by_name(files: DataFrame, refs: DataFrame) -> DataFrame:
-    """(from_file, to_file): each file with the others that its clauses name."""
-    found = refs.join(named(refs, files), ["conv", "ref"]).select(F.col("file_id").alias("from_file"), "to_file")
-    return found.where("from_file <> to_file").distinct()
+def named(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """(conv, ref, to_file): for each name the file whose name is most like it, if like enough.
+
+    Names meet by their words, never all files of a conversation: files that share the same words with the conversation's names and have as many words in
+    all are alike to every name, so the first of them stands for the class, and only classes are compared.
+    """
+    words = lambda df, c: df.withColumn("words", X.tokens(F.col(c)))
+    asked = words(refs.select("conv", "ref").distinct(), "ref")
+    known = asked.select("conv", F.explode("words").alias("word")).distinct()
+    each = words(files.select("conv", "doc_id", F.col("file_id").alias("to_file"), "file_name"), "file_name")
+    met = each.select("conv", "doc_id", "to_file", F.size("words").alias("size"), F.explode("words").alias("word")).join(known, ["conv", "word"])
+    shared = met.groupBy("conv", "doc_id", "to_file", "size").agg(F.sort_array(F.collect_set("word")).alias("shared"))  # as many as a name has words
+    classes = shared.groupBy("conv", "shared", "size").agg(F.min(F.struct("doc_id", "to_file")).alias("first"))
+    pairs = asked.select("conv", "ref", "words", F.explode("words").alias("word")).join(classes.select("*", F.explode("shared").alias("word")), ["conv", "word"])
+    same = F.size(F.array_intersect("words", "shared"))
+    like = same / (F.size("words") + F.col("size") - same)
+    best = pairs.groupBy("conv", "ref").agg(F.max_by("first", F.struct(like, -F.col("first.doc_id"))).alias("first"), F.max(like).alias("s"))
+    return best.where(F.col("s") >= LEAST_LIKE).select("conv", "ref", "first.to_file")
+
+
+def by_name(files: DataFrame, refs: DataFrame, found: DataFrame) -> DataFrame:
+    """(from_file, to_file): files with the others that their clauses name. found: `named` of these names."""
+    links = refs.join(files.select("file_id"), "file_id", "left_semi").join(found, ["conv", "ref"]).select(F.col("file_id").alias("from_file"), "to_file")
+    return links.where("from_file <> to_file").distinct()
+
+
+def by_person(files: DataFrame, role: str) -> DataFrame:
+    """(from_file, to_file): files of a role with the transactions of their person, which all count as affected."""
+    deals = files.where("role = 'transaction'").select("conv", "person", F.col("file_id").alias("to_file"))
+    return files.where(F.col("role") == role).select("conv", "person", F.col("file_id").alias("from_file")).join(deals, ["conv", "person"]).select("from_file", "to_file")
 
 
-def by_person(files: DataFrame) -> DataFrame:
-    """(from_file, to_file): each file with the transactions of its person."""
-    deals = files.where("role = 'transaction'").select("conv", "person", F.col("file_id").alias("to_file"))
-    return files.select("conv", "person", F.col("file_id").alias("from_file")).join(deals, ["conv", "person"]).select("from_file", "to_file")
+def by_value(values: DataFrame, name: str, found: DataFrame) -> DataFrame:
+    """(from_file, to_file): what a file's extracted value names, null where no file is like it."""
+    return values.where(F.col("name") == name).join(found, ["conv", "ref"], "left").select(F.col("file_id").alias("from_file"), "to_file")
 
 
-def master_child(files: DataFrame, refs: DataFrame) -> DataFrame:
-    """Each transaction and modification with its master: the one that its clauses name, else the first with the identifier it has, else the
-    conversation's only one; unresolved without any (REL-06)."""
+def master_child(files: DataFrame, refs: DataFrame, values: DataFrame) -> DataFrame:
+    """Each transaction and modification with its master: the one that its clauses name, else the first with the identifier it has, else what the extracted
+    value names, else the conversation's only one; unresolved without any (REL-06)."""
     masters = files.where("role = 'master_agreement'")
-    said = refs.join(named(refs, masters), ["conv", "ref"]).groupBy("file_id").agg(F.min_by("to_file", "ref").alias("_named"))
+    told = values.where(F.col("name") == MASTER).select("conv", "file_id", "ref")
+    found = named(refs.select("conv", "ref").union(told.select("conv", "ref")), masters)
+    said = refs.join(found, ["conv", "ref"]).groupBy("file_id").agg(F.min_by("to_file", "ref").alias("_named"))
+    valued = told.join(found, ["conv", "ref"]).select("file_id", F.col("to_file").alias("_valued"))
     first = masters.groupBy("conv", F.expr("doc_id % 13").alias("ident")).agg(F.min_by("file_id", "doc_id").alias("_first"))
     only = masters.groupBy("conv").agg(F.when(F.count(F.lit(1)) == 1, F.min("file_id")).alias("_only"))
     kids = files.where("role in ('transaction', 'modification')").join(only, "conv").withColumn("ident", F.expr("doc_id % 13"))
-    to = F.coalesce("_named", "_first", "_only")
-    found = kids.join(said, "file_id", "left").join(first, ["conv", "ident"], "left")
-    return found.select("conv", F.col("file_id").alias("from_file"), F.col("role").alias("from_role"), to.alias("to_file"), to.isNotNull().alias("resolved"))
+    to = F.coalesce("_named", "_first", "_valued", "_only")
+    links = kids.join(said, "file_id", "left").join(first, ["conv", "ident"], "left").join(valued, "file_id", "left")
+    return links.select("conv", F.col("file_id").alias("from_file"), F.col("role").alias("from_role"), to.alias("to_file"), to.isNotNull().alias("resolved"))
+
+
+@C.once
+def children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return master_child(C.files(spark, sf_dir), references(spark, sf_dir), fragments(spark, sf_dir))
+
+
+@C.once
+def names_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`named` of all that clauses and values name, among all files."""
+    every = references(spark, sf_dir).select("conv", "ref").union(fragments(spark, sf_dir).where(F.col("name") != MASTER).select("conv", "ref"))
+    return named(every, C.files(spark, sf_dir))
 
 
 @query("rel_06_master_child", oracle("SELECT * FROM master_child", **LAYERS))
 @C.parse_once
 def master_child_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return master_child(C.files(spark, sf_dir), references(spark, sf_dir))
+    return children(spark, sf_dir)
+
+
+def _layers(spark: SparkSession, sf_dir: str, role: str, value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(from_file, to_file) of the files of a role by names in clauses, by people, and by an extracted value."""
+    files, found = C.files(spark, sf_dir), names_found(spark, sf_dir)
+    some = files.where(F.col("role") == role)
+    return by_name(some, references(spark, sf_dir), found), by_person(files, role), by_value(fragments(spark, sf_dir), value, found)
 
 
-def novations(files: DataFrame, children: DataFrame, refs: DataFrame) -> DataFrame:
-    """Modifications without a master, with what their clauses name and the transactions of the same person; unresolved without any (REL-07)."""
-    free = files.where("role = 'modification'").select("conv", F.col("file_id").alias("from_file")).join(children.where("resolved").select("from_file"), "from_file", "left_anti")
-    links = by_name(files, refs).union(by_person(files)).distinct()
-    return free.join(links, "from_file", "left").select("conv", "from_file", "to_file")
+def _free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv, from_file, person): modifications without a master."""
+    mods = C.files(spark, sf_dir).where("role = 'modification'").select("conv", F.col("file_id").alias("from_file"), "person")
+    return mods.join(children(spark, sf_dir).where("resolved").select("from_file"), "from_file", "left_anti")
+
+
+def novations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modifications without a master, with what their clauses name and the transactions of the same person; without these, with what the extracted value
+    names; unresolved without any (REL-07)."""
+    names, people, values = _layers(spark, sf_dir, "modification", NOVATED)
+    links = names.union(people).distinct()
+    links = links.union(values.join(links, "from_file", "left_anti").distinct())
+    return _free(spark, sf_dir).join(links, "from_file", "left").select("conv", "from_file", "to_file")
 
 
 @query("rel_07_novations", oracle("SELECT * FROM novation", **LAYERS))
 @C.parse_once
 def novation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, refs = C.files(spark, sf_dir), references(spark, sf_dir)
-    return novations(f, master_child(f, refs), refs)
+    return novations(spark, sf_dir)
 
 
-def terminations(files: DataFrame, refs: DataFrame) -> DataFrame:
-    """Terminations with the transactions of the same person, else with what their clauses name; unresolved without any (REL-08)."""
-    ends = files.where("role = 'termination'").select("conv", F.col("file_id").alias("from_file"))
-    people = by_person(files)
-    links = people.union(by_name(files, refs).join(people, "from_file", "left_anti"))
+def terminations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terminations with the transactions of the same person, else with what their clauses name, else with what the extracted value names;
+    unresolved without any (REL-08)."""
+    names, people, values = _layers(spark, sf_dir, "termination", TERMINATED)
+    links = people.union(names.join(people, "from_file", "left_anti"))
+    links = links.union(values.join(links, "from_file", "left_anti"))
+    ends = C.files(spark, sf_dir).where("role = 'termination'").select("conv", F.col("file_id").alias("from_file"))
     return ends.join(links, "from_file", "left").select("conv", "from_file", "to_file")
 
 
 @query("rel_08_terminations", oracle("SELECT * FROM termination", **LAYERS))
 @C.parse_once
 def termination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terminations(C.files(spark, sf_dir), references(spark, sf_dir))
+    return terminations(spark, sf_dir)
+
+
+PEOPLE = "SELECT conv, file_id, doc_id, effective_date, person FROM files WHERE role = 'transaction' UNION SELECT f.conv, f.file_id, f.doc_id, f.effective_date, lower(regexp_replace(trim(e.value), '\\s+', ' ', 'g')) FROM files f JOIN extracted e USING (file_id) WHERE f.role = 'transaction' AND e.name = 'Consultant Name' AND e.value <> 'Not Found'"
+RENEWALS = f"SELECT conv, person, file_id AS from_file, prev AS to_file FROM (SELECT *, lag(file_id) OVER (PARTITION BY conv, person ORDER BY {_UNDATED}) AS prev FROM people) WHERE prev IS NOT NULL"
+CHAIN = {"extracted": LAYERS["extracted"], "people": PEOPLE, "renewals": RENEWALS}
 
 
-RENEWALS = f"SELECT conv, person, file_id AS from_file, prev AS to_file FROM (SELECT *, lag(file_id) OVER (PARTITION BY conv, person ORDER BY {_UNDATED}) AS prev FROM files WHERE role = 'transaction') WHERE prev IS NOT NULL"
+def people_of_deals(files: DataFrame) -> DataFrame:
+    """(conv, person, file_id, doc_id, effective_date): the people of each transaction, by entity and by the extracted consultant."""
+    deals = files.where("role = 'transaction'").select("conv", "file_id", "doc_id", "effective_date", "person")
+    name = F.lower(F.regexp_replace(F.trim("value"), "\\s+", " "))
+    told = extracted(files).where(F.col("name") == CONSULTANT).select("file_id", name.alias("person"))
+    return deals.unionByName(deals.drop("person").join(told, "file_id")).distinct()
 
 
 def renewals(files: DataFrame) -> DataFrame:
     """Each transaction with the one before it of the same person; undated ones last (REL-09)."""
     w = Window.partitionBy("conv", "person").orderBy(*_by_date())
-    a = files.where("role = 'transaction'").withColumn("to_file", F.lag("file_id").over(w))
+    a = people_of_deals(files).withColumn("to_file", F.lag("file_id").over(w))
     return a.where("to_file is not null").select("conv", "person", F.col("file_id").alias("from_file"), "to_file")
 
 
-@query("rel_09_renewals", oracle("SELECT * FROM renewals", renewals=RENEWALS))
+@query("rel_09_renewals", oracle("SELECT * FROM renewals", **CHAIN))
 def renewal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return renewals(C.files(spark, sf_dir))
 
 
 ALL = {
-    **LAYERS, "renewals": RENEWALS,
+    **LAYERS, **CHAIN,
     "relations": """
         SELECT conv, from_file, to_file, 'master_child' AS kind FROM master_child
         UNION ALL SELECT conv, from_file, to_file, 'novation' FROM novation
         UNION ALL SELECT conv, from_file, to_file, 'termination' FROM termination
-        UNION ALL SELECT conv, from_file, to_file, 'renewal' FROM renewals""",
+        UNION ALL SELECT DISTINCT conv, from_file, to_file, 'renewal' FROM renewals""",
 }
 
 
 @C.once
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All links (conv, from_file, to_file, kind), unresolved ones with a null target."""
-    f, refs = C.files(spark, sf_dir), references(spark, sf_dir)
-    c = master_child(f, refs)
-    parts = [(c, "master_child"), (novations(f, c, refs), "novation"), (terminations(f, refs), "termination"), (renewals(f), "renewal")]
+    parts = [(children(spark, sf_dir), "master_child"), (novations(spark, sf_dir), "novation"), (terminations(spark, sf_dir), "termination"), (renewals(C.files(spark, sf_dir)).select("conv", "from_file", "to_file").distinct(), "renewal")]
     tagged = [d.select("conv", "from_file", "to_file", F.lit(k).alias("kind")) for d, k in parts]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).unionByName(tagged[3])
 
@@ -181,10 +273,34 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rel_10_counts", oracle("SELECT c.conv, k.kind, count(r.from_file) AS n FROM (SELECT DISTINCT conv FROM files) c CROSS JOIN (VALUES ('master_child'), ('novation'), ('termination'), ('renewal')) k(kind) LEFT JOIN relations r ON r.conv = c.conv AND r.kind = k.kind GROUP BY c.conv, k.kind", **ALL))
 @C.parse_once
 def relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links by conversation and kind, with zeros: the four kinds as columns, then turned to rows."""
+    """Links by conversation and kind, with zeros. Links by people are counted, a person's transactions times its other files, and never made."""
+    files = C.files(spark, sf_dir)
+    deals = files.where("role = 'transaction'").groupBy("conv", "person").agg(F.count(F.lit(1)).alias("n"))
+    to = files.select(F.col("file_id").alias("to_file"), F.col("person").alias("to_person"), F.col("role").alias("to_role"))
+    count = lambda df, name: df.groupBy("from_file").agg(F.count(F.lit(1)).alias(name))
+
+    def per_file(own: DataFrame, value: str, both: bool) -> DataFrame:
+        """(conv, rows): links of each of own (conv, from_file, person); both: names add to people, else they stand in for them."""
+        names, values = by_name(own.select(F.col("from_file").alias("file_id")), references(spark, sf_dir), names_found(spark, sf_dir)), by_value(fragments(spark, sf_dir), value, names_found(spark, sf_dir))
+        named_too = names.join(to, "to_file").join(own.select("from_file", "person"), "from_file")
+        new = named_too.where(~((F.col("to_role") == "transaction") & (F.col("to_person") == F.col("person")))) if both else named_too
+        a = own.join(deals, ["conv", "person"], "left").join(count(new, "names"), "from_file", "left").join(count(values.distinct(), "values"), "from_file", "left").na.fill(0, ["n", "names", "values"])
+        people_and_names = F.col("n") + F.col("names") if both else F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("names"))
+        return a.select("conv", F.when(people_and_names > 0, people_and_names).otherwise(F.greatest("values", F.lit(1))).alias("rows"))
+
+    ends = files.where("role = 'termination'").select("conv", F.col("file_id").alias("from_file"), "person")
+    one = F.lit(1).cast("long").alias("rows")
+    parts = {
+        "master_child": children(spark, sf_dir).select("conv", one),
+        "novation": per_file(_free(spark, sf_dir), NOVATED, True),
+        "termination": per_file(ends, TERMINATED, False),
+        "renewal": renewals(files).select("conv", "from_file", "to_file").distinct().select("conv", one),
+    }
+    every = files.select("conv", F.lit("").alias("kind"), F.lit(0).cast("long").alias("rows"))
+    for k, d in parts.items():
+        every = every.unionByName(d.withColumn("kind", F.lit(k)))
     kinds = list(P.RELATION_EDGE)
-    every = C.files(spark, sf_dir).select("conv", F.lit(None).cast("string").alias("from_file"), F.lit(None).cast("string").alias("kind")).unionByName(relations(spark, sf_dir).select("conv", "from_file", "kind"))
-    wide = every.groupBy("conv").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in kinds])
+    wide = every.groupBy("conv").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rows")).otherwise(0)).alias(k) for k in kinds])
     return wide.unpivot("conv", kinds, "kind", "n")
 
 
@@ -199,7 +315,7 @@ def touching(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A person's transactions in order, with what came before, whether ended, and which one is in force: the last that isn't ended."""
     f = C.files(spark, sf_dir).where("role = 'transaction'")
-    ended = terminations(C.files(spark, sf_dir), references(spark, sf_dir)).where("to_file is not null").select(F.col("to_file").alias("file_id")).distinct().withColumn("ended", F.lit(True))
+    ended = terminations(spark, sf_dir).where("to_file is not null").select(F.col("to_file").alias("file_id")).distinct().withColumn("ended", F.lit(True))
     w = Window.partitionBy("conv", "person").orderBy(*_by_date())
     a = f.join(ended, "file_id", "left").withColumns({"ended": F.coalesce("ended", F.lit(False)), "n": F.row_number().over(w), "prev": F.lag("file_id").over(w)})
     last = F.max(F.when(~F.col("ended"), F.col("n"))).over(Window.partitionBy("conv", "person"))

@@ -10,6 +10,8 @@ from ..plans.sql import oracle
 from ..registry import query
 
 TOP_K, LEAST_SCORE = 20, 0.35
+#: Vectors of one question: its own and its expansions.
+SEVERAL = (0, 1, 2)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -38,11 +40,13 @@ def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ret_07_multi_query", f"SELECT label, vec_id, arg_max(q, {{'s': s, 'q': -q}}) AS won_by, CAST(count(*) AS BIGINT) AS n FROM (SELECT q.vec_id AS q, e.label, e.vec_id, {_COS} AS s, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (0, 1, 2)) q) WHERE rank <= {TOP_K} GROUP BY label, vec_id HAVING max(s) >= {LEAST_SCORE}")
 def multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best score of each point over several question vectors; weak points go."""
+    """The best score of each point over several question vectors; weak points go. The vectors are a literal array, so the points are read once."""
     p = C.table(spark, sf_dir, "embeddings")
-    tagged = [top_k(p, _vector(spark, sf_dir, q), TOP_K).withColumn("q", F.lit(q).cast("long")) for q in (0, 1, 2)]
-    every = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-    g = every.groupBy("label", "vec_id").agg(F.max("score").alias("s"), F.max_by("q", F.struct("score", -F.col("q"))).alias("won_by"), F.count(F.lit(1)).alias("n"))
+    asked = [(r["vec_id"], list(r["embedding"])) for r in p.where(F.col("vec_id").isin(*SEVERAL)).orderBy("vec_id").collect()]  # as many rows as SEVERAL at most
+    rows = F.array(*[F.struct(F.lit(q).cast("long").alias("q"), F.round(cosine(F.col("embedding"), F.lit(v).cast("array<double>")), 6).alias("score")) for q, v in asked])
+    each = p.select("label", "vec_id", F.inline(rows))
+    top = each.withColumn("rank", F.row_number().over(Window.partitionBy("q", "label").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= TOP_K)
+    g = top.groupBy("label", "vec_id").agg(F.max("score").alias("s"), F.max_by("q", F.struct("score", -F.col("q"))).alias("won_by"), F.count(F.lit(1)).alias("n"))
     return g.where(F.col("s") >= LEAST_SCORE).select("label", "vec_id", "won_by", "n")
 
 
