@@ -32,16 +32,41 @@ def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_rows(spark, sf_dir).rollup("batch_id", "file_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("calls"))
 
 
-_PROMPTS = [(k, f"prompt {k}", ("Attribute", "Clause", "Obligation")[k % 3]) for k in range(9)]
-_MAPS = [("NDA", [0, 1, 5]), ("SOW", [2, 3, 4, 8]), ("Classification", [6])]
+#: Parts stand for prompts and their brands for document types; one brand is that of classification.
+_KINDS = ("Attribute", "Clause", "Obligation")
+_TYPES = "SELECT p_partkey AS prompt_id, CASE p_brand WHEN 'Brand#1' THEN 'Classification' WHEN 'Brand#2' THEN NULL ELSE p_brand END AS document_type, list_value('Attribute', 'Clause', 'Obligation')[p_size % 3 + 1] AS kind FROM part"
+_PROMPTS_OF = f"SELECT document_type, prompt_id, kind FROM ({_TYPES}) WHERE document_type IS NOT NULL"
 
 
-@query("bkp_04_prompts_by_type", f"SELECT t AS document_type, p.id AS prompt_id, p.kind FROM (SELECT t, unnest(ids) AS id FROM (VALUES {', '.join(f'({t!r}, {ids})' for t, ids in _MAPS)}) m(t, ids)) m JOIN (VALUES {', '.join(f'({i}, {k!r})' for i, _, k in _PROMPTS)}) p(id, kind) USING (id) WHERE p.kind IN ('Attribute', 'Clause') AND t <> 'Classification'")
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(prompt_id, document_type, kind): the library of prompts."""
+    brand = F.when(F.col("p_brand") == "Brand#1", "Classification").when(F.col("p_brand") != "Brand#2", F.col("p_brand"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), F.col("p_size") % 3 + 1)
+    return C.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("prompt_id"), brand.alias("document_type"), kind.alias("kind"))
+
+
+def prompt_maps(library: DataFrame) -> DataFrame:
+    """(document_type, prompt_ids): which prompts a document type has, as one row a type."""
+    return library.groupBy("document_type").agg(F.sort_array(F.collect_list("prompt_id")).alias("prompt_ids"))
+
+
+def prompts_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_type, prompt_id, kind) by two look-ups: a type's prompt ids, then each prompt; a type without a name has none."""
+    library = prompts(spark, sf_dir)
+    each = prompt_maps(library).where("document_type is not null").select("document_type", F.explode("prompt_ids").alias("prompt_id"))
+    return each.join(library.select("prompt_id", "kind"), "prompt_id").select("document_type", "prompt_id", "kind")
+
+
+@query("bkp_04_prompts_by_type", f"SELECT document_type, prompt_id, kind FROM ({_PROMPTS_OF}) WHERE kind IN ('Attribute', 'Clause')")
 def prompts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The attribute and clause prompts of each document type but Classification (BKP-04, 05, 07)."""
-    prompts = spark.createDataFrame(_PROMPTS, "prompt_id int, name string, kind string")
-    maps = spark.createDataFrame(_MAPS, "document_type string, ids array<int>").where(~F.col("document_type").eqNullSafe("Classification"))
-    return maps.select("document_type", F.explode("ids").alias("prompt_id")).join(prompts.where("kind in ('Attribute', 'Clause')"), "prompt_id").select("document_type", "prompt_id", "kind")
+    """The attribute and clause prompts of each document type (BKP-04, 05)."""
+    return prompts_of_types(spark, sf_dir).where("kind in ('Attribute', 'Clause')")
+
+
+@query("bkp_07_document_types", f"SELECT document_type, count(*) AS prompts FROM ({_TYPES}) WHERE document_type IS DISTINCT FROM 'Classification' GROUP BY document_type")
+def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document types but Classification; the one without a name stays."""
+    return prompt_maps(prompts(spark, sf_dir)).where(~F.col("document_type").eqNullSafe("Classification")).select("document_type", F.size("prompt_ids").cast("long").alias("prompts"))
 
 
 @query("bkp_08_open_columns", "SELECT conv_id, string_agg(label, ',' ORDER BY turn) AS open FROM (SELECT conv_id, turn, role || turn AS label FROM conversations WHERE conv_id % 4 = 0 OR turn % 2 = 1) GROUP BY conv_id")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..plans import contract as C
-from ..plans import fixed as S
 from ..plans.sql import lit, oracle
 from ..registry import query
 
@@ -51,14 +50,6 @@ def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).drop("doc_id")
 
 
-@query("ent_04_addendum_net", oracle(f"SELECT f.file_id, CASE WHEN f.role IN ('master_agreement', 'standalone') AND coalesce(bool_or(regexp_matches(s.content, {lit(S.ADDENDUM)})), false) THEN 'modification' ELSE f.role END AS role FROM files f LEFT JOIN sections s USING (file_id) GROUP BY f.file_id, f.role"))
-def addendum_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masters and standalone files whose text calls itself an addendum are modifications."""
-    said = C.sections(spark, sf_dir).where(F.col("content").rlike(P.ADDENDUM)).select("file_id").distinct().withColumn("hit", F.lit(True))
-    role = F.when(F.col("role").isin("master_agreement", "standalone") & F.coalesce("hit", F.lit(False)), "modification").otherwise(F.col("role"))
-    return C.files(spark, sf_dir).join(said, "file_id", "left").select("file_id", role.alias("role"))
-
-
 @query("ent_07_files_by_entity", oracle("SELECT DISTINCT conv, file_id FROM entity_index WHERE kind = 'organization' AND contains(key, 'mainstay')", **FRAMES))
 def files_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).where((F.col("kind") == "organization") & F.col("key").contains("mainstay")).select("conv", "file_id").distinct()

@@ -53,15 +53,40 @@ def role_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.files(spark, sf_dir).select("file_id", F.coalesce(known, by_type).alias("role"))
 
 
-@query("rel_05_identifier_match", oracle("SELECT f.file_id, arg_min(m.file_id, m.doc_id) AS master FROM files f JOIN files m ON m.conv = f.conv AND m.role = 'master_agreement' AND contains('frameworkagreement' || m.doc_id || 'x', 'frameworkagreement' || (f.doc_id % 10)) WHERE f.role = 'transaction' GROUP BY f.file_id"))
+#: Letters of the pieces by which identifiers meet, and the least letters of an identifier.
+GRAM = 4
+
+
+def containing(refs: DataFrame, ids: DataFrame) -> DataFrame:
+    """refs (conv, file_id, key), ids (conv, master, doc_id, key): (conv, file_id, master), the first master by order of those with a key that holds the reference's, or is
+    held by it; keys of fewer than GRAM letters match nothing.
+
+    If one key holds the other, all pieces of GRAM letters of the shorter are pieces of the longer. So each key asks by its rarest piece among the pieces
+    of the others, and what meets is compared: no key meets all masters of its conversation.
+    """
+    pieces = lambda df: df.where(F.length("key") >= GRAM).withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - GRAM + 1), lambda i: F.col("key").substr(i, F.lit(GRAM))))))
+    short, long = pieces(refs.select("conv", "key").distinct()), pieces(ids.select("conv", F.col("key")).distinct())
+    seldom = lambda df, other: df.join(other.groupBy("conv", "gram").agg(F.count(F.lit(1)).alias("n")), ["conv", "gram"]).groupBy("conv", "key").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    held = seldom(short, long).select("conv", "gram", F.col("key").alias("ref_key")).join(long.withColumnRenamed("key", "id_key"), ["conv", "gram"])
+    holds = seldom(long, short).select("conv", "gram", F.col("key").alias("id_key")).join(short.withColumnRenamed("key", "ref_key"), ["conv", "gram"])
+    met = held.unionByName(holds).where(F.col("id_key").contains(F.col("ref_key")) | F.col("ref_key").contains(F.col("id_key"))).select("conv", "ref_key", "id_key").distinct()
+    first = ids.groupBy("conv", F.col("key").alias("id_key")).agg(F.min(F.struct("doc_id", "master")).alias("m"))
+    best = met.join(first, ["conv", "id_key"]).groupBy("conv", F.col("ref_key").alias("key")).agg(F.min("m")["master"].alias("master"))
+    return refs.join(best, ["conv", "key"]).select("conv", "file_id", "master")
+
+
+_REF_KEY = "'frameworkagreement' || (f.doc_id % 10) || CASE WHEN f.doc_id % 3 = 0 THEN 'xannex' ELSE '' END"
+_ID_KEY = "'frameworkagreement' || m.doc_id || 'x'"
+
+
+@query("rel_05_identifier_match", oracle(f"SELECT f.file_id, arg_min(m.file_id, m.doc_id) AS master FROM files f JOIN files m ON m.conv = f.conv AND m.role = 'master_agreement' AND (contains({_ID_KEY}, {_REF_KEY}) OR contains({_REF_KEY}, {_ID_KEY})) WHERE f.role = 'transaction' GROUP BY f.file_id"))
 def identifier_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first master of a conversation whose identifier holds the one that a transaction names (letters and digits only, four at least)."""
-    squeeze = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    """The first master of a conversation whose identifier holds the one that a transaction names, or is held by it (letters and digits only)."""
+    squeeze = lambda *c: F.regexp_replace(F.lower(F.concat(*c)), "[^a-z0-9]", "")
     f = C.files(spark, sf_dir)
-    masters = f.where("role = 'master_agreement'").groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("doc_id", "file_id", squeeze(F.concat("file_name", F.lit(" x"))).alias("k")))).alias("m"))
-    named = squeeze(F.concat(F.lit("Framework Agreement "), F.col("doc_id") % 10))
-    hit = F.filter("m", lambda x: (F.length(named) >= 4) & x["k"].contains(named))
-    return f.where("role = 'transaction'").join(masters, "conv").select("file_id", F.get(hit, F.lit(0))["file_id"].alias("master")).where("master is not null")
+    ids = f.where("role = 'master_agreement'").select("conv", F.col("file_id").alias("master"), "doc_id", squeeze("file_name", F.lit(" x")).alias("key"))
+    named = squeeze(F.lit("Framework Agreement "), F.col("doc_id") % 10, F.when(F.col("doc_id") % 3 == 0, " x annex").otherwise(""))
+    return containing(f.where("role = 'transaction'").select("conv", "file_id", named.alias("key")), ids).select("file_id", "master")
 
 
 @query("rel_13_extractions", oracle("SELECT file_id, 'k' || (doc_id % 3) || '=' || effective_date AS fields FROM files WHERE effective_date IS NOT NULL AND doc_id % 4 <> 0"))
@@ -73,11 +98,16 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.files(spark, sf_dir).select("file_id", F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("fields")).where("fields <> ''")
 
 
-@query("rel_14_fee_text", oracle("SELECT file_id, 'fee 1 USD; fee 2; fee 3 EUR' AS fee FROM files"))
+#: A money term: an amount with its currency before or behind it, or a percentage.
+_TERM = r"[£€$][ \t]*[0-9][0-9,]*|[0-9]+(?:\.[0-9]+)?[ \t]*%"
+
+
+@query("rel_14_fee_text", oracle(f"SELECT file_id, array_to_string(regexp_extract_all(string_agg(line, chr(10) ORDER BY p), {lit(_TERM)})[1:3], '; ') AS fee FROM lines GROUP BY file_id"))
 def fee_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three money terms of a file as text."""
-    terms = F.array(*[F.struct(F.lit(f"fee {i}").alias("value"), F.lit(c).cast("string").alias("currency")) for i, c in ((1, "USD"), (2, None), (3, "EUR"), (4, "GBP"))])
-    return C.files(spark, sf_dir).select("file_id", F.array_join(F.transform(F.slice(terms, 1, 3), lambda t: F.concat_ws(" ", t["value"], t["currency"])), "; ").alias("fee"))
+    """The first three money terms of a file as text: those of each line in order, three a line at most, then the first three of all."""
+    t = C.lines(spark, sf_dir).select("file_id", "p", F.slice(F.regexp_extract_all("line", F.lit(_TERM), F.lit(0)), 1, 3).alias("t"))
+    found = F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.size("t") > 0, F.struct("p", "t")))), lambda x: x["t"]))
+    return t.groupBy("file_id").agg(F.array_join(F.slice(found, 1, 3), "; ").alias("fee"))
 
 
 @query("snk_06_null_safe_upsert", oracle("SELECT conv, from_file, to_file, kind, CASE WHEN to_file IS NULL THEN 'open' ELSE 'old' END AS state FROM (SELECT conv, file_id AS from_file, CASE WHEN doc_id % 3 <> 0 THEN 'f0' END AS to_file, 'renewal' AS kind FROM files)"))

@@ -12,8 +12,7 @@ from ..plans import contract as C
 from ..plans import fixed as S
 from ..plans.sql import lit, oracle
 from ..registry import query
-from . import graph as G
-from .bookkeeping import _MAPS, _PROMPTS
+from .bookkeeping import _PROMPTS_OF, prompts_of_types
 
 
 def _text(column: str = "line") -> Column:
@@ -44,14 +43,23 @@ def all_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", F.array_join(F.transform(new, lambda x: F.concat_ws(":", x["turn"], x["role"] == "user", x["processed"])), ",").alias("flags"))
 
 
-@query("snk_14_verified_points", oracle("SELECT f.file_id, count(s.section_id) AS points, count(s.section_id) > 0 AS embedded FROM files f LEFT JOIN sections s USING (file_id) GROUP BY f.file_id"))
+#: Points of a batch.
+BATCH = 25
+
+
+@query("snk_14_verified_points", oracle(f"SELECT f.file_id, count(s.section_id) AS points, ceil(count(s.section_id) / {BATCH})::BIGINT AS batches, count(s.section_id) > 0 AS embedded FROM files f LEFT JOIN sections s USING (file_id) GROUP BY f.file_id"))
 def verified_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points are written, read back and counted; a file is flagged by what was found, not by what was sent."""
+    """Points with stable ids are numbered in batches, written, read back and counted; a file is flagged by what was found, not by what was sent. A lost task writes
+    its batches again, so retries need no code."""
+    from ..functions import text as X
+
     path = f"{C._folder(spark)}/points-{uuid.uuid4().hex}"
-    C.sections(spark, sf_dir).select("file_id", F.md5(F.concat_ws(":", "file_id", "section_id")).alias("point_id"), "clause_type").write.parquet(path)
-    found = spark.read.parquet(path).groupBy("file_id").agg(F.count_distinct("point_id").alias("n"))
-    n = F.coalesce("n", F.lit(0).cast("long"))
-    return C.files(spark, sf_dir).select("file_id").join(found, "file_id", "left").select("file_id", n.alias("points"), (n > 0).alias("embedded"))
+    n = F.row_number().over(Window.partitionBy("file_id").orderBy("section_id"))
+    s = C.sections(spark, sf_dir).select("file_id", X.point_id(F.col("file_id"), F.col("section_id")).alias("point_id"), F.ceil(n / BATCH).alias("batch"), "clause_type")
+    s.write.parquet(path)
+    found = spark.read.parquet(path).groupBy("file_id").agg(F.count_distinct("point_id").alias("n"), F.max("batch").alias("b"))
+    n, b = (F.coalesce(c, F.lit(0).cast("long")) for c in ("n", "b"))
+    return C.files(spark, sf_dir).select("file_id").join(found, "file_id", "left").select("file_id", n.alias("points"), b.alias("batches"), (n > 0).alias("embedded"))
 
 
 @query("snk_22_stamped", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '[{\"k\":' || json_extract_string(props, '$.k') || ',\"batchId\":' || (user_id % 50) || ',\"fileId\":\"f' || user_id || '\"}]' ELSE props END AS payload FROM events")
@@ -114,29 +122,57 @@ def excerpt_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return excerpts(spark, sf_dir).select("file_id", F.length("excerpt").cast("long").alias("n_chars"), F.md5("excerpt").alias("excerpt_md5"))
 
 
-_ANSWERS = "SELECT 'f' || doc_id AS file_id, doc_id, CASE doc_id % 4 WHEN 0 THEN '```json' || chr(10) || '{\"role\": \"transaction\", \"person\": \"p' || doc_id || '\"}' || chr(10) || '```' WHEN 1 THEN 'Found: {\"role\": \"modification\"} as asked.' WHEN 2 THEN '{\"role\": ' ELSE left(text, 40) END AS answer FROM documents"
+# Fixed value: the fields of an answer besides the role.
+FIELDS = ["persons", "organizations", "financial_terms", "dates", "references", "identifiers"]
+_SAID_SQL = """'{"functionalRole": "' || role || '", "persons": [{"name": "' || person || '", "role": "consultant"}, {"name": null}], "organizations": [{"name": "' || org || '"}], "dates": [{"value": "' || coalesce(effective_date, '') || '", "key": "effective"}], "identifiers": [{"value": "F-' || doc_id || '"}]}'"""
+_ANSWERS = f"SELECT file_id, doc_id, role, CASE doc_id % 4 WHEN 0 THEN '```json' || chr(10) || {_SAID_SQL} || chr(10) || '```' WHEN 1 THEN 'Found: ' || {_SAID_SQL} || ' as asked.' WHEN 2 THEN '{{\"functionalRole\": ' ELSE file_name END AS answer FROM files"
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, answer): what a model says of each file: fenced, in prose, cut off, or no JSON at all."""
+    f = C.files(spark, sf_dir)
     k = F.col("doc_id") % 4
-    fenced = F.concat(F.lit('```json\n{"role": "transaction", "person": "p'), "doc_id", F.lit('"}\n```'))
-    said = F.when(k == 0, fenced).when(k == 1, 'Found: {"role": "modification"} as asked.').when(k == 2, '{"role": ').otherwise(F.substring("text", 1, 40))
-    return C.table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), "doc_id").alias("file_id"), said.alias("answer"))
+    said = F.format_string(
+        '{"functionalRole": "%s", "persons": [{"name": "%s", "role": "consultant"}, {"name": null}], "organizations": [{"name": "%s"}], "dates": [{"value": "%s", "key": "effective"}], "identifiers": [{"value": "F-%s"}]}',
+        "role", "person", "org", F.coalesce("effective_date", F.lit("")), "doc_id",
+    )
+    whole = F.when(k == 0, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Found: "), said, F.lit(" as asked."))).when(k == 2, '{"functionalRole": ').otherwise(F.col("file_name"))
+    return f.select("file_id", whole.alias("answer"))
 
 
 def parsed_answers(given: DataFrame) -> DataFrame:
-    """(file_id, role, person) of answers: the outermost braces as JSON; where there is none, the defaults (ENT-03)."""
-    read = F.from_json(F.regexp_extract("answer", r"(?s)\{.*\}", 0), "role string, person string")
-    return given.select("file_id", F.coalesce(read["role"], F.lit("standalone")).alias("role"), read["person"].alias("person"))
+    """(file_id, role, FIELDS): answers by their outermost braces as JSON; fields without a value are empty, the role is standalone (ENT-03)."""
+    item = "array<struct<name: string, value: string, key: string, role: string>>"
+    read = F.from_json(F.regexp_extract("answer", r"(?s)\{.*\}", 0), "functionalRole string, " + ", ".join(f"`{k}` {item}" for k in FIELDS))
+    none = F.array().cast(item)
+    return given.select("file_id", F.coalesce(read["functionalRole"], F.lit("standalone")).alias("role"), *[F.coalesce(read[k], none).alias(k) for k in FIELDS])
+
+
+_READ = "SELECT *, CASE WHEN doc_id % 4 < 2 THEN regexp_extract(answer, '(?s)\\{.*\\}', 0) ELSE '{}' END AS j FROM (" + _ANSWERS + ")"
 
 
-@query("ent_03_parsed_answers", f"SELECT file_id, CASE WHEN doc_id % 4 < 2 THEN json_extract_string(regexp_extract(answer, '(?s)\\{{.*\\}}', 0), '$.role') ELSE 'standalone' END AS role, CASE WHEN doc_id % 4 = 0 THEN json_extract_string(regexp_extract(answer, '(?s)\\{{.*\\}}', 0), '$.person') END AS person FROM ({_ANSWERS})")
+@query(
+    "ent_03_parsed_answers",
+    oracle(
+        """SELECT file_id, coalesce(json_extract_string(j, '$.functionalRole'), 'standalone') AS role, coalesce(json_extract_string(j, '$.persons[0].name'), '') AS persons, coalesce(json_extract_string(j, '$.organizations[0].name'), '') AS organizations,
+        '' AS financial_terms, coalesce(json_extract_string(j, '$.dates[0].value'), '') AS dates, '' AS "references", coalesce(json_extract_string(j, '$.identifiers[0].value'), '') AS identifiers FROM read""",
+        read=_READ,
+    ),
+)
 def parsed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed_answers(answers(spark, sf_dir))
+    """Role and the filled names or values of each field, joined."""
+    text = lambda k: F.array_join(F.filter(F.transform(k, lambda x: F.coalesce(x["name"], x["value"])), lambda v: v.isNotNull()), "|")
+    return parsed_answers(answers(spark, sf_dir)).select("file_id", "role", *[text(k).alias(k) for k in FIELDS])
+
 
+@query("ent_04_addendum_net", oracle(f"SELECT f.file_id, CASE WHEN f.role IN ('master_agreement', 'standalone') AND regexp_matches(e.excerpt, {lit(S.ADDENDUM)}) THEN 'modification' ELSE f.role END AS role FROM files f JOIN excerpts e USING (file_id)", excerpts=_EXCERPTS))
+def addendum_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masters and standalone files whose excerpt calls itself an addendum are modifications."""
+    said = F.col("role").isin("master_agreement", "standalone") & F.col("excerpt").rlike(P.ADDENDUM)
+    return C.files(spark, sf_dir).select("file_id", "role").join(excerpts(spark, sf_dir), "file_id").select("file_id", F.when(said, "modification").otherwise(F.col("role")).alias("role"))
 
-@query("ent_06_role_back", oracle("SELECT f.file_id, CASE f.doc_id % 4 WHEN 0 THEN 'transaction' WHEN 1 THEN 'modification' ELSE 'standalone' END AS role, CASE f.doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS role_rank FROM files f"))
+
+@query("ent_06_role_back", oracle("SELECT file_id, CASE WHEN doc_id % 4 < 2 THEN role ELSE 'standalone' END AS role, CASE WHEN doc_id % 4 < 2 THEN role_rank ELSE 0 END AS role_rank FROM files"))
 def role_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was extracted overwrites the role that file names gave, and its rank."""
     new = parsed_answers(answers(spark, sf_dir)).select("file_id", F.col("role").alias("_new"))
@@ -146,16 +182,6 @@ def role_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.files(spark, sf_dir).select("file_id", "role").join(new, "file_id", "left").select("file_id", role.alias("role"), X.role_rank(role).cast("long").alias("role_rank"))
 
 
-@query("grf_10_summary", oracle("SELECT conv, sum(n)::BIGINT AS nodes, sum(e)::BIGINT AS edges FROM (SELECT conv, count(DISTINCT node_id) AS n, 0 AS e FROM nodes GROUP BY conv UNION ALL SELECT conv, 0, count(DISTINCT edge_id) FROM edges GROUP BY conv) GROUP BY conv", **G.FRAMES))
-@C.parse_once
-def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes and edges of each conversation's graph as an upsert by id keeps them."""
-    n = G.nodes(spark, sf_dir).groupBy("conv").agg(F.count_distinct("node_id").alias("nodes"))
-    e = G.edges(spark, sf_dir).groupBy("conv").agg(F.count_distinct("edge_id").alias("edges"))
-    none = F.lit(0).cast("long")
-    return n.join(e, "conv", "full").select("conv", F.coalesce("nodes", none).alias("nodes"), F.coalesce("edges", none).alias("edges"))
-
-
 # --- retrieval, bookkeeping, conversations, learning -----------------------------------------------------------------------------
 
 
@@ -168,11 +194,9 @@ def sub_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("conv_id", out.alias("s")).select("conv_id", F.size("s").cast("long").alias("n"), F.array_join("s", " | ").alias("queries"))
 
 
-@query("bkp_05_obligation_prompts", f"SELECT t AS document_type, p.id AS prompt_id FROM (SELECT t, unnest(ids) AS id FROM (VALUES {', '.join(f'({t!r}, {ids})' for t, ids in _MAPS)}) m(t, ids)) m JOIN (VALUES {', '.join(f'({i}, {k!r})' for i, _, k in _PROMPTS)}) p(id, kind) USING (id) WHERE p.kind = 'Obligation'")
+@query("bkp_05_obligation_prompts", f"SELECT document_type, prompt_id FROM ({_PROMPTS_OF}) WHERE kind = 'Obligation'")
 def obligation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = spark.createDataFrame(_PROMPTS, "prompt_id int, name string, kind string").where("kind = 'Obligation'")
-    maps = spark.createDataFrame(_MAPS, "document_type string, ids array<int>")
-    return maps.select("document_type", F.explode("ids").alias("prompt_id")).join(prompts, "prompt_id", "left_semi").select("document_type", "prompt_id")
+    return prompts_of_types(spark, sf_dir).where("kind = 'Obligation'").select("document_type", "prompt_id")
 
 
 @query("bkp_06_prompt_by_id", "SELECT s_suppkey AS prompt_id, p_name AS prompt FROM supplier LEFT JOIN part ON p_partkey = s_suppkey")

@@ -58,6 +58,20 @@ def upsert_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(_base(spark, sf_dir), _delta(spark, sf_dir), ["c_custkey"])
 
 
+def update(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
+    """base with a delta's filled columns by key, and modified: whether the row has changed by it. Keys that base hasn't got add nothing (SNK-03)."""
+    columns = [c for c in delta.columns if c not in keys]
+    j = base.join(delta.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns]), keys, "left")
+    changed = reduce(lambda a, b: a | b, [F.col(f"_{c}").isNotNull() & ~F.col(f"_{c}").eqNullSafe(F.col(c)) for c in columns], F.lit(False))
+    j = j.withColumn("modified", changed)
+    return j.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns], "modified")
+
+
+@query("snk_03_update", f"SELECT c.c_custkey, coalesce(d.n, c.c_name) AS c_name, coalesce(d.a, c.c_acctbal) AS c_acctbal, c.c_mktsegment, d.k IS NOT NULL AND (d.n <> c.c_name OR d.a IS NOT NULL) AS modified FROM customer c LEFT JOIN ({_DELTA}) d ON d.k = c.c_custkey")
+def update_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return update(_base(spark, sf_dir), _delta(spark, sf_dir), ["c_custkey"])
+
+
 @query("snk_05_compound_upsert", "SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def compound_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = C.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
