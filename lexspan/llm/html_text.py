@@ -55,6 +55,8 @@ OUT_WORDS = frozenset(
     "newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer comment comments reply replies discussion disqus respond "
     "related recommended recommendations share sharing social widget widgets pagination pager search login toolbar skip complementary contentinfo".split()
 )
+#: Of these, words that articles have for parts of their own: inside an article element such a block is out only if it isn't prose, which takes so many words at least.
+MAY_BE_TEXT, PROSE = frozenset("related search share sharing social notice notices discussion widget widgets menu alert skip respond complementary navigation recommended".split()), 12
 #: Whole ids that do so inside an article element, where ids otherwise name its parts.
 OUT_IDS = frozenset("ad ads advert advertisement comments disqus respond newsletter sidebar breadcrumb breadcrumbs pagination navbar cookie-banner cookie-notice".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -83,6 +85,7 @@ class Piece:
     out: bool
     linked: int
     form: bool = False  # out for a form around it alone
+    doubt: int = 0  # the number of the block around it that is out unless it is prose
 
 
 @dataclass
@@ -92,6 +95,7 @@ class _Open:
     inside: bool
     barred: bool
     form: bool
+    doubt: int = 0
 
     @property
     def out(self) -> bool:
@@ -117,7 +121,7 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
     tags: dict[str, int] = {}
     stack = [_Open("", "", False, False, False)]
     text: list[str] = []
-    linked = in_link = 0
+    linked = in_link = doubts = 0
     pos, end, limit = 0, len(source), OPEN
 
     def flush():
@@ -127,7 +131,7 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
             text.clear()
             if said:
                 top = next((x for x in reversed(stack) if x.tag not in INLINE), stack[0])
-                pieces.append(Piece(top.path, said, top.inside, stack[-1].out, linked, not stack[-1].barred and stack[-1].form))
+                pieces.append(Piece(top.path, said, top.inside, stack[-1].out, linked, not stack[-1].barred and stack[-1].form, stack[-1].doubt))
         linked = 0
 
     while pos < end:
@@ -180,6 +184,7 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
                 del stack[k:]
             in_link = sum(x.tag == "a" for x in stack)
         top = stack[-1]
+        doubt = top.doubt
         squeezed = {re.sub("[^a-z]", "", n.lower()) for n in names}
         inside = top.inside or tag in INSIDE or bool(words & {"main", "article"} and "role" in m["rest"].lower()) or bool(squeezed & INSIDE_WORDS)
         if not top.inside:
@@ -187,7 +192,11 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
         elif tag in INLINE or tag in HEADINGS:
             said = False
         else:
-            said = any(w.lower() in OUT_WORDS for n in names if n not in ids for w in _NAME.findall(n)) or any(n.lower() in OUT_IDS for n in ids)
+            found = {w.lower() for n in names if n not in ids for w in _NAME.findall(n)} & OUT_WORDS
+            said = bool(found - MAY_BE_TEXT) or any(n.lower() in OUT_IDS for n in ids)
+            if found and not said and not doubt:
+                doubts += 1
+                doubt = doubts
         out = top.barred or hidden or tag in OUT_TAGS or said and tag not in ("html", "body", "article", "main")
         if tag in ("article", "main") and words & OUT_WORDS & {"comment", "comments", "reply", "related", "ad", "sponsored"}:
             out = True
@@ -201,13 +210,19 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
             tags[path] = tags.get(path, 0) + 1
         if m["rest"].rstrip().endswith("/") and tag in INLINE:
             continue
-        stack.append(_Open(tag, path if tag not in INLINE else top.path, inside, out, form))
+        stack.append(_Open(tag, path if tag not in INLINE else top.path, inside, out, form, doubt))
         in_link += tag == "a"
         if len(stack) > limit:  # unclosed inline tags without end; blocks stay, however deep
             stack[1:-1] = [x for x in stack[1:-1] if x.tag not in INLINE]
             in_link = sum(x.tag == "a" for x in stack)
             limit = max(OPEN, 2 * len(stack))
     flush()
+    for k in range(1, doubts + 1):
+        own = [p for p in pieces if p.doubt == k]
+        n = sum(len(p.text.split()) for p in own)
+        if n < PROSE or 2 * sum(p.linked for p in own) >= n:
+            for p in own:
+                p.out = True
     words = [len(p.text.split()) if p.form or not p.out else 0 for p in pieces]
     if 2 * sum(n for n, p in zip(words, pieces, strict=True) if p.form) > sum(words):  # a form that holds most of the page's words is none
         for p in pieces:
@@ -215,6 +230,12 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
     return pieces, tags
 
 
+def parent(path: str) -> int:
+    """The key of the path above; of a deep one it is written in the path."""
+    above = path.rpartition(">")[0]
+    return int(above[1:]) if above.startswith("#") and ">" not in above else key(above)
+
+
 def landmarks(tags: dict[str, int]) -> int:
     """What a page's cluster is known by: the sections right below its body, and its landmarks at any depth."""
     own = {p for p in tags if (last := p.rpartition(">")[2].partition(".")[0]) in _LANDMARKS or last in _SECTIONS and p.count(">") == 1}
@@ -277,7 +298,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     t[0] += 1
                     t[1] += words
                     around += words
-            rows += [(where, key(p) ^ cluster, page, cluster, tags.get(p, 0), p, key(p.rpartition(">")[0]) ^ cluster, *h[:3], 0, *h[3:], False) for p, h in held.items()]
+            rows += [(where, key(p) ^ cluster, page, cluster, tags.get(p, 0), p, parent(p) ^ cluster, *h[:3], 0, *h[3:], False) for p, h in held.items()]
             rows += [(where, key(f"{a}\0{t}") ^ cluster, page, cluster, n, None, key(a) ^ cluster, words, 0, 0, around, False, whole, True) for (a, t), (n, words) in texts.items()]
         cols = list(zip(*rows, strict=True)) or [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)

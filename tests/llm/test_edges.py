@@ -434,3 +434,25 @@ def test_registered_names():
     from lexspan.llm import registry
 
     assert [sum(q.startswith(f"op{n}_") for q in registry.QUERIES) for n in range(1, 11)] == [1] * 10
+
+
+@pytest.mark.parametrize("name", ["related work", "search results", "share-of-market", "social policy", "notice period", "discussion", "widget-physics", "menu"])
+def test_html_class_words_of_prose_are_overruled(name):
+    """Inside an article a block whose class has such a word stays if it is prose, and goes if it is links or labels."""
+    prose = "A full paragraph of the article that goes on for some words and says what it has to say."
+    pieces, _ = html_text.parse(f'<article><p>First words of the text.</p><div class="{name}"><p>{prose}</p></div></article>')
+    assert html_text.article(pieces) == f"First words of the text. {prose}"
+    links = " ".join(f'<a href="/{k}">some other page {k}</a>' for k in range(9))
+    for inner in (links, "<span>Share</span>"):
+        pieces, _ = html_text.parse(f'<article><p>First words of the text.</p><div class="{name}">{inner}</div></article>')
+        assert html_text.article(pieces) == "First words of the text."
+    pieces, _ = html_text.parse(f'<article><p>First words of the text.</p><div class="comments"><p>{prose}</p></div><div class="ad"><p>{prose}</p></div></article>')
+    assert html_text.article(pieces) == "First words of the text."
+
+
+def test_html_parents_of_deep_paths():
+    """The parent of a path that is told by a hash is the path that was hashed."""
+    deep = "".join(f'<div class="{"x" * 300}{chr(97 + k)}">' for k in range(9))
+    _, tags = html_text.parse(deep + "text")
+    keys = {html_text.key(p) for p in tags}
+    assert any(p.startswith("#") for p in tags) and all(html_text.parent(p) in keys | {html_text.key("")} for p in tags)
