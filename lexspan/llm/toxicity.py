@@ -22,13 +22,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Words, checkpoint, chunks, table, text_bytes
 
-#: The bound of the labelled rows that teach: the rows with the least hash of their id.
-EXAMPLES = 8192
+#: The bounds of the labelled rows that teach: the rows with the least hash of their id, so many and with so many bytes of text together. They bound the index, which goes
+#: to every task: a posting and its cell take 24 bytes at most, and a text has fewer postings than a third of its bytes.
+EXAMPLES, EXAMPLE_BYTES = 8192, 32 << 20
 NEAREST = 16
 #: Examples of a block, and how many blocks a query opens before it looks which of the others may still hold a nearer one.
 BLOCK, FEW = 64, 8
@@ -207,44 +208,50 @@ class Index:
         self.ids = np.array([min(ids[i] for i in by[k]) for k in keys])
         self.of = {i: g for g, k in enumerate(keys) for i in by[k]}
         keys = [vectors[first[k]] for k in keys]
-        n_blocks = -(-len(keys) // BLOCK)
+        self.n_blocks = -(-len(keys) // BLOCK)
         term = np.concatenate([t for t, _ in keys])
         row = np.repeat(np.arange(len(keys)), [len(k[0]) for k in keys])
         weight = np.concatenate([w for _, w in keys])
         order = np.lexsort((row, term))
         self.row, self.weight = row[order].astype(np.int32), weight[order]
-        place = term[order] * n_blocks + self.row // BLOCK
-        self.cut = np.searchsorted(place, np.arange(n_terms * n_blocks + 1)).astype(np.int32)
-        most = np.zeros(n_terms * n_blocks)
-        np.maximum.at(most, place, self.weight)
-        self.most = np.nextafter(most.astype(np.float32), np.float32(2)).reshape(n_terms, n_blocks)  # never below
-        self.n_blocks = n_blocks
+        # the postings of a term in a block are a cell; only those that are there are kept, with their largest weight
+        place = term[order] * self.n_blocks + self.row // BLOCK
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        self.block = (place[first] % self.n_blocks).astype(np.int32)
+        self.most = np.nextafter(np.maximum.reduceat(self.weight, first).astype(np.float32), np.float32(2))  # never below
+        self.start = np.append(first, len(place)).astype(np.int32)
+        self.cells = np.searchsorted(place[first] // self.n_blocks, np.arange(n_terms + 1)).astype(np.int32)
+
+    def _cells_of(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of terms, and of which term (its place in t) each is."""
+        lo, many = self.cells[t], self.cells[t + 1] - self.cells[t]
+        return np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum())), np.repeat(np.arange(len(t)), many)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of largest cosine, ties by row, and the cosines. Exact."""
-        bound = w @ self.most[t] + 1e-6
+        cell, of = self._cells_of(t)
+        bound = np.bincount(self.block[cell], weights=w[of] * self.most[cell], minlength=self.n_blocks) + 1e-6
         order = np.argsort(-bound, kind="stable")
-        who, cos = self._best(order[:FEW], t, w, k)
+        who, cos = self._best(order[:FEW], cell, w[of], k)
         left = order[FEW:]
         if len(cos) >= k:
             left = left[bound[left] >= cos[k - 1]]
         if len(left):
-            more, more_cos = self._best(left, t, w, k)
+            more, more_cos = self._best(left, cell, w[of], k)
             who, cos = np.concatenate((who, more)), np.concatenate((cos, more_cos))
             best = np.lexsort((who, -cos))[:k]
             who, cos = who[best], cos[best]
         return who, cos
 
-    def _best(self, blocks: np.ndarray, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best rows of some blocks."""
+    def _best(self, blocks: np.ndarray, cell: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows of some blocks; cell, weight: the cells of a query's terms, and the terms' weights."""
         rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         rows = rows[rows < len(self.n)]
-        if len(blocks) <= 2 * FEW:  # the postings of each term in each block
-            cell = (t[:, None] * self.n_blocks + blocks).ravel()
-            lo, hi, weight = self.cut[cell], self.cut[cell + 1], np.repeat(w, len(blocks))
-        else:  # those of each term, which stand together
-            lo, hi, weight = self.cut[t * self.n_blocks], self.cut[(t + 1) * self.n_blocks], w
-        many = hi - lo
+        opened = np.zeros(self.n_blocks, bool)
+        opened[blocks] = True
+        some = opened[self.block[cell]]
+        cell, weight = cell[some], weight[some]
+        lo, many = self.start[cell], self.start[cell + 1] - self.start[cell]
         spot = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         got = np.bincount(self.row[spot], weights=np.repeat(weight, many) * self.weight[spot], minlength=len(self.n))[rows]
         if len(got) > k:  # only what is among the best, ties included
@@ -298,6 +305,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     taught = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     chosen = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
     examples = checkpoint(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))  # EXAMPLES rows at most
+    sizes = examples.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of EXAMPLES numbers
+    examples = examples.join(F.broadcast(sizes.withColumn("so_far", so_far).where(F.col("so_far") <= EXAMPLE_BYTES).select("doc_id")), "doc_id", "left_semi")
     n, n_toxic = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (n_toxic + 1) / (n + 20)
     terms, tells = choose_terms(examples, n, n_toxic) if n_toxic else (np.zeros(0, np.uint64), np.zeros(0, bool))
