@@ -233,7 +233,7 @@ def parse(source: str) -> tuple[list[Piece], dict[str, int]]:
 def parent(path: str) -> int:
     """The key of the path above; of a deep one it is written in the path."""
     above = path.rpartition(">")[0]
-    return int(above[1:]) if above.startswith("#") and ">" not in above else key(above)
+    return int(above[1:-1]) if above.startswith("#") and above.find(">") == len(above) - 1 else key(above)
 
 
 def landmarks(tags: dict[str, int]) -> int:
