@@ -16,15 +16,21 @@ def barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("conv")).agg(n.alias("waiting"), (n == 0).alias("ready"))
 
 
+#: Every seventh turn stands for an answer that failed.
+_STATUS = "CASE WHEN turn % 7 = 5 THEN 'Failed' ELSE 'Processed' END"
+
+
 @query(
     "cnv_03_history",
-    """SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN 'assistant: ' || CASE WHEN length(text) > 800 THEN left(text, 800) || '…' ELSE text END ELSE 'human: ' || text END, chr(10) ORDER BY turn) AS history
-    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role IN ('user', 'assistant')) WHERE n <= 20 GROUP BY conv_id""",
+    f"""SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN 'assistant: ' || CASE WHEN length(text) > 800 THEN left(text, 800) || '…' ELSE text END ELSE 'human: ' || text END, chr(10) ORDER BY turn) AS history
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT *, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS now FROM conversations)
+        WHERE role IN ('user', 'assistant') AND {_STATUS} = 'Processed' AND turn IS DISTINCT FROM now) WHERE n <= 20 GROUP BY conv_id""",
 )
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twenty messages of each conversation, long answers cut at 800 characters."""
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    a = C.table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").withColumn("n", n).where("n <= 20")
+    """The first twenty messages of each conversation that are done, without the answer in the making (its last), long answers cut at 800 characters."""
+    now = C.table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("now"))
+    done = C.table(spark, sf_dir, "conversations").where(f"role in ('user', 'assistant') and {_STATUS} = 'Processed'").join(now, "conv_id", "left").where("not (turn <=> now)")
+    a = done.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("n <= 20")
     cut = F.when(F.length("text") > 800, F.concat(F.substring("text", 1, 800), F.lit("…"))).otherwise(F.col("text"))
     line = F.when(F.col("role") == "assistant", F.concat(F.lit("assistant: "), cut)).otherwise(F.concat(F.lit("human: "), "text"))
     return a.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("history"))

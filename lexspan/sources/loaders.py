@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +50,64 @@ def chunk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("k").cast("long").alias("k"), F.md5("c").alias("chunk_md5"))
 
 
+# What a text is split at, the first that it has; pieces begin with it.
+SEPARATORS = ("\n\n", "\n", " ", "")
+
+
+def _runs(text: str, begin: int, end: int, level: int, size: int) -> Iterator[list[int]]:
+    """The bounds of the pieces of text[begin:end], in runs of neighbours shorter than size; longer pieces are split at the next separators."""
+    while SEPARATORS[level] and text.find(SEPARATORS[level], begin, end) < 0:
+        level += 1
+    if not SEPARATORS[level]:
+        yield list(range(begin, end + 1))
+        return
+    found = re.compile(re.escape(SEPARATORS[level])).finditer(text, begin, end)
+    bounds = sorted({begin, end, *(m.start() for m in found)})
+    run: list[int] = []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        if b - a < size:
+            run += [b] if run else [a, b]
+        else:
+            if run:
+                yield run
+            run = []
+            yield from _runs(text, a, b, level + 1, size)
+    if run:
+        yield run
+
+
+def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """Chunks of at most size characters that end between pieces; each goes on with the last pieces of the one before, overlap characters at most."""
+    out = []
+    for run in _runs(text, 0, len(text), 0, size) if text else ():
+        first = 0
+        for k in range(len(run) - 1):
+            if run[k + 1] - run[first] > size:
+                if k > first:
+                    out.append(text[run[first] : run[k]].strip())
+                while run[k] - run[first] > overlap or run[k + 1] - run[first] > size and k > first:
+                    first += 1
+        out.append(text[run[first] : run[-1]].strip())
+    return [c for c in out if c]
+
+
+def split_texts(docs: DataFrame, key: str) -> DataFrame:
+    """docs (key, text): (key, page, text), the chunks of a text as its pages from 1 on; none for a null or blank text."""
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            rows = [(k, n, c) for k, t in zip(d[key], d["text"], strict=True) for n, c in enumerate(split_text(t or ""), 1)]
+            yield pd.DataFrame(rows, columns=[key, "page", "text"])
+
+    return docs.select(key, "text").mapInPandas(pages, f"{key} {docs.schema[key].dataType.simpleString()}, page int, text string")
+
+
+@query("src_04_recursive_chunks")
+def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts split at paragraphs, lines, words and letters in turn, with what chunks share carried over."""
+    return split_texts(C.table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "page", F.length("text").alias("n_chars"), F.md5("text").alias("chunk_md5"))
+
+
 @query("src_06_scan_detector", "SELECT l_orderkey, sum(l_tax) / nullif(sum(l_quantity), 0) < 0.002 AS is_scan FROM lineitem GROUP BY l_orderkey")
 def scan_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file whose text areas are a small share of its page areas is a scan; without area too. Line tax stands in for text area."""
@@ -67,19 +129,44 @@ def page_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", page_number(F.col("k")).cast("long").alias("page"), F.col("v").cast("long").alias("n_lines"))
 
 
-@query("src_15_numbered_sources", "SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY doc_id, page) AS n, 'f' || doc_id AS file_id, page, length(t) // 4 AS tokens FROM (SELECT source AS conv, doc_id, p // 12 + 1 AS page, string_agg(x, chr(10) ORDER BY p) AS t FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents) GROUP BY ALL) WHERE trim(t) <> ''")
-def numbered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All filled pages of a conversation in order, numbered, with estimated tokens."""
+_PAGES_SQL = "SELECT source AS conv, doc_id, p // 12 + 1 AS page, string_agg(x, chr(10) ORDER BY p) AS t FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents) GROUP BY ALL"
+
+
+def filled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv, doc_id, page, t): pages with text."""
     d = C.table(spark, sf_dir, "documents").select(F.col("source").alias("conv"), "doc_id", F.posexplode(F.split("text", "\n")).alias("p", "x"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda r: r["x"]), "\n")
-    pages = d.groupBy("conv", "doc_id", F.expr("p div 12 + 1").alias("page")).agg(text.alias("t")).where("trim(t) <> ''")
-    return pages.select("conv", F.row_number().over(Window.partitionBy("conv").orderBy("doc_id", "page")).alias("n"), F.concat(F.lit("f"), "doc_id").alias("file_id"), "page", F.expr("length(t) div 4").alias("tokens"))
+    return d.groupBy("conv", "doc_id", F.expr("p div 12 + 1").alias("page")).agg(text.alias("t")).where("trim(t) <> ''")
+
+
+def numbered(pages: DataFrame) -> DataFrame:
+    """pages with n, their number in the conversation by file and page: a page's place in its file, and what the files before have. Only files are ordered by conversation."""
+    in_file = F.row_number().over(Window.partitionBy("conv", "doc_id").orderBy("page"))
+    counts = pages.groupBy("conv", "doc_id").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("conv").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return pages.join(counts.select("conv", "doc_id", before.alias("_before")), ["conv", "doc_id"]).withColumn("n", in_file + F.col("_before")).drop("_before")
+
+
+@query("src_15_numbered_sources", f"SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY doc_id, page) AS n, 'f' || doc_id AS file_id, page, length(t) // 4 AS tokens FROM ({_PAGES_SQL}) WHERE trim(t) <> ''")
+def numbered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All filled pages of a conversation in order, numbered, with estimated tokens."""
+    return numbered(filled_pages(spark, sf_dir)).select("conv", "n", F.concat(F.lit("f"), "doc_id").alias("file_id"), "page", F.expr("length(t) div 4").alias("tokens"))
+
+
+@query("src_15_citation_map", f"SELECT s.conv, s.n AS source, 'f' || s.doc_id AS file_id, ['Framework Agreement ', 'Work Order ', 'Addendum ', 'Termination Notice ', 'Policy '][s.doc_id // 20 % 5 + 1] || s.doc_id AS file_name, s.page::VARCHAR AS page_number, md5('[Source ' || s.n || ': ' || ['Framework Agreement ', 'Work Order ', 'Addendum ', 'Termination Notice ', 'Policy '][s.doc_id // 20 % 5 + 1] || s.doc_id || ', Page ' || s.page || ']' || chr(10) || s.t || chr(10)) AS block_md5 FROM (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY doc_id, page) AS n FROM ({_PAGES_SQL}) WHERE trim(t) <> '') s")
+def citation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source number stands for, and the block of text that is shown under it."""
+    a = numbered(filled_pages(spark, sf_dir)).join(C.files(spark, sf_dir).select("doc_id", "file_id", "file_name"), "doc_id")
+    block = F.concat(F.lit("[Source "), "n", F.lit(": "), "file_name", F.lit(", Page "), "page", F.lit("]\n"), "t", F.lit("\n"))
+    return a.select("conv", F.col("n").alias("source"), "file_id", "file_name", F.col("page").cast("string").alias("page_number"), F.md5(block).alias("block_md5"))
 
 
-@query("src_16_summary", "SELECT source AS conv, doc_id, sum(length(text))::BIGINT AS n_chars, sum(length(text) // 4)::BIGINT AS tokens, count(*) AS files FROM documents GROUP BY ROLLUP (source, doc_id)")
+@query("src_16_summary", f"SELECT conv, doc_id, count(*) AS pages, sum(length(t))::BIGINT AS n_chars, sum(length(t))::BIGINT // 4 AS tokens, count(DISTINCT doc_id) AS files FROM ({_PAGES_SQL}) WHERE trim(t) <> '' GROUP BY ROLLUP (conv, doc_id)")
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = C.table(spark, sf_dir, "documents").select(F.col("source").alias("conv"), "doc_id", F.length("text").alias("c"))
-    return d.rollup("conv", "doc_id").agg(F.sum("c").alias("n_chars"), F.sum(F.expr("c div 4")).alias("tokens"), F.count(F.lit(1)).alias("files"))
+    """Filled pages, their characters and estimated tokens by file, by conversation and in all: counted by file first, so that the rollup sees files only."""
+    d = filled_pages(spark, sf_dir).groupBy("conv", "doc_id").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("t")).alias("c"))
+    g = d.rollup("conv", "doc_id").agg(F.sum("pages").alias("pages"), F.sum("c").alias("n_chars"), F.count(F.lit(1)).alias("files"))
+    return g.select("conv", "doc_id", "pages", "n_chars", F.expr("n_chars div 4").alias("tokens"), "files")
 
 
 @query("src_17_conversation_files", "SELECT DISTINCT source AS conv, doc_id, CASE WHEN source IN (SELECT source FROM documents WHERE doc_id % 50 = 3) THEN 'attached' ELSE 'stored' END AS origin FROM documents WHERE doc_id % 50 = 3 OR source NOT IN (SELECT source FROM documents WHERE doc_id % 50 = 3)")

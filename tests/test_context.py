@@ -215,3 +215,54 @@ def test_listeners_are_told_once(rocks, tmp_path):
             want = {(r["message"], "Element", r["at"], r["element"]) for r in batch(every).collect()}
             out = [r for r in out if r[1] == "Element"]
         assert len(out) == len(set(out)) and set(out) == want
+
+
+def plain_split(text, separators=("\n\n", "\n", " ", ""), size=2000, overlap=200):
+    """A recursive splitter with lists of pieces, as a check."""
+    sep = next(s for s in separators if s == "" or s in text)
+    rest = separators[separators.index(sep) + 1 :]
+    if sep:
+        parts = text.split(sep)
+        pieces = [p for p in [parts[0], *(sep + p for p in parts[1:])] if p]
+    else:
+        pieces = list(text)
+    out, good = [], []
+
+    def merge():
+        held, total = [], 0
+        for p in good:
+            if total + len(p) > size:
+                if held:
+                    out.append("".join(held).strip())
+                while total > overlap or (total + len(p) > size and total > 0):
+                    total -= len(held.pop(0))
+            held.append(p)
+            total += len(p)
+        out.append("".join(held).strip())
+        good.clear()
+
+    for p in pieces:
+        if len(p) < size:
+            good.append(p)
+        else:
+            if good:
+                merge()
+            out.extend(plain_split(p, rest, size, overlap) if rest else [p])
+    if good:
+        merge()
+    return [c for c in out if c]
+
+
+def test_recursive_split(spark, sf_dir):
+    from lexspan.sources import loaders
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(6)
+    odd = ["", None, " \n\n ", "x" * 5000, ("y" * 2500 + " ") * 3, "a\n\nb" * 900, "\n" * 4100]
+    odd += ["".join(rng.choice(["ab", " ", "\n", "\n\n", "z" * 300, "word"], int(rng.integers(1, 900)))) for _ in range(60)]
+    every = docs.union(spark.createDataFrame([(-k - 1, t) for k, t in enumerate(odd)], "doc_id long, text string"))
+    got = {}
+    for r in loaders.split_texts(every, "doc_id").orderBy("doc_id", "page").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    for r in every.collect():
+        assert got.get(r["doc_id"], []) == (plain_split(r["text"]) if r["text"] else []), r["doc_id"]
