@@ -22,10 +22,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_dir, table
+from .shared import checkpoint, fresh_dir, n_parts, table
 
 #: Bytes of a range that one task scans.
 RANGE = 8 << 20
+#: Tasks that read ranges, for each partition of a shuffle.
+TASKS = 64
 MAGIC = b"\x1f\x8b\x08"
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -79,18 +81,22 @@ def _writer(uri: str, level: int):
     return write
 
 
-def write_archives(pages: DataFrame, uri: str, min_bytes: int = 0, level: int = 6) -> list[dict]:
-    """Writes pages (page_id, url, html) below uri, a file a task. Returns (file, bytes, records) of the files of tasks that succeeded."""
+def write_archives(pages: DataFrame, uri: str, min_bytes: int = 0, level: int = 6) -> DataFrame:
+    """Writes pages (page_id, url, html) below uri, a file a task. Returns (file, bytes, records) of the files of tasks that succeeded.
+
+    Digests meet without their payloads; who refers to whom then joins the pages by id and digest, so that a payload with a third of all rows is no key.
+    """
     at, root = fs.FileSystem.from_uri(uri)
     at.create_dir(root)
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     hashed = pages.withColumn("_sha", F.sha1(F.encode("html", "utf-8")))
     # only digests that occur twice go on to the join with the pages; hot ones are one row each after partial aggregation
     by = hashed.where(F.octet_length("html") >= min_bytes).groupBy("_sha").agg(F.min("page_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
-    marked = hashed.join(by.where("_n > 1 and _least is not null").drop("_n"), "_sha", "left")
-    refers = F.when(F.col("_least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_least")), F.col("_least"))
-    made = marked.select("page_id", "url", "html", refers.alias("refers")).mapInArrow(_writer(uri, level), "file string, bytes long, records long")
-    return [r.asDict() for r in made.collect()]  # a row a file
+    again = hashed.select("page_id", "_sha").join(by.where("_n > 1 and _least is not null").drop("_n"), "_sha").where(~F.col("page_id").eqNullSafe(F.col("_least")))
+    again = again.select(F.col("page_id").alias("_id"), F.col("_sha").alias("_of"), "_least").distinct()
+    marked = hashed.join(again, hashed["page_id"].eqNullSafe(F.col("_id")) & (hashed["_sha"] == F.col("_of")), "left")
+    made = marked.select("page_id", "url", "html", F.col("_least").alias("refers")).mapInArrow(_writer(uri, level), "file string, bytes long, records long")
+    return checkpoint(made)  # written once
 
 
 _SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -181,16 +187,16 @@ def _reader(uri: str, payloads: bool):
     return read
 
 
-def read_archives(spark: SparkSession, uri: str, files: list[dict], size: int = RANGE, payloads: bool = True) -> DataFrame:
-    """All records of the files (file, bytes) below uri."""
-    ranges = [(f["file"], a, min(a + size, f["bytes"]), f["bytes"]) for f in files for a in range(0, f["bytes"], size)]
-    if not ranges:
-        return spark.createDataFrame([], _SCHEMA)
-    parts = spark.createDataFrame(ranges, "file string, start long, end long, bytes long").repartition(len(ranges))
-    return parts.mapInArrow(_reader(uri, payloads), _SCHEMA)
+def read_archives(files: DataFrame, uri: str, size: int = RANGE, payloads: bool = True) -> DataFrame:
+    """All records of the files (file, bytes) below uri: each is cut into ranges of bytes, which are dealt to as many tasks as there are, up to TASKS for each
+    partition of a shuffle."""
+    ranges = files.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(size).cast("long"))).alias("start"))
+    ranges = ranges.select("file", "start", F.least(F.col("start") + size, "bytes").alias("end"), "bytes")
+    total = files.agg(F.sum(F.ceil(F.col("bytes") / size))).first()[0] or 1
+    return ranges.repartition(int(min(total, TASKS * n_parts(files.sparkSession)))).mapInArrow(_reader(uri, payloads), _SCHEMA)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = fresh_dir(spark, "warc")
     files = write_archives(table(spark, sf_dir, "pages"), uri)
-    return read_archives(spark, uri, files, payloads=False).drop("payload")
+    return read_archives(files, uri, payloads=False).drop("payload")

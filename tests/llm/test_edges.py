@@ -328,13 +328,13 @@ def test_warc(spark):
     uri = shared.fresh_dir(spark, "w")
     files = warc.write_archives(df, uri)
     for size in (97, 1 << 20):
-        got = {r["page_id"]: r for r in warc.read_archives(spark, uri, files, size).collect()}
+        got = {r["page_id"]: r for r in warc.read_archives(files, uri, size).collect()}
         assert len(got) == 6 and got[1]["url"] == rows[0][1] and got[2]["url"] is None
         assert {k: v["refers_to"] for k, v in got.items()} == {1: None, 2: 1, 3: None, 4: 3, None: None, 5: None}
         assert bytes(got[5]["payload"]) == rows[5][2].encode()
     whole = warc.write_archives(df, shared.fresh_dir(spark, "w"), min_bytes=1)
-    assert sum(f["records"] for f in whole) == 6
-    assert warc.read_archives(spark, uri, warc.write_archives(df.where("false"), shared.fresh_dir(spark, "w"))).count() == 0
+    assert whole.agg(F.sum("records")).first()[0] == 6
+    assert warc.read_archives(warc.write_archives(df.where("false"), shared.fresh_dir(spark, "w")), uri).count() == 0
 
 
 def test_sampling_is_without_replacement():
