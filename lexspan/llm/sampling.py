@@ -17,7 +17,7 @@ Noise is a hash of the row's key and the place in the lattice, so results don't
 
 Defined results: a null text is empty; an empty text has its one segmentation (that of the added blank); where a text has fewer than k
 segmentations all are given, with inclusion 1 for the last frontier being empty; a null key counts as key 0; repeated rows get equal samples; an
-empty table gives an empty result; further columns are ignored.
+empty table gives an empty result; further columns are ignored. Decoded texts have a blank for each U+2581 of the text, which the pieces use as their blank.
 """
 
 from __future__ import annotations
