@@ -1,4 +1,4 @@
-"""Documents to packed training batches: stages that each read what the one before wrote."""
+"""Documents to the training batches that hold them: stages that each read what the one before wrote. The last one tells each kept document's length, bucket and batch."""
 
 from __future__ import annotations
 

@@ -483,6 +483,23 @@ def organisation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sections(spark, sf_dir).join(organisation_files(spark, sf_dir).select("file_id").distinct(), "file_id", "left_semi").select("file_id", "section_id")
 
 
+#: Names that a question is asked with besides its own words.
+NAMES = 4
+
+
+@query("ret_05_augmented_query", oracle(f"SELECT c.conv, c.question || CASE WHEN n.names IS NULL THEN '' ELSE ' [' || n.names || ']' END AS query FROM (SELECT DISTINCT conv, {_QUESTION} AS question FROM files) c LEFT JOIN (SELECT conv, string_agg('\"' || a || '\"', ' OR ' ORDER BY a) AS names FROM (SELECT conv, a, row_number() OVER (PARTITION BY conv ORDER BY a) AS n FROM (SELECT DISTINCT conv, unnest(aliases) AS a FROM grouped WHERE len(list_filter(string_split(alias_key, ' '), lambda t: length(t) >= 3 AND contains(lower({_QUESTION}), t))) > 0)) WHERE n <= {NAMES} GROUP BY conv) n USING (conv)", **E.FRAMES, grouped=E.GROUPS))
+def augmented_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's question with the first names of the people and organisations that it names (RET-05)."""
+    g = E.alias_groups(E.index(spark, sf_dir))
+    q = F.lower(questions(g))
+    hit = g.where(F.exists(F.split("alias_key", " "), lambda t: (F.length(t) >= 3) & q.contains(t)))
+    names = hit.select("conv", F.explode("aliases").alias("a")).distinct().withColumn("n", _n(["conv"], "a")).where(F.col("n") <= NAMES)
+    quoted = F.array_join(F.transform(F.sort_array(F.collect_list("a")), lambda a: F.concat(F.lit('"'), a, F.lit('"'))), " OR ")
+    c = C.files(spark, sf_dir).select("conv").distinct()
+    c = c.join(names.groupBy("conv").agg(quoted.alias("names")), "conv", "left")
+    return c.select("conv", F.concat(questions(c), F.coalesce(F.concat(F.lit(" ["), "names", F.lit("]")), F.lit(""))).alias("query"))
+
+
 @query("prs_18_defined_terms", oracle("SELECT file_id, term, definition FROM defined", defined=DEFINED_SQL))
 def defined_term_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.defined_terms(C.sections(spark, sf_dir)).select("file_id", "term", "definition")

@@ -70,7 +70,7 @@ _COUNTS = "SELECT conv, sum(n)::BIGINT AS nodes, sum(e)::BIGINT AS edges FROM (S
 @C.parse_once
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph is built and kept, one conversation is built again, and the kept tables are counted by conversation."""
-    folder = f"{C._folder(spark)}/graph-{uuid.uuid4().hex}"
+    folder = C.written_to(spark, "graph")
     nodes, edges = G.nodes(spark, sf_dir), G.edges(spark, sf_dir)
     keep_graph(nodes, edges, folder)
     again = F.col("conv") == "src1"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +51,7 @@ def verified_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     its batches again, so retries need no code."""
     from ..functions import text as X
 
-    path = f"{C._folder(spark)}/points-{uuid.uuid4().hex}"
+    path = C.written_to(spark, "points")
     n = F.row_number().over(Window.partitionBy("file_id").orderBy("section_id"))
     s = C.sections(spark, sf_dir).select("file_id", X.point_id(F.col("file_id"), F.col("section_id")).alias("point_id"), F.ceil(n / BATCH).alias("batch"), "clause_type")
     s.write.parquet(path)

@@ -1,4 +1,4 @@
-"""Merges into tables without a table format, and a compiler of document pipelines (SNK, SRC-21).
+"""Merges into tables without a table format, and what aggregations of a document store become (SNK, SRC-21).
 
 A merge is one shuffle: base and delta are unioned with a sequence number and the last value that isn't null wins by key and
 column. Tables written by partition are then overwritten partition by partition.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import contract as C
@@ -117,65 +117,27 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), "doc_id").alias("file_id"), F.col("source").alias("conv"), F.md5(F.concat(F.lit("f"), "doc_id", F.lit(":1.1"))).alias("check_id"), (F.length("text") > 0).alias("embedded"))
 
 
-# --- document pipelines ---------------------------------------------------------------------------------------------------------
-
-_TESTS = {"$eq": lambda c, v: c.eqNullSafe(v), "$ne": lambda c, v: ~c.eqNullSafe(v), "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v, "$in": lambda c, v: c.isin(v), "$nin": lambda c, v: ~F.coalesce(c.isin(v), F.lit(False)), "$exists": lambda c, v: c.isNotNull() if v else c.isNull(), "$regex": lambda c, v: c.rlike(v)}
-_SUMS = {"$sum": F.sum, "$avg": F.avg, "$min": F.min, "$max": F.max, "$first": F.first, "$last": F.last, "$push": F.collect_list, "$addToSet": F.collect_set}
-
-
-def _condition(match: dict) -> Column:
-    out = F.lit(True)
-    for k, v in match.items():
-        if k in ("$and", "$or"):
-            parts = [_condition(m) for m in v]
-            here = reduce((lambda a, b: a & b) if k == "$and" else (lambda a, b: a | b), parts)
-        elif isinstance(v, dict):
-            here = reduce(lambda a, b: a & b, [_TESTS[op](F.col(k), x) for op, x in v.items()])
-        else:
-            here = F.col(k).eqNullSafe(v)
-        out = out & here
-    return out
-
-
-def _value(v):
-    return F.col(v[1:]) if isinstance(v, str) and v.startswith("$") else F.lit(v)
-
-
-def run_pipeline(df: DataFrame, pipeline: list[dict], tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Aggregation stages as DataFrame operations; an unknown stage is an error."""
-    for stage in pipeline:
-        ((op, arg),) = stage.items()
-        if op == "$match":
-            df = df.where(_condition(arg))
-        elif op == "$project":
-            keep = {k: v for k, v in arg.items() if v != 0}
-            df = df.select(*[F.col(k) if v == 1 else _value(v).alias(k) for k, v in keep.items()]) if keep else df.drop(*arg)
-        elif op == "$addFields":
-            df = df.withColumns({k: _value(v) for k, v in arg.items()})
-        elif op == "$group":
-            sums = [(F.count(F.lit(1)) if (f, x) in (("$sum", 1), ("$count", {})) else _SUMS[f](_value(x))).alias(k) for k, s in arg.items() if k != "_id" for f, x in s.items()]
-            by = arg["_id"]
-            df = df.groupBy(*([] if by is None else [_value(by).alias("_id")] if isinstance(by, str) else [_value(v).alias(k) for k, v in by.items()])).agg(*sums)
-        elif op == "$sort":
-            df = df.orderBy(*[F.asc(k) if v == 1 else F.desc(k) for k, v in arg.items()])
-        elif op == "$limit":
-            df = df.limit(arg)
-        elif op == "$skip":
-            df = df.offset(arg)
-        elif op == "$unwind":
-            df = df.withColumn(arg[1:], F.explode(arg[1:]))
-        elif op == "$count":
-            df = df.agg(F.count(F.lit(1)).alias(arg))
-        elif op == "$lookup":
-            right = tables[arg["from"]]
-            packed = right.groupBy(F.col(arg["foreignField"]).alias("_f")).agg(F.collect_list(F.struct(*right.columns)).alias(arg["as"]))
-            df = df.join(packed, F.col(arg["localField"]).eqNullSafe(F.col("_f")), "left").drop("_f")
-        else:
-            raise ValueError(f"unknown stage {op}")
-    return df
+# --- what aggregation pipelines of a document store become ------------------------------------------------------------------------
 
 
 @query("src_21_pipeline", "SELECT o_orderpriority AS _id, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(18,2) AS total, count(*) AS n FROM orders WHERE o_totalprice > 1000 AND o_orderstatus IN ('O', 'F') GROUP BY 1")
 def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = run_pipeline(C.table(spark, sf_dir, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")), [{"$match": {"o_totalprice": {"$gt": 1000}, "o_orderstatus": {"$in": ["O", "F"]}}}, {"$group": {"_id": "$o_orderpriority", "total": {"$sum": "$o_totalprice"}, "n": {"$sum": 1}}}])
-    return d.withColumn("total", F.col("total").cast("decimal(18,2)"))
+    """Match and group."""
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    found = C.table(spark, sf_dir, "orders").where((price > 1000) & F.col("o_orderstatus").isin("O", "F"))
+    return found.groupBy(F.col("o_orderpriority").alias("_id")).agg(F.sum(price).cast("decimal(18,2)").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+@query("src_21_lookup", "SELECT c.c_custkey, count(o.o_orderkey) AS orders, coalesce(string_agg(o.o_orderkey::VARCHAR, ',' ORDER BY o.o_orderkey), '') AS keys FROM (SELECT * FROM customer WHERE c_acctbal > 0) c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
+def lookup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-up of an array: each customer with its orders, none as an empty one; grouped before the join, so a customer meets one row."""
+    orders = C.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("o"))
+    a = C.table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey").join(orders, "c_custkey", "left").withColumn("o", F.coalesce("o", F.array().cast("array<bigint>")))
+    return a.select("c_custkey", F.size("o").cast("long").alias("orders"), F.array_join(F.transform("o", lambda x: x.cast("string")), ",").alias("keys"))
+
+
+@query("src_21_unwind_sort_skip", "SELECT word, n FROM (SELECT unnest(string_split(p_name, ' ')) AS word, count(*) AS n FROM part GROUP BY 1) ORDER BY n DESC, word LIMIT 10 OFFSET 3")
+def unwind_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unwind, count, sort, skip and limit."""
+    words = C.table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").offset(3).limit(10)

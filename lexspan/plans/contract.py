@@ -7,10 +7,11 @@ parses once: within `parse_once` these frames are written tables of the shared f
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,6 +30,8 @@ SUFFIXES = {
 
 
 Frame = Callable[[SparkSession, str], DataFrame]
+#: Paths written by each session.
+_PATHS: dict[int, list[str]] = {}
 _written: ContextVar[dict[tuple[str, str], DataFrame] | None] = ContextVar("_written", default=None)
 
 
@@ -48,6 +51,32 @@ def parse_once(query: Frame) -> Frame:
     return run
 
 
+@contextlib.contextmanager
+def prepared(spark: SparkSession) -> Iterator[None]:
+    """Within, all queries share the frames of `once`: each is written the first time that a query needs it. Their tables go at the end."""
+    held: dict[tuple[str, str], DataFrame] = {}
+    token = _written.set(held)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        clear(spark)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that queries of this session have written so far; what reads them must be done."""
+    for path in _PATHS.pop(id(spark), []):
+        gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
+def written_to(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which `clear` removes."""
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.setdefault(id(spark), []).append(path)
+    return path
+
+
 def once(frame: Frame) -> Frame:
     """frame, which within parse_once is made once and then read."""
 
@@ -58,7 +87,7 @@ def once(frame: Frame) -> Frame:
             return frame(spark, sf_dir)
         key = (frame.__name__, sf_dir)
         if key not in held:
-            path = f"{_folder(spark)}/{frame.__name__}-{uuid.uuid4().hex}"
+            path = written_to(spark, frame.__name__)
             frame(spark, sf_dir).write.parquet(path)
             held[key] = spark.read.parquet(path)
         return held[key]

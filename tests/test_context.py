@@ -266,3 +266,16 @@ def test_recursive_split(spark, sf_dir):
         got.setdefault(r["doc_id"], []).append(r["text"])
     for r in every.collect():
         assert got.get(r["doc_id"], []) == (plain_split(r["text"]) if r["text"] else []), r["doc_id"]
+
+
+def test_prepared_frames_are_shared_and_go(spark, sf_dir):
+    """Queries within share written frames, and nothing of them is left at the end."""
+    from lexspan import catalog
+    from lexspan.plans import contract
+
+    contract.clear(spark)
+    with contract.prepared(spark):
+        first = catalog.QUERIES["xrf_08_resolved_sections"](spark, sf_dir).count()
+        paths = list(contract._PATHS[id(spark)])
+        assert first and catalog.QUERIES["xrf_07_resolved"](spark, sf_dir).count() and contract._PATHS[id(spark)] == paths
+    assert paths and not any(Path(p.removeprefix("file://")).exists() for p in paths)

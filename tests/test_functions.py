@@ -65,14 +65,6 @@ def test_merges(spark):
     assert {tuple(r) for r in stores.insert_absent(base, delta, ["k"]).collect()} == {(1, "a", 1), (2, "b", None), (None, "n", 0), (3, "c", 3)}
 
 
-def test_pipeline_stages(spark):
-    d = spark.createDataFrame([(1, "x", [1, 2]), (2, "y", []), (3, "x", [3])], "k int, g string, a array<int>")
-    out = stores.run_pipeline(d, [{"$match": {"$or": [{"k": {"$gte": 2}}, {"g": "x"}]}}, {"$unwind": "$a"}, {"$group": {"_id": "$g", "n": {"$sum": 1}, "t": {"$sum": "$a"}}}, {"$sort": {"_id": 1}}])
-    assert [tuple(r) for r in out.collect()] == [("x", 3, 6)]
-    joined = stores.run_pipeline(d, [{"$lookup": {"from": "r", "localField": "g", "foreignField": "g", "as": "m"}}, {"$match": {"m": {"$exists": False}}}, {"$count": "n"}], {"r": spark.createDataFrame([("x",)], "g string")})
-    assert joined.first()["n"] == 1
-
-
 def test_defaults(spark):
     row = spark.range(1).select(evaluation.embed(F.lit("one two two")).alias("e"), evaluation.overlap_score(F.lit("a b"), F.lit("b c")).alias("s"), retrieval.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0))).alias("c")).first()
     assert abs(sum(v * v for v in row["e"]) - 1) < 1e-9 and row["s"] == 0.5 and abs(row["c"] - 0.5**0.5) < 1e-9
