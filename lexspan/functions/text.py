@@ -19,7 +19,7 @@ def header_id(line: Column) -> Column:
     """The normalised id of a header line, null on any other line."""
     t = F.trim(line)
     got = lambda p: F.regexp_extract(t, p, 1)
-    return any_of(
+    found = any_of(
         [
             (got(P.SCHEDULE) != "", F.lower(got(P.SCHEDULE))),
             (got(P.ARTICLE) != "", F.lower(got(P.ARTICLE))),
@@ -29,12 +29,14 @@ def header_id(line: Column) -> Column:
         ],
         F.lit(None).cast("string"),
     )
+    return F.when(t.rlike(P.HEADER_START), found)
 
 
 def header_title(line: Column) -> Column:
     """The title of a header line, empty without one."""
     t = F.trim(line)
-    return any_of([(F.regexp_extract(t, p, 1) != "", F.trim(F.regexp_extract(t, p, 2))) for p in (P.SCHEDULE, P.ARTICLE, P.SECTION, P.DOTTED, P.BARE)], F.lit(""))
+    found = any_of([(F.regexp_extract(t, p, 1) != "", F.trim(F.regexp_extract(t, p, 2))) for p in (P.SCHEDULE, P.ARTICLE, P.SECTION, P.DOTTED, P.BARE)], F.lit(""))
+    return F.when(t.rlike(P.HEADER_START), found).otherwise("")
 
 
 def parent_id(section_id: Column) -> Column:

@@ -36,7 +36,7 @@ CAP = {6: 5, 11: 15}
 OF_SCHEDULE, MONEY_FIRST, ADDRESS_FIRST, OPENING_CHARS = 30, 300, 200, 3000
 ASKED_TERMS, TERMS, SCANNED_SECTIONS, SCANNED_LINES = 5, 10, 5, 15
 IMMUNE = (2, 3, 4, 5, 10, 11, 12, 13, 14, 15)
-KEEP, KEEP_COMPARED, FEW = 20, 25, 5
+KEEP, KEEP_COMPARED = 20, 25
 GAP_ID, GAP_TITLE, GRAPH_SCORE = 5, 3, 0.8
 DEFINITION_ASKED = P.whole(r"what\s+is|what\s+are|who\s+is|define|definition\s+of|meaning\s+of")
 _SUBJECT_STOP = r"(?i)(?<![A-Za-z0-9_])(?:what\s+is|what\s+are|who\s+is|define|definition\s+of|meaning\s+of|the|a|an|in|of|this|that|agreement|contract|please|tell|me)(?![A-Za-z0-9_])"
@@ -94,6 +94,7 @@ def organisation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where((F.col("kind") == "organization") & hit).select("conv", "file_id").distinct()
 
 
+@C.once
 def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KEY and _by, the injectors that bring a section, in order, each with whether it is immune: every section is looked at once.
 
@@ -155,25 +156,26 @@ def first_wins(candidates: DataFrame) -> DataFrame:
 def chain(left: DataFrame, rank: Column) -> DataFrame:
     """One row for each section, of the first injector in order of tags that takes it. rank: of a section's role, for the order of money.
 
-    A capped injector ranks, in each conversation, the sections that lower tags haven't taken, and takes as many as its cap; the rest
-    stay open to the later injectors that bring them too. Term clauses (10) count for files of which a tag up to 9 has kept a section.
+    A capped injector takes, in each conversation, as many as its cap of the sections that lower tags haven't taken; the rest stay open to the later
+    injectors that bring them too. Term clauses (10) count for files of which a tag up to 9 has kept a section.
     """
     left = left.withColumn("_rank", rank)
-    for k in (6, 10, 11):
-        now = F.get("_by", F.lit(0)) == k
-        without = F.filter("_by", lambda x: x != k)
-        if k in CAP:
-            order = [F.desc("_rank"), "doc_id", "pos"] if k == 11 else ["doc_id", "pos"]
-            n = _n(["conv", now, F.when(~now, F.col("file_id"))], *order)  # other sections stay spread
-            left = left.withColumn("_n", F.when(now, n)).withColumn("_by", F.when(F.col("_n") > CAP[k], without).otherwise(F.col("_by"))).drop("_n")
-        else:
-            have = F.max(F.get("_by", F.lit(0)) < k).over(Window.partitionBy("conv", "file_id"))
-            left = left.withColumn("_have", have).withColumn("_by", F.when(F.col("_have"), F.col("_by")).otherwise(without)).drop("_have")
-        left = left.where(F.size("_by") > 0)
+    left = _capped_by(left, 6, ["doc_id", "pos"])
+    have = F.max(F.get("_by", F.lit(0)) < 10).over(Window.partitionBy("conv", "file_id"))
+    left = left.withColumn("_have", have).withColumn("_by", F.when(F.col("_have"), F.col("_by")).otherwise(F.filter("_by", lambda x: x != 10))).drop("_have").where(F.size("_by") > 0)
+    left = _capped_by(left, 11, [F.desc("_rank"), "doc_id", "pos"])
     injector = F.get("_by", F.lit(0))
     return left.select(*KEY, injector.alias("injector"), injector.isin(*IMMUNE).alias("immune"))
 
 
+def _capped_by(left: DataFrame, k: int, order: list) -> DataFrame:
+    """left, with the tag k gone where it comes first but beyond its cap: a group limit, so that a task keeps CAP[k] rows a conversation before the shuffle."""
+    now = F.get("_by", F.lit(0)) == k
+    taken = left.where(now).withColumn("_n", _n(["conv"], *order)).where(F.col("_n") <= CAP[k]).select("file_id", "section_id", F.lit(True).alias("_taken"))
+    left = left.join(taken, ["file_id", "section_id"], "left")
+    return left.withColumn("_by", F.when(now & F.col("_taken").isNull(), F.filter("_by", lambda x: x != k)).otherwise(F.col("_by"))).drop("_taken").where(F.size("_by") > 0)
+
+
 @C.once
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KEY, injector, immune, score: what injectors 0 to 15 bring."""
@@ -235,6 +237,7 @@ def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sections(spark, sf_dir).select(*KEY).join(new.select("file_id", "section_id"), ["file_id", "section_id"], "left_semi").select(*KEY)
 
 
+@C.once
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KEY, injector, immune, score: the pool, definitions (16) and neighbours in the graph (17)."""
     defs = definitions(spark, sf_dir).select(*KEY, F.lit(16).alias("injector"), "immune", F.lit(0.0).alias("score"))
@@ -248,11 +251,10 @@ _SCORE = "(doc_id * 17 + pos * 5) % 101"
 
 
 def rerank(found: DataFrame, score: Column) -> DataFrame:
-    """Immune rows stay; of the others the best by score: KEEP, or KEEP_COMPARED where the question compares; up to FEW candidates pass as they are (RET-22)."""
+    """Immune rows stay; of the others the best by score: KEEP, or KEEP_COMPARED where the question compares; up to five candidates pass as they are (RET-22)."""
     keep = F.when(questions(found).rlike(P.COMPARISON_ASKED), KEEP_COMPARED).otherwise(KEEP)
-    total = F.count(F.lit(1)).over(Window.partitionBy("conv"))
-    ranked = found.withColumns({"_n": _n(["conv", "immune"], F.desc(score), "doc_id", "pos", "section_id"), "_all": total})
-    return ranked.where(F.col("immune") | (F.col("_all") <= FEW) | (F.col("_n") <= keep)).drop("_n", "_all")
+    ranked = found.where(~F.col("immune")).withColumn("_n", _n(["conv"], F.desc(score), "doc_id", "pos", "section_id")).where(F.col("_n") <= KEEP_COMPARED)
+    return found.where("immune").unionByName(ranked.where(F.col("_n") <= keep).drop("_n"))  # five are among the best anyway
 
 
 @C.once

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lexspan.functions import text as X
-from lexspan.operators import context, definitions, evaluation, names, parsing, retrieval, stores
+from lexspan.operators import context, definitions, evaluation, parsing, retrieval, stores
 from lexspan.sources import loaders
 
 
