@@ -24,6 +24,8 @@ from .shared import checkpoint, empty_text, fresh_dir, table
 WHITE = " \t\n\x0b\f\r"
 SPLIT = "[ \t-\r]+"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Columns of the steps in between; an input's columns of these names, as those of the counts, give way.
+_BETWEEN = ["_w", "_lines", "_win", "_room", "_s", "_again"]
 _OWN = [*BASE, "n_lines", "n_upper", "n_ends", "n_bangs", "n_letters", "n_distinct", "n_windows_again"]
 
 
@@ -37,7 +39,7 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     trimmed = F.btrim(t, F.lit(WHITE))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     a = docs.select(
-        *[c for c in docs.columns if c not in _OWN],
+        *[c for c in docs.columns if c not in (*_OWN, *_BETWEEN)],
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT)).alias("_w"),
         lines.alias("_lines"),
         F.length(F.regexp_replace(t, SPLIT, "")).cast("long").alias("word_chars"),
