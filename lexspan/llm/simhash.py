@@ -59,10 +59,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     after = {first: part for (part, _), (_, first) in zip(found, found[1:] + found[:1], strict=True)}  # at most n entries
     if not after:
         return parts.select("doc_id", "text", "_part", F.lit(False).alias("_halo"), "_k")
-    halo = parts.where(F.col("_k").isin(list(after)))
+    halo = parts.where(F.col("_k").isin(list(after))).groupBy("_k").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))  # of equal ids the first row is enough
     to = F.create_map(*[F.lit(x) for pair in after.items() for x in pair])
-    both = parts.withColumn("_halo", F.lit(False)).unionByName(halo.withColumn("_part", to[F.col("_k")].cast("int")).withColumn("_halo", F.lit(True)))
-    return both.repartitionById(n, "_part").sortWithinPartitions("_part", "_halo", "_k", "text")
+    both = parts.select("doc_id", "text", "_k", "_part").withColumn("_halo", F.lit(False)).unionByName(halo.withColumn("_part", to[F.col("_k")].cast("int")).withColumn("_halo", F.lit(True)))
+    return both.select("doc_id", "text", "_part", "_halo", "_k").repartitionById(n, "_part").sortWithinPartitions("_part", "_halo", "_k", "text")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
