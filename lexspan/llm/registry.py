@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, minhash, ngram_join, packing, quality, runs, sampling, simhash, spelling, token_files, toxicity, warc
+from . import chat, html_text, minhash, ngram_join, packing, quality, runs, sampling, simhash, spelling, sql, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -24,4 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
-ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": sql.near_duplicates(ngram_join.WIDTH, ngram_join.P, kept=False),
+    "op3_chat_format": chat.ORACLE,
+    "op10_warc": sql.WARC,
+    "op11_minhash": sql.near_duplicates(minhash.WIDTH, minhash.P, kept=True),
+    "op12_spelling_variants": sql.SPELLING,
+}
