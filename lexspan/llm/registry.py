@@ -30,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op10_warc": sql.WARC,
     "op11_minhash": sql.near_duplicates(minhash.WIDTH, minhash.P, kept=True),
     "op12_spelling_variants": sql.SPELLING,
+    "op13_periodic_runs": sql.RUNS,
 }

@@ -68,3 +68,27 @@ runs AS (
     SELECT k.word, k.here AS root FROM walk k JOIN formed f ON f.word = k.here WHERE f.form IS NULL
 )
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
+
+
+#: Runs of words from all pairs of equal words of a text: for each distance the stretches of places that go on without a gap.
+RUNS = f"""
+WITH crc AS ({_CRC_TABLE}),
+texts AS (
+    SELECT doc_id, w, h, (h // 10) % greatest(len(w), 1) AS a FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, coalesce({_CRC}, 1) AS h FROM (SELECT doc_id, text, doc_id::VARCHAR AS s FROM documents), crc)
+), planted AS (
+    SELECT doc_id, CASE WHEN h % 10 = 0 THEN list_transform(range(0, len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM texts)
+), words AS (
+    SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i, len(w) AS n FROM planted
+), same AS (
+    SELECT a.doc_id, b.i - a.i AS q, a.i FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+), stretches AS (
+    SELECT doc_id, q, min(i) AS s, count(*) + q AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same) GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+    SELECT doc_id, s, m, min(q) AS q FROM stretches GROUP BY doc_id, s, m
+), said AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS t, first({{'s': s, 'm': m, 'q': q}} ORDER BY m DESC, s, q) AS b FROM runs GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS c FROM words w WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = w.doc_id AND w.i >= r.s + r.q AND w.i < r.s + r.m) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.m::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.m // b.q)::BIGINT AS exponent_milli, sha256(coalesce(t, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN said USING (doc_id) LEFT JOIN kept USING (doc_id)"""
