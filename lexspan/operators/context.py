@@ -462,6 +462,16 @@ AFTER = FRAMES | {
 # --- queries ---------------------------------------------------------------------------------------------------------------------
 
 
+@query("ret_06_section_hits", oracle("SELECT s.conv, s.file_id, s.section_id, round(s.score, 6)::DOUBLE AS score, f.file_name, coalesce(f.effective_date, '') AS effective_date, f.role, f.role_rank, coalesce(x.schedule, '') AS schedule, x.risk FROM seeds s JOIN files f USING (file_id) JOIN sections x USING (file_id, section_id)", **{k: FRAMES[k] for k in ("points", "asked", "hits", "seeds")}))
+@C.parse_once
+def section_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of vector search joined to their sections, with what is known of their files and defaults where nothing is (RET-06)."""
+    s = seeds(spark, sf_dir).join(C.files(spark, sf_dir).select("file_id", "file_name", "effective_date", "role", "role_rank"), "file_id")
+    s = s.join(C.sections(spark, sf_dir).select("file_id", "section_id", "schedule", "risk"), ["file_id", "section_id"])
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return s.select("conv", "file_id", "section_id", F.round("score", 6).alias("score"), "file_name", blank("effective_date"), "role", "role_rank", blank("schedule"), "risk")
+
+
 @query("ret_08_candidate_pool", oracle("SELECT conv, file_id, section_id, injector, immune FROM pool", **FRAMES))
 @C.parse_once
 def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:

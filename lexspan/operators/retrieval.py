@@ -79,13 +79,20 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(numbered, ["conv", "source"]).select("conv", "source", "file_id", "file_name")
 
 
-@query("plb_01_playbook_top_k", f"SELECT vec_id, rank FROM (SELECT e.vec_id, row_number() OVER (ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label % 3 IN (0, 2)) WHERE rank <= 5")
+#: Categories of the playbook's entries by label, and the words of the one asked for.
+CATEGORIES, ASKED_CATEGORY = ["payment terms", "limits of liability", "terms of payment", "audit rights", "data transfer"], "payment terms"
+_CATEGORY = "list_value(" + ", ".join(f"'{c}'" for c in CATEGORIES) + f")[label % {len(CATEGORIES)} + 1]"
+
+
+@query("plb_01_playbook_top_k", f"SELECT vec_id, category, rank FROM (SELECT e.vec_id, {_CATEGORY} AS category, row_number() OVER (ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label % 3 IN (0, 2) AND list_has_all(string_split({_CATEGORY}, ' '), ['payment', 'terms'])) WHERE rank <= 5")
 def playbook_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest entries for critical functions or both (label mod 3: 0 CIF, 1 Non CIF, 2 Both): a sort limit, k rows a task."""
-    p = C.table(spark, sf_dir, "embeddings").where("label % 3 in (0, 2)")
+    """The five nearest entries for critical functions or both (label mod 3: 0 CIF, 1 Non CIF, 2 Both) whose category has all words asked for: a sort limit, k rows a task."""
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), F.col("label") % len(CATEGORIES) + 1)
+    p = C.table(spark, sf_dir, "embeddings").where("label % 3 in (0, 2)").withColumn("category", category)
+    p = p.where(F.size(F.array_except(F.array(*map(F.lit, ASKED_CATEGORY.split())), F.split("category", " "))) == 0)
     score = F.round(cosine(F.col("embedding"), F.lit(_vector(spark, sf_dir, 0)).cast("array<double>")), 6)
-    best = p.select("vec_id", score.alias("s")).orderBy(F.desc("s"), "vec_id").limit(5)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "vec_id"))).select("vec_id", "rank")
+    best = p.select("vec_id", "category", score.alias("s")).orderBy(F.desc("s"), "vec_id").limit(5)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "vec_id"))).select("vec_id", "category", "rank")
 
 
 @query("plb_04_categories", "SELECT DISTINCT 'category ' || label AS category FROM embeddings WHERE label % 3 IN (0, 2)")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,6 +29,36 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content", F.when(ext.isin("pdf", "docx", "txt"), ext).alias("kind"))
 
 
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_text(data: bytes) -> str:
+    """The paragraphs with text of a Word document, a blank line between them."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+    said = {f"{_WORD}t": lambda e: e.text or "", f"{_WORD}tab": lambda e: "\t", f"{_WORD}br": lambda e: "\n", f"{_WORD}cr": lambda e: "\n"}
+    paragraphs = ("".join(said[e.tag](e) for e in p.iter() if e.tag in said).strip() for p in root.iter(f"{_WORD}p"))
+    return "\n\n".join(p for p in paragraphs if p)
+
+
+def pages(files: DataFrame) -> DataFrame:
+    """files (path, content, kind), as binary_files gives them: (path, page, text) by kind: a text file is page 1, a Word document is split as split_text does. A
+    file that can't be read and one of another kind have no pages; PDF pages need a parser that isn't here (SRC-01)."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            rows = []
+            for path, content, kind in zip(d["path"], d["content"], d["kind"], strict=True):
+                try:
+                    found = [bytes(content).decode()] if kind == "txt" else split_text(docx_text(bytes(content))) if kind == "docx" else []
+                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+                    found = []
+                rows += [(path, n, t) for n, t in enumerate(found, 1)]
+            yield pd.DataFrame(rows, columns=["path", "page", "text"])
+
+    return files.select("path", "content", "kind").mapInPandas(read, "path string, page int, text string")
+
+
 def pair_file(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of (query, positive): nulls count as empty, blanks go, rows without either go (SRC-23)."""
     d = spark.read.schema("query string, positive string").csv(path, header=True)

@@ -279,3 +279,24 @@ def test_prepared_frames_are_shared_and_go(spark, sf_dir):
         paths = list(contract._PATHS[id(spark)])
         assert first and catalog.QUERIES["xrf_07_resolved"](spark, sf_dir).count() and contract._PATHS[id(spark)] == paths
     assert paths and not any(Path(p.removeprefix("file://")).exists() for p in paths)
+
+
+def test_pages_of_files(spark, tmp_path):
+    """Text and Word files by kind; broken and unknown ones have no pages."""
+    import zipfile
+
+    from lexspan.sources import loaders
+
+    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f"<w:p><w:r><w:t>Paragraph {k}</w:t><w:tab/><w:t>of it</w:t></w:r></w:p><w:p/>" for k in range(150))
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{word}"><w:body>{body}</w:body></w:document>')
+    (tmp_path / "b.txt").write_text("one\ntwo é")
+    (tmp_path / "c.docx").write_bytes(b"no archive")
+    (tmp_path / "d.txt").write_bytes(b"\xff\xfe")
+    (tmp_path / "e.pdf").write_bytes(b"%PDF")
+    got = {}
+    for r in loaders.pages(loaders.binary_files(spark, str(tmp_path))).orderBy("path", "page").collect():
+        got.setdefault(r["path"].rpartition("/")[2], []).append(r["text"])
+    text = "\n\n".join(f"Paragraph {k}\tof it" for k in range(150))
+    assert got == {"a.docx": plain_split(text), "b.txt": ["one\ntwo é"]} and len(got["a.docx"]) == 2
