@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Words, checkpoint, chunks, fresh_dir, mix, remove_dir, shingles, small_batches, swept, table, text_bytes
+from .shared import Words, checkpoint, chunks, fresh_dir, mix, release, remove_dir, shingles, small_batches, swept, table, text_bytes
 
 WIDTH, P, Q = 5, 80, 100
 #: Pairs of key and set for one group of the block count; the number of groups follows the input.
@@ -393,6 +393,7 @@ def _named(docs: DataFrame, linked: DataFrame) -> DataFrame:
     """docs (doc_id, text) and the profiles of those that may link: (h, component_id) for each set."""
     spark = docs.sparkSession
     classes = checkpoint(linked.groupBy("h").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "room", "room_below")]))
+    release(spark)
     stars = checkpoint(stars_of(_prefixes(docs, classes)))
     path = _written_sets(docs, stars.select("h").distinct().join(classes, "h").select("doc_id", "h"))
     sets = spark.read.parquet(path)
@@ -400,6 +401,7 @@ def _named(docs: DataFrame, linked: DataFrame) -> DataFrame:
     found = checkpoint(components(links))
     for nearest in (True, False):  # first what is nearest, so that most links are known before all pairs of components are named
         further = checkpoint(_further(stars, found, sets, nearest))
+        release(spark)
         more = checkpoint(verify(further, sets)) if not further.isEmpty() else further
         if not more.isEmpty():
             links = checkpoint(links.union(more))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Words, checkpoint, chunks, table, text_bytes
+from .shared import Words, checkpoint, chunks, release, table, text_bytes
 
 #: The bounds of the labelled rows that teach: the rows with the least hash of their id, so many and with so many bytes of text together. They bound the index, which goes
 #: to every task: a posting and its cell take 24 bytes at most, and a text has fewer postings than a third of its bytes.
@@ -327,6 +327,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     votes = [_logit(index.vote(*index.nearest(*v, NEAREST + 1), prior, (index.of[k], toxic[k]))) for k, v in enumerate(vectors)]
     model.slope, model.shift = _calibrate(np.array(votes), np.array(toxic, float))
     model.index = index
+    del rows, vectors, terms_of, weights_of
+    release(docs.sparkSession)
     return model
 
 
