@@ -7,23 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexspan.llm import ngram_join, packing, quality, toxicity
-from lexspan.llm.shared import fresh_dir, remove_dir, small_batches, table
+from lexspan.llm.shared import fresh_dir, release, remove_dir, small_batches, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
+    release(spark)
     return toxicity.keep_harmless(docs, toxicity.teaching(spark, sf_dir))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return ngram_join.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return packing.pack(docs)
 
 
