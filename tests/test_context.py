@@ -129,6 +129,51 @@ def test_names_meet_by_classes_of_words(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("common", [0, 1, 5, 30])
+def test_names_that_share_common_words(spark, monkeypatch, common):
+    """However few files make a word common, each name finds the file that it is most like, the first among equals; words of many files make no pair of a name and a file."""
+    monkeypatch.setattr(relationships, "COMMON", common)
+    rng = np.random.default_rng(common)
+    words = [["work", "order"], ["order"], ["framework", "agreement"], ["agreement", "of", "order"], []]
+    name = lambda n: " ".join([*words[int(rng.integers(0, 5))], *map(str, rng.choice(n, int(rng.integers(0, 3))))])
+    files = [("cd"[k % 2], k, f"f{k}", name(60)) for k in range(150)]
+    refs = sorted({(c, name(70)) for c in "cd" for _ in range(60)})
+    bag = lambda x: set(x.split())
+    want = set()
+    for c, r in refs:
+        best = max(((len(bag(r) & bag(n)) / max(1, len(bag(r) | bag(n))), -k, i) for f, k, i, n in files if f == c), default=(0, 0, None))
+        if best[0] >= relationships.LEAST_LIKE:
+            want.add((c, r, best[2]))
+    got = relationships.named(spark.createDataFrame(refs, "conv string, ref string"), spark.createDataFrame(files, "conv string, doc_id long, file_id string, file_name string"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("query", [relationships.relation_counts, relationships.touching, relationships.order_chain, relationships.map_text, graph.overview, kept.graph_summary])
+def test_links_by_people_are_not_made(spark, sf_dir, monkeypatch, query):
+    """What only counts, looks up or keeps links by people never makes them: they grow with the square of a person's files."""
+
+    def made(*_):
+        raise AssertionError("links by people were made")
+
+    monkeypatch.setattr(relationships, "by_person", made)
+    assert query(spark, sf_dir).columns
+
+
+@pytest.mark.parametrize("query", [relationships.termination_query, graph.edge_query])
+def test_links_by_people_are_not_shuffled(spark, sf_dir, query):
+    """No row of the join that makes them goes through an exchange."""
+    plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*("))
+    joins = [k for k, x in enumerate(plan) if "ShuffledHashJoin" in x and "_k#" in x]
+    assert joins
+    for k in joins:
+        at = depth(plan[k])
+        for x in reversed(plan[:k]):
+            if depth(x) < at:
+                at = depth(x)
+                assert "Exchange" not in x, x
+
+
 def test_identifiers_that_hold_each_other(spark):
     rng = np.random.default_rng(4)
     key = lambda n: "".join(rng.choice(list("ab1"), n))
