@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..plans import contract as C
 from ..registry import query
 from . import graph as G
+from . import relationships as R
 
 #: Partitions of a kept table; a conversation lies in one.
 PARTS = 64
@@ -50,17 +53,37 @@ def keep(rows: DataFrame, path: str, key: str) -> None:
         gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
-def keep_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+def keep_graph(nodes: DataFrame, edges: DataFrame, folder: str, ends: DataFrame | None = None) -> None:
+    """ends (conv, end_id, kind, person, node_id, is_source): edges from each source to each target of a person, kept by their ends, for they are as many as both multiplied."""
     keep(nodes, f"{folder}/nodes", "node_id")
     keep(edges, f"{folder}/edges", "edge_id")
+    if ends is not None:
+        keep(ends, f"{folder}/ends", "end_id")
 
 
 def kept_graph(spark: SparkSession, folder: str, conv: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The kept nodes and edges; of one conversation only its partition is read."""
-    both = [spark.read.parquet(f"{folder}/{t}") for t in ("nodes", "edges")]
-    if conv is not None:
-        both = [t.where((F.col("part") == part_of(F.lit(conv))) & (F.col("conv") == conv)) for t in both]
-    return both[0].drop("part"), both[1].drop("part")
+    """The kept nodes and edges, but those that ends tell; of one conversation only its partition is read."""
+    return _kept(spark, folder, "nodes", conv), _kept(spark, folder, "edges", conv)
+
+
+def kept_ends(spark: SparkSession, folder: str, conv: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(conv, kind, person, source) and (conv, kind, person, target): joined by the first three they are edges."""
+    t = _kept(spark, folder, "ends", conv)
+    return tuple(t.where(F.col("is_source") == source).select("conv", "kind", "person", F.col("node_id").alias(name)) for source, name in ((True, "source"), (False, "target")))
+
+
+def _kept(spark: SparkSession, folder: str, name: str, conv: str | None) -> DataFrame:
+    t = spark.read.parquet(f"{folder}/{name}")
+    return (t if conv is None else t.where((F.col("part") == part_of(F.lit(conv))) & (F.col("conv") == conv))).drop("part")
+
+
+def _ends(parts: R.Parts) -> DataFrame:
+    every = []
+    for kind, (own, deals) in G.people_ends(parts).items():
+        for df, file, source in ((own, "from_file", True), (deals, "to_file", False)):
+            node = X.node_id("document", F.col(file))
+            every.append(df.select("conv", F.md5(F.concat_ws("-", F.lit(f"{kind}-{source}"), "person", node)).alias("end_id"), F.lit(kind).alias("kind"), "person", node.alias("node_id"), F.lit(source).alias("is_source")))
+    return reduce(DataFrame.unionByName, every)
 
 
 _COUNTS = "SELECT conv, sum(n)::BIGINT AS nodes, sum(e)::BIGINT AS edges FROM (SELECT conv, count(DISTINCT node_id) AS n, 0 AS e FROM nodes GROUP BY conv UNION ALL SELECT conv, 0, count(DISTINCT edge_id) FROM edges GROUP BY conv) GROUP BY conv"
@@ -69,13 +92,17 @@ _COUNTS = "SELECT conv, sum(n)::BIGINT AS nodes, sum(e)::BIGINT AS edges FROM (S
 @query("grf_10_summary", G.oracle(_COUNTS, **G.FRAMES))
 @C.parse_once
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph is built and kept, one conversation is built again, and the kept tables are counted by conversation."""
+    """The graph is built and kept, one conversation is built again, and the kept tables are counted by conversation; links by people are kept and counted by their ends."""
     folder = C.written_to(spark, "graph")
-    nodes, edges = G.nodes(spark, sf_dir), G.edges(spark, sf_dir)
-    keep_graph(nodes, edges, folder)
+    parts = R.relation_parts(spark, sf_dir)
+    nodes, edges, ends = G.nodes(spark, sf_dir), G.other_edges(spark, sf_dir, parts), _ends(parts)
+    keep_graph(nodes, edges, folder, ends)
     again = F.col("conv") == "src1"
-    keep_graph(nodes.where(again), edges.where(again), folder)
-    kept = kept_graph(spark, folder)
-    n, e = (t.groupBy("conv").agg(F.count(F.lit(1)).alias(name)) for t, name in zip(kept, ("nodes", "edges"), strict=True))
+    keep_graph(nodes.where(again), edges.where(again), folder, ends.where(again))
+    nodes, edges = kept_graph(spark, folder)
+    n = nodes.groupBy("conv").agg(F.count(F.lit(1)).alias("nodes"))
+    sources, targets = (t.groupBy("conv", "kind", "person").agg(F.count(F.lit(1)).alias(c)) for t, c in zip(kept_ends(spark, folder), ("s", "t"), strict=True))
+    people = sources.join(targets, ["conv", "kind", "person"]).select("conv", (F.col("s") * F.col("t")).alias("edges"))
+    e = edges.groupBy("conv").agg(F.count(F.lit(1)).alias("edges")).unionByName(people).groupBy("conv").agg(F.sum("edges").alias("edges"))
     none = F.lit(0).cast("long")
     return n.join(e, "conv", "full").select("conv", F.coalesce("nodes", none).alias("nodes"), F.coalesce("edges", none).alias("edges"))
