@@ -129,6 +129,20 @@ def test_names_meet_by_classes_of_words(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_a_text_of_many_references_is_searched_once(spark):
+    """Searched again for each reference it has, this text takes minutes."""
+    import time
+
+    n = 4000
+    text = " ".join(f"under Clause {k % (n - 100) + 1}.1(a) of the Initial Addendum," for k in range(n)) + " clause 99, Clause 7(b)(c)section 4, ſection 5; subclause 6"
+    given = spark.createDataFrame([(text,)], "content string")
+    given.select(F.inline(X.hinted_refs(F.lit("clause 1")))).collect()
+    began = time.time()
+    rows = [tuple(r) for r in given.select(F.inline(X.hinted_refs(F.col("content")))).collect()]
+    assert time.time() - began < 20
+    assert rows == [(f"{k + 1}.1(a)", "Initial Addendum") for k in range(n - 100)] + [("7(b)(c)", None), ("4", None)]
+
+
 @pytest.mark.parametrize("common", [0, 1, 5, 30])
 def test_names_that_share_common_words(spark, monkeypatch, common):
     """However few files make a word common, each name finds the file that it is most like, the first among equals; words of many files make no pair of a name and a file."""
