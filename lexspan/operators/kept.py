@@ -94,8 +94,9 @@ _COUNTS = "SELECT conv, sum(n)::BIGINT AS nodes, sum(e)::BIGINT AS edges FROM (S
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph is built and kept, one conversation is built again, and the kept tables are counted by conversation; links by people are kept and counted by their ends."""
     folder = C.written_to(spark, "graph")
+    nodes = G.nodes(spark, sf_dir)  # writes the sections, which what clauses name is then read from
     parts = R.relation_parts(spark, sf_dir)
-    nodes, edges, ends = G.nodes(spark, sf_dir), G.other_edges(spark, sf_dir, parts), _ends(parts)
+    edges, ends = G.other_edges(spark, sf_dir, parts), _ends(parts)
     keep_graph(nodes, edges, folder, ends)
     again = F.col("conv") == "src1"
     keep_graph(nodes.where(again), edges.where(again), folder, ends.where(again))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import text as X
 from lexspan.operators import anchors, classify, context, crossrefs, definitions, graph, kept, more, names, neighbours, relationships, stores
+from lexspan.plans import contract
 
 
 def test_likeness_is_that_of_longest_blocks():
@@ -188,6 +189,28 @@ def test_links_by_people_are_not_shuffled(spark, sf_dir, query):
                 assert "Exchange" not in x, x
 
 
+@pytest.mark.parametrize("query", [relationships.termination_query, relationships.relation_counts, relationships.touching, relationships.order_chain])
+def test_links_need_no_written_sections(spark, sf_dir, query):
+    """Only the names in clauses are wanted, so neither texts nor sections go to disk."""
+    contract.clear(spark)
+    query(spark, sf_dir)
+    written = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in contract._PATHS[id(spark)]}
+    contract.clear(spark)
+    assert "references" in written and "sections" not in written
+
+
+def test_names_found_by_line_are_those_of_sections(spark, tmp_path):
+    """Line by line as in whole sections: of copies of an id the longest counts, empty lines at its ends do not, and short ones go."""
+    rng = np.random.default_rng(5)
+    said = ["", " ", "\t", "  of the Master Agreement ", "of the", "Side Agreement", "as of the Work Order Agreement and of the Side Letter Agreement", "1.1 Fees", "1.1 Fees and of the Long Agreement", "2.1  Term", "Schedule 1", "x" * 14, "é of the Über Agreement"]
+    docs = [(k, "\n".join(rng.choice(said, int(rng.integers(0, 40)))) if k % 17 else None, f"c{k % 3}", "en") for k in range(150)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = relationships.references(spark, str(tmp_path))
+    find = F.explode(F.regexp_extract_all("content", F.lit(relationships.NAMED), F.lit(1)))
+    want = contract.sections(spark, str(tmp_path)).select("conv", "file_id", find.alias("ref")).distinct()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
 def test_identifiers_that_hold_each_other(spark):
     rng = np.random.default_rng(4)
     key = lambda n: "".join(rng.choice(list("ab1"), n))
