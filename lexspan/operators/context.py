@@ -69,12 +69,23 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("_n", _n(["file_id"], "pos")).where("_n = 1").select(*KEY, "score")
 
 
-@C.once
 def openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(KEY, page, content): each file's first page with agreement language that is no table of contents, else its first page with text (RET-13)."""
+    return _openings(C.lines(spark, sf_dir))
+
+
+@C.once
+def party_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The openings of conversations whose question asks for parties: no others join the pool."""
+    every = C.lines(spark, sf_dir)
+    return _openings(every.where(questions(every).rlike(P.PARTY_ASKED)))
+
+
+def _openings(lines: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n")
     dotted, filled = F.count(F.when(F.col("line").rlike(P.TOC_LINE), 1)), F.count(F.when(F.trim("line") != "", 1))
-    pages = C.lines(spark, sf_dir).groupBy("conv", "file_id", "doc_id", "page").agg(text.alias("t"), ((dotted >= 3) & (4 * dotted >= filled)).alias("contents")).where("trim(t) <> ''")
+    dealt = lines.select("conv", "file_id", "doc_id", "page", "p", "line").repartition("file_id")  # a file's lines and its pages meet once
+    pages = dealt.groupBy("conv", "file_id", "doc_id", "page").agg(text.alias("t"), ((dotted >= 3) & (4 * dotted >= filled)).alias("contents")).where("trim(t) <> ''")
     order = F.when(F.col("t").rlike(P.OPENING) & ~F.col("contents"), 0).otherwise(1) * 100000 + F.col("page")
     best = pages.groupBy("conv", "file_id", "doc_id").agg(F.min_by(F.struct("page", "t"), order).alias("b"))
     return best.select("conv", "file_id", "doc_id", F.lit("__raw_page1_preamble").alias("section_id"), F.lit(0).cast("long").alias("pos"), F.col("b.page").alias("page"), F.substring(F.btrim("b.t", F.lit(" \n\t\r")), 1, OPENING_CHARS).alias("content"))
@@ -110,42 +121,48 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the two conditions are independent: a seed file, and an id that any seed of the conversation has
     out = refs.join(seed_files, "file_id", "left_semi").join(ids, ["conv", "section_id"], "left_semi").select(F.col("to_file").alias("file_id"), F.col("to_section").alias("section_id"))
     into = refs.join(seed_files.withColumnRenamed("file_id", "to_file"), "to_file", "left_semi").join(ids.withColumnRenamed("section_id", "to_section"), ["conv", "to_section"], "left_semi").select("file_id", "section_id")
-    s = C.sections(spark, sf_dir).join(answered, "conv", "left_semi").join(C.files(spark, sf_dir).select("file_id", "role"), "file_id")
+    # what is asked is found once a conversation, not once a section
+    asks = lambda p: questions(answered).rlike(p)
+    asked = answered.select(
+        "conv", asks(P.SERVICE_ASKED).alias("asks_service"), asks(P.FINANCIAL).alias("asks_money"), asks(P.LOCATION_ASKED).alias("asks_place"), asks(P.DATE_ASKED).alias("asks_date"),
+        F.array_distinct(F.regexp_extract_all(F.lower(questions(answered)), F.lit(P.SCHEDULE_NAMED), F.lit(1))).alias("labels"),
+    )
+    s = C.sections(spark, sf_dir).join(asked.drop("labels"), "conv").join(C.files(spark, sf_dir).select("file_id", "role"), "file_id")
     for frame, name in ((seed_files, "in_seed_file"), (named_files(spark, sf_dir).select("file_id"), "in_named_file"), (organisation_files(spark, sf_dir).select("file_id"), "in_organisation")):
         s = s.join(yes(frame, name), "file_id", "left")
     # what injectors look at first: group limits, so a task keeps so many rows a group before the shuffle
     bare = C.sections(spark, sf_dir).join(answered, "conv", "left_semi").select(*KEY, "schedule")
-    label = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(questions(bare)), F.lit(P.SCHEDULE_NAMED), F.lit(1))))
-    labelled = bare.where("schedule is not null").withColumn("label", label)
+    labelled = bare.where("schedule is not null").join(asked.select("conv", F.explode("labels").alias("label")), "conv")
     labelled = labelled.where(F.regexp_like("schedule", F.concat(F.lit("(?i)(?:^|[^A-Za-z0-9_])"), F.regexp_replace("label", "\\s+", "\\\\s+"), F.lit("(?:[^A-Za-z0-9_]|$)"))))
     of_schedule = labelled.withColumn("_n", _n(["conv", "label"])).where(F.col("_n") <= OF_SCHEDULE)
     early = bare.withColumn("_n", _n(["conv"])).where(F.col("_n") <= MONEY_FIRST)
     near = bare.join(seed_files, "file_id", "left_semi").withColumn("_n", _n(["conv"])).where(F.col("_n") <= ADDRESS_FIRST)
     for frame, name in ((found, "is_seed"), (out, "out"), (into, "into"), (of_schedule, "in_named_schedule"), (early, "early"), (near, "near")):
         s = s.join(yes(frame.select("file_id", "section_id"), name), ["file_id", "section_id"], "left")
-    q = questions(s)
+    s = s.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("early", "near")})  # behind a null the text would be searched all the same
     said, kind, late = F.col("content"), F.col("clause_type"), F.col("role").isin("modification", "termination")
     rules = [
         (0, F.col("is_seed")),
         (1, kind == "order_of_precedence"),
         (2, kind == "governing_law"),
         (3, (kind == "dispute_resolution") | F.col("title").rlike(P.DISPUTE_TITLE)),
-        (4, q.rlike(P.SERVICE_ASKED) & kind.isin(P.SERVICE_TYPES)),
+        (4, F.col("asks_service") & kind.isin(P.SERVICE_TYPES)),
         (6, F.col("qualifier") & F.col("in_seed_file")),
         (7, F.col("out")),
         (8, F.col("into")),
         (9, F.col("in_named_schedule")),
         (10, (F.col("role") == "transaction") & F.col("section_id").rlike("^(6|10)(\\.[0-9]+)?$")),
-        (11, q.rlike(P.FINANCIAL) & F.col("early") & said.rlike(P.MONEY)),
+        (11, F.col("asks_money") & F.col("early") & said.rlike(P.MONEY)),
         (12, F.col("in_named_file")),
         (13, F.col("in_organisation")),
-        (14, q.rlike(P.LOCATION_ASKED) & F.col("near") & said.rlike(P.ADDRESS)),
-        (15, q.rlike(P.DATE_ASKED) & late & said.rlike(P.RETAINED)),
+        (14, F.col("asks_place") & F.col("near") & said.rlike(P.ADDRESS)),
+        (15, F.col("asks_date") & late & said.rlike(P.RETAINED)),
     ]
     tags = F.array(*[F.when(when, F.lit(n)) for n, when in rules])
-    s = s.select(*KEY, F.filter(tags, lambda x: x.isNotNull()).alias("_by")).where(F.size("_by") > 0)
-    first = openings(spark, sf_dir).join(answered, "conv", "left_semi")
-    return s.unionByName(first.where(questions(first).rlike(P.PARTY_ASKED)).select(*KEY, F.array(F.lit(5)).alias("_by")))
+    brought = F.filter(F.array(F.filter(tags, lambda x: x.isNotNull())), lambda by: F.size(by) > 0)  # exploded, for a condition on the tags would find them twice
+    s = s.select(*KEY, F.explode(brought).alias("_by"))
+    first = party_openings(spark, sf_dir).join(answered, "conv", "left_semi")
+    return s.unionByName(first.select(*KEY, F.array(F.lit(5)).alias("_by")))
 
 
 def first_wins(candidates: DataFrame) -> DataFrame:
@@ -189,13 +206,19 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, section_id, title, content, page, schedule, clause_type, risk) of sections and opening pages."""
+    """(file_id, section_id, title, content, page, schedule, clause_type, risk) of sections and of the opening pages that may join a pool."""
     none = F.lit(None).cast("string")
     s = C.sections(spark, sf_dir).select("file_id", "section_id", "title", "content", "page", "schedule", "clause_type", "risk")
-    first = openings(spark, sf_dir).select("file_id", "section_id", F.lit("Page 1 (Preamble / Parties)").alias("title"), "content", "page", none.alias("schedule"), F.lit("general").alias("clause_type"), F.lit(1).cast("long").alias("risk"))
+    first = party_openings(spark, sf_dir).select("file_id", "section_id", F.lit("Page 1 (Preamble / Parties)").alias("title"), "content", "page", none.alias("schedule"), F.lit("general").alias("clause_type"), F.lit(1).cast("long").alias("risk"))
     return s.unionByName(first)
 
 
+@C.once
+def pool_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that files of the pool define."""
+    return D.combined(D.defined_terms(C.sections(spark, sf_dir).join(pool(spark, sf_dir).select("file_id").distinct(), "file_id", "left_semi")))
+
+
 @C.once
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KEY, immune, content: definitions of terms that the question or what the pool holds uses (RET-19f), as rows `__def_...` of the file that defines the term; pos is the slot.
@@ -203,8 +226,7 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     Terms of the question come first, the longest first, ASKED_TERMS at most; then those of the pool's texts in order of use, TERMS in all. A question
     for a meaning also brings the lines with its subject from the first of the first SCANNED_SECTIONS sections of definitions that has it.
     """
-    p = pool(spark, sf_dir)
-    terms = D.combined(D.defined_terms(C.sections(spark, sf_dir).join(p.select("file_id").distinct(), "file_id", "left_semi")))
+    p, terms = pool(spark, sf_dir), pool_terms(spark, sf_dir)
     asked = terms.where(F.lower(questions(terms)).contains(F.lower("term")))
     asked = asked.withColumn("slot", _n(["conv"], F.desc(F.length("term")), "doc_id", "k")).where(F.col("slot") <= ASKED_TERMS)
     held = p.join(texts(spark, sf_dir).select("file_id", "section_id", "content"), ["file_id", "section_id"])

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexspan.functions import patterns as P
 from lexspan.functions import text as X
 from lexspan.operators import anchors, classify, context, crossrefs, definitions, graph, kept, more, names, neighbours, relationships, stores
 from lexspan.plans import contract
@@ -211,6 +212,24 @@ def test_names_found_by_line_are_those_of_sections(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def test_a_section_is_searched_once_for_what_injects_it(spark, sf_dir):
+    """Each search of a section's text stands once in the plan, and none of the question by section."""
+    plan = context.injected(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in (P.MONEY, P.ADDRESS, P.RETAINED):
+        assert plan.count(f", {pattern})") + plan.count(f"RLIKE {pattern}") == 1, pattern
+
+
+def test_neighbours_do_not_search_all_references_for_cues(spark, sf_dir, monkeypatch):
+    """Cue words are looked for in the clauses of references from or to a seed, not in all that have a reference."""
+
+    def searched(*_):
+        raise AssertionError("all clauses were searched")
+
+    monkeypatch.setattr(graph, "cue_edges", searched)
+    seeds = contract.sections(spark, sf_dir).where("clause_type = 'governing_law'").select("conv", "file_id", "section_id")
+    assert graph.neighbours(spark, sf_dir, seeds).columns == ["conv", "file_id", "section_id"]
+
+
 def test_identifiers_that_hold_each_other(spark):
     rng = np.random.default_rng(4)
     key = lambda n: "".join(rng.choice(list("ab1"), n))
