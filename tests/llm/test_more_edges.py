@@ -90,3 +90,17 @@ def test_pipeline_on_odd_rows(spark, sf_dir):
 
 def test_pipeline_on_no_rows(spark, sf_dir):
     assert [d.count() for _, d in odd_stages(spark, sf_dir, [])] == [0, 0, 0, 0]
+
+
+def test_release_gives_back_what_the_driver_no_longer_uses(spark, monkeypatch):
+    """The driver's Python gives unused memory back, that of Arrow and the rest, before the JVM collects its garbage."""
+    done = []
+
+    class Pool:
+        def release_unused(self):
+            done.append("arrow")
+
+    monkeypatch.setattr(shared.pa, "default_memory_pool", Pool)
+    monkeypatch.setattr(shared.ctypes, "CDLL", lambda _: type("C", (), {"malloc_trim": staticmethod(lambda _: done.append("rest"))}))
+    shared.release(spark)
+    assert done == ["arrow", "rest"]
