@@ -6,6 +6,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,27 @@ def test_links_by_people_are_not_shuffled(spark, sf_dir, query):
                 assert "Exchange" not in x, x
 
 
+def test_map_text_shuffles_no_lines(spark, sf_dir):
+    """Lines are made where a conversation's text is written: no exchange or aggregation below holds a file's lines or the list of its links."""
+    plan = relationships.map_text(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "lines#" not in plan and "array_join(" not in plan and "deals#" not in plan
+
+
+def test_map_text_of_links(monkeypatch):
+    """Names and people of a file in one order, each link of a file as often as it is there, people without transactions nothing; a text that no value can hold is an error."""
+    cols = ["conv", "kind", "from_file", "person", "to_file"]
+    rows = [
+        ("c", "termination", "f2", "p", None), ("c", "termination", "f10", "p", None), ("c", "termination", "f3", "q", None), ("c", "novation", "f2", "p", None), ("c", "termination", None, "p", "f9"), ("c", "termination", None, "p", "f81"),
+        ("c", "novation", "f2", None, "f5"), ("c", "novation", "f4", None, "?"), ("c", "novation", None, "p", "f9"), ("c", "novation", None, "p", "f1"), ("c", "novation", None, "z", "f7"), ("c", "renewal", "é", None, "f1"),
+    ]
+    links = pa.table({c: pa.array(v, pa.string()) for c, v in zip(cols, zip(*rows, strict=True), strict=True)})
+    want = ["novation: f2 -> f1", "novation: f2 -> f5", "novation: f2 -> f9", "novation: f4 -> ?", "renewal: é -> f1", "termination: f10 -> f81", "termination: f10 -> f9", "termination: f2 -> f81", "termination: f2 -> f9"]
+    assert relationships._written_map(links).to_pylist() == [{"conv": "c", "map": "\n".join(want)}]
+    monkeypatch.setattr(relationships, "LONGEST", 100)
+    with pytest.raises(ValueError, match="links of c"):
+        relationships._written_map(links)
+
+
 @pytest.mark.parametrize("query", [relationships.termination_query, relationships.relation_counts, relationships.touching, relationships.order_chain])
 def test_links_need_no_written_sections(spark, sf_dir, query):
     """Only the names in clauses are wanted, so neither texts nor sections go to disk."""
