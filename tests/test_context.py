@@ -234,6 +234,38 @@ def test_names_found_by_line_are_those_of_sections(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def test_outlines_are_those_of_sections(spark, tmp_path):
+    """A text parsed in its row gives the sections, their references with hints, also over the end of a line, and the agreements named, as the sections' contents do."""
+    texts = [
+        "a\n\nunder clause 3.1 of the\nService Agreement\n \n", "x\n" * 130 + "of the Master Service Agreement, clause\n12.1 of the Work Order", "", " \n\n ", "short", "é straße section\n2021 paragraph\n4(b) of the Big Big Agreement",
+        "1.1  once clause 1.1\n1.1  twice and longer, clause 2\n1.1  twice and longer, clause 3\n1.2\n\n", "no header\nSchedule 3 - Terms\n\n\n", None,
+    ]
+    docs = [(k * 47 + n, t, f"c{k % 2}", "en") for n, t in enumerate(texts) for k in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    of = contract.sections(spark, str(tmp_path))
+    got = relationships.outlines(spark, str(tmp_path))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    cols = ["conv", "file_id", "doc_id", "section_id", "parent_id"]
+    assert rows(got.select(cols)) == rows(of.select(cols)) and got.count() > 100
+    want = contract.crossrefs(spark, str(tmp_path)).drop("doc_id")
+    refs = got.select("conv", "file_id", "section_id", F.inline("refs")).where("ref <> section_id")
+    assert rows(refs) == rows(want) and want.where("hint is not null").count()
+    named = lambda df, c: rows(df.select("file_id", "section_id", F.explode(F.array_distinct(c))))
+    assert named(got, "named") == named(of, F.regexp_extract_all("content", F.lit(relationships.NAMED), F.lit(1))) != []
+
+
+def test_edges_write_and_shuffle_no_texts(spark, sf_dir):
+    """Edges hold ids only: neither sections with their texts nor the lines they are made of go to disk."""
+    contract.clear(spark)
+    graph.edge_query(spark, sf_dir)
+    written = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in contract._PATHS[id(spark)]}
+    contract.clear(spark)
+    assert "outlines" in written and "sections" not in written
+    plan = relationships.outlines(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "content#" not in plan[: plan.index("Exchange")]
+
+
+
 def test_a_section_is_searched_once_for_what_injects_it(spark, sf_dir):
     """Each search of a section's text stands once in the plan, and none of the question by section."""
     plan = context.injected(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
