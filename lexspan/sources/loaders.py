@@ -143,9 +143,13 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src_06_scan_detector", "SELECT l_orderkey, sum(l_tax) / nullif(sum(l_quantity), 0) < 0.002 AS is_scan FROM lineitem GROUP BY l_orderkey")
 def scan_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file whose text areas are a small share of its page areas is a scan; without area too. Line tax stands in for text area."""
-    ratio = F.try_divide(F.sum("l_tax"), F.sum("l_quantity"))
-    return C.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.coalesce(ratio < 0.002, F.lit(True)).alias("is_scan"))
+    """A file whose text areas are a small share of its page areas is a scan; without area too. Line tax stands in for text area. Areas are added in the table's order: sums of doubles depend
+    on it, and where a file's lines are in several splits, sums of their sums would put a share at the bound now here, now there."""
+    lines = C.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_tax", "l_quantity", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    w = Window.partitionBy("l_orderkey").orderBy("_file", "_row")
+    total = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ratio = F.try_divide(total("l_tax"), total("l_quantity"))
+    return lines.select("l_orderkey", F.coalesce(ratio < 0.002, F.lit(True)).alias("is_scan"), F.row_number().over(w).alias("_n")).where("_n = 1").drop("_n")
 
 
 @query("src_11_one_line", "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) AS text_md5 FROM documents")

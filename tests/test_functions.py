@@ -1,7 +1,11 @@
 """Scalar functions on worked examples, and the operators that SQL cannot express on a worked document."""
 
 import uuid
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lexspan.functions import text as X
@@ -88,3 +92,26 @@ def test_sections_beyond_a_cap_stay_open(spark):
     got = context.first_wins(spark.createDataFrame(rows, "conv string, file_id string, doc_id long, section_id string, pos int, injector int, immune boolean")).collect()
     want = [("c", f"f{i}", "1", 6, False) for i in range(5)] + [("c", "f5", "1", 8, False), ("c", "f6", "1", 11, True), ("c", "f1", "6", 10, True), ("d", "g", "1", 6, False)]
     assert sorted((r["conv"], r["file_id"], r["section_id"], r["injector"], r["immune"]) for r in got) == sorted(want)
+
+
+def test_areas_are_added_in_the_order_of_the_table(spark, tmp_path):
+    """Shares at the bound itself, the lines of a file in several Parquet files of several sizes: as if all were added one after the other."""
+    rng, rows, folder = np.random.default_rng(11), [], tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for k in range(400):
+        tax = rng.integers(1, 9, 4)
+        rows += [(k, n, float(t) / 100, float(q)) for n, (t, q) in enumerate(zip(tax, [1, 1, 1, 5 * tax.sum() - 3], strict=True))]
+    for part, size in enumerate([(1,), (0, 3), (2,)]):
+        lines = sorted((r for r in rows if r[1] in size), key=lambda r: (r[0] * 7 % 400, r[1]))
+        pq.write_table(pa.table({"l_orderkey": [r[0] for r in lines], "l_tax": [r[2] for r in lines], "l_quantity": [r[3] for r in lines]}), folder / f"p{part}.parquet")
+    want = {}
+    for k in range(400):
+        own = [rows[4 * k + n] for n in (1, 0, 3, 2)]
+        want[k] = reduce(float.__add__, (r[2] for r in own)) / sum(r[3] for r in own) < 0.002  # sum() of Python makes up for what rounding loses
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    for cost in ("1k", "4m"):  # files apart and together
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        got = dict(map(tuple, loaders.scan_detector(spark, str(tmp_path)).collect()))
+        assert got == want
+    spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert 0 < sum(want.values()) < 400
